@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import large_strings, stored
 
 #: Distinct words whose ids go to every task: the most frequent ones, up to WORD_BYTES long. Others are folded on sight.
-VOCABULARY = 50_000
+VOCABULARY = 200_000
 WORD_BYTES = 40
 #: Entries of a task's own memory of pieces; it is emptied when full.
 MEMORY = 300_000

@@ -9,6 +9,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step looks at; a longer text is one step of its own.
@@ -134,3 +136,25 @@ def large_strings(df: DataFrame) -> None:
     root = str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", "").split(":"):
         environment["PYTHONPATH"] = f"{root}:{environment.get('PYTHONPATH', '')}".rstrip(":")
+
+
+def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """Integers as compressed byte planes; rising ones as their differences."""
+    values = np.asarray(values).astype(np.int64)
+    if rising and values.size:
+        values = np.diff(values, prepend=0)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expand(data: bytes, rising: bool = False) -> np.ndarray:
+    """What squeeze was given, as 64-bit integers."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    return np.cumsum(values) if rising else values
+
+
+def run_number() -> int:
+    """A number for what a task makes, other than any other task's; the low 31 bits are free for the task."""
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 31

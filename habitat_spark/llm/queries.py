@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_classifier, quality_rules, secrets, simhash, token_planes, url_filters
+from . import bpe, decontaminate, language_model, quality_classifier, quality_rules, secrets, simhash, token_planes, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +40,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_decontamination, op5_url_filters, op6_simhash, op7_secret_scan, op8_quality_classifier, op10_token_planes)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_decontamination, op5_url_filters, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_katz_scores, op10_token_planes)}
 
 _OP3 = r"""
 WITH d AS (
