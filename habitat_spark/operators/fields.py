@@ -133,7 +133,7 @@ def downscaled_bilinear(fine: DataFrame, coarse: DataFrame, column: str, factor:
     asked = asked.select("cell", "year", "month", "fx", "fy", (F.col("x0") + F.col("c.i")).alias("cx"), (F.col("y0") + F.col("c.j")).alias("cy"), "c")
     weight = F.when(F.col("c.i") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("c.j") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
     got = asked.join(coarse.select("year", "month", "cx", "cy", F.col(column).alias("_v")), ["year", "month", "cx", "cy"], "left")
-    return got.groupBy("cell", "year", "month").agg(F.when(F.count("_v") == 4, S.exact_sum(weight * F.col("_v"))).alias(column))
+    return got.groupBy("cell", "year", "month").agg(F.when(F.count("_v") == 4, F.sum(weight * F.col("_v"))).alias(column))
 
 
 def downscaled_idw(fine: DataFrame, coarse: DataFrame, column: str, k: int = 4) -> DataFrame:

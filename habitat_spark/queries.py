@@ -188,22 +188,22 @@ def nearest_match_left(spark, d):
     return M.nearest(s, ["station_id"], A.grid(spark, d), ["sst"], A.LATTICE, left=True).select("station_id", "cell", "dist2", *r6("sst"))
 
 
-@query("""SELECT cell, year, month, round(sst, 6) AS sst, round(chl_c, 6) AS chl FROM (
+@query("""SELECT cell, year, month, round(sst, 6) AS sst, round(chl_c, 9) AS chl FROM (
   SELECT f.cell, f.year, f.month, f.sst, c.chl AS chl_c, row_number() OVER (PARTITION BY f.cell, f.year, f.month ORDER BY (f.lon_u - c.lon_u) * (f.lon_u - c.lon_u) + (f.lat_u - c.lat_u) * (f.lat_u - c.lat_u), c.cell) AS r
   FROM grid f LEFT JOIN (SELECT * FROM coarse WHERE month <> 2) c ON f.year = c.year AND f.month = c.month) WHERE r = 1""")
 def product_join(spark, d):
     g = A.grid(spark, d)
     fine = g.select(F.col("cell").alias("fine"), "year", "month", "lon_u", "lat_u", "sst")
-    return M.nearest(fine, ["fine", "year", "month"], A.coarse(g).filter("month <> 2"), ["chl"], A.COARSE, left=True).select(F.col("fine").alias("cell"), "year", "month", *r6("sst", "chl"))
+    return M.nearest(fine, ["fine", "year", "month"], A.coarse(g).filter("month <> 2"), ["chl"], A.COARSE, left=True).select(F.col("fine").alias("cell"), "year", "month", *r6("sst"), *r6("chl", digits=9))
 
 
-@query("""SELECT cell, year, month, round(chl, 6) AS chl, round(sst, 6) AS sst FROM (
+@query("""SELECT cell, year, month, round(chl, 9) AS chl, round(sst, 6) AS sst FROM (
   SELECT c.cell, c.year, c.month, c.chl, f.sst, row_number() OVER (PARTITION BY c.cell, c.year, c.month ORDER BY (f.lon_u - c.lon_u) * (f.lon_u - c.lon_u) + (f.lat_u - c.lat_u) * (f.lat_u - c.lat_u), f.cell) AS r
   FROM coarse c LEFT JOIN grid f ON f.year = c.year AND f.month = c.month) WHERE r = 1""")
 def product_join_coarsest(spark, d):
     g = A.grid(spark, d)
     points = A.coarse(g).select(F.col("cell").alias("big"), "year", "month", "lon_u", "lat_u", "chl")
-    return M.nearest(points, ["big", "year", "month"], g, ["sst"], A.LATTICE, left=True).select(F.col("big").alias("cell"), "year", "month", *r6("chl", "sst"))
+    return M.nearest(points, ["big", "year", "month"], g, ["sst"], A.LATTICE, left=True).select(F.col("big").alias("cell"), "year", "month", *r6("sst"), *r6("chl", digits=9))
 
 
 @query("SELECT station_id, s.year, s.month, round(idx, 6) AS idx FROM stations s LEFT JOIN (SELECT * FROM idx WHERE month <> 4) i ON s.year = i.year AND s.month = i.month")
@@ -217,13 +217,13 @@ def static_attach(spark, d):
     return ST.complete(m, ["depth"]).select("station_id", "cell", *r6("depth"))
 
 
-@query("""SELECT f.cell, f.year, f.month, round(coalesce(f.chl, c.chl), 6) AS chl, CASE WHEN f.chl IS NOT NULL THEN 'satellite' WHEN c.chl IS NOT NULL THEN 'model' END AS chl_source
+@query("""SELECT f.cell, f.year, f.month, round(coalesce(f.chl, c.chl), 9) AS chl, CASE WHEN f.chl IS NOT NULL THEN 'satellite' WHEN c.chl IS NOT NULL THEN 'model' END AS chl_source
 FROM gappy f LEFT JOIN coarse c ON f.year = c.year AND f.month = c.month AND c.ix = f.ix // 2 AND c.iy = f.iy // 2""")
 def fill_gaps(spark, d):
     g = A.grid(spark, d)
     fine = A.gappy(g).select(F.col("cell").alias("fine"), "year", "month", "lon_u", "lat_u", "chl")
     both = M.nearest(fine, ["fine", "year", "month"], A.coarse(g).withColumnRenamed("chl", "model_chl"), ["model_chl"], A.COARSE, left=True)
-    return M.filled(both, "chl", "model_chl").select(F.col("fine").alias("cell"), "year", "month", *r6("chl"), "chl_source")
+    return M.filled(both, "chl", "model_chl").select(F.col("fine").alias("cell"), "year", "month", *r6("chl", digits=9), "chl_source")
 
 
 @query("""SELECT station_id, cell FROM stations s JOIN grid g ON s.year = g.year AND s.month = g.month AND (s.lon_u + 76000000 + 50000) // 100000 = (g.lon_u + 76000000 + 50000) // 100000
@@ -428,12 +428,12 @@ def downscale_nearest(spark, d):
     return G.downscaled_nearest(c, "chl", 2).select("year", "month", "ix", "iy", *r6("chl", digits=9))
 
 
-@query("""SELECT f.cell, f.year, f.month, CASE WHEN count(c.chl) = 4 THEN round(CAST(sum(CAST(CASE WHEN k.i = 1 THEN fx ELSE 1 - fx END * CASE WHEN k.j = 1 THEN fy ELSE 1 - fy END * c.chl AS DECIMAL(28,10))) AS DOUBLE), 8) END AS chl
+@query("""SELECT f.cell, f.year, f.month, CASE WHEN count(c.chl) = 4 THEN round(sum(CASE WHEN k.i = 1 THEN fx ELSE 1 - fx END * CASE WHEN k.j = 1 THEN fy ELSE 1 - fy END * c.chl) + 1e-12, 8) END AS chl
 FROM (SELECT *, (ix - 0.5::DOUBLE) / 2 - floor((ix - 0.5::DOUBLE) / 2) AS fx, (iy - 0.5::DOUBLE) / 2 - floor((iy - 0.5::DOUBLE) / 2) AS fy, floor((ix - 0.5::DOUBLE) / 2) AS x0, floor((iy - 0.5::DOUBLE) / 2) AS y0 FROM grid) f
 CROSS JOIN (SELECT * FROM (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)) k LEFT JOIN coarse c ON c.year = f.year AND c.month = f.month AND c.ix = f.x0 + k.i AND c.iy = f.y0 + k.j GROUP BY f.cell, f.year, f.month""")
 def downscale_bilinear(spark, d):
     g = A.grid(spark, d)
-    return G.downscaled_bilinear(g, G.upscaled(g, "chl", 2), "chl", 2, A.CELL).select("cell", "year", "month", *r6("chl", digits=8))
+    return G.downscaled_bilinear(g, G.upscaled(g, "chl", 2), "chl", 2, A.CELL).select("cell", "year", "month", F.round(F.col("chl") + 1e-12, 8).alias("chl"))  # exact halves go up in both engines
 
 
 # --- evaluation
@@ -594,3 +594,111 @@ def partial_dependence(spark, d):
 
     swept = U.partial_dependence(rows, ["sst", "chl"], lambda: U.logistic(-2.0, _WEIGHTS), 5, carried=["uo"])
     return swept.select("variable", *r6("value", "probability"))
+
+
+# --- models and numerical kernels: rows only, no SQL form
+
+
+def _training(spark, d) -> DataFrame:
+    m = ST.complete(_matched(spark, d).select("station_id", "month", "abundance", *COVARIATES), COVARIATES)
+    return m.withColumn("label", (F.col("sst") + 40 * F.col("chl") + F.pmod(F.xxhash64("station_id"), F.lit(7)) > 31).cast("int")).persist()
+
+
+def _fitted(spark, d, **settings):
+    from .plans import models as MD
+
+    t = _training(spark, d)
+    return MD.fit(t, ["sst", "chl", "uo"], MD.Spec(**settings)), t
+
+
+@query()
+def fit_glm(spark, d):
+    from .plans import models as MD
+
+    return MD.coefficients(_fitted(spark, d, type="glm")[0])
+
+
+@query()
+def fit_rf(spark, d):
+    m, t = _fitted(spark, d, type="rf", trees=20)
+    return E.roc_auc(m.score(t).withColumn("score", F.round("score", 6)))
+
+
+@query()
+def fit_brt(spark, d):
+    m, t = _fitted(spark, d, type="brt", trees=8, depth=4, rate=0.2)
+    return E.roc_auc(m.score(t).withColumn("score", F.round("score", 6)))
+
+
+@query()
+def fit_gam(spark, d):
+    m, t = _fitted(spark, d, type="gam")
+    return E.roc_auc(m.score(t).withColumn("score", F.round("score", 6)))
+
+
+@query()
+def importance(spark, d):
+    from .plans import models as MD
+
+    m, t = _fitted(spark, d, type="rf", trees=10)
+    return MD.importance(m, t, 2)
+
+
+@query()
+def bootstrap_evaluation(spark, d):
+    from .plans import models as MD
+
+    return MD.bootstrap(A.scores(spark, d), 0.5, 200)
+
+
+@query()
+def project_months(spark, d):
+    from .plans import models as MD
+
+    m, t = _fitted(spark, d, type="rf", trees=10)
+    return MD.projected(m, ST.in_window(A.grid(spark, d), (1999, 2001), (3, 10)), None, t)
+
+
+@query()
+def boxcox(spark, d):
+    from .plans import models as MD
+
+    return MD.power_profile(A.stations(spark, d), "abundance", "boxcox")
+
+
+@query()
+def yeojohnson(spark, d):
+    from .plans import models as MD
+
+    return MD.power_profile(A.grid(spark, d), "uo", "yeojohnson")
+
+
+@query()
+def ftle(spark, d):
+    from .operators import lyapunov as L
+
+    return L.ftle(A.grid(spark, d), "uo", "vo", A.CELL)
+
+
+@query()
+def fsle(spark, d):
+    from .operators import lyapunov as L
+
+    return L.fsle(A.grid(spark, d), "uo", "vo", A.CELL)
+
+
+@query()
+def mock_pipeline(spark, d):
+    from .plans import config as C
+    from .plans import pipeline as P
+
+    return P.run(spark, C.resolve(MOCK)).evaluation
+
+
+MOCK = {
+    "species": {"name": "cfin_total"},
+    "dates": {"training": {"years": [2018, 2019], "months": [6, 8]}, "projection": {"years": [2019, 2019], "months": [6, 8]}},
+    "study_area": {"xmin": -70.0, "xmax": -66.0, "ymin": 41.0, "ymax": 44.0},
+    "covariates": {"variables": ["SST", "SSS"]},
+    "model": {"type": "glm", "folds": 3},
+}
