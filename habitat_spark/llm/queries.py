@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_model, quality_classifier, quality_rules, secrets, simhash, token_planes, url_filters
+from . import bpe, decontaminate, language_model, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_planes, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_decontamination, op5_url_filters, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_katz_scores, op10_token_planes)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_decontamination, op4_suffix_dedup, op5_url_filters, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_katz_scores, op10_token_planes)}
 
 _OP3 = r"""
 WITH d AS (
