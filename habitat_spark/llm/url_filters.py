@@ -67,7 +67,7 @@ class Level:
 
     def places(self, key: Column) -> list[Column]:
         one, two = F.xxhash64(key, F.lit(self.seed)), F.xxhash64(F.lit(self.seed), key)
-        return [F.pmod(one + F.lit(i) * F.shiftright(two, 8), F.lit(self.bits)) for i in range(self.hashes)]
+        return [F.pmod(F.shiftright(one, 8) + F.lit(i) * F.shiftright(two, 8), F.lit(self.bits)) for i in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
         words = F.from_json(F.lit(self.words), "array<bigint>")  # a literal, once planned
