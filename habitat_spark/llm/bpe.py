@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import large_strings, stored
 
 #: Distinct words whose ids go to every task: the most frequent ones, up to WORD_BYTES long. Others are folded on sight.
-VOCABULARY = 200_000
+VOCABULARY = 60_000
 WORD_BYTES = 40
 #: Entries of a task's own memory of pieces; it is emptied when full.
 MEMORY = 300_000
@@ -150,19 +150,21 @@ def _frequent_words(documents: DataFrame, pattern: str, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         find = regex.compile(pattern).findall
         words: Counter[str] = Counter()
-        seen: Counter[tuple[bool, str]] = Counter()
+        seen: Counter[str] = Counter()  # pieces after a cut
 
         def spread():
-            for (head, piece), n in seen.items():
-                for w in find(piece if head else " " + piece):
-                    words[w] += n
+            for piece, n in seen.items():
+                if n > 1:  # what is met once can't be frequent
+                    for w in find(" " + piece):
+                        words[w] += n
             seen.clear()
 
         for batch in batches:
             for value in batch.column(0):
                 pieces = pieces_of(value.as_py() or "")
-                seen.update((False, p) for p in pieces[1:])
-                seen[True, pieces[0]] += 1
+                words.update(find(pieces[0]))
+                del pieces[0]
+                seen.update(pieces)
                 if len(seen) > MEMORY:
                     spread()
             spread()
@@ -175,11 +177,11 @@ def _frequent_words(documents: DataFrame, pattern: str, most: int) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
-def vocabulary(documents: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = VOCABULARY) -> dict[str, list[int]]:
-    """Ids of the corpus' most frequent words, most of them, from the higher-order fold."""
+def vocabulary(documents: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = VOCABULARY) -> dict[str, bytes]:
+    """Ids (32-bit little-endian) of the corpus' most frequent words, most of them, from the higher-order fold."""
     words = stored(_frequent_words(documents, pattern, most), "bpe-words").repartition(2 * documents.sparkSession.sparkContext.defaultParallelism)
-    rows = words.select("word", fold_column(F.col("word"), ranks).alias("ids")).collect()  # most rows of WORD_BYTES at most
-    return {bytes(w).decode(): ids for w, ids in rows}
+    folded = words.select("word", fold_column(F.col("word"), ranks).alias("ids"))
+    return {w.as_py().decode(): np.array(ids.as_py(), "<i4").tobytes() for w, ids in zip(*folded.toArrow().columns)}  # most rows of WORD_BYTES at most
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = VOCABULARY) -> DataFrame:
@@ -197,10 +199,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, most: in
         memory: dict[str, bytes] = {}
 
         def ids(piece: str) -> bytes:
-            out: list[int] = []
-            for w in find(piece):
-                out += words.get(w) or fold(w.encode(), table)
-            return np.array(out, "<i4").tobytes()
+            return b"".join([words.get(w) or np.array(fold(w.encode(), table), "<i4").tobytes() for w in find(piece)])
 
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
