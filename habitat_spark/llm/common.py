@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one vectorised step looks at; a longer text is one step of its own.
 SLICE_BYTES = 2 << 20
 
+#: Texts that go to Python in one batch.
+BATCH_ROWS = 2000
+
 #: Bytes that separate words in the white-space convention: space and 0x09 to 0x0D.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -131,7 +134,10 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def large_strings(df: DataFrame) -> None:
     """Let a batch of very long texts pass through Arrow, and let workers of this checkout import the package."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     environment = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", "").split(":"):

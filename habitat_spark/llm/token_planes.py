@@ -12,8 +12,11 @@ columns are ignored. No rows give an empty table.
 
 from __future__ import annotations
 
+import functools
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,9 @@ BLOCK = 16_384
 #: Ids after which a segment ends with the current document.
 SEGMENT = 1 << 18
 END = 2
+#: Pieces in a process's memory, and texts in one call of the library.
 MEMORY = 300_000
+TOGETHER = 8192
 _MAGIC = b"TOKP"
 
 
@@ -67,25 +72,40 @@ class Encoder:
     """Ids of texts by a byte-level tokenizer of the tokenizers library, with a memory of the pieces met."""
 
     def __init__(self, source: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives out the cores
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(source)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text, TOGETHER texts at a time."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), TOGETHER):
+            out += [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts[i : i + TOGETHER], add_special_tokens=False)]
+        return out
 
-    def __call__(self, text: str) -> bytes:
-        if any(t in text for t in self.special):  # pieces know nothing of added tokens
-            return self.batch([text])[0]
-        pieces = pieces_of(text)
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        new = list(set(pieces[1:]).difference(self.memory))
-        head, *found = self.batch([pieces[0], *(" " + p for p in new)])
-        self.memory.update(zip(new, found))
-        return head + b"".join(map(self.memory.__getitem__, pieces[1:]))
+        # pieces know nothing of added tokens
+        cut = [None if any(t in x for t in self.special) else pieces_of(x) for x in texts]
+        new: set[str] = set()
+        for pieces in cut:
+            if pieces:
+                new.update(pieces[1:])
+        new.difference_update(self.memory)
+        names = list(new)
+        self.memory.update(zip(names, self.encoded([" " + p for p in names])))
+        heads = iter(self.encoded([x if pieces is None else pieces[0] for x, pieces in zip(texts, cut)]))
+        return [next(heads) + b"".join(map(self.memory.__getitem__, (pieces or [""])[1:])) for pieces in cut]
+
+
+@functools.lru_cache(1)
+def encoder(source: str) -> Encoder:
+    """One for each process, so tasks that follow in it know the pieces met before."""
+    return Encoder(source)
 
 
 def write(documents: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
@@ -101,7 +121,7 @@ def write(documents: DataFrame, tokenizer: str, path: str, end: int = END) -> No
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = Encoder(shared.value)
+        encode = encoder(shared.value)
         before, shard, held, names, kind = 0, 0, [], [], None
 
         def segment():
@@ -112,15 +132,16 @@ def write(documents: DataFrame, tokenizer: str, path: str, end: int = END) -> No
         size = 0
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text, at in zip(*batch.columns):
-                shard = at.as_py()
-                held.append(encoder(text.as_py() or "") + tail)
-                names.append(doc.as_py())
-                size += len(held[-1]) // 4
-                if size >= SEGMENT:
-                    yield segment()
-                    before += size
-                    held, names, size = [], [], 0
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                shard = part.column(2)[0].as_py()
+                for doc, ids in zip(part.column(0), encode([x or "" for x in part.column(1).to_pylist()])):
+                    held.append(ids + tail)
+                    names.append(doc.as_py())
+                    size += len(held[-1]) // 4
+                    if size >= SEGMENT:
+                        yield segment()
+                        before += size
+                        held, names, size = [], [], 0
         if held:
             yield segment()
 
