@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,12 @@ DATASET_SHARES = {"ECOMON": 0.85, "ECOMON_STAGED": 0.05, "MBON": 0.05, "CPR": 0.
 
 
 def _dataset(u: Column) -> Column:
-    out, total = F.lit("CPR"), 1.0
-    for name, share in reversed(list(DATASET_SHARES.items())[:-1]):
-        total -= DATASET_SHARES["CPR"] if total == 1.0 else 0
-        out = F.when(u < round(sum(v for k, v in DATASET_SHARES.items() if list(DATASET_SHARES).index(k) <= list(DATASET_SHARES).index(name)), 6), name).otherwise(out)
+    """A data set's name by its share of the unit interval."""
+    names = list(DATASET_SHARES)
+    ends = list(accumulate(DATASET_SHARES.values()))
+    out = F.lit(names[-1])
+    for name, end in reversed(list(zip(names[:-1], ends))):
+        out = F.when(u < end, name).otherwise(out)
     return out
 
 
