@@ -34,8 +34,8 @@ BLOCK = 16_384
 #: Ids after which a segment ends with the current document.
 SEGMENT = 1 << 18
 END = 2
-#: Pieces in a process's memory, and texts in one call of the library.
-MEMORY = 300_000
+#: Pieces in each half of a process's memory, and texts in one call of the library.
+MEMORY = 400_000
 TOGETHER = 8192
 _MAGIC = b"TOKP"
 
@@ -78,6 +78,7 @@ class Encoder:
         self.own = Tokenizer.from_str(source)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the half before; what is met again moves up
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, TOGETHER texts at a time."""
@@ -88,7 +89,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memory) > MEMORY:
-            self.memory.clear()
+            self.older, self.memory = self.memory, {}
         # pieces know nothing of added tokens
         cut = [None if any(t in x for t in self.special) else pieces_of(x) for x in texts]
         new: set[str] = set()
@@ -96,7 +97,13 @@ class Encoder:
             if pieces:
                 new.update(pieces[1:])
         new.difference_update(self.memory)
-        names = list(new)
+        names = []
+        for p in new:
+            ids = self.older.get(p)
+            if ids is None:
+                names.append(p)
+            else:
+                self.memory[p] = ids
         self.memory.update(zip(names, self.encoded([" " + p for p in names])))
         heads = iter(self.encoded([x if pieces is None else pieces[0] for x, pieces in zip(texts, cut)]))
         return [next(heads) + b"".join(map(self.memory.__getitem__, (pieces or [""])[1:])) for pieces in cut]
