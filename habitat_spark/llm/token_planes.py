@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -37,6 +38,9 @@ END = 2
 #: Pieces in each half of a process's memory, and texts in one call of the library.
 MEMORY = 400_000
 TOGETHER = 8192
+#: Words of letters alone that are encoded as one line; they don't touch each other's ids.
+LINE = 512
+_LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 _MAGIC = b"TOKP"
 
 
@@ -87,26 +91,59 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts[i : i + TOGETHER], add_special_tokens=False)]
         return out
 
+    def lines(self, names: list[str]) -> list[bytes]:
+        """Packed ids of each name after a space; names are of letters alone, so each is one word of its line."""
+        out: list[bytes] = []
+        for i in range(0, len(names), 16 * LINE):
+            cut = [names[j : j + LINE] for j in range(i, min(i + 16 * LINE, len(names)), LINE)]
+            for some, e in zip(cut, self.own.encode_batch([" " + " ".join(x) for x in cut], add_special_tokens=False)):
+                starts = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1))
+                if starts.size == len(some):
+                    ids = array("I", e.ids).tobytes()
+                    bounds = [*(4 * starts).tolist(), len(ids)]
+                    out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+                else:  # a letter to Python that is none to the library
+                    out += self.encoded([" " + p for p in some])
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        """Put the ids of these pieces, each after a space, into memory."""
+        letters, others, ended = set(), [], []
+        for p in new:
+            ids = self.older.get(p)
+            if ids is not None:
+                self.memory[p] = ids
+            elif p.isalpha():
+                letters.add(p)
+            elif m := _LETTERS_AND_SIGNS.match(p):  # letters and signs never share a token
+                core, signs = m.groups()
+                ended.append((p, core, signs))
+                if core not in self.memory:
+                    if (ids := self.older.get(core)) is not None:
+                        self.memory[core] = ids
+                    else:
+                        letters.add(core)
+            else:
+                others.append(p)
+        names = list(letters)
+        self.memory.update(zip(names, self.lines(names)))
+        self.memory.update(zip(others, self.encoded([" " + p for p in others])))
+        tails = list({signs for _, _, signs in ended})
+        tail = dict(zip(tails, self.encoded(tails)))
+        for p, core, signs in ended:
+            self.memory[p] = self.memory[core] + tail[signs]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memory) > MEMORY:
             self.older, self.memory = self.memory, {}
         # pieces know nothing of added tokens
-        cut = [None if any(t in x for t in self.special) else pieces_of(x) for x in texts]
+        cut = [[x] if any(t in x for t in self.special) else pieces_of(x) for x in texts]
+        heads = iter(self.encoded([pieces.pop(0) for pieces in cut]))
         new: set[str] = set()
         for pieces in cut:
-            if pieces:
-                new.update(pieces[1:])
-        new.difference_update(self.memory)
-        names = []
-        for p in new:
-            ids = self.older.get(p)
-            if ids is None:
-                names.append(p)
-            else:
-                self.memory[p] = ids
-        self.memory.update(zip(names, self.encoded([" " + p for p in names])))
-        heads = iter(self.encoded([x if pieces is None else pieces[0] for x, pieces in zip(texts, cut)]))
-        return [next(heads) + b"".join(map(self.memory.__getitem__, (pieces or [""])[1:])) for pieces in cut]
+            new.update(pieces)
+        self.learn(new.difference(self.memory))
+        return [next(heads) + b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
 
 
 @functools.lru_cache(1)
