@@ -36,11 +36,12 @@ BLOCK = 16_384
 SEGMENT = 1 << 18
 END = 2
 #: Pieces in each half of a process's memory, and texts in one call of the library.
-MEMORY = 400_000
+MEMORY = 600_000
 TOGETHER = 8192
 #: Words of letters alone that are encoded as one line; they don't touch each other's ids.
 LINE = 512
-_LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
+_LETTERS, _SIGNS = r"[^\W\d_]+", r"[!-&(-/:-@\[-`{-~]+"
+_LETTERS_AND_SIGNS = re.compile(rf"({_LETTERS})({_SIGNS})(?:(\n{_LETTERS})({_SIGNS})?)?\Z")
 _MAGIC = b"TOKP"
 
 
@@ -115,9 +116,9 @@ class Encoder:
                 self.memory[p] = ids
             elif p.isalpha():
                 letters.add(p)
-            elif m := _LETTERS_AND_SIGNS.match(p):  # letters and signs never share a token
-                core, signs = m.groups()
-                ended.append((p, core, signs))
+            elif m := _LETTERS_AND_SIGNS.match(p):  # letters, signs and line ends never share a token
+                core, *rest = m.groups("")
+                ended.append((p, core, rest))
                 if core not in self.memory:
                     if (ids := self.older.get(core)) is not None:
                         self.memory[core] = ids
@@ -128,10 +129,10 @@ class Encoder:
         names = list(letters)
         self.memory.update(zip(names, self.lines(names)))
         self.memory.update(zip(others, self.encoded([" " + p for p in others])))
-        tails = list({signs for _, _, signs in ended})
+        tails = list({x for _, _, rest in ended for x in rest})
         tail = dict(zip(tails, self.encoded(tails)))
-        for p, core, signs in ended:
-            self.memory[p] = self.memory[core] + tail[signs]
+        for p, core, (signs, line, more) in ended:
+            self.memory[p] = self.memory[core] + tail[signs] + tail[line] + tail[more]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memory) > MEMORY:
