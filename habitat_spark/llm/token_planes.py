@@ -193,32 +193,41 @@ def write(documents: DataFrame, tokenizer: str, path: str, end: int = END) -> No
     source.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), ids (binary, unsigned 32-bit little-endian)."""
+def _read(spark, path: str, name: str, kind: T.DataType, made) -> DataFrame:
+    """Per document: doc_id, start, n_tokens, and a column of what made gives for the segment's id bytes and each document's bounds in them."""
     table = spark.read.parquet(path)
     shards = table.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row for each part written
     offsets = shards.select(F.col("shard").alias("of"), (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("offset"))
     rows = table.join(F.broadcast(offsets), table["shard"] == offsets["of"]).select((F.col("offset") + F.col("before")).alias("start"), "doc_ids", "sizes", "segment")
-    schema = T.StructType([T.StructField("doc_id", table.schema["doc_ids"].dataType.elementType), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", table.schema["doc_ids"].dataType.elementType), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for start, names, sizes, segment in zip(*batch.columns):
-                ids = unpack(segment.as_py()).tobytes()
+                ids = memoryview(unpack(segment.as_py()).tobytes())
                 bounds = np.cumsum([0, *sizes.as_py()])
-                cut = [ids[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([names.values, pa.array(bounds[:-1] + start.as_py(), pa.int64()), pa.array(cut, pa.large_binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([names.values, pa.array(bounds[:-1] + start.as_py(), pa.int64()), sizes.values, made(ids, (4 * bounds).tolist())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def read(spark, path: str) -> DataFrame:
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (binary, unsigned 32-bit little-endian)."""
+    return _read(spark, path, "ids", T.BinaryType(), lambda ids, at: pa.array([bytes(ids[a:b]) for a, b in zip(at, at[1:])], pa.large_binary()))
+
+
+def checksums(spark, path: str) -> DataFrame:
+    """The same with ids_crc32 (unsigned crc32 of the ids' bytes) in place of the ids, which stay in their tasks."""
+    return _read(spark, path, "ids_crc32", T.LongType(), lambda ids, at: pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:])], pa.int64()))
+
+
 def packed(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write and read back; per document: doc_id, start, n_tokens, ids_crc32."""
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = file.read()
     path = scratch_path(documents.sparkSession, "token-planes")
     write(documents, tokenizer, path)
-    return read(documents.sparkSession, path).select("doc_id", "start", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return checksums(documents.sparkSession, path)
 
 
 def crc(ids: np.ndarray) -> int:
