@@ -47,7 +47,7 @@ _MAGIC = b"TOKP"
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Bytes of one segment of unsigned 32-bit ids."""
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=1)
     sizes, planes = [], []
     for first in range(0, ids.size, block):
         rows = np.ascontiguousarray(ids[first : first + block].astype("<u4").view(np.uint8).reshape(-1, 4).T)
