@@ -18,6 +18,7 @@ import base64
 import heapq
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -98,14 +99,14 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def fold_column(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids (array of int) of a binary column of words, by higher-order functions."""
-    spark_hash = _bucket_numbers([k.decode("latin-1") for k in ranks])
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for (key, rank), bucket in zip(ranks.items(), spark_hash):
-        buckets[bucket][key.decode("latin-1")] = rank
+    for key, rank in ranks.items():
+        text = key.decode("latin-1")
+        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
     literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")  # folded to a literal when planned
 
     def rank(text):
-        return F.coalesce(F.element_at(F.get(literal, F.pmod(F.hash(text), F.lit(BUCKETS))), text), F.lit(_NONE))
+        return F.coalesce(F.element_at(F.get(literal, (F.crc32(text.cast("binary")) % BUCKETS).cast("int")), text), F.lit(_NONE))
 
     def let(value, body):
         return F.element_at(F.transform(F.array(value), body), 1)
@@ -134,14 +135,6 @@ def fold_column(word: Column, ranks: dict[bytes, int]) -> Column:
     return F.when(F.octet_length(word) == 0, empty).otherwise(folded)
 
 
-def _bucket_numbers(keys: list[str]) -> list[int]:
-    """Spark's own hash of each key, so that literal and lookup agree."""
-    from pyspark.sql import SparkSession
-
-    rows = SparkSession.active().createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
-    return [r[0] for r in rows.select("i", F.pmod(F.hash("k"), F.lit(BUCKETS)).alias("b")).orderBy("i").select("b").collect()]
-
-
 def _frequent_words(documents: DataFrame, pattern: str, most: int) -> DataFrame:
     """(word as binary, n) of the most frequent words over all documents.
 
