@@ -5,14 +5,13 @@ transition array. A single pass over a text's bytes tells where some rule's matc
 automaton gives the leftmost start, its own automaton the longest end. Matches of a rule don't overlap, and one
 that is too short for its rule is dropped after it has used up its text, as a leftmost scan would do.
 
-Nulls are empty texts; repeated rows are scanned one by one; other columns are ignored.
+Nulls are empty texts; repeated rows are scanned one by one; other columns are ignored. A text of any length is
+scanned whole, in time linear in its length: no byte is walked more than a few times for each rule.
 """
 
 from __future__ import annotations
 
 import functools
-import re._constants as op
-import re._parser as regex_parser
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,13 +43,16 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 32),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 24),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(([\r\n]+[A-Za-z0-9+/=]+)+[\r\n]+-----END [A-Z ]*PRIVATE KEY-----|([\r\n]+[A-Za-z0-9+/=]{20,})*)", 27),
 )
 BASE = 3
 
 
 class Nfa:
-    """Byte automaton with empty moves, grown from a parsed regex."""
+    """Byte automaton with empty moves, grown from regexes over ASCII.
+
+    A regex has literals, classes, groups (also ``(?:`` and ``(?i:``), ``|`` and the repeats ``? * + {n} {n,} {n,m}``.
+    """
 
     def __init__(self):
         self.empty: list[set[int]] = []
@@ -61,39 +63,34 @@ class Nfa:
         self.moves.append([])
         return len(self.empty) - 1
 
-    def add(self, items, start: int, reverse: bool, fold: bool = False) -> int:
-        """Append the items after start; gives the last state."""
-        for kind, value in reversed(list(items)) if reverse else items:
-            if kind in (op.LITERAL, op.IN, op.ANY):
-                end = self.state()
-                self.moves[start].append((_bytes_of(kind, value, fold), end))
-            elif kind is op.SUBPATTERN:
-                end = self.add(value[3], start, reverse, (fold or bool(value[1] & regex_parser.SRE_FLAG_IGNORECASE)))
-            elif kind is op.BRANCH:
-                end = self.state()
-                for branch in value[1]:
-                    self.empty[self.add(branch, start, reverse, fold)].add(end)
-            elif kind is op.MAX_REPEAT:
-                low, high, inner = value
-                end = start
-                for _ in range(low):
-                    end = self.add(inner, end, reverse, fold)
-                if high is op.MAXREPEAT:
-                    loop = self.state()
-                    self.empty[end].add(loop)
-                    self.empty[self.add(inner, loop, reverse, fold)].add(loop)
-                    end = loop
-                else:
-                    last = self.state()
-                    self.empty[end].add(last)
-                    for _ in range(high - low):
-                        end = self.add(inner, end, reverse, fold)
-                        self.empty[end].add(last)
-                    end = last
-            else:
-                raise ValueError(f"rules can't use {kind}")
-            start = end
-        return start
+    def add(self, node, start: int, reverse: bool) -> int:
+        """Append what a parsed regex matches after start; gives the last state."""
+        kind = node[0]
+        if kind == "bytes":
+            end = self.state()
+            self.moves[start].append((node[1], end))
+            return end
+        if kind == "row":
+            for part in reversed(node[1]) if reverse else node[1]:
+                start = self.add(part, start, reverse)
+            return start
+        if kind == "either":
+            end = self.state()
+            for part in node[1]:
+                self.empty[self.add(part, start, reverse)].add(end)
+            return end
+        _, inner, low, high = node
+        for _ in range(low):
+            start = self.add(inner, start, reverse)
+        end = self.state()
+        self.empty[start].add(end)
+        if high is None:
+            self.empty[self.add(inner, end, reverse)].add(end)
+        else:
+            for _ in range(high - low):
+                start = self.add(inner, start, reverse)
+                self.empty[start].add(end)
+        return end
 
     def closure(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -104,25 +101,82 @@ class Nfa:
         return frozenset(seen)
 
 
-def _bytes_of(kind, value, fold: bool) -> frozenset[int]:
-    if kind is op.ANY:
-        return frozenset(range(256)) - {10}
-    found: set[int] = set()
-    negate = False
-    for k, v in [(kind, value)] if kind is op.LITERAL else value:
-        if k is op.NEGATE:
-            negate = True
-        elif k is op.LITERAL:
-            found.add(v)
-        elif k is op.RANGE:
-            found.update(range(v[0], v[1] + 1))
+class _Regex:
+    """Parts of a regex, read from left to right: bytes, row, either and repeat nodes."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        self.node = self.either(False)
+        if self.at < len(text):
+            raise ValueError(f"rules can't use {text[self.at :]!r}")
+
+    def next(self, some: str = "") -> str:
+        """The next character, used up if it is one of some (or in any case)."""
+        c = self.text[self.at : self.at + 1]
+        if not c or some and c not in some:
+            return ""
+        self.at += 1
+        return c
+
+    def either(self, fold: bool):
+        parts = [self.row(fold)]
+        while self.next("|"):
+            parts.append(self.row(fold))
+        return parts[0] if len(parts) == 1 else ("either", parts)
+
+    def row(self, fold: bool):
+        parts = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            part = self.one(fold)
+            if sign := self.next("?*+{"):
+                low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(sign, (0, None))
+                if sign == "{":
+                    first, comma, last = self.text[self.at : self.text.index("}", self.at)].partition(",")
+                    self.at = self.text.index("}", self.at) + 1
+                    low, high = int(first), int(last) if last else None if comma else int(first)
+                part = ("repeat", part, low, high)
+            parts.append(part)
+        return ("row", parts)
+
+    def one(self, fold: bool):
+        c = self.next()
+        if c == "(":
+            if self.text.startswith(("?:", "?i:"), self.at):
+                fold |= self.text[self.at + 1] == "i"
+                self.at = self.text.index(":", self.at) + 1
+            inner = self.either(fold)
+            if not self.next(")"):
+                raise ValueError(f"a group of {self.text!r} isn't closed")
+            return inner
+        if c == "[":
+            negate, found = bool(self.next("^")), set()
+            while not self.next("]"):
+                low = self.letter(self.next())
+                high = low
+                if self.text.startswith("-", self.at) and not self.text.startswith("-]", self.at):
+                    self.at += 1
+                    high = self.letter(self.next())
+                found.update(range(low, high + 1))
         else:
-            raise ValueError(f"rules can't use {k}")
-    if fold:
-        found |= {b ^ 32 for b in found if chr(b).isalpha()}
-    if max(found) > 127:
-        raise ValueError("rules are ASCII")
-    return frozenset(range(256)) - found if negate else frozenset(found)
+            if c in ".^$?*+{":
+                raise ValueError(f"rules can't use {c}")
+            negate, found = False, {self.letter(c)}
+        if fold:
+            found |= {b ^ 32 for b in found if chr(b).isalpha()}
+        return ("bytes", frozenset(range(256)) - found if negate else frozenset(found))
+
+    def letter(self, c: str) -> int:
+        if c == "\\":
+            c = self.next()
+            if c == "x":
+                self.at += 2
+                return int(self.text[self.at - 2 : self.at], 16)
+            if c.isalnum() and c not in "trnfv":
+                raise ValueError(f"rules can't use \\{c}")
+            c = {"t": "\t", "r": "\r", "n": "\n", "f": "\f", "v": "\v"}.get(c, c)
+        if not c or ord(c) > 127:
+            raise ValueError("rules are ASCII")
+        return ord(c)
 
 
 @dataclass
@@ -141,7 +195,7 @@ def determinised(regexes: list[str], search: bool, reverse: bool = False) -> Dfa
     for i, text in enumerate(regexes):
         first = nfa.state()
         nfa.empty[start].add(first)
-        last = nfa.add(regex_parser.parse(text), first, reverse)
+        last = nfa.add(_Regex(text).node, first, reverse)
         finals[last] = finals.get(last, 0) | 1 << i
     if search:
         nfa.moves[start].append((frozenset(range(256)), start))
@@ -198,19 +252,18 @@ class Scanner:
         self.table = _flat(place[together.next[quiet]])
         self.loud = int((together.accepts == 0).sum()) * 256
         self.hits = [[i for i in range(len(rules)) if a >> i & 1] for a in together.accepts[quiet].tolist()]
-        self.back = [self._single(r, True) for r in rules]
-        self.forth = [self._single(r, False) for r in rules]
+        whole = [r.prefix + r.regex for r in rules]
+        self.back = [self._one(x, reverse=True) for x in whole]
+        self.forth = [self._one(x) for x in whole]
+        self.alone = [self._one(x, search=True) for x in whole]
         self.lead = [self._one(r.prefix) if r.prefix else None for r in rules]
 
     @staticmethod
-    def _one(regex: str, reverse: bool = False):
-        d = determinised([regex], search=False, reverse=reverse)
+    def _one(regex: str, reverse: bool = False, search: bool = False):
+        d = determinised([regex], search=search, reverse=reverse)
         dead = [i for i in range(len(d.accepts)) if not d.accepts[i] and (d.next[i] == i).all()]
         return _flat(d.next), {i * 256 for i in np.flatnonzero(d.accepts).tolist()}, dead[0] * 256 if dead else -1
 
-    def _single(self, rule: Rule, reverse: bool):
-        return self._one(rule.prefix + rule.regex, reverse)
-
     @staticmethod
     def _furthest(machine, data, at: int, stop: int, step: int) -> int:
         """The furthest place at which the machine accepts on its way from at to stop; -1 if none."""
@@ -225,8 +278,22 @@ class Scanner:
                 best = at
         return best
 
+    def _next_end(self, r: int, data: bytes, at: int) -> int:
+        """The first place at which a match of rule r that begins at or after `at` ends; 0 if there is none."""
+        table, good, _ = self.alone[r]
+        state = 0
+        for i in range(at, len(data)):
+            state = table[state + data[i]]
+            if state in good:
+                return i + 1
+        return 0
+
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(rule number, start, end) in bytes, by start and rule."""
+        """(rule number, start, end) in bytes, by start and rule.
+
+        Each walk back stops at the rule's last match, and so does each walk of a rule's own search; the walks of one
+        rule never overlap by more than one match.
+        """
         found = []
         done = [0] * len(self.rules)
         table, loud, state = self.table, self.loud, 0
@@ -236,9 +303,14 @@ class Scanner:
                 for r in self.hits[state >> 8]:
                     if i < done[r]:
                         continue
-                    start = self._furthest(self.back[r], data, i + 1, done[r], -1)
-                    if start < 0:
-                        continue  # it would begin inside the match before
+                    last = i + 1
+                    start = self._furthest(self.back[r], data, last, done[r], -1)
+                    if start < 0:  # it would begin inside the match before: search anew from that one's end
+                        last = self._next_end(r, data, done[r])
+                        if not last:
+                            done[r] = len(data)
+                            continue
+                        start = self._furthest(self.back[r], data, last, done[r], -1)
                     end = self._furthest(self.forth[r], data, start, len(data), 1)
                     done[r] = end
                     body = self._furthest(self.lead[r], data, start, end, 1) if self.lead[r] else start

@@ -255,9 +255,39 @@ def test_secrets_in_random_text():
         assert sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))) == brute_secrets(0, text)[-1], text
 
 
+def test_secrets_in_long_lines():
+    """A text of a megabyte takes time in proportion to its length, whatever its matches look like."""
+    import time
+
+    n = 1 << 20
+    for head, body in (("secret=token: ", "a"), ("secret=token: ", "token=a:"), ("", "deadbeef"), ("AKIA", "A"), ("", "secret="), ("-----BEGIN PRIVATE KEY-----", "\nAb="), ("x=", "token='b' ")):
+        text = head + body * (n // len(body))
+        began = time.perf_counter()
+        spans = secrets.scanner().spans(text.encode())
+        assert time.perf_counter() - began < 30, head + body
+        assert sha(",".join(f"{secrets.RULES[r].kind}:{a}:{b}" for r, a, b in spans if r < 3)) == brute_secrets(0, text)[-1]
+
+
+def test_rules_mean_what_re_means():
+    import re
+
+    rng = np.random.default_rng(8)
+    for pattern in (r"a{2,3}b?[^x-z\-]+", r"(?i:ab|c(d|e)*)f", r"[a\x62]{2}|c+", r"(a|ab)(c|bcd)?", r"a{2,}[b-]"):
+        machine = secrets.Scanner._one(pattern)
+        for _ in range(300):
+            text = "".join(rng.choice(list("abcdefxzABF-"), rng.integers(0, 9)))
+            ends = [n for n in range(len(text) + 1) if re.fullmatch(pattern, text[:n])]
+            assert secrets.Scanner._furthest(machine, text.encode(), 0, len(text), 1) == (ends[-1] if ends else -1), (pattern, text)
+    for bad in ("a.", "(a", "^a", "\\d", "é"):
+        with pytest.raises(ValueError):
+            secrets.Scanner._one(bad)
+
+
 def test_added_kinds():
     kinds = lambda t: [secrets.RULES[r].kind for r, _, _ in secrets.scanner().spans(t.encode())]
     assert kinds("ghp_" + "a1B2" * 9) == ["github"] and kinds("-----BEGIN RSA PRIVATE KEY-----") == ["pem"] and kinds("xoxb-1234567890-abcdefghijkl") == ["slack"] and kinds("ghp_short") == []
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEpAIBAAKCAQEA\nq83v\n-----END RSA PRIVATE KEY-----"
+    assert secrets.scanner().spans(f"a {key} b".encode()) == [(5, 2, 2 + len(key))]
 
 
 def test_classifier(spark, docs, empty):
