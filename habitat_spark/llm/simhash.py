@@ -3,23 +3,33 @@
 Fingerprint: majority bits of the XXH64 hashes (seed 42) of a text's word shingles, after A-Z are lower-cased;
 words are separated by white space (0x20, 0x09-0x0D); a text of fewer words than a shingle is one shingle, and
 one without words (nulls too) has fingerprint zero, linked like any other. Fingerprints link at 3 or fewer
-differing bits.
-
-Only distinct fingerprints are compared. Two at distance 3 agree on one of four 16-bit blocks, and on the other
-48 bits on one of four 12-bit parts, so equal (block, part) values bring linked ones together in one small group.
-In a group, fingerprints stand in Gray order under upper nodes that hold the bits common to their members;
-a search adds up differences from node to node and drops a whole subtree beyond 3. A group gives one edge per
-member (to the root of its subset), never all pairs. Components come from alternating large-star and small-star
-rounds. Repeated doc_ids are rows of their own; ties have no influence, the smallest doc_id names a component.
+differing bits. A text of any length is hashed whole, some shingles at a time.
+
+Only distinct fingerprints are compared:
+
+1. They are sorted by Gray rank into range partitions, the groups, of about MEMBERS each. What the members of a group
+   have in common (a mask of bits and their values) is its pattern.
+2. The patterns are the leaves of the upper index. Each group asks it, for all its members at once, which other groups
+   they may link into: upper nodes hold the bits common to the nodes below, differences add up on the way down, and
+   whole subtrees go when more than 3 have added up. A pair of groups is asked for in one direction only.
+3. Where members of one group meet another group (or their own), an index of the same kind over that group's
+   fingerprints finds the links. What links inside one such meeting is joined up there, so that it gives an edge for
+   each member at most, never all pairs.
+4. Components come from alternating large-star and small-star rounds over these edges.
+
+The upper index has GROUPS patterns at most and goes to every task; everything else stays in Spark's tables, and no
+task holds more than two groups. Repeated doc_ids are rows of their own; ties have no influence, the smallest doc_id
+names a component; a component whose rows have no doc_id has none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +37,13 @@ from .common import large_strings, stored
 
 SHINGLE = 3
 DISTANCE = 3
-#: A group of more fingerprints than this is dealt out again by finer parts (12 bits of the other 36).
-GROUP = 2048
-#: Members under one lowest node of the index.
-LEAF = 16
+#: Fingerprints of a group, as far as that gives at most GROUPS groups; larger groups beyond that.
+MEMBERS = 1 << 15
+GROUPS = 20_000
+#: Children of a node of the index.
+FAN = 4
+#: (query, node) pairs that a search holds on one level; more are searched in parts.
+FRONTIER = 1 << 17
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -38,14 +51,12 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     words = (text or b"").lower().split()
     if not words:
         return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    total = len(grams)
+    shingle = min(shingle, len(words))
+    total = len(words) - shingle + 1
     ones = np.zeros(64, np.int64)
-    for i in range(0, total, 1 << 16):
-        part = grams[i : i + (1 << 16)]
+    for first in range(0, total, 1 << 16):
+        last = min(total, first + (1 << 16))
+        part = list(map(b" ".join, zip(*(words[first + i : last + i] for i in range(shingle)))))
         hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in part), np.uint64, len(part))
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * ones > total).astype(np.uint8)
@@ -66,7 +77,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _gray_rank(fps: np.ndarray) -> np.ndarray:
+def gray_rank(fps: np.ndarray) -> np.ndarray:
     """Place of each value in the reflected Gray sequence."""
     rank = fps.copy()
     for shift in (1, 2, 4, 8, 16, 32):
@@ -74,103 +85,160 @@ def _gray_rank(fps: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _rank(fp: Column) -> Column:
+    """The same for a signed column, in the order of signed numbers."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(2**63)))
+
+
 class GrayIndex:
-    """Fingerprints in Gray order, with levels of nodes over runs of LEAF children.
+    """Masked bit patterns in Gray order, with levels of nodes over runs of FAN children.
 
-    A node has a mask of the bits on which all its members agree and their values; each level's mask leaves out
-    what its parent has, so differences add up along a path.
+    A fingerprint is a pattern whose mask has all bits. A node has a mask of the bits on which all below it agree, and
+    their values; each level's own mask leaves out what its parent has, so differences add up along a path.
     """
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(_gray_rank(fps), kind="stable")]
-        common = np.full(self.fps.size, ~np.uint64(0))
-        levels = [(common, self.fps)]
+    def __init__(self, values: np.ndarray, masks: np.ndarray | None = None):
+        self.size = values.size
+        levels = [(np.full(values.size, ~np.uint64(0)) if masks is None else masks, values)]
         while levels[-1][0].size > 1:
             mask, value = levels[-1]
-            heads = np.arange(0, mask.size, LEAF)
-            every = np.bitwise_and.reduceat(value, heads)
-            some = np.bitwise_or.reduceat(value, heads)
+            heads = np.arange(0, mask.size, FAN)
+            every, some = np.bitwise_and.reduceat(value, heads), np.bitwise_or.reduceat(value, heads)
             shared = np.bitwise_and.reduceat(mask, heads) & ~(every ^ some)
             levels.append((shared, every & shared))
-        self.levels = levels[::-1]
-        self.own = [self.levels[0][0]]
-        for (upper, _), (lower, _) in zip(self.levels, self.levels[1:]):
-            self.own.append(lower & ~np.repeat(upper, LEAF)[: lower.size])
-
-    def search(self, query: np.uint64, distance: int = DISTANCE) -> np.ndarray:
-        """Places (in Gray order) of the members within the distance."""
-        nodes = np.zeros(1, np.int64)
-        spent = np.bitwise_count((query ^ self.levels[0][1][:1]) & self.own[0][:1]).astype(np.int64)
-        nodes, spent = nodes[spent <= distance], spent[spent <= distance]
-        for (_, value), own in zip(self.levels[1:], self.own[1:]):
-            if not nodes.size:
+        self.values = [value for _, value in levels[::-1]]
+        masks_down = [mask for mask, _ in levels[::-1]]
+        self.own = [masks_down[0], *(lower & ~np.repeat(upper, FAN)[: lower.size] for upper, lower in zip(masks_down, masks_down[1:]))]
+
+    def search(self, queries: np.ndarray, distance: int = DISTANCE, after: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query numbers, places of leaves within the distance), in parts. after: only leaves beyond this place of each query."""
+        if not self.size:
+            return
+        for first in range(0, queries.size, FRONTIER):
+            q = np.arange(first, min(queries.size, first + FRONTIER))
+            spent = np.bitwise_count((queries[q] ^ self.values[0][0]) & self.own[0][0])
+            near = spent <= distance
+            yield from self._below(queries, q[near], np.zeros(int(near.sum()), np.int64), spent[near], 0, distance, after)
+
+    def _below(self, queries, q, node, spent, level, distance, after):
+        while level < len(self.values) - 1 and q.size:
+            if q.size > FRONTIER:
+                for part in range(0, q.size, FRONTIER):
+                    cut = slice(part, part + FRONTIER)
+                    yield from self._below(queries, q[cut], node[cut], spent[cut], level, distance, after)
+                return
+            level += 1
+            value, own = self.values[level], self.own[level]
+            child = node[:, None] * FAN + np.arange(FAN)
+            there = np.minimum(child, value.size - 1)
+            spent = spent[:, None] + np.bitwise_count((queries[q][:, None] ^ value[there]) & own[there])
+            near = (spent <= distance) & (child < value.size)
+            if after is not None:
+                below = FAN ** (len(self.values) - 1 - level)
+                near &= (child + 1) * below - 1 > after[q][:, None]
+            row, column = np.nonzero(near)
+            q, node, spent = q[row], child[row, column], spent[row, column]
+        if q.size:
+            yield q, node
+
+
+def joined(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """top (the root of each node) after the links (a, b): the least node of each linked set is its root."""
+    while True:
+        x, y = top[a], top[b]
+        apart = x != y
+        if not apart.any():
+            return top
+        a, b = a[apart], b[apart]
+        np.minimum.at(top, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            higher = top[top]
+            if (higher == top).all():
                 break
-            child = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-            spent = np.repeat(spent, LEAF)
-            inside = child < value.size
-            child, spent = child[inside], spent[inside]
-            spent = spent + np.bitwise_count((query ^ value[child]) & own[child])
-            nodes, spent = child[spent <= distance], spent[spent <= distance]
-        return nodes
-
-
-def _subsets(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root of its linked subset) for the members that link to any other."""
-    if fps.size <= LEAF:
-        order = fps
-        near = [np.flatnonzero(np.bitwise_count(order ^ x) <= DISTANCE) for x in order]
-    else:
-        index = GrayIndex(fps)
-        order = index.fps
-        near = (index.search(x) for x in order)
-    top = np.arange(order.size)
-    for hits in near:
-        labels = top[hits]
-        least = labels.min()
-        if labels.max() != least:
-            top[np.isin(top, labels)] = least
-    moved = np.flatnonzero(top != np.arange(order.size))
-    return order[moved], order[top[moved]]
-
-
-def _keys(level: int) -> F.Column:
-    """Array of (group key) structs under which a fingerprint is compared: block, part and, at level 2, subpart."""
-    cases = []
-    for block in range(4):
-        rest = [b for b in range(64) if b // 16 != block]
-        for part in range(4):
-            pick = rest[part * 12 : part * 12 + 12]
-            names = [([*range(block * 16, block * 16 + 16), *pick], block * 4 + part)]
-            if level == 2:
-                left = [b for b in rest if b not in pick]
-                names = [([*range(block * 16, block * 16 + 16), *pick, *left[s * 9 : s * 9 + 9]], (block * 4 + part) * 4 + s) for s in range(4)]
-            for bits, number in names:
-                mask = sum(1 << b for b in bits)
-                mask -= (mask >> 63) << 64
-                cases.append(F.struct(F.lit(number).alias("kind"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-    return F.array(*cases)
-
-
-def _edges(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints (column fp) that connect all that link within groups."""
-    schema = "a long, b long"
-
-    def link(table: pa.Table) -> pa.Table:
-        fps = np.unique(table.column("fp").to_numpy()).view(np.uint64)
-        a, b = _subsets(fps)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    def grouped(level: int, df: DataFrame) -> DataFrame:
-        return df.select("fp", F.explode(_keys(level)).alias("key")).select("fp", "key.kind", "key.bits")
-
-    first = grouped(1, prints)
-    sizes = first.groupBy("kind", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = stored(sizes, "simhash-groups")
-    small = first.join(sizes.filter(F.col("n") <= GROUP).drop("n"), ["kind", "bits"])
-    # the members of larger groups meet again under finer keys; at 3 differences one of the 4 parts of 9 bits agrees too
-    large = first.join(sizes.filter(F.col("n") > GROUP).drop("n"), ["kind", "bits"]).select("fp").distinct()
-    second = grouped(2, large).withColumn("kind", F.col("kind") + 100)
-    return small.unionByName(second).groupBy("kind", "bits").applyInArrow(link, schema).distinct()
+            top = higher
+
+
+def links(members: np.ndarray, queries: np.ndarray | None, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, root of its linked set) among members and queries; without queries among the members alone.
+
+    members: in Gray order. Links are between queries and members.
+    """
+    index = GrayIndex(members)
+    nodes = members if queries is None else np.concatenate([members, queries])
+    asked = nodes[members.size :] if queries is not None else members
+    shift = members.size if queries is not None else 0
+    top = np.arange(nodes.size)
+    for q, leaf in index.search(asked, distance, np.arange(members.size) if queries is None else None):
+        top = joined(top, q + shift, leaf)
+    moved = np.flatnonzero(top != np.arange(nodes.size))
+    return nodes[moved], nodes[top[moved]]
+
+
+def _packed(prints: DataFrame, members: int) -> DataFrame:
+    """(group, size, every, some, members): distinct fingerprints in Gray order, a row for each range partition."""
+    n = prints.count()
+    groups = max(1, min(GROUPS, -(-n // members)))
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        parts = [b.column(0).to_numpy() for b in batches if b.num_rows]
+        if parts:
+            fps = np.concatenate(parts).view(np.uint64)
+            fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+            ends = [int(x.view(np.int64)) for x in (np.bitwise_and.reduce(fps), np.bitwise_or.reduce(fps))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([fps.size], pa.int64()), pa.array(ends[:1], pa.int64()), pa.array(ends[1:], pa.int64()), pa.array([fps.tobytes()], pa.large_binary())],
+                names=["group", "size", "every", "some", "members"])
+
+    ranged = prints.select("fp", _rank(F.col("fp")).alias("rank")).repartitionByRange(groups, "rank").select("fp")
+    return ranged.mapInArrow(pack, "group int, size long, every long, some long, members binary")
+
+
+def edges_of(prints: DataFrame, distance: int = DISTANCE, members: int = MEMBERS) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints (column fp) that connect all that link."""
+    large_strings(prints)
+    spark = prints.sparkSession
+    groups = stored(_packed(prints, members), "simhash-groups")
+    patterns = groups.select("group", "every", "some").toArrow()  # GROUPS rows at most
+    numbers, every, some = (patterns.column(c).to_numpy() for c in ("group", "every", "some"))
+    order = np.argsort(gray_rank(every.view(np.uint64)), kind="stable")
+    numbers, every, some = numbers[order], every.view(np.uint64)[order], some.view(np.uint64)[order]
+    shared = spark.sparkContext.broadcast((numbers, every, ~(every ^ some)))
+
+    def route(batches: Iterator[pa.RecordBatch]):
+        """Each group's members to the groups that may hold a link of theirs, and the group to itself."""
+        number, value, mask = shared.value
+        upper = GrayIndex(value & mask, mask)
+        for batch in batches:
+            for group, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                fps = np.frombuffer(packed.as_py(), np.uint64)
+                targets: dict[int, list[np.ndarray]] = {}
+                for q, leaf in upper.search(fps, distance):
+                    to = number[leaf]
+                    # a pair of groups meets once, in the one or the other by turns
+                    ours = (to != group) & ((to > group) == ((to + group) % 2 == 0))
+                    q, to = q[ours], to[ours]
+                    by = np.argsort(to, kind="stable")
+                    cut = np.flatnonzero(np.diff(to[by], prepend=-1))
+                    for t, part in zip(to[by][cut].tolist(), np.split(by, cut[1:])):
+                        targets.setdefault(t, []).append(q[part])
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([None], pa.large_binary())], names=["group", "queries"])
+                for t, found in targets.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([fps[np.concatenate(found)].tobytes()], pa.large_binary())], names=["group", "queries"])
+
+    def link(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for queries, packed in zip(batch.column(0), batch.column(1)):
+                a, b = links(np.frombuffer(packed.as_py(), np.uint64), None if queries.as_py() is None else np.frombuffer(queries.as_py(), np.uint64), distance)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    meetings = stored(groups.select("group", "members").mapInArrow(route, "group int, queries binary"), "simhash-meetings")
+    n = max(1, min(meetings.count(), GROUPS))
+    met = meetings.join(groups.select("group", "members"), "group").select("queries", "members").repartition(n)
+    return met.mapInArrow(link, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,8 +265,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = stored(fingerprints(documents, shingle), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(_edges(nodes.select("fp")))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    roots = components(edges_of(nodes.select("fp")))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "simhash-named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

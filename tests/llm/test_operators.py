@@ -207,26 +207,53 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_links_of_fingerprints(spark, monkeypatch):
-    rng = np.random.default_rng(4)
+def near_prints(seed=4):
+    """Chains of fingerprints about the distance, and a crowd inside one small ball."""
+    rng = np.random.default_rng(seed)
     prints = [int(x) for x in rng.integers(0, 1 << 63, 40)]
     for p in prints[:20]:
         for _ in range(8):
             for b in rng.choice(64, rng.integers(1, 5), replace=False).tolist():
                 p ^= 1 << b
             prints.append(p)
-    monkeypatch.setattr(simhash, "GROUP", 3)  # some groups are dealt out by finer keys
+    prints += [prints[30] ^ 1 << a | 1 << b for a in range(0, 64, 5) for b in range(8)]
+    return list(dict.fromkeys(prints))
+
+
+@pytest.mark.parametrize("members", [7, 64, 1 << 15])
+def test_links_of_fingerprints(spark, members):
+    prints = near_prints()
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash._edges(spark.createDataFrame([(p,) for p in set(signed)], "fp long"))
+    edges = simhash.edges_of(spark.createDataFrame([(p,) for p in signed], "fp long"), members=members)
     roots = dict(map(tuple, simhash.components(edges).collect()))
     label = lambda p: roots.get(p, p)
     want = brute_components(list(enumerate(prints)))
-    for (i, _, c), p in zip(want, signed):
+    for (_, _, c), p in zip(want, signed):
         assert label(p) == label(signed[c])
     assert len({label(p) for p in signed}) == len({c for _, _, c in want})
-    index = simhash.GrayIndex(np.array(prints, np.uint64))
-    for p in prints[:30]:
-        assert sorted(index.fps[index.search(np.uint64(p))].tolist()) == sorted(q for q in prints if (p ^ q).bit_count() <= 3)
+
+
+def test_gray_index(monkeypatch):
+    prints = np.array(near_prints(), np.uint64)
+    prints = prints[np.argsort(simhash.gray_rank(prints))]
+    near = {(i, j) for i, p in enumerate(prints.tolist()) for j, q in enumerate(prints.tolist()) if (p ^ q).bit_count() <= 3}
+    for frontier in (1 << 17, 40):
+        monkeypatch.setattr(simhash, "FRONTIER", frontier)
+        index = simhash.GrayIndex(prints)
+        assert {x for q, leaf in index.search(prints) for x in zip(q.tolist(), leaf.tolist())} == near
+        beyond = {x for q, leaf in index.search(prints, 3, np.arange(prints.size)) for x in zip(q.tolist(), leaf.tolist())}
+        assert beyond == {(i, j) for i, j in near if j > i}
+    # patterns: every group that holds a member within the distance is found
+    heads = np.arange(0, prints.size, 9)
+    every, some = np.bitwise_and.reduceat(prints, heads), np.bitwise_or.reduceat(prints, heads)
+    order = np.argsort(simhash.gray_rank(every))
+    upper = simhash.GrayIndex((every & ~(every ^ some))[order], ~(every ^ some)[order])
+    found = {(i, int(order[g])) for q, leaf in upper.search(prints) for i, g in zip(q.tolist(), leaf.tolist())}
+    assert {(i, j // 9) for i, j in near} <= found and len(found) < prints.size * heads.size
+    # all links come through the index
+    assert simhash.links(prints, None)[0].size > 100
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda *_: iter(()))
+    assert simhash.links(prints, None)[0].size == simhash.links(prints[:50], prints[50:])[0].size == 0
 
 
 def brute_secrets(doc, text):
