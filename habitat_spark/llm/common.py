@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -14,19 +16,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step looks at; a longer text is one step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
-#: Texts that go to Python in one batch.
+#: Texts, and bytes of them, that go to Python in one batch (a longer text is a batch of its own).
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 #: Bytes that separate words in the white-space convention: space and 0x09 to 0x0D.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by spark.checkpoint.dir (a temporary one only if unset)."""
+    """A fresh path in the shared folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="habitat-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,7 +42,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that outlives executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives its memory back to the system when its task ends, as workers live on."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+    return wrapped
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +161,16 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def large_strings(df: DataFrame) -> None:
-    """Let a batch of very long texts pass through Arrow, and let workers of this checkout import the package."""
+    """Let very long texts pass through Arrow in batches bounded by bytes, and let workers of this checkout import the package.
+
+    These are settings of the session: plans read them when they run, so they can't be put back before.
+    """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     environment = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", "").split(":"):

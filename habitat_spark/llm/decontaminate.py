@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, hash_spans, large_strings, lower_table, row_counts, runs, slices, stored
+from .common import gram_hashes, hash_spans, large_strings, lower_table, row_counts, runs, slices, stored, tidy
 
 WINDOW = 13
 GRAM = 8
@@ -104,7 +104,7 @@ def _fingerprinted(df: DataFrame, key: str, lengths: list[int] | None, bits) ->
             schema = schema or pa.schema([("uid", pa.int64()), (key, batch.column(1).type), ("n_words", pa.int64()), ("marks", pa.list_(arrow))])
             yield from _marks(iter([batch]), key, schema, lengths, keep)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(tidy(run), out)
 
 
 def _filter_of(items: DataFrame):

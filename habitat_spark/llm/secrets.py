@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large_strings
+from .common import large_strings, tidy
 
 
 @dataclass(frozen=True)
@@ -358,7 +358,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow)], names=["doc_id", "found"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -387,7 +387,7 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return source.mapInArrow(run, source.schema)
+    return source.mapInArrow(tidy(run), source.schema)
 
 
 def secret_scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large_strings, stored
+from .common import discard, large_strings, stored, tidy
 
 SHINGLE = 3
 DISTANCE = 3
@@ -46,6 +46,12 @@ FAN = 4
 FRONTIER = 1 << 17
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a whole list of 64-bit hashes."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > hashes.size).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Fingerprint of one text's UTF-8 bytes, as an unsigned 64-bit number."""
     words = (text or b"").lower().split()
@@ -74,7 +80,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             prints = np.array([simhash(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -194,7 +200,7 @@ def _packed(prints: DataFrame, members: int) -> DataFrame:
                 names=["group", "size", "every", "some", "members"])
 
     ranged = prints.select("fp", _rank(F.col("fp")).alias("rank")).repartitionByRange(groups, "rank").select("fp")
-    return ranged.mapInArrow(pack, "group int, size long, every long, some long, members binary")
+    return ranged.mapInArrow(tidy(pack), "group int, size long, every long, some long, members binary")
 
 
 def edges_of(prints: DataFrame, distance: int = DISTANCE, members: int = MEMBERS) -> DataFrame:
@@ -235,10 +241,10 @@ def edges_of(prints: DataFrame, distance: int = DISTANCE, members: int = MEMBERS
                 a, b = links(np.frombuffer(packed.as_py(), np.uint64), None if queries.as_py() is None else np.frombuffer(queries.as_py(), np.uint64), distance)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    meetings = stored(groups.select("group", "members").mapInArrow(route, "group int, queries binary"), "simhash-meetings")
+    meetings = stored(groups.select("group", "members").mapInArrow(tidy(route), "group int, queries binary"), "simhash-meetings")
     n = max(1, min(meetings.count(), GROUPS))
     met = meetings.join(groups.select("group", "members"), "group").select("queries", "members").repartition(n)
-    return met.mapInArrow(link, "a long, b long").distinct()
+    return met.mapInArrow(tidy(link), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,7 +260,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.filter("a <> b").distinct(), "components")
     mark = None
     while True:
-        edges = stored(star(star(edges, True), False), "components")
+        before, edges = edges, stored(star(star(edges, True), False), "components")
+        discard(before)
         # both stars leave the edges as they were once every node points at its root
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:

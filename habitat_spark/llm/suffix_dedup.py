@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _BYTE, _INVERSE, _power, expand, hash_spans, large_strings, mix, run_number, slices, squeeze, stored
+from .common import _BASE, _BYTE, _INVERSE, _power, expand, hash_spans, large_strings, mix, run_number, slices, squeeze, stored, tidy
 from .suffix_arrays import suffix_array, suffix_arrays
 
 SPAN = 50
@@ -311,16 +311,16 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     keyed = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h"), text.alias("text"))
     packed = "run long, bucket int, docs binary, counts binary, grams binary, contexts binary, hashes binary"
     source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    answers = source.mapInArrow(lambda b: _scan(b, buckets), packed).groupBy("bucket").applyInArrow(lambda t: _resolve(t, buckets), packed)
+    answers = source.mapInArrow(tidy(lambda b: _scan(b, buckets)), packed).groupBy("bucket").applyInArrow(lambda t: _resolve(t, buckets), packed)
     states = answers.groupBy("run").applyInArrow(lambda t: _assemble(t, buckets), "k long, h long, states binary")
     states = stored(states, "spans-states").dropDuplicates(["k", "h"])
     found = keyed.join(states, ["k", "h"], "left").select("doc_id", "k", "h", "text", "states")
-    known = stored(found.mapInArrow(_extract, _DONE.format(kind.simpleString())), "spans-known")
+    known = stored(found.mapInArrow(tidy(_extract), _DONE.format(kind.simpleString())), "spans-known")
     asked = known.select("k", "h", F.explode("contexts").alias("c")).select("k", "h", "c.*").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     more = asked.groupBy("bucket").applyInArrow(_compare, "k long, h long, start long, stop long").distinct()
     more = stored(more, "spans-more").groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("more"))  # bounded by its document
     schema = T.StructType([T.StructField("doc_id", kind), known.schema["spans"], T.StructField("kept", T.BinaryType())])
-    open_ = known.filter(F.col("kept").isNull()).join(more, ["k", "h"], "left").select("doc_id", "text", "spans", "more").mapInArrow(_finish, schema)
+    open_ = known.filter(F.col("kept").isNull()).join(more, ["k", "h"], "left").select("doc_id", "text", "spans", "more").mapInArrow(tidy(_finish), schema)
     return known.filter(F.col("kept").isNotNull()).select("doc_id", "spans", "kept").unionByName(open_)
 
 

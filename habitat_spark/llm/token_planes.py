@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import pieces_of
-from .common import large_strings, scratch_path
+from .common import large_strings, scratch_path, tidy
 
 BLOCK = 16_384
 #: Ids after which a segment ends with the current document.
@@ -190,7 +190,7 @@ def write(documents: DataFrame, tokenizer: str, path: str, end: int = END) -> No
         if held:
             yield segment()
 
-    source.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    source.mapInArrow(tidy(run), schema).write.option("compression", "none").parquet(path)
 
 
 def _read(spark, path: str, name: str, kind: T.DataType, made) -> DataFrame:
@@ -208,7 +208,7 @@ def _read(spark, path: str, name: str, kind: T.DataType, made) -> DataFrame:
                 bounds = np.cumsum([0, *sizes.as_py()])
                 yield pa.RecordBatch.from_arrays([names.values, pa.array(bounds[:-1] + start.as_py(), pa.int64()), sizes.values, made(ids, (4 * bounds).tolist())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def read(spark, path: str) -> DataFrame:
