@@ -7,9 +7,10 @@ Spark higher-order functions do this fold for the corpus' most frequent distinct
 strings with a literal rank map (spread over buckets, because a map literal is searched from end to end). The
 result, VOCABULARY words at most, goes to every task. The fold takes about 0.3 ms a word there, so the long tail
 of rare words is folded by the same steps inside the tasks that meet them (the README has the figures).
-Decoding concatenates the ids' binary pieces.
+Decoding concatenates the ids' binary pieces, with higher-order functions over the array of ids.
 
-Null texts are empty and give no ids. Repeated rows, ties in frequency and other columns have no influence.
+Null texts are empty and give no ids. Repeated rows, ties in frequency and other columns have no influence. A text of
+any length is encoded whole; a word of over 256 bytes is folded with a heap.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import large_strings, stored
+from .common import large_strings, stored, tidy
 
 #: Distinct words whose ids go to every task: the most frequent ones, up to WORD_BYTES long. Others are folded on sight.
 VOCABULARY = 60_000
 WORD_BYTES = 40
 #: Entries of a task's own memory of pieces; it is emptied when full.
-MEMORY = 300_000
+MEMORY = 150_000
 BUCKETS = 8192
 _NONE = 2**31 - 1
 
@@ -166,7 +167,7 @@ def _frequent_words(documents: DataFrame, pattern: str, most: int) -> DataFrame:
         top = [(w.encode(), n) for w, n in words.most_common(2 * most) if n > 1 and len(w.encode()) <= WORD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long")
+    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
@@ -212,31 +213,20 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, most: in
                 lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), flat) if bounds[-1] >= 2**31 else pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "ids"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The rows with a column decoded (binary): the ids' pieces, concatenated."""
-    large_strings(encoded)
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
-    source = encoded.drop("decoded")
-    at = source.columns.index("ids")
-    schema = T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        piece = shared.value.__getitem__
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                column = part.column(at)
-                flat, bounds = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
-                out = [b"".join(map(piece, flat[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.large_binary())], names=[*part.schema.names, "decoded"])
+    """The rows with a column decoded (binary): the ids' binary pieces, concatenated.
 
-    return source.mapInArrow(run, schema)
+    Each byte of a piece stands as the character of its number, as only strings can be joined in time linear in their
+    length.
+    """
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")  # folded to a literal when planned
+    return encoded.withColumn("decoded", F.encode(F.array_join(F.transform("ids", lambda i: F.get(literal, i)), ""), "ISO-8859-1"))
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
