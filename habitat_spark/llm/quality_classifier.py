@@ -3,8 +3,13 @@
 Tokens are runs of letters, digits and non-ASCII bytes, or runs of other visible bytes, with A-Z lower-cased;
 features are hashed tokens and pairs of neighbours (a pair of equal tokens is one feature of its own), each
 with the share of the text's features that it makes up. Nulls and texts without tokens have no features and
-get the score of the bias alone. Repeated labels of a document are one label, 1 only if all are 1; rows without
-a label are scored but not learnt from; ties of the score with the threshold are predicted 1.
+get the score of the bias alone. Repeated labels of a document are one label, 1 only if all are 1; of several texts
+under one labelled doc_id one is learnt from; rows without a label are scored but not learnt from; ties of the score
+with the threshold are predicted 1. doc_ids of any type will do; rows without one are scored. Texts of any length are
+scored whole.
+
+Training is one task over TRAIN_ROWS texts at most, each as its distinct features and their counts: 2 ** BITS of them
+at most, so at most TRAIN_ROWS * 2 ** BITS * 8 bytes, and in practice a few kilobytes a text.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_spans, large_strings, lower_table, mix, row_counts, runs, slices, stored
+from .common import hash_spans, large_strings, lower_table, mix, row_counts, runs, slices, stored, tidy
 
 BITS = 18
 #: Most labelled rows that training looks at (those with the smallest hashes of doc_id). Bounds its memory.
@@ -52,16 +57,17 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return (both[order] >> np.uint64(64 - bits)).astype(np.int64), bounds
 
 
-def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.3, l2: float = 1.0) -> np.ndarray:
-    """Weights (the last is the bias) from follow-the-regularised-leader updates, one text after another."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.3, l2: float = 1.0) -> np.ndarray:
+    """Weights (the last is the bias) from follow-the-regularised-leader updates, one text after another.
+
+    rows: each text's distinct features and their counts.
+    """
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    shaped = []
-    for row in rows:
-        at, count = np.unique(row, return_counts=True)
-        shaped.append((np.append(at, size - 1), np.append(count * (SCALE / max(row.size, 1)), 1.0)))
     for _ in range(epochs):
-        for (at, x), y in zip(shaped, labels):
+        for (cells, counts), y in zip(rows, labels):
+            at = np.append(cells, size - 1)
+            x = np.append(counts * (SCALE / max(int(counts.sum()), 1)), 1.0)
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) > l1, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
@@ -79,27 +85,29 @@ def remainder(doc_id: str | F.Column, of: int) -> F.Column:
 def train(documents: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights from labelled rows whose crc32(doc_id) mod 5 is not 0, rows of them at most."""
     large_strings(documents)
-    learnt = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    chosen = learnt.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))
-    chosen = stored(chosen, "classifier-labels")  # rows of them at most, so it can be broadcast
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    key = F.col("doc_id").cast("string").alias("doc_id")
+    learnt = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).groupBy(key).agg(F.min("quality").cast("int").alias("y"))
+    chosen = stored(learnt.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "classifier-labels")  # rows of them at most, so it can be broadcast
+    texts = documents.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def hashed(batches):
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 at, bounds = features(data, offsets, bits)
-                cells = [at[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.binary())], names=["doc_id", "y", "cells"])
+                found = [np.unique(at[a:b].astype(np.int32), return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
+                cells, counts = (pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cells, counts], names=["doc_id", "y", "cells", "counts"])
 
-    hashed_rows = texts.mapInArrow(hashed, "doc_id long, y int, cells binary")
-    # repeated documents are one example; the order, and so the result, is fixed
-    one = stored(hashed_rows.dropDuplicates(["doc_id", "cells"]), "classifier-rows").withColumn("one", F.lit(0))
+    # one text of each doc_id; the order, and so the result, is fixed
+    one = texts.mapInArrow(tidy(hashed), "doc_id string, y int, cells binary, counts binary").groupBy("doc_id", "y").agg(F.min(F.struct("cells", "counts")).alias("x"))
+    one = stored(one.select(F.xxhash64("doc_id", F.lit(17)).alias("place"), "doc_id", "y", "x.*", F.lit(0).alias("one")), "classifier-rows")
 
     def fit(table: pa.Table) -> pa.Table:
-        cells = [np.frombuffer(x, np.int32) for x in table.column("cells").to_pylist()]
-        ids, y = table.column("doc_id").to_pylist(), table.column("y").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (hash((ids[i], 17)), cells[i].tobytes()))
-        weights = ftrl([cells[i] for i in order], [y[i] for i in order], bits)
+        place, ids, y = (table.column(c).to_pylist() for c in ("place", "doc_id", "y"))
+        order = sorted(range(len(ids)), key=lambda i: (place[i], ids[i]))
+        cells, counts = table.column("cells"), table.column("counts")
+        views = [tuple(np.frombuffer(c[i].as_buffer(), np.int32) for c in (cells, counts)) for i in order]
+        weights = ftrl(views, [y[i] for i in order], bits)
         return pa.table({"weights": pa.array([weights.astype("<f8").tobytes()], pa.binary())})
 
     found = one.groupBy("one").applyInArrow(fit, "weights binary").select("weights").first()
@@ -124,7 +132,7 @@ def scored(documents: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataF
                 score = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
