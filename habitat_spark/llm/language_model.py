@@ -2,18 +2,26 @@
 
 Words are separated by white space (0x20, 0x09-0x0D), A-Z are lower-cased; each text ends with one end token, which
 is also the history of its first token. Unigrams: every training token's exact count, add 0.1, with room for one
-unknown token. Bigrams: over the VOCABULARY most frequent words and one class for all other words (within the class
-a word has its unigram share); every bigram of every training text counts. A bigram seen r times has Katz's
-discount for r <= 5; the mass that a history leaves goes to its unseen words in proportion to their unigrams, with
-the backoff weight that makes all sum to one.
+unknown token. Bigrams: all of every training text. A bigram seen r times has Katz's discount for r <= 5; the mass that
+a history leaves goes to its unseen words in proportion to their unigrams, with the backoff weight that makes all sum
+to one; a history never seen has the unigrams themselves. Words are told apart by 63 bits of a hash.
 
-Tables: unigrams (hash, n), bigrams in buckets of sorted keys, backoff weights by history. Per-word arrays of
-VOCABULARY entries, and the HOT most frequent bigrams, go to every task; all other lookups meet their bucket by a
-shuffle in packed runs. Buckets hold all words after a history (histories among the FREQUENT most frequent are
-spread by word too), so no bucket grows with one history.
+The VOCABULARY most frequent words are *listed*: their counts and, as histories, their backoff weights go to every
+task. That decides where a number is looked up, never what it is. Tables, each in buckets of about BUCKET_BYTES of
+text, packed and sorted:
+
+- pairs of a listed word after any history, by history (histories among the FREQUENT most frequent are spread by word
+  too, so no bucket grows with one history), the HOT most frequent of them also in every task;
+- pairs of an unlisted word after any history, by word, which also gives the word's own count;
+- counts and backoff weights of unlisted histories, by history.
+
+A text's tokens ask the buckets in packed runs of texts, each for what isn't in the task: a pair's count, its word's
+count, its history's count and weight. An unlisted word after an unlisted history asks for its pair first and then for
+the history. The answers are sums for each text of a run, added up where the run's texts are together again.
 
 Null texts are empty: one end token. A null doc_id counts as empty text in the split. Repeated rows are scored and
 counted one by one; other columns are ignored. With no training text every token has the same unigram probability.
+Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, expand, hash_spans, large_strings, lower_table, mix, row_counts, run_number, runs, slices, squeeze, stored
+from .common import SPACE, discard, expand, hash_spans, large_strings, lower_table, mix, row_counts, run_number, runs, slices, squeeze, stored, tidy
 from .quality_classifier import remainder
 
 VOCABULARY = 400_000
@@ -35,146 +43,229 @@ FREQUENT = 256
 ADD = 0.1
 KATZ = 5
 #: Distinct keys that a counting task holds before it passes them on.
-HELD = 3_000_000
+HELD = 2_000_000
+#: Text for each bucket.
+BUCKET_BYTES = 6 << 20
 _LOWER = lower_table(SPACE)
-_END, _OTHER = 0, 1  # ids; words have 2 and on
-_SHIFT = 20
+_END = 0  # ids of listed words are 1 and on; unlisted ones are -1 - hash
+_SHIFT = 32
+_MASK = (1 << _SHIFT) - 1
+#: Kinds of rows: pairs of listed words, of a listed word after an unlisted one, of an unlisted word; of a history's sums, and frequent pairs.
+_LISTED, _AFTER_RARE, _RARE, _SUMS, _TOP = range(5)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a run of texts and the number of words of each."""
+    """Word hashes (63 bits) of a run of texts and the number of words of each."""
     low = _LOWER[data]
     starts, ends = runs(low > 0, offsets)
-    return hash_spans(low, starts, ends), row_counts(starts, offsets)
+    return (hash_spans(low, starts, ends) >> np.uint64(1)).astype(np.int64), row_counts(starts, offsets)
+
+
+def _summed(keys: list[tuple[np.ndarray, ...]], counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys (of one or two columns, in order of the first) and the sum of the counts of each."""
+    columns, n = [np.concatenate(x) for x in zip(*keys)], np.concatenate(counts)
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    columns, n = [c[order] for c in columns], n[order]
+    heads = _heads(*columns)
+    return *(c[heads] for c in columns), np.add.reduceat(n, heads) if n.size else n
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Places at which a run of equal values of sorted columns begins."""
+    new = np.ones(columns[0].size, bool)
+    if new.size:
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _find(table: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted table, whether it is there)."""
+    if not table.size:
+        return np.zeros(asked.size, np.int64), np.zeros(asked.size, bool)
+    at = np.minimum(np.searchsorted(table, asked), table.size - 1)
+    return at, table[at] == asked
+
+
+def _pairs_in(first: np.ndarray, second: np.ndarray, asked_first: np.ndarray, asked_second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs; the table is sorted by first and then second."""
+    a, b = np.unique(first), np.unique(second)
+    (at_a, in_a), (at_b, in_b) = _find(a, asked_first), _find(b, asked_second)
+    at, there = _find(np.searchsorted(a, first) * max(b.size, 1) + np.searchsorted(b, second), at_a * max(b.size, 1) + at_b)
+    return at, there & in_a & in_b
 
 
 def _unigrams(source: DataFrame) -> DataFrame:
     """(hash, n) of all training words."""
     def run(batches: Iterator[pa.RecordBatch]):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            keys = np.concatenate([k for k, _ in held])
-            counts = np.concatenate([n for _, n in held])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            held[:] = [(keys[heads], np.add.reduceat(counts, heads))]
+        keys: list = []
+        counts: list = []
 
         def give():
-            for k, n in held:
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["hash", "n"])
-            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0][0]), pa.array(counts[0])], names=["hash", "n"])
 
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                words, _ = _tokens(data, offsets)
+                words, n = np.unique(_tokens(data, offsets)[0], return_counts=True)
                 if words.size:
-                    held.append(np.unique(words, return_counts=True))
-            if held:
-                merged()
-                if held[0][0].size > HELD:
+                    keys.append((words,))
+                    counts.append(n)
+            if keys:
+                k, n = _summed(keys, counts)
+                keys[:], counts[:] = [(k,)], [n]
+                if k.size > HELD:
                     yield from give()
-        yield from give()
+                    keys.clear(), counts.clear()
+        if keys:
+            yield from give()
 
-    counted = source.filter("not held_out").select("text").mapInArrow(run, "hash long, n long")
+    counted = source.filter("not held_out").select("text").mapInArrow(tidy(run), "hash long, n long")
     return counted.groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Words:
-    """The vocabulary: sorted hashes with ids, and by id the training counts and unigram probabilities."""
+    """The listed words: sorted hashes with ids, and training counts by id."""
 
     hashes: np.ndarray
     ids: np.ndarray
     counts: np.ndarray
-    weights: np.ndarray  # count + 0.1, of the class: that of all its words and of the unknown one
     total: float
 
-    def look_up(self, words: np.ndarray) -> np.ndarray:
-        if not self.hashes.size:
-            return np.full(words.size, _OTHER, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), self.hashes.size - 1)
-        return np.where(self.hashes[at] == words, self.ids[at], _OTHER)
-
-    def chain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(histories, words, row of each token, word hashes with 0 for the ends), end tokens included."""
-        words, counts = _tokens(data, offsets)
-        ids = self.look_up(words)
+    def chain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(histories, words, row of each token), end tokens included."""
+        hashes, counts = _tokens(data, offsets)
+        at, there = _find(self.hashes, hashes)
         sizes = counts + 1
-        last = np.cumsum(sizes) - 1
-        tokens, hashes = np.full(sizes.sum(), _END, np.int64), np.zeros(sizes.sum(), np.uint64)
+        tokens = np.full(sizes.sum(), _END, np.int64)
         place = np.ones(tokens.size, bool)
-        place[last] = False
-        tokens[place], hashes[place] = ids, words
-        history = np.concatenate([[_END], tokens[:-1]])
-        return history, tokens, np.repeat(np.arange(sizes.size), sizes), hashes
+        place[np.cumsum(sizes) - 1] = False
+        tokens[place] = np.where(there, self.ids[at], -1 - hashes) if self.ids.size else -1 - hashes
+        return np.concatenate([[_END], tokens[:-1]]), tokens, np.repeat(np.arange(sizes.size), sizes)
+
 
+def _spread(values: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(values.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
-def _buckets(history: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+
+def _history_bucket(history: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
     # ids are in order of frequency, so the most frequent histories have the least ids
-    return (mix((history + np.where(history < FREQUENT, word << 24, 0)).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return _spread(history + np.where((history >= 0) & (history < FREQUENT), word << 24, 0), buckets)
+
+
+def _dealt(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns' parts in each bucket, in the order they had."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, [c[order[cut[b] : cut[b + 1]]] for c in columns]
+
+
+_PACKED = "kind int, bucket int, x1 binary, x2 binary, x3 binary, x4 binary, x5 binary, n_r array<long>"
 
 
-def _bigrams(source: DataFrame, shared, buckets: int) -> DataFrame:
-    """(bucket, keys, counts, ...): packed bigram counts of all training texts, one row for each bucket."""
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (kind, bucket, up to five packed columns, numbers of pairs seen 1 to KATZ + 1 times or None)."""
+    packed = [[*r[2], *[None] * (5 - len(r[2]))] for r in rows]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([x[i] for x in packed], pa.binary()) for i in range(5)), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+        names=["kind", "bucket", "x1", "x2", "x3", "x4", "x5", "n_r"])
+
+
+def _sums(history: np.ndarray, counts: np.ndarray, weights: np.ndarray, buckets: int) -> list[tuple]:
+    """Packed rows of each history's sums, by its bucket: tokens, pairs seen 1 to KATZ times, weights of its words."""
+    if not history.size:
+        return []
+    order = np.argsort(history, kind="stable")
+    history, counts, weights = history[order], counts[order], weights[order]
+    heads = _heads(history)
+    columns = [np.add.reduceat(x, heads) for x in (counts, *((counts == r).astype(np.int64) for r in range(1, KATZ + 1)))]
+    mass = np.add.reduceat(weights, heads)
+    return [(_SUMS, b, [squeeze(h, True), b"".join(x.tobytes() for x in ints), m.tobytes()], None) for b, (h, *ints, m) in _dealt(_spread(history[heads], buckets), buckets, history[heads], *columns, mass)]
+
+
+def _pair_tables(source: DataFrame, shared, buckets: int) -> DataFrame:
+    """Packed rows of all training bigrams: one for each bucket of listed and of unlisted words, and histories' sums."""
     def run(batches: Iterator[pa.RecordBatch]):
         words = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[str, list] = {"listed": [], "n": [], "rare": [], "m": []}
 
         def give():
-            keys, counts = _summed(held)
-            held.clear()
-            bucket = _buckets(keys >> _SHIFT, keys & ((1 << _SHIFT) - 1), buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                part = order[cut[b] : cut[b + 1]]
-                if part.size:
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([squeeze(keys[part], True)], pa.binary()), pa.array([squeeze(counts[part])], pa.binary())], names=["bucket", "keys", "counts"])
+            rows = []
+            if held["listed"]:
+                keys, counts = _summed(held["listed"], held["n"])
+                for b, (k, c) in _dealt(_history_bucket(keys >> _SHIFT, keys & _MASK, buckets), buckets, keys, counts):
+                    rows.append((_LISTED, b, [squeeze(k, True), squeeze(c)], None))
+            if held["rare"]:
+                history, word, counts = _summed(held["rare"], held["m"])
+                some = word >= 0
+                for b, (h, w, c) in _dealt(_spread(history[some], buckets), buckets, history[some], word[some], counts[some]):
+                    rows.append((_AFTER_RARE, b, [squeeze(h, True), squeeze(w), squeeze(c)], None))
+                history, word, counts = history[~some], word[~some], counts[~some]
+                for b, (h, w, c) in _dealt(_spread(word, buckets), buckets, history, word, counts):
+                    by = np.argsort(w, kind="stable")
+                    rows.append((_RARE, buckets + b, [squeeze(w[by], True), squeeze(h[by]), squeeze(c[by])], None))
+            for x in held.values():
+                x.clear()
+            for i in range(0, len(rows), 256):
+                yield _rows(rows[i : i + 256])
 
         size = 0
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                history, word, _, _ = words.chain(data, offsets)
-                held.append(np.unique(history << _SHIFT | word, return_counts=True))
-                size += held[-1][0].size
+                history, word, _ = words.chain(data, offsets)
+                both = (history >= 0) & (word >= 0)
+                keys, n = np.unique(history[both] << _SHIFT | word[both], return_counts=True)
+                held["listed"].append((keys,))
+                held["n"].append(n)
+                rare = history[~both], word[~both]
+                held["rare"].append(rare)
+                held["m"].append(np.ones(rare[0].size, np.int64))
+                size += keys.size + rare[0].size
                 if size > HELD:
-                    held[:] = [_summed(held)]
-                    size = held[0][0].size
+                    keys, n = _summed(held["listed"], held["n"])
+                    held["listed"], held["n"] = [(keys,)], [n]
+                    *rare, m = _summed(held["rare"], held["m"])
+                    held["rare"], held["m"] = [tuple(rare)], [m]
+                    size = keys.size + m.size
                     if size > HELD // 2:
                         yield from give()
                         size = 0
-        if held:
-            yield from give()
+        yield from give()
 
     def merge(table: pa.Table) -> pa.Table:
         words = shared.value
-        keys, counts = _summed([(expand(k, True), expand(c)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())])
-        history, word = keys >> _SHIFT, keys & ((1 << _SHIFT) - 1)
-        heads = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
-        by_count = [np.add.reduceat((counts == r).astype(np.int64), heads) for r in range(1, KATZ + 1)]
-        types = np.diff(np.append(heads, keys.size))
-        mass = np.add.reduceat(words.weights[word], heads)
-        top = np.argsort(-counts, kind="stable")[: max(1, 2 * HOT // buckets)]
-        top.sort()
-        pack = lambda x, rising=False: pa.array([squeeze(x, rising)], pa.binary())
-        return pa.table({
-            "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "keys": pack(keys, True), "counts": pack(counts), "hot_keys": pack(keys[top], True), "hot_counts": pack(counts[top]),
-            "history": pa.array([history[heads]], pa.list_(pa.int64())), "types": pa.array([types], pa.list_(pa.int64())), "mass": pa.array([mass], pa.list_(pa.float64())),
-            **{f"r{r}": pa.array([by_count[r - 1]], pa.list_(pa.int64())) for r in range(1, KATZ + 1)},
-            "n_r": pa.array([[int((counts == r).sum()) for r in range(1, KATZ + 2)]], pa.list_(pa.int64()))})
-
-    schema = "bucket int, keys binary, counts binary, hot_keys binary, hot_counts binary, history array<long>, types array<long>, mass array<double>, " + ", ".join(f"r{r} array<long>" for r in range(1, KATZ + 1)) + ", n_r array<long>"
-    return source.filter("not held_out").select("text").mapInArrow(run, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(merge, schema)
-
-
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if keys.size else np.zeros(0, np.int64)
-    return keys[heads], np.add.reduceat(counts, heads) if keys.size else counts
+        weights = words.counts + ADD
+        place = table.column("bucket")[0].as_py()
+        get = lambda kind, *rising: [[expand(r[f"x{i + 1}"], up) for i, up in enumerate(rising)] for r in rows if r["kind"] == kind]
+        rows = table.to_pylist()
+        out = []
+        numbers = np.zeros(KATZ + 1, np.int64)
+        if place < buckets:
+            keys = counts = top = np.zeros(0, np.int64)
+            if parts := get(_LISTED, True, False):
+                keys, counts = _summed([(k,) for k, _ in parts], [c for _, c in parts])
+                out += _sums(keys >> _SHIFT, counts, weights[keys & _MASK], buckets)
+                numbers += [(counts == r).sum() for r in range(1, KATZ + 2)]
+                top = np.sort(np.argsort(-counts, kind="stable")[: max(1, 2 * HOT // buckets)])
+                out.append((_TOP, place, [squeeze(keys[top], True), squeeze(counts[top])], None))
+            h = w = c = np.zeros(0, np.int64)
+            if parts := get(_AFTER_RARE, True, False, False):
+                h, w, c = _summed([(h, w) for h, w, _ in parts], [c for *_, c in parts])
+                out += _sums(h, c, weights[w], buckets)
+                numbers += [(c == r).sum() for r in range(1, KATZ + 2)]
+            out.append((_LISTED, place, [squeeze(keys, True), squeeze(counts), squeeze(h, True), squeeze(w), squeeze(c)], numbers.tolist()))
+        else:
+            parts = get(_RARE, True, False, False)
+            w, h, c = _summed([(w, h) for w, h, _ in parts], [c for *_, c in parts])
+            heads = _heads(w)
+            of = np.repeat(np.add.reduceat(c, heads), np.diff(np.append(heads, w.size)))
+            out += _sums(h, c, of + ADD, buckets)
+            numbers += [(c == r).sum() for r in range(1, KATZ + 2)]
+            out.append((_RARE, place - buckets, [squeeze(w, True), squeeze(h), squeeze(c)], numbers.tolist()))
+        return pa.Table.from_batches([_rows(out)])
+
+    counted = source.filter("not held_out").select("text").mapInArrow(tidy(run), _PACKED)
+    return counted.groupBy("bucket").applyInArrow(merge, _PACKED)
 
 
 def discounts(n_r: list[int]) -> np.ndarray:
@@ -190,7 +281,7 @@ def discounts(n_r: list[int]) -> np.ndarray:
 
 @dataclass
 class Backoff:
-    """By history id: how often it was a history (one more if it has no discounted bigram), and its weight."""
+    """By id of a listed history: how often it was one (one more if it has no discounted bigram), and its weight."""
 
     seen: np.ndarray
     weight: np.ndarray
@@ -198,145 +289,211 @@ class Backoff:
     hot_keys: np.ndarray
     hot_counts: np.ndarray
 
+    def higher(self, counts: np.ndarray) -> np.ndarray:
+        return self.discount[np.minimum(counts, KATZ + 1)] * counts
+
     def log_probability(self, words: Words, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of P(word or class | history): the bigram's if it was seen, else the backed-off unigram's."""
-        history, word = keys >> _SHIFT, keys & ((1 << _SHIFT) - 1)
-        higher = self.discount[np.minimum(counts, KATZ + 1)] * counts / np.maximum(self.seen[history], 1)
-        lower = self.weight[history] * words.weights[word] / words.total
-        return np.log10(np.where(counts > 0, higher, lower))
+        """log10 of P(word | history), both listed: the bigram's if it was seen, else the backed-off unigram's."""
+        history, word = keys >> _SHIFT, keys & _MASK
+        return np.log10(np.where(counts > 0, self.higher(counts) / self.seen[history], self.weight[history] * (words.counts[word] + ADD) / words.total))
+
+
+def _histories(tables: DataFrame, d: np.ndarray, total: float) -> DataFrame:
+    """(bucket, and packed and sorted: listed histories, how often, weights; the same of unlisted ones)."""
+    def weigh(table: pa.Table) -> pa.Table:
+        parts = [(expand(a.as_py(), True), np.frombuffer(b.as_py(), np.int64).reshape(1 + KATZ, -1), np.frombuffer(c.as_py())) for a, b, c in zip(*(table.column(f"x{i}") for i in (1, 2, 3)))]
+        history, numbers, mass = np.concatenate([x for x, _, _ in parts]), np.concatenate([x for _, x, _ in parts], axis=1), np.concatenate([x for _, _, x in parts])
+        order = np.argsort(history, kind="stable")
+        heads = _heads(history[order])
+        history, numbers, mass = history[order][heads], np.add.reduceat(numbers[:, order], heads, axis=1), np.add.reduceat(mass[order], heads)
+        left = sum(numbers[r] * r * (1 - d[r]) for r in range(1, KATZ + 1))
+        plain = left <= 0
+        seen = numbers[0] + plain
+        weight = np.where(plain, 1.0, left) / seen / np.maximum(1 - mass / total, 1e-300)
+        rare = history < 0
+        cell = lambda x: pa.array([x], pa.binary())
+        both = [(squeeze(history[at], True), squeeze(seen[at]), weight[at].tobytes()) for at in (~rare, rare)]
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), **{f"{a}{i}": cell(x) for a, part in zip("xy", both) for i, x in enumerate(part)}})
 
+    sums = tables.filter(F.col("kind") == _SUMS).select("bucket", "x1", "x2", "x3")
+    return sums.groupBy("bucket").applyInArrow(weigh, "bucket int, x0 binary, x1 binary, x2 binary, y0 binary, y1 binary, y2 binary")
 
-def _backoff(tables: DataFrame, words: Words) -> Backoff:
-    n_r = tables.select(*[F.coalesce(F.sum(F.col("n_r")[i]), F.lit(0)) for i in range(KATZ + 1)]).first()
-    d = discounts([int(x) for x in n_r])
-    sums = tables.select(F.explode(F.arrays_zip("history", "types", "mass", *[f"r{r}" for r in range(1, KATZ + 1)])).alias("x")).select("x.*").groupBy("history").agg(
-        F.sum("types").alias("types"), F.sum("mass").alias("mass"), *[F.sum(f"r{r}").alias(f"r{r}") for r in range(1, KATZ + 1)])
-    rows = sums.toArrow()  # a row for each history: VOCABULARY + 2 at most
-    size = words.counts.size
-    seen, weight = words.counts.astype(float), np.ones(size)
-    if rows.num_rows:
-        at = rows.column("history").to_numpy()
-        left = sum(rows.column(f"r{r}").to_numpy() * r * (1 - d[r]) for r in range(1, KATZ + 1))
-        plain = left <= 0
-        seen[at] += plain
-        left = np.where(plain, 1.0, left)
-        weight[at] = left / seen[at] / np.maximum(1 - rows.column("mass").to_numpy() / words.total, 1e-300)
-    keys, counts = [], []
-    for k, c in tables.select("hot_keys", "hot_counts").collect():  # 2 * HOT bigrams at most
-        keys.append(expand(bytes(k), True))
-        counts.append(expand(bytes(c)))
-    k, c = _summed(list(zip(keys, counts))) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return Backoff(seen, weight, np.append(d, 1.0), k, c)
+
+def _backoff(tables: DataFrame, histories: DataFrame, d: np.ndarray, listed: int) -> Backoff:
+    seen, weight = np.ones(listed, np.int64), np.ones(listed)
+    for h, s, w in histories.select("x0", "x1", "x2").collect():  # an entry for each listed history
+        at = expand(bytes(h), True)
+        seen[at], weight[at] = expand(bytes(s)), np.frombuffer(bytes(w))
+    hot = [(expand(bytes(k), True), expand(bytes(c))) for k, c in tables.filter(F.col("kind") == _TOP).select("x1", "x2").collect()]  # about 2 * HOT bigrams
+    keys, counts = _summed([(k,) for k, _ in hot], [c for _, c in hot]) if hot else (np.zeros(0, np.int64),) * 2
+    return Backoff(seen, weight, np.append(d, 1.0), keys, counts)
+
+
+_ASKED = "run long, bucket int, kind int, x1 binary, x2 binary, docs binary"
+_ANSWER = "run long, docs binary, katz binary, base binary, known binary"
+
+
+def _answers(rows: list[tuple]) -> dict:
+    """Sums for the texts of each run: (run, docs, katz, base or None, known or None)."""
+    out: dict[str, list] = {"run": [], "docs": [], "katz": [], "base": [], "known": []}
+    for run, docs, *sums in rows:
+        some, of = np.unique(docs, return_inverse=True)
+        out["run"].append(run)
+        out["docs"].append(squeeze(some, True))
+        for name, x in zip(("katz", "base", "known"), sums):
+            out[name].append(None if x is None else np.bincount(of, x, some.size).astype("<f8").tobytes())
+    return {"run": pa.array(out["run"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("docs", "katz", "base", "known")}}
 
 
 def score(documents: DataFrame, held_out_of: int = 10, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     large_strings(documents)
     spark = documents.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = documents.select("doc_id", (remainder("doc_id", held_out_of) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     unigrams = stored(_unigrams(source), "lm-unigrams")
     n_words, n_types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = source.filter("not held_out").count()
+    ends, size = source.filter("not held_out").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(16, -(-int(size) // BUCKET_BYTES))
     top = unigrams.orderBy(F.desc("n"), "hash").limit(vocabulary).toArrow()  # vocabulary rows at most
+    discard(unigrams)
     train_tokens, types = int(n_words) + ends, int(n_types) + (ends > 0)
     total = train_tokens + ADD * (types + 1)
-    hashes = top.column("hash").to_numpy().view(np.uint64)
-    counts = np.concatenate([[ends, 0], top.column("n").to_numpy()]).astype(np.int64)
-    counts[_OTHER] = train_tokens - counts.sum()
-    weights = counts + ADD
-    weights[_OTHER] = counts[_OTHER] + ADD * (n_types - hashes.size + 1)
-    weights[_END] = ends + ADD if ends else 0.0  # an end token that was never seen is the unknown one
+    hashes = top.column("hash").to_numpy()
     order = np.argsort(hashes)
-    words = Words(hashes[order], order + 2, counts, weights, total)
+    words = Words(hashes[order], order + 1, np.concatenate([[ends], top.column("n").to_numpy()]).astype(np.int64), total)
     shared = spark.sparkContext.broadcast(words)
-    tables = stored(_bigrams(source, shared, buckets), "lm-bigrams")
-    model = spark.sparkContext.broadcast(_backoff(tables, words))
+    tables = stored(_pair_tables(source, shared, buckets), "lm-pairs")
+    n_r = tables.agg(*[F.coalesce(F.sum(F.get("n_r", F.lit(i))), F.lit(0)) for i in range(KATZ + 1)]).first()
+    d = discounts([int(x) for x in n_r])
+    histories = stored(_histories(tables, d, total), "lm-histories")
+    model = spark.sparkContext.broadcast(_backoff(tables, histories, d, words.counts.size))
 
     def scan(batches: Iterator[pa.RecordBatch]):
         """For each run of texts, one row with the texts' own sums and one for each bucket with what must be looked up."""
         words, backoff = shared.value, model.value
         number = run_number()
-        names = ["run", "bucket", "keys", "docs", "rare", "own"]
-        log_weight = np.log10(np.maximum(words.counts, 0) + ADD)
-
-        def row(bucket, keys=None, docs=None, rare=None, own=None):
-            binary = lambda x: pa.array([x], pa.large_binary())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bucket], pa.int32()), binary(keys), binary(docs), pa.array([rare], pa.list_(pa.struct([("uid", pa.int64()), ("hash", pa.int64())]))), pa.array([own], own_type)], names=names)
-
-        own_type = None
+        log_weight = np.log10(words.counts + ADD)
         for batch in batches:
-            own_type = own_type or pa.list_(pa.struct([("doc_id", batch.column(0).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("katz", pa.float64())]))
+            kind = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("katz", pa.float64())]))
             for part, data, offsets in slices(batch, "text"):
-                history, word, doc, hash_ = words.chain(data, offsets)
+                history, word, doc = words.chain(data, offsets)
                 n = part.num_rows
-                keys = history << _SHIFT | word
-                common = word != _OTHER
-                base = np.bincount(doc, np.where(common, log_weight[word], 0.0), n)
-                known = np.bincount(doc, common & (words.counts[word] > 0), n).astype(np.int64)
-                tokens = np.bincount(doc, minlength=n)
-                hot = np.zeros(keys.size, bool)
-                if backoff.hot_keys.size:
-                    at = np.minimum(np.searchsorted(backoff.hot_keys, keys), backoff.hot_keys.size - 1)
-                    hot = backoff.hot_keys[at] == keys
-                katz = np.zeros(n)
-                if hot.any():
-                    katz += np.bincount(doc[hot], backoff.log_probability(words, keys[hot], backoff.hot_counts[at[hot]]), n)
-                other = np.flatnonzero(~common)
-                rare = [{"uid": int(d), "hash": int(h)} for d, h in zip(doc[other].tolist(), hash_[other].view(np.int64).tolist())]
-                own = pa.StructArray.from_arrays([part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(known), pa.array(base), pa.array(katz)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "katz"])
-                yield row(-1, rare=rare, own=own)
-                cold = np.flatnonzero(~hot)
-                bucket = _buckets(history[cold], word[cold], buckets)
-                order = np.lexsort((keys[cold], bucket))
-                cold, bucket = cold[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    part_ = cold[cut[b] : cut[b + 1]]
-                    yield row(b, squeeze(keys[part_], True), squeeze(doc[part_]))
+                listed = word >= 0
+                own = np.where(listed, word, 0)
+                base = np.bincount(doc, np.where(listed, log_weight[own], 0.0), n)
+                known = np.bincount(doc, listed & (words.counts[own] > 0), n).astype(np.int64)
+                both = np.flatnonzero(listed & (history >= 0))
+                keys = history[both] << _SHIFT | word[both]
+                at, hot = _find(backoff.hot_keys, keys)
+                katz = np.bincount(doc[both[hot]], backoff.log_probability(words, keys[hot], backoff.hot_counts[at[hot]]) if hot.any() else np.zeros(0), n)
+                rows = []
+                order = np.argsort(keys[~hot], kind="stable")
+                keys, of = keys[~hot][order], doc[both[~hot]][order]
+                for b, (k, docs) in _dealt(_history_bucket(keys >> _SHIFT, keys & _MASK, buckets), buckets, keys, of):
+                    rows.append((b, _LISTED, squeeze(k, True), None, squeeze(docs)))
+                after = np.flatnonzero(listed & (history < 0))
+                for b, (h, w, docs) in _dealt(_spread(history[after], buckets), buckets, history[after], word[after], doc[after]):
+                    rows.append((b, _AFTER_RARE, squeeze(h), squeeze(w), squeeze(docs)))
+                rare = np.flatnonzero(~listed)
+                for b, (h, w, docs) in _dealt(_spread(word[rare], buckets), buckets, history[rare], word[rare], doc[rare]):
+                    rows.append((b, _RARE, squeeze(w), squeeze(h), squeeze(docs)))
+                values = pa.StructArray.from_arrays([part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=n)), pa.array(known), pa.array(base.astype(float)), pa.array(katz.astype(float))], fields=list(kind.value_type))
+                rows.append((-1, -1, None, None, None))
+                lists = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [n], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), number)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.large_binary()) for i in (2, 3, 4)), lists],
+                    names=["run", "bucket", "kind", "x1", "x2", "docs", "own"])
                 number += 1
 
-    own = f"array<struct<doc_id:{source.schema['doc_id'].dataType.simpleString()},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,katz:double>>"
-    scanned = stored(source.mapInArrow(scan, f"run long, bucket int, keys binary, docs binary, rare array<struct<uid:bigint,hash:bigint>>, own {own}"), "lm-scan")
+    own = f"own array<struct<doc_id:{source.schema['doc_id'].dataType.simpleString()},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,katz:double>>"
+    scanned = stored(source.mapInArrow(tidy(scan), f"{_ASKED}, {own}"), "lm-scan")
+    asked = scanned.drop("own")
 
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+    def rare_words(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Pairs of unlisted words; after an unlisted history only the word's part, and a question about the history."""
         words, backoff = shared.value, model.value
-        keys, counts = (expand(right.column("keys")[0].as_py(), True), expand(right.column("counts")[0].as_py())) if right.num_rows else (np.zeros(0, np.int64),) * 2
-        out = {"run": [], "docs": [], "sums": []}
-        for run, asked, docs in zip(*(left.column(c).to_pylist() for c in ("run", "keys", "docs"))):
-            asked, docs = expand(asked, True), expand(docs)
-            at = np.minimum(np.searchsorted(keys, asked), max(keys.size - 1, 0))
-            found = np.where(keys[at] == asked, counts[at], 0) if keys.size else np.zeros(asked.size, np.int64)
-            sums = np.bincount(docs, backoff.log_probability(words, asked, found))
-            some = np.unique(docs)
-            out["run"].append(run)
-            out["docs"].append(squeeze(some, True))
-            out["sums"].append(sums[some].astype("<f8").tobytes())
-        return pa.table({"run": pa.array(out["run"], pa.int64()), "docs": pa.array(out["docs"], pa.binary()), "sums": pa.array(out["sums"], pa.binary())})
-
-    asked = scanned.filter("bucket >= 0").select("run", "bucket", "keys", "docs")
-    answers = asked.groupBy("bucket").cogroup(tables.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(look_up, "run long, docs binary, sums binary")
-    # words outside the vocabulary: their exact counts come by a join
-    rare = scanned.filter("bucket < 0").select("run", F.explode("rare").alias("x")).groupBy("run", "x.uid", "x.hash").agg(F.count("*").alias("times"))
-    met = rare.join(unigrams, "hash", "left").groupBy("run", "uid").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("log"), F.sum("times").alias("times"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    texts = scanned.filter("bucket < 0").select("run", F.posexplode("own").alias("uid", "own")).select("run", F.col("uid").cast("long").alias("uid"), "own.*")
-
-    # a run's answers stay packed until they are together, so each text's parts are added in one place
+        w, h, c = [expand(right.column(f"x{i}")[0].as_py(), i == 1) for i in (1, 2, 3)] if right.num_rows else [np.zeros(0, np.int64)] * 3
+        heads = _heads(w)
+        names, of = w[heads], np.add.reduceat(c, heads) if w.size else c
+        answers, questions = [], []
+        for run, x1, x2, docs in zip(*(left.column(k).to_pylist() for k in ("run", "x1", "x2", "docs"))):
+            word, history, docs = expand(x1), expand(x2), expand(docs)
+            at, there = _find(names, word)
+            n = np.where(there, of[at], 0) if names.size else np.zeros(word.size, np.int64)
+            at, there = _pairs_in(w, h, word, history)
+            counts = np.where(there, c[at], 0) if c.size else np.zeros(word.size, np.int64)
+            met, id_ = history >= 0, np.maximum(history, 0)
+            part = np.where(counts > 0, backoff.higher(counts), (n + ADD) / words.total)
+            part = part * np.where(met, np.where(counts > 0, 1 / backoff.seen[id_], backoff.weight[id_]), 1.0)
+            answers.append((run, docs, np.log10(part), np.log10(n + ADD), (n > 0).astype(float)))
+            open_ = np.flatnonzero(~met)
+            for b, (x, y, z) in _dealt(_spread(history[open_], buckets), buckets, history[open_], (counts[open_] > 0).astype(np.int64), docs[open_]):
+                questions.append((run, b, squeeze(x), squeeze(y), squeeze(z)))
+        made = _answers(answers)
+        m, k = len(answers), len(questions)
+        none = lambda n, kind=pa.binary(): pa.nulls(n, kind)  # noqa: B008, E731
+        first = {**made, "bucket": none(m, pa.int32()), "kind": none(m, pa.int32()), "x1": none(m), "x2": none(m)}
+        second = {"run": pa.array([q[0] for q in questions], pa.int64()), "docs": pa.array([q[4] for q in questions], pa.binary()), **{x: none(k) for x in ("katz", "base", "known")},
+                  "bucket": pa.array([q[1] for q in questions], pa.int32()), "kind": pa.array([_SUMS] * k, pa.int32()), "x1": pa.array([q[2] for q in questions], pa.binary()), "x2": pa.array([q[3] for q in questions], pa.binary())}
+        return pa.concat_tables([pa.table(first), pa.table(second)])
+
+    columns = ["bucket", "x1", "x2", "x3", "x4", "x5"]
+    rare_tables = tables.filter(F.col("kind") == _RARE).select(*columns)
+    first = stored(asked.filter(F.col("kind") == _RARE).groupBy("bucket").cogroup(rare_tables.groupBy("bucket")).applyInArrow(rare_words, f"{_ANSWER}, bucket int, kind int, x1 binary, x2 binary"), "lm-rare")
+
+    def listed_words(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Pairs of listed words, and what a history that isn't listed adds to those of unlisted ones."""
+        words, backoff = shared.value, model.value
+        empty = np.zeros(0, np.int64)
+        keys = counts = h = w = c = names = seen = empty
+        weight = np.zeros(0)
+        for r in right.to_pylist():
+            if r["x5"] is not None:
+                keys, counts, h, w, c = (expand(r[f"x{i}"], i in (1, 3)) for i in (1, 2, 3, 4, 5))
+            else:
+                names, seen, weight = expand(r["x1"], True), expand(r["x2"]), np.frombuffer(r["x3"])
+        answers = []
+        for run, kind, x1, x2, docs in zip(*(left.column(k).to_pylist() for k in ("run", "kind", "x1", "x2", "docs"))):
+            docs = expand(docs)
+            if kind == _LISTED:
+                asked = expand(x1, True)
+                at, there = _find(keys, asked)
+                answers.append((run, docs, backoff.log_probability(words, asked, np.where(there, counts[at], 0) if keys.size else np.zeros(asked.size, np.int64)), None, None))
+                continue
+            history, x2 = expand(x1), expand(x2)
+            at, there = _find(names, history)
+            times, share = (np.where(there, a[at], 1) if names.size else np.ones(history.size) for a in (seen, weight))
+            if kind == _SUMS:
+                part = np.where(x2 > 0, 1 / times, share)
+            else:
+                at, there = _pairs_in(h, w, history, x2)
+                n = np.where(there, c[at], 0) if c.size else np.zeros(history.size, np.int64)
+                part = np.where(n > 0, backoff.higher(n) / times, share * (words.counts[x2] + ADD) / words.total)
+            answers.append((run, docs, np.log10(part), None, None))
+        return pa.table(_answers(answers))
+
+    none = F.lit(None).cast("binary")
+    by_history = tables.filter(F.col("kind") == _LISTED).select(*columns).unionByName(histories.select("bucket", F.col("y0").alias("x1"), F.col("y1").alias("x2"), F.col("y2").alias("x3"), none.alias("x4"), none.alias("x5")))
+    questions = asked.filter(F.col("kind").isin(_LISTED, _AFTER_RARE)).unionByName(first.filter("kind is not null").select("run", "bucket", "kind", "x1", "x2", "docs"))
+    second = questions.groupBy("bucket").cogroup(by_history.groupBy("bucket")).applyInArrow(listed_words, _ANSWER)
+
     def added(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("docs").to_pylist(), table.column("sums").to_pylist()))
-        parts = [(expand(d, True), np.frombuffer(s, "<f8")) for d, s in rows]
-        docs = np.concatenate([d for d, _ in parts])
-        sums = np.bincount(docs, np.concatenate([s for _, s in parts]))
-        some = np.unique(docs)
-        return pa.table({"run": pa.array(np.full(some.size, table.column("run")[0].as_py())), "uid": pa.array(some), "sum": pa.array(sums[some])})
-
-    backed = answers.groupBy("run").applyInArrow(added, "run long, uid long, sum double")
-    zero = F.lit(0.0)
-    log = F.coalesce("log", zero)
-    share = float(np.log10(words.weights[_OTHER])) if words.weights[_OTHER] > 0 else 0.0
-    rows = texts.join(backed, ["run", "uid"], "left").join(met, ["run", "uid"], "left")
+        """Each text's parts, added in a fixed order."""
+        rows = table.to_pylist()
+        texts = next(table.column("own")[i].values for i, r in enumerate(rows) if r["docs"] is None)
+        sums = {k: texts.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("katz", "base")} | {"known": texts.field("n_known").to_numpy().astype(float)}
+        for r in sorted((r for r in rows if r["docs"] is not None), key=lambda r: (r["docs"], r["katz"])):
+            docs = expand(r["docs"], True)
+            for k, x in sums.items():
+                if r[k] is not None:
+                    x[docs] += np.frombuffer(r[k])
+        return pa.table({"doc_id": texts.field("doc_id"), "held_out": texts.field("held_out"), "n_tokens": texts.field("n_tokens"), "n_known": sums["known"].astype(np.int64), "base": sums["base"], "katz": sums["katz"]})
+
+    answered = first.filter("kind is null").select("run", "docs", "katz", "base", "known").unionByName(second)
+    own_rows = scanned.filter("kind < 0").select("run", *[none.alias(c) for c in ("docs", "katz", "base", "known")], "own")
+    together = own_rows.unionByName(answered.withColumn("own", F.lit(None).cast(scanned.schema["own"].dataType)))
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, katz double"
+    rows = together.groupBy("run").applyInArrow(added, schema)
     return rows.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + log - F.col("n_tokens") * F.lit(float(np.log10(total)))).alias("base_score"),
-        (F.col("katz") + F.coalesce("sum", zero) + log - F.coalesce("times", F.lit(0)) * F.lit(share)).alias("score"))
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total)))).alias("base_score"), F.col("katz").alias("score"))

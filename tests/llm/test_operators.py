@@ -331,7 +331,7 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classify(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
 
 
-@pytest.mark.parametrize("vocabulary", [20, 100_000])
+@pytest.mark.parametrize("vocabulary", [0, 20, 100_000])
 def test_language_model(spark, docs, empty, vocabulary):
     rows = cases.texts()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
@@ -340,9 +340,7 @@ def test_language_model(spark, docs, empty, vocabulary):
     n, v = sum(seen.values()), len(seen)
     p1 = lambda w: (seen[w] + 0.1) / (n + 0.1 * (v + 1))
     # the model, from its definition
-    known = {w for w, _ in sorted(((w, c) for w, c in seen.items() if w), key=lambda x: -x[1])[:vocabulary]}
-    name = lambda w: w if w in known or w == b"" else None
-    pairs = Counter(x for d, t in rows if not held(d) for x in zip([b"", *map(name, tokens(t))], map(name, tokens(t))))
+    pairs = Counter(x for d, t in rows if not held(d) for x in zip([b"", *tokens(t)], tokens(t)))
     d = language_model.discounts([sum(c == r for c in pairs.values()) for r in range(1, 7)])
     got = language_model.score(docs, vocabulary=vocabulary).collect()
     assert len(got) == len(rows)
@@ -351,31 +349,30 @@ def test_language_model(spark, docs, empty, vocabulary):
         by[r["doc_id"], round(r["base_score"], 6), r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]] += 1
     want = Counter((i, round(sum(math.log10(p1(w)) for w in tokens(t)), 6), len(tokens(t)), sum(seen[w] > 0 for w in tokens(t)), n, held(i)) for i, t in rows)
     assert by == want
-    if vocabulary > v:
-        group = {}
-        for (h, w), c in pairs.items():
-            group.setdefault(h, {})[w] = c
-        factor = lambda c: d[c] if c <= 5 else 1.0
-
-        def probability(h, w):
-            if h not in group:
-                return p1(w)
-            total, followers = sum(group[h].values()), group[h]
-            plain = all(c > 5 for c in followers.values())
-            total += plain
-            if w in followers:
-                return factor(followers[w]) * followers[w] / total
-            left = 1 - sum(factor(c) * c for c in followers.values()) / total
-            return left / (1 - sum(p1(x) for x in followers)) * p1(w)
-
-        for h in list(group)[:20]:  # every history's probabilities, the unknown word's included, sum to one
-            unknown = 0.1 / (n + 0.1 * (v + 1))
-            mass = sum(probability(h, w) for w in seen) + unknown / p1(b"x-unseen") * probability(h, b"x-unseen")
-            assert mass == pytest.approx(1)
-        scores = {r["doc_id"]: r["score"] for r in got}
-        for i, t in rows:
-            w = tokens(t)
-            assert scores[i] == pytest.approx(sum(math.log10(probability(a, b)) for a, b in zip([b"", *w], w)), rel=1e-9)
+    group = {}
+    for (h, w), c in pairs.items():
+        group.setdefault(h, {})[w] = c
+    factor = lambda c: d[c] if c <= 5 else 1.0
+
+    def probability(h, w):
+        if h not in group:
+            return p1(w)
+        total, followers = sum(group[h].values()), group[h]
+        plain = all(c > 5 for c in followers.values())
+        total += plain
+        if w in followers:
+            return factor(followers[w]) * followers[w] / total
+        left = 1 - sum(factor(c) * c for c in followers.values()) / total
+        return left / (1 - sum(p1(x) for x in followers)) * p1(w)
+
+    for h in list(group)[:20]:  # every history's probabilities, the unknown word's included, sum to one
+        unknown = 0.1 / (n + 0.1 * (v + 1))
+        mass = sum(probability(h, w) for w in seen) + unknown / p1(b"x-unseen") * probability(h, b"x-unseen")
+        assert mass == pytest.approx(1)
+    scores = {r["doc_id"]: r["score"] for r in got}
+    for i, t in rows:
+        w = tokens(t)
+        assert scores[i] == pytest.approx(sum(math.log10(probability(a, b)) for a, b in zip([b"", *w], w)), rel=1e-9)
     assert language_model.score(empty).count() == 0
 
 
