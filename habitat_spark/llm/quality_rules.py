@@ -4,11 +4,13 @@ Words are separated by white space (0x20, 0x09-0x0D). Base measures of each whol
 sequential covering grows conjunctions that pick out rejected texts (FOIL gain on two thirds of the labelled rows),
 prunes their last conditions on the other third, and drops rules that are not precise there. All counts come from
 Spark aggregates over every labelled row: a histogram of binned measures per step, never the rows themselves. The
-rules are given out as one ordered conditional expression.
+rules are given out as one ordered conditional expression. A rule grows while a condition gains anything and some good
+text is left in it; rules are learnt until one isn't precise. Thresholds are cut half-way between neighbouring
+quantiles of good and of bad texts' measures, BINS of each (approximate ones, to a thousandth).
 
 Null and empty texts have no words and fail the base test. Repeated labels of a document count as one, 1 only if
 all are 1. Repeated rows are judged one by one; other columns are ignored. Without labels no rule is learnt and
-the base test alone decides.
+the base test alone decides. Texts of any length are measured whole.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from .common import stored
 
 MIN_WORDS = 50
 BINS = 24
-MAX_RULES = 10
-MAX_CONDITIONS = 3
 #: A rule stays if at least this share of what it picks in the pruning rows is rejected by the labels.
 PRECISION = 0.95
 
@@ -121,10 +121,10 @@ def learn(counted: DataFrame, labels: DataFrame) -> list[list[Condition]]:
 
     rules: list[list[tuple[str, bool, int]]] = []
     left = rows
-    while len(rules) < MAX_RULES:
+    while True:
         rule: list[tuple[str, bool, int]] = []
         inside = left.filter("grow")
-        while len(rule) < MAX_CONDITIONS:
+        while True:
             table = histogram(inside.filter(fits(rule)))
             bad, good = (sum(next(iter(table.values()))[b]) for b in (True, False))
             if not bad or not good and rule:

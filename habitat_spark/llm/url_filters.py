@@ -3,11 +3,15 @@
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``,
 ``#`` or the end. Null urls and urls without ``://`` have both empty. A rule ``host/path`` fits its host and all
 subdomains if the path starts with the rule's; the longest rule wins. Urls that no rule fits are judged by the
-listed keys: the first level of the cascade encodes the listed keys, the next one the keys of the corpus that the
+listed keys, which are hosts: those of a given list, or else all hosts with some url that a block rule stops. The
+first level of the cascade encodes the listed keys, the next one the keys of the corpus that the
 first lets through wrongly, the next one the listed keys that those let through, and so on until none is left.
 The key universe is complete (all hosts of the corpus and all listed ones), so membership is exact, without joins.
+More listed keys than SHARD_KEYS are dealt by hash to several cascades, each asked about its own urls alone, so that
+what a plan holds stays bounded.
 
-Repeated rows are judged alike one by one; other columns are ignored; an empty list gives allow.
+Repeated rows are judged alike one by one; other columns are ignored; an empty list gives allow. An empty host (of a
+null url too) is a key like any other. Urls of any length are looked at whole.
 """
 
 from __future__ import annotations
@@ -18,17 +22,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import scratch_path, stored
 
 #: verdict, host and path; longer rules win over shorter ones.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: Words that list a host when one of its labels is such a word, alone or before a hyphen: a stand-in for a list of blocked hosts.
-LISTED_WORDS = ("adult", "ads", "casino", "cheap", "free", "spam")
-
-#: Bits of a level at most; a longer list of keys is matched by a semi join instead of a cascade.
-MAX_BITS = 1 << 24
+#: Listed keys of one cascade, at about 8 bits each for a level.
+SHARD_KEYS = 1_000_000
 FALSE_POSITIVES = 0.02
 
 
@@ -88,8 +90,8 @@ def _level(keys: DataFrame, count: int, seed: int) -> Level:
     return Level(json.dumps(table), bits, empty.hashes, seed)
 
 
-def cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | None:
-    """Levels for a universe of (key, listed); None if a level would pass max_bits."""
+def cascade(universe: DataFrame) -> list[Level]:
+    """Levels for a universe of (key, listed), each key once."""
     left = stored(universe, "url-keys")
     levels: list[Level] = []
     while True:
@@ -97,8 +99,6 @@ def cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | None
         count = left.filter(inside).count()
         if not count:
             return levels
-        if count * 12 > max_bits:
-            return None
         levels.append(_level(left.filter(inside), count, len(levels)))
         # the keys of this level stay in play, and so do those of the other side that it lets through
         left = stored(left.filter(inside | levels[-1].holds(F.col("key"))), "url-keys")
@@ -112,24 +112,28 @@ def member(key: Column, levels: list[Level]) -> Column:
     return verdict
 
 
-def listed_by_words(key: Column, words=LISTED_WORDS) -> Column:
-    return key.rlike(rf"(^|\.)({'|'.join(words)})(-|\.|$)")
-
-
-def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict. listed: column key, the hosts to block (default: by words)."""
+def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """Per page: page_id, host, path, rule, verdict. listed: column key, the hosts to block (default: those that block rules stop somewhere)."""
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    hosts = parts.select(F.col("host").alias("key")).distinct()
-    if listed is None:
-        universe = hosts.select("key", listed_by_words(F.col("key")).alias("listed"))
-    else:
-        both = hosts.select("key", F.lit(False).alias("listed")).union(listed.filter("key is not null").select(F.col("key").cast("string").alias("key"), F.lit(True).alias("listed")))
-        universe = both.groupBy("key").agg(F.bool_or("listed").alias("listed"))
-    universe = stored(universe, "url-universe")
-    levels = cascade(universe, max_bits)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    if levels is None:  # a list without a bound: its keys meet the pages by a shuffle
-        marked = parts.join(universe.filter("listed"), parts["host"] == universe["key"], "left").withColumn("blocked", F.col("key").isNotNull())
-    else:
-        marked = parts.withColumn("blocked", member(F.col("host"), levels))
-    return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    parts = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    stops = F.coalesce(F.col("ruled") == "block", F.lit(False)) if listed is None else F.lit(False)
+    hosts = parts.select(F.col("host").alias("key"), stops.alias("listed"))
+    if listed is not None:
+        hosts = hosts.union(listed.filter("key is not null").select(F.col("key").cast("string").alias("key"), F.lit(True).alias("listed")))
+    universe = stored(hosts.groupBy("key").agg(F.bool_or("listed").alias("listed")), "url-universe")
+    shards = max(1, -(-universe.filter("listed").count() // shard_keys))
+
+    def judged(rows: DataFrame, levels: list[Level]) -> DataFrame:
+        method = F.when(member(F.col("host"), levels), F.lit("block")).otherwise(F.lit("allow"))
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
+
+    if shards == 1:
+        return judged(parts, cascade(universe))
+    shard = lambda key: F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards)).cast("int")
+    dealt, path_ = scratch_path(pages.sparkSession, "url-parts"), scratch_path(pages.sparkSession, "url-verdicts")
+    parts.withColumn("shard", shard(F.col("host"))).write.partitionBy("shard").parquet(dealt)
+    dealt_parts = pages.sparkSession.read.schema(T.StructType([*parts.schema.fields, T.StructField("shard", T.IntegerType())])).parquet(dealt)
+    for i in range(shards):
+        judged(dealt_parts.filter(F.col("shard") == i), cascade(universe.filter(shard(F.col("key")) == i))).write.mode("append").parquet(path_)
+    return pages.sparkSession.read.schema(judged(parts, []).schema).parquet(path_)
