@@ -106,34 +106,38 @@ def fold_column(word: Column, ranks: dict[bytes, int]) -> Column:
         buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
     literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")  # folded to a literal when planned
 
-    def rank(text):
-        return F.coalesce(F.element_at(F.get(literal, (F.crc32(text.cast("binary")) % BUCKETS).cast("int")), text), F.lit(_NONE))
-
     def let(value, body):
         return F.element_at(F.transform(F.array(value), body), 1)
 
     empty = F.array().cast("array<int>")
     text = F.decode(word, "ISO-8859-1")
     parts = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(text, i, F.lit(1)))
-    start = let(parts, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda a, i: rank(F.concat(a, F.get(p, i + 1)))).alias("r")))
-
-    def join(s, q, w):
-        return F.struct(
-            F.concat(F.slice(s["p"], F.lit(1), q - 1), F.array(w), F.slice(s["p"], q + 2, F.size(s["p"]))).alias("p"),
-            F.concat(
-                F.slice(s["r"], F.lit(1), F.greatest(q - 2, F.lit(0))),
-                F.when(q > 1, F.array(rank(F.concat(F.get(s["p"], q - 2), w)))).otherwise(empty),
-                F.when(q < F.size(s["r"]), F.array(rank(F.concat(w, F.get(s["p"], q + 1))))).otherwise(empty),
-                F.slice(s["r"], q + 2, F.size(s["p"])),
-            ).alias("r"),
-        )
-
-    def step(s, _):
-        merged = lambda m: let(F.array_position(s["r"], m).cast("int"), lambda q: let(F.concat(F.get(s["p"], q - 1), F.get(s["p"], q)), lambda w: join(s, q, w)))
-        return F.when(F.size(s["r"]) == 0, s).otherwise(let(F.array_min(s["r"]), lambda m: F.when(m == _NONE, s).otherwise(merged(m))))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda s: F.transform(s["p"], rank))
-    return F.when(F.octet_length(word) == 0, empty).otherwise(folded)
+
+    def fold_with(table):
+        def rank(text):
+            return F.coalesce(F.element_at(F.get(table, (F.crc32(text.cast("binary")) % BUCKETS).cast("int")), text), F.lit(_NONE))
+
+        start = let(parts, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda a, i: rank(F.concat(a, F.get(p, i + 1)))).alias("r")))
+
+        def join(s, q, w):
+            return F.struct(
+                F.concat(F.slice(s["p"], F.lit(1), q - 1), F.array(w), F.slice(s["p"], q + 2, F.size(s["p"]))).alias("p"),
+                F.concat(
+                    F.slice(s["r"], F.lit(1), F.greatest(q - 2, F.lit(0))),
+                    F.when(q > 1, F.array(rank(F.concat(F.get(s["p"], q - 2), w)))).otherwise(empty),
+                    F.when(q < F.size(s["r"]), F.array(rank(F.concat(w, F.get(s["p"], q + 1))))).otherwise(empty),
+                    F.slice(s["r"], q + 2, F.size(s["p"])),
+                ).alias("r"),
+            )
+
+        def step(s, _):
+            merged = lambda m: let(F.array_position(s["r"], m).cast("int"), lambda q: let(F.concat(F.get(s["p"], q - 1), F.get(s["p"], q)), lambda w: join(s, q, w)))
+            return F.when(F.size(s["r"]) == 0, s).otherwise(let(F.array_min(s["r"]), lambda m: F.when(m == _NONE, s).otherwise(merged(m))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda s: F.transform(s["p"], rank))
+
+    # the map stands in the plan once
+    return F.when(F.octet_length(word) == 0, empty).otherwise(let(literal, fold_with))
 
 
 def _frequent_words(documents: DataFrame, pattern: str, most: int) -> DataFrame:
