@@ -32,27 +32,35 @@ def abundance_units(suffix: str) -> tuple[int, str]:
     return int(m[1] or 1), m[2].upper()
 
 
+#: Letters more than at first that short names may take until they differ.
+LONGER = 13
+
+
 def taxon_shorthands(taxa: list[str]) -> dict[str, str]:
-    """Short names that are unique: letters are added to both parts until no two taxa share one."""
-    distinct = list(dict.fromkeys(taxa))
-
-    def short(taxon: str, first: int, second: int) -> str:
-        words = [w for w in re.split(r"[_\s]+", taxon.lower()) if w]
-        if not words:
-            return ""
-        if words[0] in SHORTHAND and first == 1:
-            return SHORTHAND[words[0]]
-        return words[0][:first] + words[1][:second] if len(words) > 1 else words[0][:4]
-
-    names = {t: short(t, 1, 3) for t in distinct}
-    for sizes in ((3, 3), (6, 3), (6, 6)):
-        twice = {n for n, c in Counter(names.values()).items() if c > 1}
-        if not twice:
-            break
-        names |= {t: short(t, *sizes) for t, n in names.items() if n in twice}
-    left = [n for n, c in Counter(names.values()).items() if c > 1]
-    if left:
-        warnings.warn(f"taxa share a short name: {', '.join(left)}", stacklevel=2)
+    """Short names that are unique, whatever the taxa's case: names that come out alike get more letters of the first word."""
+    words = {t: [w for w in re.split(r"[_\s]+", t.lower()) if w] for t in taxa}
+
+    def name(taxon: str, more: int | None = None) -> str:
+        first, *rest = words[taxon] or [""]
+        if more is None and first in SHORTHAND:
+            return SHORTHAND[first]
+        if not rest:
+            return first[: 4 if more is None else 6 + more]
+        return first[: 1 if more is None else 3 + more] + rest[0][:3]
+
+    names = {t: name(t) for t in words}
+    groups: dict[str, list[str]] = {}
+    for t, short in names.items():
+        groups.setdefault(short, []).append(t)
+    for short, members in groups.items():
+        kinds = len({t.lower() for t in members})
+        if kinds < 2:
+            continue
+        more = next((m for m in range(LONGER) if len({name(t, m) for t in members}) == kinds), None)
+        if more is None:
+            warnings.warn(f"taxa share the short name {short}: {', '.join(members)}", stacklevel=2)
+        else:
+            names |= {t: name(t, more) for t in members}
     return names
 
 

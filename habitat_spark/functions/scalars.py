@@ -41,30 +41,42 @@ def jday(year: Column, month: Column, day: Column) -> Column:
     return F.dayofyear(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
 
 
-def split_date(text: Column) -> tuple[Column, Column, Column]:
-    """(year, month, day) of a whole ``dd-MON-yy``, ``dd-MON-yyyy``, ``yyyy-MM-dd`` or ``MM/dd/yyyy`` (or ``yy``).
+#: Date formats in the order they are tried.
+DATE_FORMATS = ("%d-%b-%y", "%d-%b-%Y", "%Y-%m-%d", "%m/%d/%Y", "%m/%d/%y")
+_PARTS = {"%d": r"(\d{1,2})", "%m": r"(\d{1,2})", "%b": r"([A-Z]{3})", "%Y": r"(\d{4})", "%y": r"(\d{2})"}
+
 
-    Two-digit years from 69 on are of the 1900s. Anything else gives nulls.
+def dated(text: Column, form: str) -> tuple[Column, Column, Column]:
+    """(year, month, day) of a whole date of one format; nulls for anything else.
+
+    Two-digit years from 69 on are of the 1900s.
     """
+    order = [form[i + 1] for i, c in enumerate(form) if c == "%"]
+    regex = form
+    for sign, pattern in _PARTS.items():
+        regex = regex.replace(sign, pattern)
+    regex = f"^{regex}$"
     t = F.upper(F.trim(text))
-    named, iso, slashed = r"^(\d{1,2})-([A-Z]{3})-(\d{4}|\d{2})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
-    part = lambda regex, i: F.regexp_extract(t, regex, i)
-    whole = lambda s: F.expr("null").cast("int") if s is None else s.try_cast("int")
-    short = F.coalesce(F.nullif(part(named, 3), F.lit("")), F.nullif(part(slashed, 3), F.lit("")))
-    number = whole(short)
-    year = F.when(F.length(short) == 4, number).when(number >= 69, number + 1900).otherwise(number + 2000)
-    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(named, 2)).cast("int"), F.lit(0))
-    year = F.when(t.rlike(iso), whole(part(iso, 1))).otherwise(year)
-    month = F.when(t.rlike(iso), whole(part(iso, 2))).when(t.rlike(slashed), whole(part(slashed, 1))).otherwise(month)
-    day = F.when(t.rlike(iso), whole(part(iso, 3))).when(t.rlike(slashed), whole(part(slashed, 2))).otherwise(whole(part(named, 1)))
+    part = {x: F.nullif(F.regexp_extract(t, regex, i + 1), F.lit("")) for i, x in enumerate(order)}
+    whole = lambda c: c.try_cast("int")
+    year = whole(part["Y"]) if "Y" in part else F.when(whole(part["y"]) >= 69, whole(part["y"]) + 1900).otherwise(whole(part["y"]) + 2000)
+    month = whole(part["m"]) if "m" in part else F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part["b"]).cast("int"), F.lit(0))
+    day = whole(part["d"])
     good = jday(year, month, day).isNotNull()
     return tuple(F.when(good, c) for c in (year, month, day))
 
 
-def shorthand(taxon: Column, first: int = 1, second: int = 3) -> Column:
-    """Initial of the first word and three letters of the second; four letters of a single word."""
+def split_date(text: Column) -> tuple[Column, Column, Column]:
+    """The same in the first of DATE_FORMATS that each value has."""
+    found = [dated(text, f) for f in DATE_FORMATS]
+    return tuple(F.coalesce(*[f[i] for f in found]) for i in range(3))
+
+
+def shorthand(taxon: Column, more: int | None = None) -> Column:
+    """Initial of the first word and three letters of the second, or four letters of a single word; with more, 3 + more or 6 + more of the first."""
     words = F.split(F.lower(taxon), r"[ _]+")
-    return F.when(F.size(words) > 1, F.concat(F.substring(words[0], 1, first), F.substring(words[1], 1, second))).otherwise(F.substring(words[0], 1, 4))
+    first, single = (1, 4) if more is None else (3 + more, 6 + more)
+    return F.when(F.size(words) > 1, F.concat(F.substring(words[0], 1, first), F.substring(words[1], 1, 3))).otherwise(F.substring(words[0], 1, single))
 
 
 def transform(name: str, x: Column) -> Column:
@@ -97,7 +109,3 @@ def cell_index(lon: Column, lat: Column, x0: float, y0: float, dx: float, dy: fl
 def rounded_threshold(x: Column) -> Column:
     """From 1500 on, the nearest thousand, halves to even."""
     return F.when(F.isnan(x) | x.isNull() | (x < 1500), x).otherwise(F.bround(x / 1000, 0) * 1000)
-
-
-def half_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)

@@ -6,8 +6,6 @@ ranges of scores, and each range starts from the sum of those before it, so no s
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,26 +19,30 @@ def tie_runs(df: DataFrame) -> DataFrame:
     return df.groupBy("score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
 
 
-def running(df: DataFrame, columns: list[str], by: str = "score", low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Totals down descending values of by, as run_<column>, and of all rows, as all_<column>.
+def running(df: DataFrame, columns: list[str], by: str = "score", low: float = 0.0, high: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Totals down descending values of by, as run_<column>, and of all rows, as all_<column>; of each of keys' values.
 
     by lies between low and high; its range is cut into RANGES equal parts.
     """
     part = F.least(F.greatest(F.floor((F.col(by) - low) / (high - low) * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int")
     rows = df.withColumn("_part", part)
-    every = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    sums = rows.groupBy("_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])  # RANGES rows at most
-    sums = sums.select("_part", *[F.coalesce(F.sum(f"_s_{c}").over(every), F.lit(0)).alias(f"_o_{c}") for c in columns], *[F.sum(f"_s_{c}").over(whole).alias(f"all_{c}") for c in columns])
-    inside = W.partitionBy("_part").orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(sums), "_part").select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
-    return out
+    every = W.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
+    sums = rows.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])  # RANGES rows at most, for each of keys
+    sums = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_s_{c}").over(every), F.lit(0)).alias(f"_o_{c}") for c in columns], *[F.sum(f"_s_{c}").over(whole).alias(f"all_{c}") for c in columns])
+    inside = W.partitionBy(*keys, "_part").orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(F.broadcast(sums), [*keys, "_part"]).select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
 
 
 def curve(df: DataFrame) -> DataFrame:
     """For each cutoff (score >= cutoff is called a patch): tp, fp, and the numbers of positives and negatives."""
-    r = running(tie_runs(df), ["pos", "neg"])
-    return r.select("score", "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"), F.col("all_pos").alias("p"), F.col("all_neg").alias("n"))
+    return curve_of(tie_runs(df))
+
+
+def curve_of(runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same of (score, pos, neg) rows, for each of keys' values."""
+    r = running(runs, ["pos", "neg"], keys=keys)
+    return r.select(*keys, "score", "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"), F.col("all_pos").alias("p"), F.col("all_neg").alias("n"))
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -69,21 +71,28 @@ def best_cutoff(df: DataFrame) -> DataFrame:
     return best.filter("b is not null").select(F.col("b.score").alias("cutoff"), F.col("b.tss").alias("tss"))
 
 
-def roc_auc(df: DataFrame) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties counting a half."""
-    c = curve(df)
+def _auc() -> Column:
+    """roc_auc, over rows of a curve."""
     # each run of ties has, below it, the negatives that no cutoff up to it calls
     wins = F.col("pos") * (F.col("n") - F.col("fp")) + F.col("pos") * F.col("neg") / F.lit(2)
-    return c.agg(F.try_divide(F.sum(wins.cast("decimal(28,1)")).cast("double"), (F.max("p") * F.max("n")).cast("double")).alias("roc_auc"))
+    return F.try_divide(F.sum(wins.cast("decimal(28,1)")).cast("double"), (F.max("p") * F.max("n")).cast("double"))
 
 
-def pr_auc(df: DataFrame) -> DataFrame:
-    """Area under precision over recall by trapezoids from (0, 1)."""
-    c = curve(df)
+def _pr_auc() -> Column:
     before_tp, before_all = F.col("tp") - F.col("pos"), F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
     previous = F.when(before_all > 0, ratio(before_tp, before_all)).otherwise(F.lit(1.0))
     piece = ratio("pos", "p") * (ratio(F.col("tp"), F.col("tp") + F.col("fp")) + previous) / 2
-    return c.agg(F.sum(piece.cast("decimal(38,18)")).cast("double").alias("pr_auc"))
+    return F.sum(piece.cast("decimal(38,18)")).cast("double")
+
+
+def roc_auc(df: DataFrame) -> DataFrame:
+    """Share of (positive, negative) pairs in the right order, ties counting a half."""
+    return curve(df).agg(_auc().alias("roc_auc"))
+
+
+def pr_auc(df: DataFrame) -> DataFrame:
+    """Area under precision over recall by trapezoids from (0, 1)."""
+    return curve(df).agg(_pr_auc().alias("pr_auc"))
 
 
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -120,39 +129,75 @@ def kappa() -> Column:
     return F.try_divide((tp + tn) / n - chance, 1 - chance)
 
 
+def _counts_at(cutoff: float) -> list[Column]:
+    """tp, fp, fn and tn at a cutoff, over rows of a curve or of ties."""
+    one = lambda c, called: F.coalesce(F.sum(F.when(called, F.col(c))), F.lit(0)).cast("long")
+    yes = F.col("score") >= cutoff
+    return [one("pos", yes).alias("tp"), one("neg", yes).alias("fp"), one("pos", ~yes).alias("fn"), one("neg", ~yes).alias("tn")]
+
+
+def fold_runs(df: DataFrame) -> DataFrame:
+    """(fold, score, pos, neg), one row for each distinct score of a fold."""
+    return df.groupBy("fold", "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+
+
+def fold_values_of(runs: DataFrame) -> DataFrame:
+    """fold_values, from fold_runs: one aggregate over all folds' curves."""
+    found = curve_of(runs, ("fold",)).groupBy("fold").agg(_auc().alias("roc_auc"), *_counts_at(0.5))
+    return rates(found).select("fold", kappa().alias("kap"), "sens", "spec", "roc_auc")
+
+
 def fold_values(df: DataFrame) -> DataFrame:
-    """A row for each fold: roc_auc, kap, sens and spec at one half. All folds in the same aggregates."""
-    runs = df.groupBy("fold", "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
-    w = W.partitionBy("fold").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    wins = F.col("pos") * F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("pos") * F.col("neg") / F.lit(2)
-    auc = runs.withColumn("w", wins).groupBy("fold").agg(F.try_divide(F.sum(F.col("w").cast("decimal(28,1)")).cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
-    at = rates(df.groupBy("fold").agg(*counts(F.col("score") >= 0.5)))
-    return at.select("fold", kappa().alias("kap"), "sens", "spec").join(auc, "fold")
+    """A row for each fold: roc_auc, kap, sens and spec at one half. Totals run inside ranges of each fold's scores."""
+    return fold_values_of(fold_runs(df))
+
+
+FOLD_METRICS = ["roc_auc", "kap", "sens", "spec"]
+
+
+def _fold_row(folds: DataFrame) -> DataFrame:
+    """One row with mean_, err_ and n_ of each metric over folds."""
+    return folds.agg(*[x for m in FOLD_METRICS for x in (F.avg(m).alias(f"mean_{m}"), (F.stddev_samp(m) / F.sqrt(F.count(m))).alias(f"err_{m}"), F.count(m).alias(f"n_{m}"))])
+
+
+def _as_rows(df: DataFrame, names: list[str], rows: list[list]) -> DataFrame:
+    """The rows' values, lists of columns of a frame of one row, as rows under names."""
+    return df.select(F.inline(F.array(*[F.struct(*[v.alias(n) for n, v in zip(names, r)]) for r in rows])))
 
 
 def fold_metrics(df: DataFrame) -> DataFrame:
     """(metric, mean, std_err, n) over folds, with tss from the means of sens and spec."""
-    names = ["roc_auc", "kap", "sens", "spec"]
-    long = fold_values(df).unpivot(["fold"], names, "metric", "value")
-    out = long.groupBy("metric").agg(F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("std_err"), F.count("value").alias("n"))
-    tss = out.agg((F.max(F.when(F.col("metric") == "sens", F.col("mean"))) + F.max(F.when(F.col("metric") == "spec", F.col("mean"))) - 1).alias("mean"), F.max("n").alias("n"))
-    return out.unionByName(tss.select(F.lit("tss").alias("metric"), "mean", F.lit(None).cast("double").alias("std_err"), "n"))
+    c = F.col
+    rows = [[F.lit(m), c(f"mean_{m}"), c(f"err_{m}"), c(f"n_{m}")] for m in FOLD_METRICS]
+    tss = [F.lit("tss"), c("mean_sens") + c("mean_spec") - 1, F.lit(None).cast("double"), F.greatest(*[f"n_{m}" for m in FOLD_METRICS])]
+    return _as_rows(_fold_row(fold_values(df)), ["metric", "mean", "std_err", "n"], [*rows, tss])
 
 
 def evaluation_table(df: DataFrame) -> DataFrame:
     """(metric, kind, threshold, value, std_err): ranking rows, those at one half, those at the best cutoff.
 
     roc_auc is the mean of folds; the rows at one half carry the folds' standard errors; all other values are pooled.
+    Rows are collapsed once, to the distinct scores of each fold; the pooled curve and the folds' come from that.
     """
+    runs = fold_runs(df)
+    c = curve_of(runs.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    sens, spec = ratio("tp", "p"), 1 - ratio("fp", "n")
+    point = F.struct(F.col("score").alias("score"), sens.alias("sens"), spec.alias("spec"), (sens + spec - 1).alias("tss"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    tss = F.when((sens + spec).isNotNull(), F.struct((sens + spec - 1).alias("tss"), F.col("score").alias("score")))
+    pooled = rates(c.agg(_pr_auc().alias("pr_auc"), F.max_by(point, tss).alias("best"), *_counts_at(0.5)))
+    one = pooled.join(F.broadcast(_fold_row(fold_values_of(runs))))  # one row beside another
     none = F.lit(None).cast("double")
-    folds = fold_metrics(df)
-    head = folds.filter("metric = 'roc_auc'").select("metric", F.lit("rank").alias("kind"), none.alias("threshold"), F.col("mean").alias("value"), "std_err")
-    pr = pr_auc(df).select(F.lit("pr_auc").alias("metric"), F.lit("rank").alias("kind"), none.alias("threshold"), F.col("pr_auc").alias("value"), none.alias("std_err"))
-    half = metrics_at(df, 0.5).join(folds.select("metric", "std_err"), "metric", "left").select("metric", F.lit("default").alias("kind"), F.lit(0.5).alias("threshold"), "value", "std_err")
-    c = threshold_curve(df).join(pr_curve(df).select("score", "precision"), "score").filter("tss is not null")
-    best = c.agg(F.max_by(F.struct("score", *METRICS), F.struct("tss", "score")).alias("b")).select("b.*")
-    best = best.unpivot(["score"], METRICS, "metric", "value").select("metric", F.lit("best").alias("kind"), F.col("score").alias("threshold"), "value", none.alias("std_err"))
-    return reduce(DataFrame.unionByName, [head, pr, half, best])
+    err = {"sens": F.col("err_sens"), "spec": F.col("err_spec")}
+    rows = [[F.lit("roc_auc"), F.lit("rank"), none, F.col("mean_roc_auc"), F.col("err_roc_auc")], [F.lit("pr_auc"), F.lit("rank"), none, F.col("pr_auc"), none]]
+    rows += [[F.lit(m), F.lit("default"), F.lit(0.5), F.col(m), err.get(m, none)] for m in METRICS]
+    rows += [[F.lit(m), F.lit("best"), F.col("best")["score"], F.col("best")[m], none] for m in METRICS]
+    return _as_rows(one, ["metric", "kind", "threshold", "value", "std_err"], rows).filter("kind <> 'best' or threshold is not null")
+
+
+def with_bounds(table: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The evaluation table with lower and upper of bootstrap series, met by metric and kind (which is carried, not guessed from the cutoff)."""
+    name = F.when(F.col("kind") == "rank", F.col("metric")).otherwise(F.concat_ws("_", "metric", F.when(F.col("kind") == "default", "half").otherwise("best")))
+    return table.withColumn("series", name).join(F.broadcast(bounds.select("series", "lower", "upper")), "series", "left").drop("series")
 
 
 def stratified_folds(df: DataFrame, v: int = 5, seed_order: Column | None = None, key: str = "station_id") -> DataFrame:

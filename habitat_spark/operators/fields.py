@@ -23,11 +23,12 @@ def lagged(df: DataFrame, column: str, n: int = 1, name: str | None = None) -> D
     return df.withColumn(name or f"{column}_lag{n}", F.lag(column, n).over(_series()))
 
 
-def temporal_gradient(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """Change since the previous step, a month."""
+def temporal_gradient(df: DataFrame, column: str, name: str | None = None, per: str = "month") -> DataFrame:
+    """Change since the previous step, a month, a day (from the first of one month to that of the other) or a step."""
     w = _series()
     months = F.col("year") * 12 + F.col("month")
-    elapsed = months - F.lag(months, 1).over(w)
+    first = F.make_date("year", "month", F.lit(1))
+    elapsed = {"month": months - F.lag(months, 1).over(w), "day": F.datediff(first, F.lag(first, 1).over(w)), "step": F.lit(1)}[per]
     return df.withColumn(name or f"{column}_dt", (F.col(column) - F.lag(column, 1).over(w)) / elapsed)
 
 
@@ -80,14 +81,29 @@ def horizontal_gradient(df: DataFrame, column: str, spacing_u: int, name: str |
 def distance_to(df: DataFrame, mask: Column, name: str) -> DataFrame:
     """Kilometres (planar, by latitude of the cell) to the nearest cell of the step where mask holds; null if none.
 
-    Only the masked cells of a step are candidates; the least distance is kept by a partial aggregate.
+    The square of a distance is a sum over both axes, so it is found along grid lines: first, in each column of the
+    lattice, the nearest masked cell above and below each row (a window over one grid line); then, in each row, the
+    least sum over the columns. No cell meets more than one grid line of others. Cells of a column share their lon_u,
+    those of a row their lat_u.
     """
-    cells = df.filter(mask).select("year", "month", F.col("lon_u").alias("_lon"), F.col("lat_u").alias("_lat"))
-    near = df.select("cell", "year", "month", "lon_u", "lat_u").join(cells, ["year", "month"])
-    dx = (F.col("lon_u") - F.col("_lon")) / 1e6 * F.cos(F.radians(F.col("lat_u") / 1e6))
-    dy = (F.col("lat_u") - F.col("_lat")) / 1e6
-    least = near.groupBy("cell", "year", "month").agg(F.min(dx * dx + dy * dy).alias("_d"))
-    return df.join(least, ["cell", "year", "month"], "left").withColumn(name, F.sqrt("_d") * KM_PER_DEGREE).drop("_d")
+    step = ["year", "month"]
+    masked = df.filter(mask).select(*step, "ix", "iy", F.col("lat_u").alias("_at"))
+    columns = df.filter(mask).groupBy(*step, "ix").agg(F.first("lon_u").alias("_lon"))
+    rows = df.groupBy(*step, "iy").agg(F.first("lat_u").alias("_lat"))
+    every = rows.join(columns, step).join(masked, [*step, "ix", "iy"], "left")  # the lattice of each step, for masked columns
+    line = W.partitionBy(*step, "ix").orderBy("iy")
+    up = F.last("_at", True).over(line.rowsBetween(W.unboundedPreceding, 0))
+    down = F.first("_at", True).over(line.rowsBetween(0, W.unboundedFollowing))
+    off = lambda at: ((F.col("_lat") - at) / 1e6) * ((F.col("_lat") - at) / 1e6)
+    near = every.select(*step, "iy", "_lon", F.least(off(up), off(down)).alias("_dy2")).groupBy(*step, "iy").agg(F.collect_list(F.struct("_lon", "_dy2")).alias("_near"))  # one grid line
+    cells = df.groupBy(*step, "iy").agg(F.collect_list(F.struct("cell", "lon_u", "lat_u")).alias("_cells"))
+
+    def least(c: Column) -> Column:
+        dx = lambda x: (c["lon_u"] - x["_lon"]) / 1e6 * F.cos(F.radians(c["lat_u"] / 1e6))
+        return F.array_min(F.transform("_near", lambda x: dx(x) * dx(x) + x["_dy2"]))
+
+    found = cells.join(near, [*step, "iy"]).select(*step, F.explode(F.transform("_cells", lambda c: F.struct(c["cell"].alias("cell"), least(c).alias("_d")))).alias("_c")).select(*step, "_c.*")
+    return df.join(found, ["cell", *step], "left").withColumn(name, F.sqrt("_d") * KM_PER_DEGREE).drop("_d")
 
 
 def front_distance(df: DataFrame, column: str, spacing_u: int, quantile: float = 0.5, name: str = "front_dist") -> DataFrame:
@@ -107,6 +123,13 @@ def contour_distance(df: DataFrame, column: str, level: float, name: str = "cont
     return distance_to(out.withColumn("_cross", crosses), F.col("_cross"), name).drop("west", "east", "south", "north", "_cross")
 
 
+def contour_distances(df: DataFrame, column: str, levels: list[float], prefix: str) -> DataFrame:
+    """A column <prefix>_<level> for each level."""
+    for level in levels:
+        df = contour_distance(df, column, level, f"{prefix}_{level:g}")
+    return df
+
+
 def upscaled(df: DataFrame, column: str, factor: int, method: str = "mean") -> DataFrame:
     """Cells of a coarser lattice, each combining factor x factor cells of the step."""
     agg = {"mean": S.exact_mean(column), "median": F.median(column), "min": F.min(column), "max": F.max(column)}[method]
@@ -136,14 +159,30 @@ def downscaled_bilinear(fine: DataFrame, coarse: DataFrame, column: str, factor:
     return got.groupBy("cell", "year", "month").agg(F.when(F.count("_v") == 4, F.sum(weight * F.col("_v"))).alias(column))
 
 
-def downscaled_idw(fine: DataFrame, coarse: DataFrame, column: str, k: int = 4) -> DataFrame:
-    """Fine cells with the inverse-square-distance mean of their k nearest coarse cells of the step."""
-    pairs = fine.select("cell", "year", "month", "lon_u", "lat_u").join(coarse.select("year", "month", F.col("lon_u").alias("_x"), F.col("lat_u").alias("_y"), F.col(column).alias("_v")), ["year", "month"])
+def downscaled_idw(fine: DataFrame, coarse: DataFrame, column: str, k: int = 4, reach: int = 3) -> DataFrame:
+    """Fine cells with the inverse-square-distance mean of their k nearest coarse cells of the step.
+
+    Candidates are the coarse cells in a square of 2 * reach + 1 around the fine one's own (by an equi-join on tiles of
+    that square's half), where all closer ones are. A fine cell that has fewer than k of them, or whose k-th is further
+    off than the square's edge can be, looks at every coarse cell of its step. Ties: the one further west, then south.
+    """
+    step = ["year", "month"]
+    wide = spacing(coarse).select((F.col("spacing") * 1e6).cast("long").alias("_w"))  # one row
+    tile = lambda c: F.floor(F.col(c) / (F.col("_w") * reach)).cast("long")
+    values = coarse.filter(F.col(column).isNotNull()).select(*step, F.col("lon_u").alias("_x"), F.col("lat_u").alias("_y"), F.col(column).alias("_v"))
+    tiled = values.join(F.broadcast(wide)).withColumns({"_tx": tile("_x"), "_ty": tile("_y")}).drop("_w")
+    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i as i, j as j))))"))
+    asked = fine.select("cell", *step, "lon_u", "lat_u").join(F.broadcast(wide))
+    spots = asked.withColumn("_o", around).withColumns({"_tx": tile("lon_u") + F.col("_o.i"), "_ty": tile("lat_u") + F.col("_o.j")}).drop("_o")
     d2 = (F.pow(F.col("lon_u") - F.col("_x"), 2) + F.pow(F.col("lat_u") - F.col("_y"), 2)) / 1e12
-    w = W.partitionBy("cell", "year", "month").orderBy("_d", "_x", "_y")
-    top = pairs.filter("_v is not null").withColumn("_d", d2).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    near = 1 / F.greatest(F.col("_d"), F.lit(1e-12))
-    return top.groupBy("cell", "year", "month").agg((F.sum(near * F.col("_v")) / F.sum(near)).alias(column))
+    best = lambda pairs: pairs.withColumn("_d", d2).groupBy("cell", *step, "lon_u", "lat_u", "_w").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_x", "_y", "_v"))), 1, k).alias("_n"))
+    first = best(spots.join(tiled, [*step, "_tx", "_ty"]))
+    sure = (F.size("_n") == k) & (F.element_at("_n", -1)["_d"] <= F.pow(F.col("_w") * reach / 1e6, 2))
+    rest = asked.join(first.filter(sure).select("cell", *step), ["cell", *step], "left_anti")
+    every = best(rest.join(values, step))
+    near = lambda x: 1 / F.greatest(x["_d"], F.lit(1e-12))
+    total = lambda f: F.aggregate("_n", F.lit(0.0), lambda s, x: s + f(x))
+    return first.filter(sure).unionByName(every).select("cell", *step, (total(lambda x: near(x) * x["_v"]) / total(near)).alias(column))
 
 
 def spacing(df: DataFrame, axes=("lon_u", "lat_u")) -> DataFrame:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STEP = ["year", "month"]
@@ -38,12 +39,6 @@ def distance2(a: str, b: str) -> Column:
     return dx * dx + dy * dy
 
 
-def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle distance of points in degrees."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0088 * F.asin(F.sqrt(a))
-
-
 def nearest_naive(points: DataFrame, key: list[str], grid: DataFrame, values: list[str], step: list[str] = STEP, left: bool = False) -> DataFrame:
     """Every cell of the step is a candidate of each point; the least (distance, cell) is kept by partial aggregates."""
     cells = grid.select(*step, F.col("cell"), F.col("lon_u").alias("g_lon_u"), F.col("lat_u").alias("g_lat_u"), *values)
@@ -54,14 +49,27 @@ def nearest_naive(points: DataFrame, key: list[str], grid: DataFrame, values: li
 
 
 def nearest(points: DataFrame, key: list[str], grid: DataFrame, values: list[str], lattice: Lattice, step: list[str] = STEP, left: bool = False) -> DataFrame:
-    """The same rows as nearest_naive, on a lattice: a point's own cell by an equi-join, and only the points whose
-    cell is missing in their step look at that step's other cells."""
+    """The same rows as nearest_naive, on a lattice: a point's own cell by an equi-join; a point whose cell is missing
+    in its step looks, in each column of the lattice, at the next cell above and below its row."""
     ix, iy = lattice.snap(F.col("lon_u"), F.col("lat_u"))
     cells = grid.select(*step, F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), F.col("cell"), F.col("lon_u").alias("g_lon_u"), F.col("lat_u").alias("g_lat_u"), *values)
     own = points.withColumn("_ix", ix).withColumn("_iy", iy).join(cells, [*step, "_ix", "_iy"], "left")
     found = own.filter(F.col("cell").isNotNull()).withColumn("dist2", distance2("", "g_")).select(*points.columns, "dist2", "cell", *values)
-    missing = own.filter(F.col("cell").isNull()).select(*points.columns)
-    return found.unionByName(nearest_naive(missing, key, grid, values, step, left))
+    missing = own.filter(F.col("cell").isNull()).select(*points.columns, "_iy")
+    # in a column, the nearest cell is the last one up to the point's row or the first one from it on; of two cells at
+    # one distance the lower number counts, so both are kept
+    columns = cells.select(*step, "_ix").distinct()
+    rows = missing.select(*step, "_iy").distinct()
+    spots = rows.join(columns, step).select(*step, "_ix", "_iy", F.lit(True).alias("_ask"))
+    held = F.struct("cell", "g_lon_u", "g_lat_u", *values)
+    both = spots.join(cells.select(*step, "_ix", "_iy", held.alias("_c")), [*step, "_ix", "_iy"], "full_outer")
+    line = W.partitionBy(*step, "_ix").orderBy("_iy")
+    near = F.array(F.last("_c", True).over(line.rowsBetween(W.unboundedPreceding, 0)), F.first("_c", True).over(line.rowsBetween(0, W.unboundedFollowing)))
+    lines = both.withColumn("_n", near).filter("_ask").groupBy(*step, "_iy").agg(F.array_distinct(F.flatten(F.collect_list(F.filter("_n", lambda c: c.isNotNull())))).alias("_n"))  # two cells for each column
+    dx, dy = (lambda c: F.col("lon_u").cast("long") - c["g_lon_u"].cast("long")), (lambda c: F.col("lat_u").cast("long") - c["g_lat_u"].cast("long"))
+    best = F.array_min(F.transform("_n", lambda c: F.struct((dx(c) * dx(c) + dy(c) * dy(c)).alias("dist2"), c["cell"].alias("cell"), *[c[v].alias(v) for v in values])))
+    far = missing.join(lines, [*step, "_iy"], "left" if left else "inner").withColumn("_best", best).select(*points.columns, "_best.*")
+    return found.unionByName(far)
 
 
 def index_join(df: DataFrame, index: DataFrame, step: list[str] = STEP) -> DataFrame:
@@ -76,10 +84,11 @@ def filled(df: DataFrame, target: str, other: str) -> DataFrame:
 
 
 def rescaled(df: DataFrame, other: str, target: str) -> DataFrame:
-    """other with the mean and spread that target has where both are set."""
+    """other with the mean and spread that target has where both are set; as it was where it is constant there."""
     both = df.filter(F.col(other).isNotNull() & F.col(target).isNotNull())
-    m1, s1, m2, s2 = both.agg(F.avg(other), F.stddev_samp(other), F.avg(target), F.stddev_samp(target)).first()
-    return df if not s1 else df.withColumn(other, (F.col(other) - m1) / s1 * s2 + m2)
+    moments = both.agg(F.avg(other).alias("_m1"), F.stddev_samp(other).alias("_s1"), F.avg(target).alias("_m2"), F.stddev_samp(target).alias("_s2"))  # one row
+    moved = (F.col(other) - F.col("_m1")) / F.col("_s1") * F.col("_s2") + F.col("_m2")
+    return df.join(F.broadcast(moments)).withColumn(other, F.when(F.col("_s1") > 0, moved).otherwise(F.col(other))).select(*df.columns)
 
 
 def rounded_key(u: Column, to: int = 100_000) -> Column:

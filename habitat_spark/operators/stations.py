@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +34,67 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(how="any", subset=there) if there else df
 
 
-def threshold(df: DataFrame, percentile: float | None = 0.9, absolute: float | None = None, rounded: bool = True, value: str = "abundance") -> float:
-    """The patch threshold: given, or an interpolated percentile (rounded from 1500 on). One aggregate over value alone."""
+#: Distinct values that are brought together to look up an order statistic.
+FEW = 1000
+
+
+def percentile_of(df: DataFrame, share: float, value: str = "abundance", span=None) -> float | None:
+    """The interpolated percentile of all values; null without values. span: their (n, low, high), if known.
+
+    No step holds more than a bounded number of values: each pass cuts the range by approximate quantiles, counts what
+    lies between them, and goes on with the part that has the wanted places, until that has few distinct values.
+    """
+    v = F.col(value).cast("double")
+    rows = df.filter(v.isNotNull()).select(v.alias("v")).persist()  # one column
+    try:
+        n, low, high = span or rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+        if not n:
+            return None
+        at = share * (n - 1)
+        first, last = int(at), min(int(at) + 1, n - 1)
+        below = 0
+        while True:
+            part = rows.filter(F.col("v").between(low, high))
+            values = part.groupBy("v").agg(F.count("*").alias("c")).limit(FEW + 1).collect()
+            if len(values) <= FEW:
+                break
+            cuts = sorted({low, high, *part.agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 10_000)).first()[0]})
+            up_to = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v")))  # the cut up to which a value lies
+            sizes = sorted(part.groupBy(up_to.alias("s"), (F.col("v") == F.get(F.array(*[F.lit(c) for c in cuts]), up_to)).alias("on")).count().collect())  # two rows for each cut
+            seen, places = below, []
+            for s, on, count in sizes:
+                places += [(s, on, seen)] * sum(seen <= place < seen + count for place in {first, last})
+                seen += count
+            (s, on, below), (t, *_) = places[0], places[-1]
+            # values on a cut are a part of their own; those before it begin just above the cut before
+            low, high = cuts[s] if on else math.nextafter(cuts[s - 1], math.inf), cuts[t]
+        found = {}
+        for v_, c in sorted(values):
+            found |= {place: v_ for place in (first, last) if below <= place < below + c}
+            below += c
+        return found[first] + (found[last] - found[first]) * (at - first)
+    finally:
+        rows.unpersist()
+
+
+def rounded(cut: float) -> float:
+    """From 1500 on, the nearest thousand, halves to even."""
+    return cut if cut < 1500 else round(cut / 1000) * 1000.0
+
+
+def threshold(df: DataFrame, percentile: float | None = 0.9, absolute: float | None = None, round_: bool = True, value: str = "abundance") -> float:
+    """The patch threshold: given, or an interpolated percentile (rounded from 1500 on)."""
     if absolute is not None:
         return float(absolute)
-    raw = F.percentile(value, percentile)
-    low, high, cut = df.agg(F.min(value), F.max(value), S.rounded_threshold(raw) if rounded else raw).first()
+    n, low, high = df.agg(F.count(value), F.min(value).cast("double"), F.max(value).cast("double")).first()
     if high is None:
         raise ValueError("no station has an abundance")
     if high == 0:
         raise ValueError("every abundance is zero")
     if low == high:
         raise ValueError("all abundances are the same")
-    return float(cut)
+    cut = percentile_of(df, percentile, value, (n, low, high))
+    return float(rounded(cut) if round_ else cut)
 
 
 def labelled(df: DataFrame, cut: float, min_rows: int = 100, check: bool = True) -> DataFrame:

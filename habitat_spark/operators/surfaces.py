@@ -54,20 +54,6 @@ def worst_month(df: DataFrame, predictors: list[str]) -> DataFrame:
     return steps.agg(F.min_by(F.struct("*"), F.struct(share, "year", "month")).alias("s")).select("s.*")
 
 
-def reference_ranges(train: DataFrame, predictors: list[str]) -> DataFrame:
-    """Collapsed training values of each predictor: (variable, v, below, n, lo, hi).
-
-    below: training values strictly under v, so the values' distribution is looked up and not scanned again.
-    """
-    from pyspark.sql import Window as W
-
-    long = train.select(*predictors).unpivot([], predictors, "variable", "v").filter("v is not null")
-    counts = long.groupBy("variable", "v").agg(F.count("*").alias("c"))
-    w = W.partitionBy("variable").orderBy("v")
-    every = W.partitionBy("variable")
-    return counts.select("variable", "v", (F.sum("c").over(w) - F.col("c")).alias("below"), "c", F.sum("c").over(every).alias("n"), F.min("v").over(every).alias("lo"), F.max("v").over(every).alias("hi"))
-
-
 def similarity(x: Column, below: Column, n: Column, lo: Column, hi: Column) -> Column:
     """Similarity of x to training values: at most 100, negative outside their range."""
     f = 100.0 * below / n
@@ -77,37 +63,40 @@ def similarity(x: Column, below: Column, n: Column, lo: Column, hi: Column) -> C
     return F.when(x.isNull(), F.lit(None).cast("double")).when(span == 0, flat).otherwise(outside)
 
 
+#: Slots of a predictor's training values, about equally full.
+SLOTS = 256
+
+
 def novelty(df: DataFrame, train: DataFrame, predictors: list[str], key: list[str]) -> DataFrame:
     """novelty (least similarity over predictors, null if one is missing) and novel_variable (missing ones skipped).
 
-    A value's count of training values below it comes from one merged, sorted pass over (variable, value) pairs:
-    distinct grid values and distinct training values meet in a window over each variable's value ranges.
+    key: columns that name a row of df. A value's number of training values below it comes from one pass: training
+    values, collapsed, and all rows' values meet as (variable, value) pairs, dealt to slots between approximate
+    quantiles of the training values; a window over each slot counts inside it, and the slots before it are added. One
+    more aggregate brings each row's predictors together again.
     """
     from pyspark.sql import Window as W
 
-    ranges = reference_ranges(train, predictors)
-    ends = ranges.groupBy("variable").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # a row for each predictor
-    asked = df.select(*predictors).unpivot([], predictors, "variable", "v").filter("v is not null").distinct()
-    # (variable, slot): slots cut a predictor's training range evenly, each sorted on its own
-    slot = F.floor(F.least(F.greatest(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
-    marks = ranges.select("variable", "v", "c").join(F.broadcast(ends), "variable").select("variable", "v", slot.alias("slot"), "c")
-    places = asked.join(F.broadcast(ends), "variable").select("variable", "v", slot.alias("slot"), F.lit(0).cast("long").alias("c"))
-    both = marks.unionByName(places)
-    starts = both.groupBy("variable", "slot").agg(F.sum("c").alias("s")).withColumn("s", F.sum("s").over(W.partitionBy("variable").orderBy("slot")) - F.col("s"))
+    share = [i / SLOTS for i in range(1, SLOTS)]
+    long = train.select(*predictors).unpivot([], predictors, "variable", "v").filter("v is not null")
+    ends = long.groupBy("variable").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.array_distinct(F.percentile_approx("v", share, 10_000)).alias("cuts"))  # a row for each predictor
+    number = F.create_map(*[x for i, p in enumerate(predictors) for x in (F.lit(p), F.lit(i))])
+    marks = long.groupBy("variable", "v").agg(F.count("*").alias("c")).select("variable", "v", "c", F.lit(None).alias("_key"))
+    asked = df.select(F.struct(*key).alias("_key"), *predictors).unpivot(["_key"], predictors, "variable", "v").filter("v is not null")
+    both = marks.select("variable", "v", "c", F.col("_key").cast(asked.schema["_key"].dataType)).unionByName(asked.select("variable", "v", F.lit(0).cast("long").alias("c"), "_key"))
+    both = both.join(F.broadcast(ends), "variable").withColumn("slot", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    starts = both.filter("c > 0").groupBy("variable", "slot").agg(F.sum("c").alias("s")).withColumn("s", F.sum("s").over(W.partitionBy("variable").orderBy("slot")) - F.col("s"))  # SLOTS rows at most, for each predictor
+    before = starts.groupBy("variable").agg(F.map_from_entries(F.collect_list(F.struct("slot", "s"))).alias("_at"), F.max(F.col("slot")).alias("_last"))
     inside = W.partitionBy("variable", "slot").orderBy("v").rangeBetween(W.unboundedPreceding, W.currentRow)
     same = W.partitionBy("variable", "slot", "v")
-    table = both.withColumn("_b", F.sum("c").over(inside) - F.sum("c").over(same)).join(F.broadcast(starts), ["variable", "slot"]).select("variable", "v", (F.col("_b") + F.col("s")).alias("below")).distinct()
-    table = table.join(F.broadcast(ends), "variable").select("variable", "v", similarity(F.col("v"), F.col("below"), F.col("n"), F.col("lo"), F.col("hi")).alias("sim"))
-    out = df
-    for p in predictors:
-        own = table.filter(F.col("variable") == p).select(F.col("v").alias(p), F.col("sim").alias(f"_s_{p}"))
-        out = out.join(own, p, "left")
-    sims = F.array(*[F.col(f"_s_{p}") for p in predictors])
-    least = F.array_min(sims)
-    missing = F.exists(sims, lambda s: s.isNull())
+    counted = both.withColumn("_b", F.sum("c").over(inside) - F.sum("c").over(same)).filter("_key is not null").join(F.broadcast(before), "variable")
+    # a slot that has no training value starts where the next one does
+    start = F.coalesce(F.element_at("_at", F.col("slot")), F.array_min(F.map_values(F.map_filter("_at", lambda k, _: k > F.col("slot")))), F.col("n"))
+    sims = counted.select("_key", F.element_at(number, F.col("variable")).alias("i"), similarity(F.col("v"), F.col("_b") + start, F.col("n"), F.col("lo"), F.col("hi")).alias("sim"))
+    least = sims.groupBy("_key").agg(F.min(F.struct("sim", "i")).alias("m"), F.count("*").alias("k"))
     names = F.array(*[F.lit(p) for p in predictors])
-    picked = F.get(names, (F.array_position(sims, least) - 1).cast("int"))
-    return out.select(*df.columns, F.when(missing, F.lit(None).cast("double")).otherwise(least).alias("novelty"), F.when(least.isNotNull(), picked).alias("novel_variable"))
+    found = least.select("_key.*", F.when(F.col("k") == len(predictors), F.col("m.sim")).alias("novelty"), F.get(names, F.col("m.i")).alias("novel_variable"))
+    return df.join(found, key, "left").select(*df.columns, "novelty", "novel_variable")
 
 
 def novelty_summary(df: DataFrame) -> DataFrame:

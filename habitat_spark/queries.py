@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import headers as H
 from .functions import scalars as S
 from .operators import evaluate as E
 from .operators import fields as G
@@ -138,13 +139,19 @@ def format_raw(spark, d):
     return format_stations(raw).select(F.col("station").alias("station_id"), "lon", "lat", "year", "month", "day", F.round("cfin_total", 6).alias("cfin_total"))
 
 
-@query("""SELECT p_name, CASE WHEN len(w) > 1 THEN CASE WHEN c > 1 THEN substr(w[1], 1, 3) || substr(w[2], 1, 3) ELSE substr(w[1], 1, 1) || substr(w[2], 1, 3) END ELSE substr(w[1], 1, 4) END AS short_name
-FROM (SELECT *, count(*) OVER (PARTITION BY CASE WHEN len(w) > 1 THEN substr(w[1], 1, 1) || substr(w[2], 1, 3) ELSE substr(w[1], 1, 4) END) AS c
-  FROM (SELECT p_name, string_split_regex(lower(p_name), '[ _]+') AS w FROM (SELECT DISTINCT p_name FROM part)))""")
+@query(""", names AS (SELECT p_name, string_split_regex(lower(p_name), '[ _]+') AS w FROM (SELECT p_name FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part)
+), short AS (SELECT p_name, w, CASE WHEN len(w) > 1 THEN substr(w[1], 1, 1) || substr(w[2], 1, 3) ELSE substr(w[1], 1, 4) END AS s FROM names
+), longer AS (SELECT p_name, s, m, CASE WHEN len(w) > 1 THEN substr(w[1], 1, 3 + m) || substr(w[2], 1, 3) ELSE substr(w[1], 1, 6 + m) END AS t FROM short, (SELECT unnest(range(13)) AS m)
+), chosen AS (SELECT s, min(m) AS m FROM (SELECT s, m FROM longer GROUP BY s, m HAVING count(DISTINCT t) = count(*) AND count(*) > 1) GROUP BY s)
+SELECT x.p_name, coalesce(l.t, x.s) AS short_name FROM short x LEFT JOIN chosen c ON x.s = c.s LEFT JOIN longer l ON l.p_name = x.p_name AND l.m = c.m""")
 def taxon_shorthand(spark, d):
-    names = A.table(spark, d, "part").select("p_name").distinct().withColumn("s", S.shorthand(F.col("p_name")))
-    counts = names.groupBy("s").agg(F.count("*").alias("c"))
-    return names.join(counts, "s").select("p_name", F.when(F.col("c") > 1, S.shorthand(F.col("p_name"), 3, 3)).otherwise(F.col("s")).alias("short_name"))
+    parts = A.table(spark, d, "part")
+    names = parts.select("p_name").union(parts.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
+    longer = F.array(*[S.shorthand(F.col("p_name"), m) for m in range(H.LONGER)])
+    names = names.select("p_name", S.shorthand(F.col("p_name")).alias("s"), longer.alias("longer"))
+    kinds = names.groupBy("s").agg(F.count("*").alias("n"), *[F.count_distinct(F.get("longer", F.lit(m))).alias(f"k{m}") for m in range(H.LONGER)])
+    more = F.when(F.col("n") > 1, F.coalesce(*[F.when(F.col(f"k{m}") == F.col("n"), F.lit(m)) for m in range(H.LONGER)]))
+    return names.join(kinds.select("s", more.alias("m")), "s").select("p_name", F.coalesce(F.get("longer", F.col("m")), F.col("s")).alias("short_name"))
 
 
 @query("""SELECT station_id, round(ln(1 + abs(chl)), 6) AS log1p, round(ln(abs(sst)), 6) AS log, round(log10(abs(sst)), 6) AS log10, round(sqrt(abs(chl)), 6) AS sqrt, round(pow(abs(sst), 0.25), 6) AS fourth_root,
@@ -281,13 +288,13 @@ _CUT = """, cut AS (SELECT q AS raw, CASE WHEN q < 1500 THEN q ELSE round_even(q
 
 @query(_CUT + "SELECT round(raw, 6) AS raw, round(threshold, 6) AS threshold FROM cut")
 def threshold(spark, d):
-    q = F.percentile("abundance", 0.9)
-    return _matched(spark, d).agg(F.round(q, 6).alias("raw"), F.round(S.rounded_threshold(q), 6).alias("threshold"))
+    cut = ST.percentile_of(_matched(spark, d).select("abundance"), 0.9)
+    return spark.range(1).select(F.round(F.lit(cut), 6).alias("raw"), F.round(S.rounded_threshold(F.lit(cut)), 6).alias("threshold"))
 
 
 def _labelled(spark, d):
     m = _matched(spark, d)
-    return ST.labelled(m, ST.threshold(m), check=False)
+    return ST.labelled(m, ST.threshold(m.select("abundance")))
 
 
 @query(_CUT + "SELECT station_id, cell, abundance, CASE WHEN abundance >= threshold THEN 'patch' ELSE 'non_patch' END AS patch, round(threshold, 6) AS threshold FROM matched, cut")
