@@ -78,6 +78,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (SELECT doc_id, p, substr(h, 2 * p - 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS p FROM d WHERE length(h) >= 100)
+), f AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)
+), hit AS (SELECT DISTINCT w.doc_id, p FROM w JOIN f ON w.g = f.g WHERE w.doc_id > low
+), run AS (SELECT doc_id, p, sum(CASE WHEN p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hit)
+), span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k
+), piece AS (SELECT d.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER o, 1) - 1, 2 * (a - coalesce(lag(b) OVER o, 1))) AS kept, max(b) OVER (PARTITION BY d.doc_id) AS last FROM d JOIN span s ON d.doc_id = s.doc_id WINDOW o AS (PARTITION BY d.doc_id ORDER BY a)
+), left_ AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY a) AS kept, max(last) AS last FROM piece GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN l.doc_id IS NULL THEN h ELSE l.kept || substr(h, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN left_ l ON d.doc_id = l.doc_id
+"""
+
 _OP5 = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -99,4 +113,4 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
-ORACLE = {"op3_decontamination": _OP3, "op5_url_filters": _OP5}
+ORACLE = {"op3_decontamination": _OP3, "op4_suffix_dedup": _OP4, "op5_url_filters": _OP5}

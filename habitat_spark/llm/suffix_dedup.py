@@ -10,10 +10,14 @@ SPAN bytes pick the same GRAM-byte anchor in them (the least hash), so equal str
    over each group (linear grouping) puts equal strings side by side; each run of equal ones has its smallest doc_id.
 3. Each document drops the bytes of its repeated strings.
 
-Equal contexts are one entry, so thousands of copies are no more than one; no group holds all documents.
+Equal contexts are one entry, so thousands of copies are no more than one; whole contexts are equal if 64 bits of
+their hash, 32 more of their anchor's and its bucket are. There is a bucket for each BUCKET_BYTES of text. An anchor of
+more than HOT contexts, as at the ends of a passage that very many documents share, isn't brought together: Spark
+compares the strings over it as rows, the smallest doc_id of each by a partial aggregate.
 
 Null texts are empty. Rows with one doc_id are one document to each other (no repeats of their own); a null doc_id
-comes after all others. Repeated rows have the same result; other columns are ignored.
+comes after all others. Repeated rows have the same result; other columns are ignored. doc_ids are numbers (those of
+other types that can't be read as such are an error). Texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _BYTE, _INVERSE, _power, expand, hash_spans, large_strings, mix, run_number, slices, squeeze, stored, tidy
+from .common import _BASE, _BYTE, _INVERSE, _power, discard, expand, hash_spans, large_strings, mix, run_number, slices, squeeze, stored, tidy
 from .suffix_arrays import suffix_array, suffix_arrays
 
 SPAN = 50
@@ -35,6 +39,10 @@ SIDE = SPAN - GRAM
 HALF = SIDE // 2
 #: Contexts of a group up to which many groups' suffix arrays are built together.
 TOGETHER = 6
+#: Text for each bucket.
+BUCKET_BYTES = 8 << 20
+#: Contexts of an anchor beyond which its strings are compared as rows.
+HOT = 4096
 _LAST = 2**63 - 1
 
 
@@ -83,9 +91,9 @@ def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
     number = run_number()
     names = ["run", "bucket", "docs", "counts", "grams", "contexts", "hashes"]
 
-    def row(bucket, docs, counts, grams, contexts, hashes=None):
-        binary = [pa.array([x], pa.large_binary()) for x in (docs, counts, grams, contexts, hashes)]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bucket], pa.int32()), *binary], names=names)
+    def rows(found: list[tuple]):
+        binary = [pa.array([x[i] for x in found], pa.large_binary()) for i in range(1, 6)]
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int32()), *binary], names=names)
 
     for batch in batches:
         for part, data, offsets in slices(batch, "text"):
@@ -94,7 +102,7 @@ def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 docs, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
                 of, start, end = _contexts(at, offsets)
                 around = hash_spans(data, start, end) + (at - start).astype(np.uint64)
-                around = (mix(around) >> np.uint64(16)).astype(np.int64)
+                around = mix(around).view(np.int64)
                 # within the run, only the smallest document's own copies of a context are sent
                 order = np.lexsort((docs[of], around, grams))
                 new = _heads(grams[order], around[order])
@@ -102,14 +110,16 @@ def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 state = np.zeros(at.size, np.int64)
                 state[order] = docs[of][order] > least
                 bucket = (grams % np.uint64(buckets)).astype(np.int64)
-                yield row(buckets + number % buckets, squeeze(docs), squeeze(np.bincount(of, minlength=docs.size)), squeeze(bucket), squeeze(state), squeeze(hashes))
+                found = [(buckets + number % buckets, squeeze(docs), squeeze(np.bincount(of, minlength=docs.size)), squeeze(bucket), squeeze(state), squeeze(hashes))]
                 send = np.flatnonzero(state == 0)
                 send = send[np.argsort(bucket[send], kind="stable")]
                 cut = np.searchsorted(bucket[send], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cut)).tolist():
                     mine = send[cut[b] : cut[b + 1]]
                     own, counts = np.unique(of[mine], return_counts=True)
-                    yield row(b, squeeze(docs[own]), squeeze(counts), squeeze((grams[mine] >> np.uint64(32)).astype(np.int64)), squeeze(around[mine]))
+                    found.append((b, squeeze(docs[own]), squeeze(counts), squeeze((grams[mine] >> np.uint64(32)).astype(np.int64)), squeeze(around[mine]), None))
+                for i in range(0, len(found), 1024):
+                    yield rows(found[i : i + 1024])
             number += 1
 
 
@@ -289,6 +299,20 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(docs[entry[first]]), "h": pa.array(hashes[entry[first]]), "start": pa.array(start[first]), "stop": pa.array(start[last] + SPAN)})
 
 
+_FOUND = "k long, h long, start long, stop long"
+
+
+def _compared_as_rows(asked: DataFrame) -> DataFrame:
+    """What _compare gives, for contexts of anchors that very many documents have: a row for each string over each anchor."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(SIDE))).alias("at")  # bytes of the tail in the string
+    strings = asked.select("k", "h", "gram", "pos", "lead", "tail", at).filter((F.octet_length("lead") >= SIDE - F.col("at")) & (F.octet_length("tail") >= F.col("at")))
+    sides = F.concat(F.expr(f"substring(lead, octet_length(lead) - {SIDE} + at + 1, {SIDE} - at)"), F.expr("substring(tail, 1, at)"))
+    strings = strings.select("k", "h", "gram", "at", "pos", sides.alias("sides"))
+    first = strings.groupBy("gram", "at", "sides").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("gram", "at", "sides", "low")
+    start = F.col("pos") - SIDE + F.col("at")
+    return strings.join(first, ["gram", "at", "sides"]).filter("k > low").select("k", "h", start.alias("start"), (start + SPAN).alias("stop"))
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -304,8 +328,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, spans (removed byte ranges) and kept (the bytes left)."""
     large_strings(documents)
-    spark = documents.sparkSession
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET_BYTES))
     kind = documents.schema["doc_id"].dataType
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     keyed = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h"), text.alias("text"))
@@ -313,12 +337,18 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     answers = source.mapInArrow(tidy(lambda b: _scan(b, buckets)), packed).groupBy("bucket").applyInArrow(lambda t: _resolve(t, buckets), packed)
     states = answers.groupBy("run").applyInArrow(lambda t: _assemble(t, buckets), "k long, h long, states binary")
-    states = stored(states, "spans-states").dropDuplicates(["k", "h"])
-    found = keyed.join(states, ["k", "h"], "left").select("doc_id", "k", "h", "text", "states")
+    states = stored(states, "spans-states")
+    found = keyed.join(states.dropDuplicates(["k", "h"]), ["k", "h"], "left").select("doc_id", "k", "h", "text", "states")
     known = stored(found.mapInArrow(tidy(_extract), _DONE.format(kind.simpleString())), "spans-known")
     asked = known.select("k", "h", F.explode("contexts").alias("c")).select("k", "h", "c.*").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    more = asked.groupBy("bucket").applyInArrow(_compare, "k long, h long, start long, stop long").distinct()
-    more = stored(more, "spans-more").groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("more"))  # bounded by its document
+    hot = stored(asked.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"), "spans-hot")
+    if hot.limit(1).count():  # a gram for each HOT contexts at most
+        more = asked.join(hot, "gram", "left_anti").select(asked.columns).groupBy("bucket").applyInArrow(_compare, _FOUND).unionByName(_compared_as_rows(asked.join(hot, "gram", "left_semi")))
+    else:
+        more = asked.groupBy("bucket").applyInArrow(_compare, _FOUND)
+    more = stored(more.distinct(), "spans-more")
+    discard(states, hot)
+    more = more.groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("more"))  # bounded by its document
     schema = T.StructType([T.StructField("doc_id", kind), known.schema["spans"], T.StructField("kept", T.BinaryType())])
     open_ = known.filter(F.col("kept").isNull()).join(more, ["k", "h"], "left").select("doc_id", "text", "spans", "more").mapInArrow(tidy(_finish), schema)
     return known.filter(F.col("kept").isNotNull()).select("doc_id", "spans", "kept").unionByName(open_)

@@ -206,7 +206,9 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
-def test_suffix_dedup_of_look_alikes(spark):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup_of_look_alikes(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 2: nearly all strings are compared as rows
     rng = np.random.default_rng(2)
     base = bytes(rng.integers(97, 100, 400)).decode()
     rows = []
@@ -407,6 +409,63 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classify(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
 
 
+def brute_ftrl(rows, epochs, alpha=0.3, beta=1.0, l1=0.3, l2=1.0):
+    """Weights by feature from one text after another: rows of (features with repeats, label), one number at a time."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, label in rows:
+            x = {i: c * quality_classifier.SCALE / max(len(features), 1) for i, c in Counter(features).items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def brute_features(text, bits):
+    """Hashed tokens and pairs of neighbours of one text, with repeats."""
+    from habitat_spark.llm.common import hash_spans, mix
+
+    tokens = re.findall(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode().lower())
+    number = lambda t: int(hash_spans(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0])
+    hashes = [number(t) for t in tokens]
+    pair = lambda a, b: 12345 if a == b else int(mix(np.array([(a * 31 + b * 1_000_003) % (1 << 64)], np.uint64))[0])
+    return [h >> (64 - bits) for h in [*hashes, *map(pair, hashes, hashes[1:])]]
+
+
+def test_classifier_by_brute_force(spark, docs):
+    texts = [(d, t) for d, t in cases.texts() if d is not None and d != 5]
+    labels = {d: int(d % 3 > 0) for d, _ in texts if d % 7}
+    table = spark.createDataFrame([(d, q) for d, q in labels.items()], "doc_id long, quality int")
+    bits = 14
+    weights = quality_classifier.train(docs.filter("doc_id <> 5"), table, bits)
+    order = {r[0]: r[1] for r in spark.createDataFrame([(str(d),) for d in labels], "d string").select("d", F.xxhash64("d", F.lit(17))).collect()}
+    rows = sorted(((order[str(d)], str(d), t) for d, t in texts if d in labels and zlib.crc32(str(d).encode()) % 5))
+    want = brute_ftrl([(brute_features(t, bits), labels[int(d)]) for _, d, t in rows], quality_classifier.EPOCHS)
+    assert weights[-1] == pytest.approx(want.pop("bias"), abs=1e-9)
+    assert max(abs(weights[i] - w) for i, w in want.items()) < 1e-9 and np.count_nonzero(weights[:-1]) == sum(w != 0 for w in want.values()) > 50
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.scored(docs.filter("doc_id <> 5").select("doc_id", "text"), weights, bits).collect() if r["doc_id"] is not None}
+    for d, t in texts:
+        found = brute_features(t, bits)
+        logit = weights[-1] + sum(want.get(i, 0.0) for i in found) * quality_classifier.SCALE / max(len(found), 1)
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, logit)))), rel=1e-6)
+
+
+def test_classifier_takes_ids_of_any_type(spark):
+    rows = [(f"d{i}", "buy now!!! " * 9 if i % 2 else "plain words of a text " * 5) for i in range(60)] + [("d0", "another text")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 2 == 0)) for i in range(60)], "doc_id string, quality int")
+    out = quality_classifier.classify(docs, labels).collect()
+    assert all(r["predicted"] == int(int(r["doc_id"][1:]) % 2 == 0) for r in out if r["doc_id"] != "d0") and len(out) == 61
+
+
 @pytest.mark.parametrize("vocabulary", [0, 20, 100_000])
 def test_language_model(spark, docs, empty, vocabulary):
     rows = cases.texts()
