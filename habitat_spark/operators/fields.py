@@ -143,20 +143,19 @@ def downscaled_nearest(coarse: DataFrame, column: str, factor: int) -> DataFrame
     return out.select("year", "month", (F.col("cx") * factor + F.col("_i")).alias("ix"), (F.col("cy") * factor + F.col("_j")).alias("iy"), column)
 
 
-def downscaled_bilinear(fine: DataFrame, coarse: DataFrame, column: str, factor: int, fine_u: int) -> DataFrame:
-    """Fine cells with the value between their four coarse corners; null if a corner is missing.
+def downscaled_bilinear(fine: DataFrame, coarse: DataFrame, column: str, lattice) -> DataFrame:
+    """Fine cells with the value between their four coarse corners; null if a corner is missing. lattice: that of coarse (ix, iy).
 
-    Coarse cells stand in the middle of their fine cells. Corners come by one explode and one equi-join.
+    Corners come by one explode and one equi-join.
     """
-    big = factor * fine_u
-    middle = (factor - 1) * fine_u / 2
-    gx, gy = (F.col("ix") * fine_u - middle) / big, (F.col("iy") * fine_u - middle) / big
+    gx, gy = ((F.col(c) - lo) / F.lit(d) for c, lo, d in (("lon_u", lattice.x0, lattice.dx), ("lat_u", lattice.y0, lattice.dy)))
     corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    asked = fine.select("cell", "year", "month", "ix", "iy", (gx - F.floor(gx)).alias("fx"), (gy - F.floor(gy)).alias("fy"), F.floor(gx).cast("int").alias("x0"), F.floor(gy).cast("int").alias("y0"), F.explode(corners).alias("c"))
-    asked = asked.select("cell", "year", "month", "fx", "fy", (F.col("x0") + F.col("c.i")).alias("cx"), (F.col("y0") + F.col("c.j")).alias("cy"), "c")
+    asked = fine.select("cell", "year", "month", (gx - F.floor(gx)).alias("fx"), (gy - F.floor(gy)).alias("fy"), F.floor(gx).cast("int").alias("x0"), F.floor(gy).cast("int").alias("y0"), F.explode(corners).alias("c"))
+    asked = asked.select("cell", "year", "month", "fx", "fy", (F.col("x0") + F.col("c.i")).alias("ix"), (F.col("y0") + F.col("c.j")).alias("iy"), "c")
     weight = F.when(F.col("c.i") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("c.j") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
-    got = asked.join(coarse.select("year", "month", "cx", "cy", F.col(column).alias("_v")), ["year", "month", "cx", "cy"], "left")
-    return got.groupBy("cell", "year", "month").agg(F.when(F.count("_v") == 4, F.sum(weight * F.col("_v"))).alias(column))
+    got = asked.join(coarse.select("year", "month", "ix", "iy", F.col(column).alias("_v")), ["year", "month", "ix", "iy"], "left")
+    needless = weight == 0  # a corner on the other side of a grid line that the cell stands on
+    return got.groupBy("cell", "year", "month").agg(F.when(F.sum(F.when(needless | F.col("_v").isNotNull(), 1).otherwise(0)) == 4, F.sum(F.when(needless, 0.0).otherwise(weight * F.col("_v")))).alias(column))
 
 
 def downscaled_idw(fine: DataFrame, coarse: DataFrame, column: str, k: int = 4, reach: int = 3) -> DataFrame:

@@ -10,15 +10,17 @@ from typing import Any
 import yaml
 
 from ..functions import headers as H
-from .models import GAM_METHODS, resolve_type
+from .catalog import SPECIES
+from .models import GAM_BASES, GAM_METHODS, resolve_type
+from .products import METHODS
 
 #: The settings that a file may leave out.
 DEFAULTS: dict[str, Any] = {
     "paths": {"output": "output"},
     "columns": {"lon": "lon", "lat": "lat", "year": "year", "month": "month", "day": "day", "dataset": "dataset", "dataset_filter": ["ECOMON"]},
     "species": {"threshold": {"method": "percentile", "value": 0.9, "round": True}},
-    "covariates": {"source": "mock", "grid": "finest", "derived": ["jday"], "transforms": {}, "exclude": [], "prejoin": [], "steps": []},
-    "model": {"type": None, "engine": None, "trees": 100, "folds": 5, "seed": 1, "tune": False, "bootstrap": 2000},
+    "covariates": {"source": "mock", "grid": "finest", "derived": ["jday"], "transforms": {}, "exclude": [], "prejoin": [], "steps": [], "bathymetry": [], "climate": [], "products": []},
+    "model": {"type": None, "engine": None, "trees": 100, "folds": 5, "seed": 1, "tune": False, "tune_grid": 10, "bootstrap": 2000, "importance": 3},
     "projection": {"uncertainty": False},
 }
 SOURCES = ("mock", "parquet")
@@ -97,15 +99,19 @@ def validate(v: dict[str, Any]) -> None:
         raise ConfigError(f"covariates.source must be one of {', '.join(SOURCES)}")
     if c["grid"] not in ("finest", "coarsest"):
         raise ConfigError("covariates.grid must be finest or coarsest")
-    names = list(c.get("variables") or [])
+    products = product_specs(v)
+    names = [x for p in products for x in p["variables"]]
     if not names or len(set(names)) != len(names):
-        raise ConfigError("covariates.variables must be given, each once")
+        raise ConfigError("covariates.variables (or those of covariates.products) must be given, each once")
+    if c["source"] == "parquet" and not all(p.get("path") for p in products):
+        raise ConfigError("covariates from files need paths.covariates, or a path for each product")
+    for name, key, path in (("bathymetry", "static", "layers"), ("climate", "climate", "series")):
+        if c[name] and c["source"] == "parquet" and not v["paths"].get(key):
+            raise ConfigError(f"covariates.{name} needs paths.{key}, a table of {path}")
+    left = list(names)
     for step in c["prejoin"]:
-        if step.get("type") not in PREJOIN:
-            raise ConfigError(f"unknown prejoin step {step.get('type')!r}")
-        if step.get("covariate") not in names:
-            raise ConfigError(f"prejoin reads {step.get('covariate')!r}, which is not a variable")
-    known = set(names)
+        left = _after(step, left)
+    known = set(left) | set(c["bathymetry"])
     for step in c["steps"]:
         if step.get("type") not in STEPS:
             raise ConfigError(f"unknown derived step {step.get('type')!r}")
@@ -119,24 +125,70 @@ def validate(v: dict[str, Any]) -> None:
     for name, t_ in c["transforms"].items():
         if t_ not in TRANSFORMS:
             raise ConfigError(f"unknown transform {t_!r}")
-        if name not in known | {"jday"}:
+        if name not in known | {"jday", *c["climate"]}:
             raise ConfigError(f"the transform of {name!r} has no covariate")
+    offset = model.get("offset")
+    if offset and offset not in known:
+        raise ConfigError(f"model.offset names {offset!r}, which is no covariate")
+    if model.get("bs") and model["bs"] not in GAM_BASES:
+        raise ConfigError(f"model.bs must be one of {', '.join(GAM_BASES)}")
     if uncertainty(v) and uncertainty(v)["kind"] == "folds" and model["folds"] < 3:
         raise ConfigError("uncertainty from folds needs at least three")
 
 
+def product_specs(v: dict[str, Any]) -> list[dict[str, Any]]:
+    """The gridded products: covariates.products, or one of covariates.variables."""
+    c = v["covariates"]
+    step = v.get("study_area", {}).get("resolution", 0.25)
+    if c["products"]:
+        return [{"resolution": step, "rename": {}, "path": None, **p} for p in c["products"]]
+    return [{"variables": list(c.get("variables") or []), "resolution": step, "rename": {}, "path": v["paths"].get("covariates")}]
+
+
+def _after(step: dict[str, Any], names: list[str]) -> list[str]:
+    """The covariates that are left after a prejoin step, which must fit those that there are."""
+    kind = step.get("type")
+    if kind not in PREJOIN:
+        raise ConfigError(f"unknown prejoin step {kind!r}")
+    reads = ["covariate", *(["from"] if kind == "fill_gaps" else ["to"] if isinstance(step.get("to"), str) else [])]
+    for key in reads:
+        if step.get(key) not in names:
+            raise ConfigError(f"prejoin's {key} reads {step.get(key)!r}, which is no variable at that point")
+    if kind == "fill_gaps":
+        return names if step.get("keep_source") else [x for x in names if x != step["from"]]
+    if not isinstance(step.get("to"), str) and not (isinstance(step.get("to"), (int, float)) and step["to"] > 0):
+        raise ConfigError(f"{kind} needs to: a covariate, or a spacing in degrees")
+    if step.get("method") and step["method"] not in METHODS[kind]:
+        raise ConfigError(f"{kind} has the methods {', '.join(METHODS[kind])}")
+    return names
+
+
 def inputs_of(step: dict[str, Any]) -> list[str]:
-    return [step[k] for k in ("var", "u", "v", "surface", "bottom") if step.get(k)] + list(step.get("vars", []))
+    return [step[k] for k in ("var", "u", "v", "surface", "bottom", "depth") if step.get(k)] + list(step.get("vars", []))
+
+
+def levels_of(step: dict[str, Any]) -> list[float]:
+    """Levels of a contour or isobath step; an isobath's are 50, 100 and 200 metres if none are given."""
+    levels = step.get("levels", [step["level"]] if "level" in step else [50, 100, 200] if step["type"] == "isobath_distance" else None)
+    if not levels:
+        raise ConfigError(f"{step['type']} needs levels")
+    return levels
 
 
 def outputs_of(step: dict[str, Any]) -> list[str]:
     kind = step["type"]
+    if kind in ("contour_distance", "isobath_distance"):
+        return [f"{contour_prefix(step)}_{x:g}" for x in levels_of(step)]
     suffix = step.get("suffix") or {"gradient": "_grad", "temporal_gradient": "_dt", "lag": f"_lag{step.get('n', 1)}", "integral": "_int"}.get(kind)
     if suffix:
         return [f"{x}{suffix}" for x in inputs_of(step)]
     return [step.get("name") or kind]
 
 
+def contour_prefix(step: dict[str, Any]) -> str:
+    return step.get("prefix") or ("isobath_dist" if step["type"] == "isobath_distance" else f"{step['var']}_dist")
+
+
 def uncertainty(v: dict[str, Any]) -> dict[str, Any] | None:
     u = v["projection"].get("uncertainty")
     if not u:
@@ -159,9 +211,16 @@ def periods(v: dict[str, Any]) -> tuple[list[int], list[int]]:
 def resolve(raw: dict[str, Any], folder: str = ".") -> Config:
     """Defaults, paths against the file's folder, and all checks."""
     v = _merged(DEFAULTS, raw or {})
-    for k, p in v["paths"].items():
-        if isinstance(p, str) and not os.path.isabs(p) and "://" not in p:
-            v["paths"][k] = os.path.normpath(os.path.join(folder, p))
+    active = v["species"].get("active")
+    if active:
+        known = v["species"].get("catalog") or SPECIES
+        if active not in known:
+            raise ConfigError(f"species.active is {active!r}; known: {', '.join(known)}")
+        v["species"] = _merged(_merged(v["species"], known[active]), {"name": v["species"].get("name") or f"{known[active]['prefix']}_total"})
+    whole = lambda p: os.path.normpath(os.path.join(folder, p)) if isinstance(p, str) and not os.path.isabs(p) and "://" not in p else p
+    v["paths"] = {k: whole(p) for k, p in v["paths"].items()}
+    for product in v["covariates"]["products"]:
+        product["path"] = whole(product.get("path"))
     validate(v)
     return Config(v)
 
@@ -171,6 +230,14 @@ def load(path: str) -> Config:
         return resolve(yaml.safe_load(file), os.path.dirname(os.path.abspath(path)))
 
 
+def generate(path: str, name: str, years: tuple[int, int], months: tuple[int, int], box: dict[str, float], variables: list[str], **sections: dict[str, Any]) -> Config:
+    """Write the settings of a run with the usual choices, and read them back. sections: more settings, by section."""
+    window = {"years": list(years), "months": list(months)}
+    values = {"species": {"name": name}, "dates": {"training": window, "projection": dict(window)}, "study_area": dict(box), "covariates": {"variables": list(variables)}, "model": {"type": "rf", "trees": 500, "folds": 10}}
+    save(_merged(values, sections), path)
+    return load(path)
+
+
 def save(config: Config | dict[str, Any], path: str) -> None:
     """Write settings, and read them back; a file that doesn't load again is removed."""
     values = config.values if isinstance(config, Config) else config

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ GAM_BASES = ("tp", "cr", "cs", "ps", "cc")
 ENGINES = {"ranger": "rf", "xgboost": "brt", "glm": "glm", "mgcv": "gam"}
 
 
-@dataclass
+@dataclass(frozen=True)
 class Spec:
     """A model type and its settings."""
 
@@ -39,6 +39,10 @@ class Spec:
     link: str = "logit"
     basis: int = 6
     seed: int = 1
+    mtry: int | None = None
+    penalty: float | None = None
+    offset: str | None = None
+    offset_transform: str = "none"
 
 
 def resolve_type(type_: str | None = None, engine: str | None = None) -> str:
@@ -53,17 +57,38 @@ def resolve_type(type_: str | None = None, engine: str | None = None) -> str:
 def estimator(spec: Spec):
     """Spark estimator of a type, over the vector column features."""
     if spec.type == "rf":
-        return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=spec.trees, maxDepth=min(30, max(spec.depth, 5)), minInstancesPerNode=spec.min_n, featureSubsetStrategy="sqrt", seed=spec.seed)
+        return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=spec.trees, maxDepth=min(30, max(spec.depth, 5)), minInstancesPerNode=spec.min_n, featureSubsetStrategy=str(spec.mtry or "sqrt"), seed=spec.seed)
     if spec.type == "brt":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=spec.trees, maxDepth=spec.depth, stepSize=spec.rate, minInstancesPerNode=spec.min_n, seed=spec.seed)
     if spec.type in ("glm", "gam"):
         if spec.link not in SPARK_LINKS:
             raise ValueError(f"link {spec.link!r} isn't available here; use one of {', '.join(SPARK_LINKS)}")
         # the additive model is the same binomial regression over spline columns, with a ridge penalty
-        return GeneralizedLinearRegression(featuresCol="features", labelCol="label", family="binomial", link=spec.link, regParam=0.0 if spec.type == "glm" else 0.01, maxIter=50)
+        penalty = 0.0 if spec.type == "glm" else PENALTIES[1] if spec.penalty is None else spec.penalty
+        model = GeneralizedLinearRegression(featuresCol="features", labelCol="label", family="binomial", link=spec.link, regParam=penalty, maxIter=50)
+        return model.setOffsetCol("_offset") if spec.offset else model
     raise ValueError(spec.type)
 
 
+#: Ridge penalties that an additive model is tried with, if none is set.
+PENALTIES = (0.001, 0.01, 0.1)
+
+
+def settings_of(spec: Spec, size: int, predictors: int) -> list[Spec]:
+    """size settings to try, the given one first: numbers of predictors and least rows for rf, depth and rate for brt, penalties for gam."""
+    out = [spec]
+    for i in range(1, size):
+        # a fixed sequence that fills the unit square evenly
+        u, v = (i * 0.7548776662) % 1, (i * 0.5698402910) % 1
+        if spec.type == "rf":
+            out.append(replace(spec, mtry=1 + int(u * predictors), min_n=2 + int(v * 38)))
+        elif spec.type == "brt":
+            out.append(replace(spec, depth=2 + int(u * 6), rate=round(10 ** (-2 + 1.5 * v), 4)))
+        elif spec.type == "gam":
+            out.append(replace(spec, penalty=round(10 ** (-4 + 4 * u), 5)))
+    return list(dict.fromkeys(out))
+
+
 class Columns(Transformer):
     """A pipeline stage of column expressions."""
 
@@ -113,11 +138,17 @@ def fit(df: DataFrame, predictors: list[str], spec: Spec, transforms: dict[str,
     stages: list[dict] = []
     if transforms:
         check_transforms(df, transforms)
-        stages.append({c: S.transform(t, F.col(c)) for c, t in transforms.items()})
+        fixed = {c: S.transform(t, F.col(c)) for c, t in transforms.items() if t not in POWERS}
+        fitted = {c: power(F.col(c), fitted_power(df, c, t), t) for c, t in transforms.items() if t in POWERS}
+        stages.append(fixed | fitted)
+    if spec.offset:
+        x = F.col(spec.offset).cast("double")
+        stages.append({"_offset": F.ln(x) if spec.offset_transform == "log" else x})
+        predictors = [c for c in predictors if c != spec.offset]
     train = df
     for s in stages:
         train = train.withColumns(s)
-    train = train.dropna(subset=predictors)
+    train = train.dropna(subset=[*predictors, *(["_offset"] if spec.offset else [])])
     features, terms = list(predictors), {p: [p] for p in predictors}
     if spec.type == "gam":
         row = train.agg(*[x for p in predictors for x in (F.count_distinct(p).alias(f"n_{p}"), F.percentile(p, [i / (spec.basis - 1) for i in range(spec.basis)]).alias(f"q_{p}"))]).first()
@@ -130,18 +161,64 @@ def fit(df: DataFrame, predictors: list[str], spec: Spec, transforms: dict[str,
         features = [f for p in predictors for f in terms[p]]
         stages.append(columns)
         train = train.withColumns(columns) if columns else train
-    parts = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), estimator(spec)]
-    model = Pipeline(stages=parts).fit(train.withColumn("label", F.col("label").cast("double")))
-    return Fitted(spec, predictors, model, stages, terms, features)
+    shape = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)])
+    train = train.withColumn("label", F.col("label").cast("double"))
+    ready = shape.fit(train)
+    shaped = ready.transform(train)
+    if spec.type == "gam" and spec.penalty is None:
+        spec = _smoothed(shaped, spec)
+    return Fitted(spec, predictors, PipelineModel([*ready.stages, estimator(spec).fit(shaped)]), stages, terms, features)
+
+
+def _gram(shaped: DataFrame, weight: F.Column, size: int) -> tuple[np.ndarray, float]:
+    """(weighted sums of products of the features and a constant, rows): size + 1 squared numbers, added up in the tasks."""
+    def run(batches):
+        total, n = np.zeros((size + 1, size + 1)), 0
+        for batch in batches:
+            x = np.column_stack([np.vstack(batch["x"].to_numpy()), np.ones(len(batch))]) if len(batch) else np.zeros((0, size + 1))
+            total += x.T @ (x * batch["w"].to_numpy()[:, None])
+            n += len(batch)
+        yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel(), "n": n})
+
+    rows = shaped.select(vector_to_array("features").alias("x"), weight.alias("w")).mapInPandas(run, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").toPandas()
+    return rows["s"].to_numpy().reshape(size + 1, size + 1), float(rows["n"].iloc[0])
+
+
+def _freedom(shaped: DataFrame, model, penalty: float, size: int) -> np.ndarray:
+    """Effective degrees of freedom of each feature under the ridge penalty: the diagonal of (X'WX + nP)^-1 X'WX."""
+    scored = model.transform(shaped)
+    gram, n = _gram(scored, F.col("prediction") * (1 - F.col("prediction")), size)
+    ridge = np.diag([penalty * n * 0.25] * size + [0.0])
+    return np.diag(np.linalg.solve(gram + ridge + 1e-9 * np.eye(size + 1), gram))[:size]
+
+
+def _smoothed(shaped: DataFrame, spec: Spec) -> Spec:
+    """The penalty with the least generalised cross-validation score."""
+    shaped = shaped.persist()
+    try:
+        best, least = spec, float("inf")
+        size = len(shaped.select("features").first()[0])
+        for penalty in PENALTIES:
+            tried = replace(spec, penalty=penalty)
+            model = estimator(tried).fit(shaped)
+            n, freedom = shaped.count(), 1 + float(_freedom(shaped, model, penalty, size).sum())
+            score = n * model.summary.deviance / max(n - freedom, 1e-9) ** 2
+            if score < least:
+                best, least = tried, score
+        return best
+    finally:
+        shaped.unpersist()
 
 
 def check_transforms(df: DataFrame, transforms: dict[str, str]) -> None:
     """Logarithms of zeros are an error; folding the sign of a mixed column is worth a warning. One aggregate."""
     sums = df.agg(*[F.sum((c).cast("int")).alias(n) for t in transforms for n, c in ((f"z_{t}", F.col(t) == 0), (f"n_{t}", F.col(t) < 0), (f"p_{t}", F.col(t) > 0))]).first()
     for c, t in transforms.items():
-        if t in ("log", "log10", "abs_log") and sums[f"z_{c}"]:
+        if t in ("log", "log10", "abs_log", "boxcox") and sums[f"z_{c}"]:
             raise ValueError(f"{c} has zeros; {t} of them doesn't exist")
-        if sums[f"n_{c}"] and sums[f"p_{c}"]:
+        if t == "boxcox" and sums[f"n_{c}"]:
+            raise ValueError(f"{c} has negative values; {t} of them doesn't exist")
+        if t not in POWERS and sums[f"n_{c}"] and sums[f"p_{c}"]:
             warnings.warn(f"{c} has both signs; {t} folds them together", stacklevel=3)
 
 
@@ -159,39 +236,46 @@ def cross_validated(df: DataFrame, predictors: list[str], spec: Spec, folds: int
     return out, models
 
 
-def tuned(df: DataFrame, predictors: list[str], specs: list[Spec], folds: int = 3) -> Spec:
+def tuned(df: DataFrame, predictors: list[str], specs: list[Spec], folds: int = 3, transforms=None) -> Spec:
     """The setting with the best mean roc_auc over folds; the first of equal ones."""
     best, top = specs[0], -1.0
     for s in specs:
-        held, _ = cross_validated(df, predictors, s, folds)
+        held, _ = cross_validated(df, predictors, s, folds, transforms)
         auc = E.fold_values(held).agg(F.avg("roc_auc")).first()[0] or 0.0
         if auc > top:
             best, top = s, auc
     return best
 
 
-def importance(fitted: Fitted, df: DataFrame, times: int = 3, key: str = "station_id") -> DataFrame:
-    """(variable, importance): mean loss of roc_auc when a predictor's values are dealt out anew.
+#: Rows among which importance deals out values anew: larger tables are cut into random blocks of about as many.
+DEALT_ROWS = 100_000
+
+
+def importance(fitted: Fitted, df: DataFrame, times: int = 3, key: str = "station_id", block: int = DEALT_ROWS) -> DataFrame:
+    """(variable, importance): mean loss of roc_auc when a predictor's values are dealt out anew, the largest first.
 
-    Values are exchanged between rows by a hash order inside blocks of ids, and all copies are scored in one pass.
+    Each repeat pairs every row with another of its random block, once for all predictors; a row then makes a copy for
+    each predictor with the pair's value of that one. All copies are scored in one pass.
     """
-    base = df.select(key, "label", *fitted.predictors).dropna()
-    blocks = base.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(16)))
     from pyspark.sql import Window as W
 
-    copies = base.select(key, "label", *fitted.predictors, F.lit("").alias("variable"), F.lit(0).alias("rep"))
-    for p in fitted.predictors:
-        for r in range(times):
-            own = W.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(r)), key)
-            other = W.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(r + 1000)), key)
-            left = blocks.withColumn("_r", F.row_number().over(own)).drop(p)
-            right = blocks.withColumn("_r", F.row_number().over(other)).select("_b", "_r", p)
-            copies = copies.unionByName(left.join(right, ["_b", "_r"]).select(key, "label", *fitted.predictors, F.lit(p).alias("variable"), F.lit(r).alias("rep")))
-    scored = fitted.score(copies).withColumn("fold", F.concat_ws("|", "variable", F.col("rep").cast("string")))
-    auc = E.fold_values(scored.withColumn("score", F.round("score", 6)))
-    long = auc.select(F.split_part("fold", F.lit("|"), F.lit(1)).alias("variable"), "roc_auc")
+    names = fitted.predictors
+    base = df.select(key, "label", *names).dropna()
+    blocks = max(1, -(-base.count() // block))
+    copies = base.select("label", *names, F.lit("").alias("variable"), F.lit(0).alias("rep"))
+    kinds = dict(base.dtypes)
+    for r in range(times):
+        rows = base.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(3 * r)), F.lit(blocks)))
+        place = lambda k: F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(k)), key))
+        other = rows.withColumn("_r", place(3 * r + 1)).select("_b", "_r", *[F.col(p).alias(f"_o_{p}") for p in names])  # noqa: B023
+        pairs = rows.withColumn("_r", place(3 * r + 2)).join(other, ["_b", "_r"])
+        variants = F.explode(F.array(*[F.struct(F.lit(p).alias("variable"), *[F.col(f"_o_{q}" if q == p else q).cast(kinds[q]).alias(q) for q in names]) for p in names]))
+        copies = copies.unionByName(pairs.select("label", variants.alias("v")).select("label", "v.*", F.lit(r).alias("rep")))
+    auc = E.fold_values(fitted.score(copies).withColumn("fold", F.struct("variable", "rep")))
+    long = auc.select("fold.variable", "roc_auc")
     whole = long.filter("variable = ''").select(F.col("roc_auc").alias("_all"))
-    return long.filter("variable <> ''").groupBy("variable").agg(F.avg("roc_auc").alias("a")).join(F.broadcast(whole)).select("variable", (F.col("_all") - F.col("a")).alias("importance")).orderBy(F.desc("importance"))
+    lost = long.filter("variable <> ''").groupBy("variable").agg(F.avg("roc_auc").alias("a"))
+    return lost.join(F.broadcast(whole)).select("variable", (F.col("_all") - F.col("a")).alias("importance")).orderBy(F.desc("importance"), "variable")
 
 
 def coefficients(fitted: Fitted) -> DataFrame:
@@ -207,9 +291,18 @@ def coefficients(fitted: Fitted) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "variable string, estimate double, std_error double, statistic double, p_value double, lower double, upper double").orderBy(F.desc(F.abs("estimate")))
 
 
-def smooth_terms(fitted: Fitted) -> dict[str, int]:
-    """Columns of each smooth term of a gam: the most degrees of freedom it can have."""
-    return {p: len(c) for p, c in fitted.terms.items() if len(c) > 1}
+def smooth_terms(fitted: Fitted, df: DataFrame) -> DataFrame:
+    """(term, edf, columns) of the smooths of a gam: their effective degrees of freedom under the penalty, largest first."""
+    from pyspark.sql import SparkSession
+
+    rows = df
+    for stage in fitted.stages:
+        rows = rows.withColumns(stage)
+    *ready, model = fitted.pipeline.stages
+    shaped = PipelineModel(ready).transform(rows.dropna(subset=fitted.predictors))
+    freedom = dict(zip(fitted.features, _freedom(shaped, model, fitted.spec.penalty or 0.0, len(fitted.features)).tolist()))
+    terms = [(p, float(sum(freedom[c] for c in columns)), len(columns)) for p, columns in fitted.terms.items() if len(columns) > 1]
+    return SparkSession.active().createDataFrame(terms, "term string, edf double, columns int").orderBy(F.desc("edf"), "term")
 
 
 def partial_effects(fitted: Fitted, df: DataFrame, grid_size: int = 20, max_rows: int = 500, key: str = "station_id") -> DataFrame:
@@ -224,17 +317,24 @@ def partial_effects(fitted: Fitted, df: DataFrame, grid_size: int = 20, max_rows
     return fitted.score(swept).groupBy("variable", "value").agg(F.avg("score").alias("probability"))
 
 
-def bootstrap(df: DataFrame, cutoff: float, times: int = 2000, level: float = 0.95, seed: int = 1) -> DataFrame:
+#: Distinct scores that a bootstrap's table may have; more of them need rounding, to places asked for.
+BOOTSTRAP_SCORES = 1_000_000
+
+
+def bootstrap(df: DataFrame, cutoff: float, times: int = 2000, level: float = 0.95, seed: int = 1, places: int | None = None) -> DataFrame:
     """(series, lower, upper): percentile bounds over replicates of the held-out rows.
 
     Rows with equal score and label are alike, so a replicate draws their counts (a multinomial over the collapsed
-    table); the table has a row for each distinct score, rounded to 4 places, and goes to every task. Replicates are
-    spread over the tasks; draws without both classes are dropped. Each replicate has a seed of its own.
+    table); the table has a row for each distinct score and goes to every task. Replicates are spread over the tasks;
+    draws without both classes are dropped. Each replicate has a seed of its own. places: round scores before.
     """
     if times < 100:
         raise ValueError("at least 100 replicates are needed")
     spark = df.sparkSession
-    table = df.groupBy(F.round("score", 4).alias("score")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg")).orderBy("score").toPandas()  # 10,001 rows at most
+    score = F.col("score") if places is None else F.round("score", places)
+    table = df.groupBy(score.alias("score")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg")).orderBy("score").limit(BOOTSTRAP_SCORES + 1).toPandas()
+    if len(table) > BOOTSTRAP_SCORES:
+        raise ValueError(f"over {BOOTSTRAP_SCORES} distinct scores; give places to round them to")
     shared = spark.sparkContext.broadcast((table["score"].to_numpy(), table["pos"].to_numpy(), table["neg"].to_numpy()))
     names = ["roc_auc", "sens_half", "spec_half", "tss_half", "precision_half", "sens_best", "spec_best", "tss_best", "precision_best", "pr_auc", "cutoff"]
 
@@ -266,7 +366,7 @@ def bootstrap(df: DataFrame, cutoff: float, times: int = 2000, level: float = 0.
                 rows.append((auc, *at(int(np.searchsorted(score, 0.5))), *at(int(np.searchsorted(score, cutoff))), pr, score[best]))
             yield pd.DataFrame(rows, columns=names)
 
-    drawn = spark.range(times).mapInPandas(replicate, ", ".join(f"{c} double" for c in names))
+    drawn = spark.range(times, numPartitions=max(1, min(times // 50, spark.sparkContext.defaultParallelism))).mapInPandas(replicate, ", ".join(f"{c} double" for c in names))
     tail = (1 - level) / 2
     long = drawn.unpivot([], names, "series", "value").filter(~F.isnan("value"))
     return long.groupBy("series").agg(F.percentile("value", tail).alias("lower"), F.percentile("value", 1 - tail).alias("upper"), F.count("*").alias("n"))
@@ -283,17 +383,31 @@ def ensemble(df: DataFrame, predictors: list[str], spec: Spec, members: int = 10
     return out
 
 
+#: Transforms whose power is fitted on the training rows.
+POWERS = ("boxcox", "yeojohnson")
+LAMBDAS = tuple(round(-2 + 0.1 * i, 1) for i in range(41))
+
+
 def power_profile(df: DataFrame, column: str, kind: str, grid: list[float] | None = None) -> DataFrame:
-    """(lam, log_likelihood) of Box-Cox or Yeo-Johnson powers, all in one aggregate over the column."""
-    lams = grid or [round(-2 + 0.1 * i, 1) for i in range(41)]
-    x = F.col(column)
+    """(lam, log_likelihood) of Box-Cox or Yeo-Johnson powers, all in one aggregate over the column; lazy, one row for each power."""
+    lams = list(grid or LAMBDAS)
+    x = F.col(column).cast("double")
     jac = F.ln(x) if kind == "boxcox" else F.signum(x) * F.log1p(F.abs(x))
-    terms = [t for i, lam in enumerate(lams) for t in (F.var_pop(power(x, lam, kind)).alias(f"v{i}"), )]
-    row = df.filter(x.isNotNull()).agg(F.count("*").alias("n"), F.sum(jac).alias("j"), F.min(x).alias("lo"), *terms).first()
-    if kind == "boxcox" and row["lo"] <= 0:
+    sums = df.filter(x.isNotNull()).agg(F.count("*").alias("n"), F.sum(jac).alias("j"), *[F.var_pop(power(x, lam, kind)).alias(f"v{i}") for i, lam in enumerate(lams)])
+    value = lambda i, lam: -F.col("n") / 2 * F.ln(F.col(f"v{i}")) + (lam - 1) * F.col("j")
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(float(lam)).alias("lam"), value(i, lam).alias("log_likelihood")) for i, lam in enumerate(lams)]))).filter("log_likelihood is not null")
+
+
+def fitted_power(df: DataFrame, column: str, kind: str) -> float:
+    """The power of the greatest likelihood, to a hundredth; 1 for a constant column."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if kind == "boxcox" and low is not None and low <= 0:
         raise ValueError(f"{column} has values that aren't positive")
-    rows = [(lam, float(-row["n"] / 2 * np.log(row[f"v{i}"]) + (lam - 1) * row["j"])) for i, lam in enumerate(lams) if row[f"v{i}"]]
-    return df.sparkSession.createDataFrame(rows, "lam double, log_likelihood double")
+    if low == high:
+        return 1.0
+    best = lambda grid: power_profile(df, column, kind, grid).agg(F.max_by("lam", F.struct("log_likelihood", "lam"))).first()[0]
+    near = best(None)
+    return best([round(near + i / 100, 2) for i in range(-10, 11)])
 
 
 def power(x: F.Column, lam: float, kind: str) -> F.Column:
@@ -305,13 +419,13 @@ def power(x: F.Column, lam: float, kind: str) -> F.Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def projected(fitted: Fitted, grid: DataFrame, members: list[Fitted] | None = None, train: DataFrame | None = None, key=("cell", "year", "month")) -> DataFrame:
+def projected(fitted: Fitted, grid: DataFrame, members: list[Fitted] | None = None, train: DataFrame | None = None, key=("cell", "year", "month"), level: float = 0.9) -> DataFrame:
     """suitability of every complete cell of all months in one plan, with spread over members and novelty if asked."""
     out = fitted.score(grid.dropna(subset=fitted.predictors)).withColumnRenamed("score", "suitability")
     if members and len(members) > 1:
         for i, m in enumerate(members):
             out = m.score(out).withColumnRenamed("score", f"_m{i}")
-        out = U.spread(out, [F.col(f"_m{i}") for i in range(len(members))]).drop(*[f"_m{i}" for i in range(len(members))])
+        out = U.spread(out, [F.col(f"_m{i}") for i in range(len(members))], level).drop(*[f"_m{i}" for i in range(len(members))])
     if train is not None:
         out = U.novelty(out, train, fitted.predictors, list(key))
     return out

@@ -440,7 +440,7 @@ FROM (SELECT *, (ix - 0.5::DOUBLE) / 2 - floor((ix - 0.5::DOUBLE) / 2) AS fx, (i
 CROSS JOIN (SELECT * FROM (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)) k LEFT JOIN coarse c ON c.year = f.year AND c.month = f.month AND c.ix = f.x0 + k.i AND c.iy = f.y0 + k.j GROUP BY f.cell, f.year, f.month""")
 def downscale_bilinear(spark, d):
     g = A.grid(spark, d)
-    return G.downscaled_bilinear(g, G.upscaled(g, "chl", 2), "chl", 2, A.CELL).select("cell", "year", "month", F.round(F.col("chl") + 1e-12, 8).alias("chl"))  # exact halves go up in both engines
+    return G.downscaled_bilinear(g, A.coarse(g), "chl", A.COARSE).select("cell", "year", "month", F.round(F.col("chl") + 1e-12, 8).alias("chl"))  # exact halves go up in both engines
 
 
 # --- evaluation
@@ -592,17 +592,116 @@ def suitability_stack(spark, d):
     return U.stack(g, "p", ["cell"], ["1997_06", "1997_07", "1997_08"])
 
 
-@query(""", sample AS (SELECT sst, chl, uo FROM grid WHERE year = 1997), sweep AS (
+@query(""", sample AS (SELECT sst, chl, uo FROM grid), sweep AS (
   SELECT DISTINCT 'sst' AS variable, v AS value FROM (SELECT unnest(quantile_cont(sst, [0, 0.25, 0.5, 0.75, 1])) AS v FROM sample) UNION SELECT DISTINCT 'chl', v FROM (SELECT unnest(quantile_cont(chl, [0, 0.25, 0.5, 0.75, 1])) AS v FROM sample))
 SELECT variable, round(value, 6) AS value, round(avg(""" + _P.format(-2.0).replace("sst *", "CASE WHEN variable = 'sst' THEN value ELSE sst END *").replace("chl *", "CASE WHEN variable = 'chl' THEN value ELSE chl END *") + "), 6) AS probability FROM sample, sweep GROUP BY variable, sweep.value")
 def partial_dependence(spark, d):
-    g = A.grid(spark, d).filter("year = 1997").select("sst", "chl", "uo")
-    rows = g.select("sst", "chl", "uo")
-
+    rows = A.grid(spark, d).select("sst", "chl", "uo")
     swept = U.partial_dependence(rows, ["sst", "chl"], lambda: U.logistic(-2.0, _WEIGHTS), 5, carried=["uo"])
     return swept.select("variable", *r6("value", "probability"))
 
 
+# --- a configured run up to the model
+
+
+RUN = {
+    "species": {"name": "abundance"},
+    "columns": {"dataset_filter": ["1-URGENT", "2-HIGH", "3-MEDIUM"]},
+    "dates": {"training": {"years": [1993, 1997], "months": [2, 11]}, "projection": {"years": [1998, 1998], "months": [2, 11]}},
+    "study_area": {"xmin": -75.95, "xmax": -73.8, "ymin": 35.05, "ymax": 37.2},
+    "covariates": {
+        "products": [{"variables": ["sst", "chl"]}, {"variables": ["chl_model"], "resolution": 0.5}], "prejoin": [{"type": "fill_gaps", "covariate": "chl", "from": "chl_model"}],
+        "bathymetry": ["depth"], "climate": ["idx"], "steps": [{"type": "lag", "var": "sst"}]},
+    "model": {"type": "glm", "folds": 3},
+}
+
+
+def frames(spark, d):
+    """The driver's tables in the place of what a run's settings name."""
+    from .plans import pipeline as P
+    from .plans import products as PR
+
+    g = A.grid(spark, d)
+    fine = PR.Product(A.gappy(g).select(*PR.PLACE, "sst", "chl"), ("sst", "chl"), A.LATTICE)
+    coarse = PR.Product(A.coarse(g).withColumnRenamed("chl", "chl_model").select(*PR.PLACE, "chl_model"), ("chl_model",), A.COARSE)
+    return P.Frames(A.stations(spark, d), [fine, coarse], A.placed(A.static(spark, d)), A.index_series(spark, d))
+
+
+@query(""", st AS (SELECT cell, depth, -76000000::BIGINT + 250000 * (cell % 10) AS lon_u, 35000000::BIGINT + 250000 * (cell // 10) AS lat_u FROM static
+), deep AS (SELECT station_id, depth FROM (SELECT s.station_id, t.depth, row_number() OVER (PARTITION BY s.station_id ORDER BY (s.lon_u - t.lon_u) * (s.lon_u - t.lon_u) + (s.lat_u - t.lat_u) * (s.lat_u - t.lat_u), t.cell) AS r FROM stations s, st t) WHERE r = 1
+), lags AS (SELECT cell, year, month, lag(sst) OVER (PARTITION BY cell ORDER BY year, month) AS sst_lag1 FROM grid
+), ready AS (SELECT m.station_id, m.cell, m.abundance, m.sst, coalesce(g.chl, c.chl) AS chl, l.sst_lag1, i.idx, d.depth FROM matched m JOIN gappy g ON g.cell = m.cell AND g.year = m.year AND g.month = m.month
+  LEFT JOIN coarse c ON c.year = g.year AND c.month = g.month AND c.ix = g.ix // 2 AND c.iy = g.iy // 2 JOIN lags l ON l.cell = m.cell AND l.year = m.year AND l.month = m.month
+  LEFT JOIN idx i ON i.year = m.year AND i.month = m.month JOIN deep d ON d.station_id = m.station_id
+  WHERE m.year BETWEEN 1993 AND 1997 AND m.month BETWEEN 2 AND 11 AND m.lon_u / 1e6 BETWEEN -75.95 AND -73.8 AND m.lat_u / 1e6 BETWEEN 35.05 AND 37.2 AND dataset IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+    AND l.sst_lag1 IS NOT NULL AND coalesce(g.chl, c.chl) IS NOT NULL AND d.depth IS NOT NULL
+), cut AS (SELECT CASE WHEN q < 1500 THEN q ELSE round_even(q / 1000, 0) * 1000 END AS threshold FROM (SELECT quantile_cont(abundance, 0.9) AS q FROM ready))
+SELECT station_id, cell, round(sst, 6) AS sst, round(chl, 9) AS chl, round(sst_lag1, 6) AS sst_lag1, round(idx, 6) AS idx, round(depth, 6) AS depth, CASE WHEN abundance >= threshold THEN 'patch' ELSE 'non_patch' END AS patch FROM ready, cut""")
+def config_run(spark, d):
+    from .plans import config as C
+    from .plans import pipeline as P
+
+    ready = P.prepare(spark, C.resolve({**RUN, "species": {**RUN["species"], "min_rows": 1}}), frames(spark, d))
+    return ready.data.select("station_id", "cell", *r6("sst"), *r6("chl", digits=9), *r6("sst_lag1", "idx", "depth"), "patch")
+
+
+@query("""SELECT f.cell, f.year, f.month, round(sum(v / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12)), 6) AS chl FROM (SELECT f.cell, f.year, f.month, c.chl AS v, d, row_number() OVER (PARTITION BY f.cell, f.year, f.month ORDER BY d, c.lon_u, c.lat_u) AS r FROM grid f
+  JOIN coarse c ON c.year = f.year AND c.month = f.month, LATERAL (SELECT (pow(f.lon_u - c.lon_u, 2) + pow(f.lat_u - c.lat_u, 2)) / 1e12 AS d)) f WHERE r <= 4 GROUP BY f.cell, f.year, f.month""")
+def downscale_idw(spark, d):
+    g = A.grid(spark, d)
+    return G.downscaled_idw(g, A.coarse(g), "chl").select("cell", "year", "month", *r6("chl"))
+
+
+@query("SELECT bin, n, round(exp(bin * (t / 40)) - 1, 6) AS low, round(exp((bin + 1) * (t / 40)) - 1, 6) AS high FROM (SELECT least(floor(ln(1 + abundance) / (t / 40)), 39)::INTEGER AS bin, t, count(*) AS n FROM stations, (SELECT max(ln(1 + abundance)) AS t FROM stations) GROUP BY 1, 2)")
+def histogram(spark, d):
+    return ST.histogram(A.stations(spark, d)).select("bin", "n", *r6("low", "high"))
+
+
+@query("""SELECT cell, year, month, round(CASE WHEN s1 > 0 THEN (coarse_chl - m1) / s1 * s2 + m2 ELSE coarse_chl END, 9) AS chl FROM (SELECT f.cell, f.year, f.month, c.chl AS coarse_chl FROM gappy f JOIN coarse c ON f.year = c.year AND f.month = c.month AND c.ix = f.ix // 2 AND c.iy = f.iy // 2),
+(SELECT avg(c.chl) AS m1, stddev_samp(c.chl) AS s1, avg(f.chl) AS m2, stddev_samp(f.chl) AS s2 FROM gappy f JOIN coarse c ON f.year = c.year AND f.month = c.month AND c.ix = f.ix // 2 AND c.iy = f.iy // 2 WHERE f.chl IS NOT NULL AND c.chl IS NOT NULL)""")
+def rescaled_gap_source(spark, d):
+    g = A.grid(spark, d)
+    fine = A.gappy(g).select(F.col("cell").alias("fine"), "year", "month", "lon_u", "lat_u", "chl")
+    both = M.nearest(fine, ["fine", "year", "month"], A.coarse(g).withColumnRenamed("chl", "model_chl"), ["model_chl"], A.COARSE, left=True)
+    return M.rescaled(both, "model_chl", "chl").select(F.col("fine").alias("cell"), "year", "month", F.round("model_chl", 9).alias("chl"))
+
+
+@query("""SELECT cell, year, month, round((sst - lag(sst) OVER w) / date_diff('day', lag(make_date(year, month, 1)) OVER w, make_date(year, month, 1)), 7) AS per_day, round(sst - lag(sst) OVER w, 6) AS per_step FROM grid WINDOW w AS (PARTITION BY cell ORDER BY year, month)""")
+def temporal_gradient_per(spark, d):
+    g = G.temporal_gradient(G.temporal_gradient(A.grid(spark, d), "sst", "per_day", "day"), "sst", "per_step", "step")
+    return g.select("cell", "year", "month", *r6("per_day", digits=7), *r6("per_step"))
+
+
+def _moment(x: str, lam: float, kind: str) -> str:
+    if kind == "boxcox":
+        return f"ln({x})" if lam == 0 else f"(pow({x}, {lam}::DOUBLE) - 1) / {lam}::DOUBLE"
+    up = f"ln(1 + {x})" if lam == 0 else f"(pow({x} + 1, {lam}::DOUBLE) - 1) / {lam}::DOUBLE"
+    down = f"-ln(1 - {x})" if lam == 2 else f"-(pow(1 - {x}, {2 - lam}::DOUBLE) - 1) / {2 - lam}::DOUBLE"
+    return f"CASE WHEN {x} >= 0 THEN {up} ELSE {down} END"
+
+
+def _profile(x: str, table: str, kind: str) -> str:
+    from .plans.models import LAMBDAS
+
+    jac = f"ln({x})" if kind == "boxcox" else f"sign({x}) * ln(1 + abs({x}))"
+    rows = " UNION ALL ".join(f"SELECT {lam}::DOUBLE AS lam, round(-count(*) / 2.0::DOUBLE * ln(var_pop({_moment(x, lam, kind)})) + ({lam} - 1) * sum({jac}), 3) AS log_likelihood FROM {table} WHERE {x} IS NOT NULL" for lam in LAMBDAS)
+    return f"SELECT * FROM ({rows})"
+
+
+@query(_profile("abundance", "stations", "boxcox"))
+def boxcox(spark, d):
+    from .plans import models as MD
+
+    return MD.power_profile(A.stations(spark, d), "abundance", "boxcox").select("lam", *r6("log_likelihood", digits=3))
+
+
+@query(_profile("uo", "grid", "yeojohnson"))
+def yeojohnson(spark, d):
+    from .plans import models as MD
+
+    return MD.power_profile(A.grid(spark, d), "uo", "yeojohnson").select("lam", *r6("log_likelihood", digits=3))
+
+
 # --- models and numerical kernels: rows only, no SQL form
 
 
@@ -628,19 +727,19 @@ def fit_glm(spark, d):
 @query()
 def fit_rf(spark, d):
     m, t = _fitted(spark, d, type="rf", trees=20)
-    return E.roc_auc(m.score(t).withColumn("score", F.round("score", 6)))
+    return E.roc_auc(m.score(t))
 
 
 @query()
 def fit_brt(spark, d):
     m, t = _fitted(spark, d, type="brt", trees=8, depth=4, rate=0.2)
-    return E.roc_auc(m.score(t).withColumn("score", F.round("score", 6)))
+    return E.roc_auc(m.score(t))
 
 
 @query()
 def fit_gam(spark, d):
     m, t = _fitted(spark, d, type="gam")
-    return E.roc_auc(m.score(t).withColumn("score", F.round("score", 6)))
+    return E.roc_auc(m.score(t))
 
 
 @query()
@@ -655,29 +754,31 @@ def importance(spark, d):
 def bootstrap_evaluation(spark, d):
     from .plans import models as MD
 
-    return MD.bootstrap(A.scores(spark, d), 0.5, 200)
+    return MD.bootstrap(A.scores(spark, d), 0.5)
 
 
 @query()
-def project_months(spark, d):
+def smooth_terms(spark, d):
     from .plans import models as MD
 
-    m, t = _fitted(spark, d, type="rf", trees=10)
-    return MD.projected(m, ST.in_window(A.grid(spark, d), (1999, 2001), (3, 10)), None, t)
+    m, t = _fitted(spark, d, type="gam")
+    return MD.smooth_terms(m, t)
 
 
 @query()
-def boxcox(spark, d):
+def partial_effects(spark, d):
     from .plans import models as MD
 
-    return MD.power_profile(A.stations(spark, d), "abundance", "boxcox")
+    m, t = _fitted(spark, d, type="rf", trees=10)
+    return MD.partial_effects(m, t)
 
 
 @query()
-def yeojohnson(spark, d):
+def project_months(spark, d):
     from .plans import models as MD
 
-    return MD.power_profile(A.grid(spark, d), "uo", "yeojohnson")
+    m, t = _fitted(spark, d, type="rf", trees=10)
+    return MD.projected(m, ST.in_window(A.grid(spark, d), (1999, 2001), (3, 10)), None, t)
 
 
 @query()

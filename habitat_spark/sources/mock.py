@@ -56,3 +56,21 @@ def fields(spark: SparkSession, names: list[str], years: list[int], months: list
         u = lambda j: F.pmod(F.xxhash64("cell", "year", "month", F.lit(seed * 1000 + 10 * k + j)), F.lit(1 << 30)) / F.lit(float(1 << 30))  # noqa: B023, E731
         out = out.withColumn(name, level + lat * effect + time * season + noise * F.sqrt(-2 * F.ln(u(1) + 1e-9)) * F.cos(2 * math.pi * u(2)))
     return out
+
+
+def static(spark: SparkSession, names: list[str], box, resolution: float = 0.125) -> DataFrame:
+    """Layers on a finer grid: depth falls off from the west, where land (null) is; the others are of its shape."""
+    west, east, south, north = box
+    u = round(resolution * 1e6)
+    nx, ny = int(round((east - west) * 1e6 / u)) + 1, int(round((north - south) * 1e6 / u)) + 1
+    cells = spark.range(nx * ny).select((F.lit(round(west * 1e6)).cast("long") + (F.col("id") % nx) * u).alias("lon_u"), (F.lit(round(south * 1e6)).cast("long") + F.floor(F.col("id") / nx) * u).alias("lat_u"))
+    x, y = (F.col("lon_u") / 1e6 - west) / (east - west), (F.col("lat_u") / 1e6 - south) / (north - south)
+    shape = {"DEPTH": 400 * x - 20 + 30 * F.sin(6 * y), "SLOPE": 2 + F.cos(6 * y), "ASPECT": 360 * y}
+    wet = shape["DEPTH"] > 0
+    return cells.select("*", *[F.when(wet, shape.get(n, x + y)).alias(n) for n in names])
+
+
+def climate(spark: SparkSession, names: list[str], years: list[int], months: list[int]) -> DataFrame:
+    """A monthly series for each name."""
+    steps = spark.range(1).select(F.explode(F.array(*[F.lit(y) for y in years])).alias("year")).select("year", F.explode(F.array(*[F.lit(m) for m in months])).alias("month"))
+    return steps.select("*", *[F.round(F.sin((F.col("year") * 12 + F.col("month")) * (0.3 + 0.1 * i)), 4).alias(n) for i, n in enumerate(names)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,31 @@ def read_stations(spark: SparkSession, path: str, columns: dict[str, str], taxon
     return raw.select(*[F.col(f"`{c}`").try_cast(kinds[k]).alias(k) if k in kinds else F.col(f"`{c}`").alias(k) for k, c in columns.items()], abundance.alias("abundance"))
 
 
+def split_dates(df: DataFrame, column: str = "DATE", formats: tuple[str, ...] = S.DATE_FORMATS, keep: bool = False) -> DataFrame:
+    """df with year, month and day in place of a text column of dates, all of one format: the first that every value has.
+
+    One aggregate counts what each format leaves unread. Years to come are worth a warning.
+    """
+    if column not in df.columns:
+        raise ValueError(f"no column {column!r}; there are {', '.join(df.columns)}")
+    text = F.col(f"`{column}`").cast("string")
+    there = F.coalesce(F.trim(text) != "", F.lit(False))
+    read = [S.dated(text, f) for f in formats]
+    left = [F.sum(F.when(there & y.isNull(), 1).otherwise(0)).alias(f"x{i}") for i, (y, _, _) in enumerate(read)]
+    ahead = [F.sum(F.when(there & (y > F.year(F.current_date())), 1).otherwise(0)).alias(f"a{i}") for i, (y, _, _) in enumerate(read)]
+    bad = F.first(F.when(there & read[0][0].isNull(), text), ignorenulls=True).alias("bad")
+    row = df.agg(F.sum(there.cast("int")).alias("n"), bad, *left, *ahead).first()
+    if not row["n"]:
+        raise ValueError(f"every value of {column} is missing")
+    best = next((i for i in range(len(formats)) if not row[f"x{i}"]), None)
+    if best is None:
+        raise ValueError(f"{row['x0']} of {row['n']} dates of {column} fit none of {', '.join(formats)}, such as {row['bad']!r}")
+    if row[f"a{best}"]:
+        warnings.warn(f"{row[f'a{best}']} dates of {column} are in years to come; two digits can't tell 1969 from 2069", stacklevel=2)
+    out = df.withColumns(dict(zip(("year", "month", "day"), read[best])))
+    return out if keep else out.drop(column)
+
+
 def format_stations(raw: DataFrame, suffix: str | None = None) -> DataFrame:
     """A raw export as a station table: dates split, places renamed, counts a unit of area or volume, taxa renamed."""
     header = raw.columns
@@ -43,11 +69,11 @@ def format_stations(raw: DataFrame, suffix: str | None = None) -> DataFrame:
     if not taxa:
         raise ValueError("no column has a count suffix")
     H.check_taxa(taxa, header)
-    year, month, day = S.split_date(F.col("DATE"))
+    raw = split_dates(raw)
     counted = {t.column for t in taxa}
     lead = [F.col("STATION").alias("station")] if "STATION" in header else []
     rest = [F.col(f"`{c}`") for c in header if c not in counted and c not in ("STATION", *H.RAW_COLUMNS)]
-    return raw.select(*lead, year.alias("year"), month.alias("month"), day.alias("day"), F.col("LATITUDE").cast("double").alias("lat"), F.col("LONGITUDE").cast("double").alias("lon"), *[(F.col(f"`{t.column}`").cast("double") / t.per).alias(t.name) for t in taxa], *rest)
+    return raw.select(*lead, "year", "month", "day", F.col("LATITUDE").cast("double").alias("lat"), F.col("LONGITUDE").cast("double").alias("lon"), *[(F.col(f"`{t.column}`").cast("double") / t.per).alias(t.name) for t in taxa], *rest)
 
 
 def read_field(spark: SparkSession, path: str, years: list[int] | None = None, months: list[int] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
@@ -74,10 +100,17 @@ def joined_header(rows: list[list[str | None]]) -> list[str]:
     return ["_".join(p.strip() for p in parts if p and p.strip()) for parts in zip(*rows)]
 
 
-def read_skipping(spark: SparkSession, path: str, header_line: int, first_line: int, separator: str = ",") -> DataFrame:
-    """A text table whose header stands at a given line (from 1) and its data from another; NA is null."""
-    lines = spark.read.text(path, wholetext=False).withColumn("n", F.monotonically_increasing_id())
-    head = lines.filter(F.col("n") == header_line - 1).first()[0].split(separator)
-    parts = F.split("value", separator)
-    body = lines.filter(F.col("n") >= first_line - 1)
-    return body.select(*[F.nullif(F.trim(F.get(parts, i)), F.lit("NA")).alias(name.strip()) for i, name in enumerate(head) if name.strip() not in ("", "NA")])
+def read_lines(spark: SparkSession, path: str, header_lines: list[int], first_line: int, separator: str = ",") -> DataFrame:
+    """Text tables whose header stands on given lines (from 1; several are joined) and whose data begin at another; NA and -9999 are null.
+
+    Lines are counted in each file, which is read as one record: for short forms, not for large files. All files must
+    have the header of the first by name.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"), F.col("_metadata.file_path").alias("file"))
+    at = [F.get("lines", F.lit(n - 1)) for n in header_lines]
+    head = files.orderBy("file").select(*at).first()
+    names = [x.strip() for x in joined_header([str(h or "").split(separator) for h in head])]
+    rows = files.select(F.explode(F.slice("lines", first_line, F.greatest(F.size("lines") - (first_line - 1), F.lit(0)))).alias("line")).filter(F.trim("line") != "")
+    parts = F.split("line", separator)
+    value = lambda i: F.trim(F.get(parts, F.lit(i)))
+    return rows.select(*[F.when(~value(i).isin("", "NA", "-9999"), value(i)).alias(n) for i, n in enumerate(names) if n not in ("", "NA")])

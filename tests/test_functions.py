@@ -35,6 +35,11 @@ def test_units_and_names():
     names = H.taxon_shorthands(["CALANUS_FINMARCHICUS", "CENTROPAGES_TYPICUS", "CALANIDAE", "PSEUDOCALANUS_SPP"])
     assert list(names.values()) == ["cfin", "ctyp", "cala", "pcal"]
     assert list(H.taxon_shorthands(["OITHONA_SPP", "ONCAEA_SPP"]).values()) == ["oitspp", "oncspp"]
+    assert list(H.taxon_shorthands(["OITHONA_SPP", "CALANUS_FINMARCHICUS"]).values()) == ["ospp", "cfin"]
+    assert list(H.taxon_shorthands(["PSEUDOCALANIDAE", "PSEUDODIAPTOMIDAE"]).values()) == ["pseudoc", "pseudod"]
+    assert set(H.taxon_shorthands(["CALANUS_FINMARCHICUS", "calanus_finmarchicus"]).values()) == {"cfin"}
+    with pytest.warns(UserWarning):
+        H.taxon_shorthands(["ABCDEFGHIJKLMNOPQRSTUV_X", "ABCDEFGHIJKLMNOPQRSTUW_X"])
 
 
 def test_raw_header():
@@ -59,3 +64,44 @@ def test_stage_columns():
 def test_resolution():
     assert H.dataset_resolution("a_0.083deg_P1M-m") == (0.083, "P1M")
     assert H.dataset_resolution("b_4km_P1D")[1] == "P1D"
+
+
+def test_one_format_for_a_column(spark):
+    from habitat_spark.sources import readers
+
+    frame = lambda *values: spark.createDataFrame([(v,) for v in values], "DATE string")
+    rows = readers.split_dates(frame("05-JAN-03", None, "14-mar-77", " "))
+    assert [tuple(r) for r in rows.collect()] == [(2003, 1, 5), (None,) * 3, (1977, 3, 14), (None,) * 3]
+    assert readers.split_dates(frame("01/05/2003", "12/31/1999"), keep=True).columns == ["DATE", "year", "month", "day"]
+    for bad in (("05-JAN-03", "2003-01-05"), (None, "")):  # two formats; nothing at all
+        with pytest.raises(ValueError):
+            readers.split_dates(frame(*bad))
+    with pytest.raises(ValueError):
+        readers.split_dates(frame("05-JAN-03"), "WHEN")
+    with pytest.warns(UserWarning, match="years to come"):
+        readers.split_dates(frame("05-JAN-68"))
+
+
+def test_lines(spark, tmp_path):
+    from habitat_spark.sources import readers
+
+    for i in (1, 2):
+        (tmp_path / f"f{i}.txt").write_text(f"title\nDEPTH,TEMP,NA\nM,C,\n{i}, 4.5,x\n{i},-9999,y\n\n")
+    rows = readers.read_lines(spark, str(tmp_path), [2, 3], 4)
+    assert rows.columns == ["DEPTH_M", "TEMP_C"]
+    assert sorted(map(tuple, rows.collect()), key=repr) == [("1", "4.5"), ("1", None), ("2", "4.5"), ("2", None)]
+
+
+def test_species_in_order():
+    header = ["LATITUDE", "LONGITUDE", "DATE", "METRIDIA_LUCENS_10M2", "CALANUS_FINMARCHICUS_10M2"]
+    assert H.available_species(header) == ["cfin", "mluc"] and list(H.species_catalog(header)) == ["cfin", "mluc"]
+
+
+def test_catalog():
+    from habitat_spark.plans import catalog as K
+
+    assert K.axis("SST") == "SST (degrees C)" and K.axis("nothing") == "nothing" and K.label("CHL").startswith("CHL - ")
+    assert K.gridded()["SST"].resolution == (0.083, "P1M") and set(K.static()) == {"DEPTH", "SLOPE", "ASPECT"}
+    assert {"SST", "DEPTH", "NAO", "jday", "front_distance"} <= {c.name for c in K.info()} and "jday" not in {c.name for c in K.info(False)}
+    ramp = K.ramp(-50.0, 50.0)
+    assert ramp[3] == 0.5 and K.ramp(10.0, 50.0)[3] == 0.02 and K.ramp(None, None)[1] == 0.2 and len(ramp) == 6

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -38,6 +39,63 @@ def test_threshold_and_labels(spark):
         ST.labelled(df.limit(50), 10.0)
 
 
+def test_percentiles_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(ST, "FEW", 7)
+    rng = random.Random(4)
+    for values in ([rng.gauss(0, 100) for _ in range(3001)], [float(rng.randrange(30)) for _ in range(800)], [1.0], [5.0] * 40 + [9.0] * 60, [rng.random() * (i % 3 == 0) for i in range(2000)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "abundance double").repartition(3)
+        for share in (0.0, 0.1, 0.37, 0.5, 0.9, 1.0):
+            v = sorted(values)
+            at = share * (len(v) - 1)
+            low = int(at)
+            want = v[low] + (v[min(low + 1, len(v) - 1)] - v[low]) * (at - low)
+            assert ST.percentile_of(df, share) == pytest.approx(want), (share, len(values))
+    assert ST.percentile_of(spark.createDataFrame([], "abundance double"), 0.5) is None
+
+
+def test_distance_equals_all_pairs(spark):
+    rng = random.Random(9)
+    cells = [(iy * 9 + ix, ix, iy, y) for y in (2000, 2001, 2002) for ix in range(9) for iy in range(7) if rng.random() < 0.8]
+    marked = {c for c in cells if rng.random() < {2000: 0.3, 2001: 0.04, 2002: 0.0}[c[3]]}
+    rows = [(c, ix, iy, -70_000_000 + 250_000 * ix, 40_000_000 + 250_000 * iy, y, 1, (c, ix, iy, y) in marked) for c, ix, iy, y in cells]
+    df = spark.createDataFrame(rows, "cell int, ix int, iy int, lon_u long, lat_u long, year int, month int, m boolean")
+    got = {(r["cell"], r["year"]): r["d"] for r in G.distance_to(df, F.col("m"), "d").collect()}
+    for c, _, _, lon, lat, y, _, _ in rows:
+        near = [math.hypot((lon - r[3]) / 1e6 * math.cos(math.radians(lat / 1e6)), (lat - r[4]) / 1e6) * G.KM_PER_DEGREE for r in rows if r[7] and r[5] == y]
+        assert got[c, y] == (pytest.approx(min(near)) if near else None)
+
+
+def test_curves_of_folds(spark):
+    rng = random.Random(2)
+    data = [(rng.randrange(3), rng.random(), rng.randrange(2)) for _ in range(300)]
+    got = {r["fold"]: r for r in E.fold_values(spark.createDataFrame(data, "fold int, score double, label int")).collect()}
+    for f in range(3):
+        own = [(s, y) for k, s, y in data if k == f]
+        p, n = sum(y for _, y in own), sum(1 - y for _, y in own)
+        assert got[f]["roc_auc"] == pytest.approx(sum((a > b) + (a == b) / 2 for a, y in own for b, z in own if y and not z) / p / n)
+        assert got[f]["sens"] == pytest.approx(sum(y for s, y in own if s >= 0.5) / p) and got[f]["spec"] == pytest.approx(sum(1 - y for s, y in own if s < 0.5) / n)
+
+
+def test_novelty_by_brute_force(spark):
+    rng = random.Random(11)
+    train = [(round(rng.gauss(10, 3), 2), rng.choice([1.0, 1.0, 2.0, 5.0])) for _ in range(700)]
+    rows = [(i, None if i % 17 == 0 else round(rng.gauss(10, 5), 2), rng.choice([0.0, 1.0, 1.5, 2.0, 5.0, 6.0])) for i in range(200)]
+    got = {r["id"]: r for r in U.novelty(spark.createDataFrame(rows, "id int, a double, b double"), spark.createDataFrame(train, "a double, b double"), ["a", "b"], ["id"]).collect()}
+
+    def similarity(x, values):
+        if x is None:
+            return None
+        below, low, high = sum(v < x for v in values), min(values), max(values)
+        f = 100 * below / len(values)
+        return 100 * (x - low) / (high - low) if below == 0 else 2 * f if f <= 50 else 2 * (100 - f) if f < 100 else 100 * (high - x) / (high - low)
+
+    for i, *xs in rows:
+        sims = [similarity(x, [t[k] for t in train]) for k, x in enumerate(xs)]
+        set_ = [s for s in sims if s is not None]
+        assert got[i]["novelty"] == (pytest.approx(min(set_)) if len(set_) == 2 else None)
+        assert got[i]["novel_variable"] == "ab"[sims.index(min(set_))]
+
+
 def test_best_cutoff_is_the_best(spark):
     rng = random.Random(1)
     for _ in range(4):
@@ -87,3 +145,16 @@ def test_folds_are_even(spark):
     f = E.stratified_folds(A.scores(spark, SMALL), 5)
     sizes = [r["count"] for r in f.groupBy("label", "fold").count().filter("label = 0").collect()]
     assert max(sizes) - min(sizes) <= 1 and len(sizes) == 5
+
+
+def test_idw_beyond_its_reach(spark):
+    """Cells far from all coarse ones look at every one of the step."""
+    coarse = spark.createDataFrame([(1, 1, x, y, float(v)) for x, y, v in ((0, 0, 1), (100, 0, 2), (0, 100, 3), (100, 100, 4), (200, 0, 9))], "year int, month int, lon_u long, lat_u long, v double")
+    fine = spark.createDataFrame([(0, 1, 1, 40, 30), (1, 1, 1, 5000, 0), (2, 1, 1, 0, 0), (3, 1, 2, 0, 0)], "cell int, year int, month int, lon_u long, lat_u long")
+    got = {r["cell"]: r["v"] for r in G.downscaled_idw(fine, coarse, "v").collect()}
+    for c, _, m, x, y in fine.collect():
+        near = sorted(((x - r["lon_u"]) ** 2 + (y - r["lat_u"]) ** 2, r["lon_u"], r["lat_u"], r["v"]) for r in coarse.collect())[:4]
+        if m == 1:
+            w = [1 / max(d / 1e12, 1e-12) for d, *_ in near]
+            assert got[c] == pytest.approx(sum(a * r[3] for a, r in zip(w, near)) / sum(w))
+    assert set(got) == {0, 1, 2}

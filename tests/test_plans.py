@@ -1,6 +1,7 @@
 import copy
 
 import pytest
+from pyspark.sql import functions as F
 
 from habitat_spark.plans import config as C
 from habitat_spark.plans import models as MD
@@ -27,6 +28,8 @@ def test_config_round_trip(tmp_path):
 
 @pytest.mark.parametrize("sections", [
     {"species": {"name": None}}, {"species": {"threshold": {"method": "percentile", "value": 2}}}, {"model": {"type": "svm"}}, {"model": {"bootstrap": 50}}, {"study_area": {"xmin": 10.0}},
+    {"covariates": {"prejoin": [{"type": "upscale", "covariate": "SST"}]}}, {"covariates": {"prejoin": [{"type": "upscale", "covariate": "SST", "to": 1.0, "method": "idw"}]}}, {"covariates": {"prejoin": [{"type": "fill_gaps", "covariate": "SST", "from": "CHL"}]}},
+    {"covariates": {"steps": [{"type": "contour_distance", "var": "SST"}]}}, {"covariates": {"source": "parquet"}}, {"species": {"active": "nobody"}}, {"model": {"offset": "CHL"}}, {"model": {"bs": "zz"}},
     {"covariates": {"variables": ["SST", "SST"]}}, {"covariates": {"steps": [{"type": "lag", "var": "CHL"}]}}, {"covariates": {"transforms": {"NO": "log"}}}, {"covariates": {"grid": "other"}}, {"dates": {"training": {"years": [2019, 2018], "months": [1, 2]}}},
 ])
 def test_bad_settings(sections):
@@ -40,17 +43,102 @@ def test_periods_are_sets():
     assert C.progress("fitting the model") == 0.85
 
 
+def ready(spark, **sections):
+    from habitat_spark.plans import pipeline as P
+
+    return P.prepare(spark, C.resolve(changed(**sections)))
+
+
+def test_products_and_their_grid(spark):
+    """The grid that a run lands on, what is drawn out on it, and single covariates put on other grids before."""
+    two = [{"variables": ["SST", "SSS"]}, {"variables": ["CHL"], "resolution": 0.5}]
+    finest, coarsest = (ready(spark, covariates={"variables": [], "products": two, "grid": g}) for g in ("finest", "coarsest"))
+    assert finest.spacing_u == 250_000 and finest.upsampled == ["CHL"] and finest.names == ["SST", "SSS", "CHL"]
+    assert coarsest.spacing_u == 500_000 and coarsest.upsampled == [] and coarsest.names == ["CHL", "SST", "SSS"]
+    assert finest.field.count() == 17 * 13 * 6 and coarsest.field.count() == 9 * 7 * 6
+    assert finest.field.select("year", "month", "CHL").distinct().count() == 9 * 7 * 6  # each value stands in all cells around it
+    made = ready(spark, covariates={"variables": [], "products": two, "prejoin": [{"type": "upscale", "covariate": "SSS", "to": "CHL", "method": "median"}]})
+    assert made.upsampled == ["CHL", "SSS"] and made.field.select("year", "month", "SSS").distinct().count() == 9 * 7 * 6
+    smooth = ready(spark, covariates={"variables": [], "products": two, "prejoin": [{"type": "downscale", "covariate": "CHL", "to": "SST", "method": "bilinear"}]})
+    assert smooth.upsampled == [] and smooth.field.select("year", "month", "CHL").distinct().count() > 9 * 7 * 6
+    degrees = ready(spark, covariates={"variables": [], "products": two, "prejoin": [{"type": "upscale", "covariate": "SST", "to": 1.0}]})
+    assert degrees.upsampled == ["CHL", "SST"] or set(degrees.upsampled) == {"CHL", "SST"}
+
+
+def test_gaps_layers_and_series(spark):
+    two = [{"variables": ["CHL"]}, {"variables": ["CHL_MODEL"], "resolution": 0.5}]
+    fill = {"type": "fill_gaps", "covariate": "CHL", "from": "CHL_MODEL"}
+    plain = ready(spark, covariates={"variables": [], "products": two, "prejoin": [fill]})
+    kept = ready(spark, covariates={"variables": [], "products": two, "prejoin": [fill | {"keep_source": True, "rescale": True}]})
+    assert plain.names == ["CHL"] and kept.names == ["CHL", "CHL_MODEL"] and "CHL_source" in plain.field.columns
+    deep = ready(spark, covariates={"bathymetry": ["DEPTH"], "climate": ["NAO"], "steps": [{"type": "isobath_distance", "levels": [100, 200]}, {"type": "shore_distance"}, {"type": "temporal_gradient", "var": "SST", "per": "day"}]})
+    assert deep.predictors[-2:] == ["NAO", "DEPTH"] and {"isobath_dist_100", "isobath_dist_200", "shore_distance", "SST_dt"} <= set(deep.names)
+    assert deep.data.filter("DEPTH is null or NAO is null").count() == 0 and deep.data.count() > 100
+    assert deep.field.agg({"shore_distance": "min"}).first()[0] == 0
+    without = ready(spark, covariates={"exclude": ["SSS"], "derived": []})
+    assert without.predictors == ["SST"]
+    with pytest.raises(C.ConfigError):
+        ready(spark, covariates={"steps": [{"type": "shore_distance"}]})
+
+
+def test_powers_are_fitted(spark):
+    df = spark.range(400).select("id", (1 + (F.col("id") % 50)).cast("double").alias("x"))
+    squares = df.withColumn("x", F.pow("x", F.lit(3.0)))
+    assert MD.fitted_power(squares, "x", "boxcox") == pytest.approx(MD.fitted_power(df, "x", "boxcox") / 3, abs=0.02)
+    assert MD.fitted_power(df.withColumn("x", F.lit(2.0)), "x", "yeojohnson") == 1.0
+    with pytest.raises(ValueError):
+        MD.fitted_power(df.withColumn("x", -F.col("x")), "x", "boxcox")
+    rows = squares.withColumn("label", (F.rand(3) < F.col("x") / 200_000).cast("int"))
+    m = MD.fit(rows, ["x"], MD.Spec(type="glm"), {"x": "boxcox"})
+    assert 0 < m.score(rows).agg(F.avg("score")).first()[0] < 1
+
+
 def test_pipeline_finds_the_planted_signal(spark, tmp_path):
     from habitat_spark.plans import pipeline as P
 
-    run = P.run(spark, C.resolve(changed(model={"type": "rf", "trees": 10, "folds": 3}, projection={"uncertainty": True})))
-    auc = run.evaluation.filter("metric = 'roc_auc'").first()["value"]
-    assert auc > 0.7
+    run = P.run(spark, C.resolve(changed(covariates={"transforms": {"SST": "yeojohnson"}}, model={"type": "rf", "trees": 10, "folds": 3, "bootstrap": 200, "importance": 1}, projection={"uncertainty": {"level": 0.5}})))
+    auc = run.evaluation.filter("metric = 'roc_auc'").first()
+    assert auc["value"] > 0.7 and auc["lower"] < auc["value"] < auc["upper"]
     rows = run.projection.agg({"suitability": "min"}).first()[0], run.projection.agg({"suitability": "max"}).first()[0]
     assert 0 <= rows[0] <= rows[1] <= 1
     assert {"suitability_sd", "novelty", "novel_variable"} <= set(run.projection.columns)
-    P.write(run, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "suitability")).count() == run.projection.count()
+    first = run.tables["importance"].first()
+    assert first["importance"] > 0 and {r["variable"] for r in run.tables["partial_effects"].collect()} <= set(run.model.predictors)
+    folder = str(tmp_path / "out")
+    P.write(run, folder)
+    P.export(spark, folder, str(tmp_path / "export"))
+    assert spark.read.parquet(folder + "/suitability").count() == run.projection.count() == spark.read.csv(str(tmp_path / "export" / "suitability_csv"), header=True).count()
+    assert spark.read.parquet(str(tmp_path / "export" / "stack")).columns[3:] == ["2019_06", "2019_07", "2019_08"]
+    assert spark.read.csv(folder + "/importance", header=True).count() == len(run.model.predictors)
+    run.release()
+
+
+@pytest.mark.parametrize("settings", [{"type": "brt", "trees": 5}, {"type": "glm"}, {"type": "gam"}, {"type": "rf", "trees": 5, "tune": True, "tune_grid": 2}])
+def test_every_type_beats_chance(spark, settings):
+    from habitat_spark.plans import pipeline as P
+
+    run = P.run(spark, C.resolve(changed(model={**settings, "folds": 2, "bootstrap": False, "importance": 0})), project=False)
+    assert run.evaluation.filter("metric = 'roc_auc'").first()["value"] > 0.6
+    if settings["type"] == "glm":
+        sizes = [abs(r["estimate"]) for r in run.tables["coefficients"].collect()]
+        assert sizes == sorted(sizes, reverse=True)
+    if settings["type"] == "gam":
+        terms = run.tables["smooth_terms"].collect()
+        assert terms and all(0 < r["edf"] <= r["columns"] for r in terms)
+
+
+def test_importance_finds_what_matters(spark):
+    rows = spark.range(2000).select(F.col("id").alias("station_id"), F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("label", (F.col("a") + 0.2 * F.rand(3) > 0.6).cast("int")).persist()
+    m = MD.fit(rows, ["a", "b"], MD.Spec(type="glm"))
+    for block in (100_000, 300):
+        got = {r["variable"]: r["importance"] for r in MD.importance(m, rows, 2, block=block).collect()}
+        assert got["a"] > 0.3 and abs(got["b"]) < 0.02
+
+
+def test_generated_settings(tmp_path):
+    made = C.generate(str(tmp_path / "new.yaml"), "cfin_total", (2003, 2017), (1, 12), {"xmin": -76, "xmax": -65, "ymin": 35, "ymax": 45}, ["SST"], model={"type": "glm"})
+    assert made["model"]["type"] == "glm" and made["model"]["trees"] == 500 and C.load(str(tmp_path / "new.yaml")).values == made.values
+    assert C.resolve(changed(species={"name": None, "active": "pcal"}))["species"]["prefix"] == "pseudo"
 
 
 def test_links_and_transforms(spark):
