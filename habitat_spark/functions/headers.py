@@ -93,14 +93,28 @@ def zoop_taxa(header: list[str], suffix: str = "_10M2") -> list[TaxonColumn]:
     return [TaxonColumn(c, t, short[t], s, f"{short[t]}_{s or 'total'}", per, unit) for c, t, s in found]
 
 
+_STAGE_INSIDE = re.compile(r"_C(?:VI|IV|V|I{1,3})_", re.I)
+
+
 def check_taxa(taxa: list[TaxonColumn], header: list[str]) -> None:
-    """Two columns of one name are an error; other units in the header are worth a warning."""
+    """Two columns of one name are an error; what else the names leave in doubt is worth a warning each."""
     twice = [n for n, c in Counter(t.name for t in taxa).items() if c > 1]
     if twice:
-        raise ValueError(f"columns have the same name: {', '.join(twice)}")
+        raise ValueError(f"columns have the same name: {', '.join(t.column for t in taxa if t.name in twice)}")
+    names = {t.taxon for t in taxa}
+    written: dict[str, set[str]] = {}
+    for t in taxa:
+        written.setdefault(t.taxon, set()).add(t.column[: len(t.taxon)])
     units = {m[0].upper() for h in header if (m := SUFFIX.search(h))}
-    if taxa and len(units) > 1:
-        warnings.warn(f"columns are counted in several units: {', '.join(sorted(units))}", stacklevel=2)
+    doubts = {
+        "a stage stands inside the name, so these count as totals": [t.column for t in taxa if _STAGE_INSIDE.search(t.taxon + "_")],
+        "one taxon is written in several ways": [x for ways in written.values() if len(ways) > 1 for x in sorted(ways)],
+        "taxa begin the names of others, so their prefix takes in the others' columns": [n for n in sorted(names) if any(o.startswith(n + "_") for o in names)],
+        "columns are counted in several units, of which one is read": sorted(units) if taxa and len(units) > 1 else [],
+    }
+    for doubt, found in doubts.items():
+        if found:
+            warnings.warn(f"{doubt}: {', '.join(found)}", stacklevel=2)
 
 
 def raw_suffix(header: list[str]) -> str | None:

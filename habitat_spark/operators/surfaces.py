@@ -38,6 +38,15 @@ def spread(df: DataFrame, members: list[Column], level: float = 0.9) -> DataFram
     return out.withColumns({"suitability_sd": F.sqrt(squares / (n - 1)), "suitability_lower": quantile((1 - level) / 2), "suitability_upper": quantile((1 + level) / 2), "n_members": F.lit(n)}).drop("_m", "_mean")
 
 
+#: Columns of a projection that are there only if asked for.
+OPTIONAL = ("suitability_sd", "suitability_lower", "suitability_upper", "novelty", "novel_variable")
+
+
+def uncertainty_layers(df: DataFrame) -> list[str]:
+    """Those of the optional columns that a projection has."""
+    return [c for c in OPTIONAL if c in df.columns]
+
+
 def coverage(df: DataFrame, predictors: list[str]) -> DataFrame:
     """(year, month, predictor, n_missing, n_grid) from one aggregate."""
     sums = df.groupBy("year", "month").agg(F.count("*").alias("n_grid"), *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in predictors])

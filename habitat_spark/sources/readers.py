@@ -17,6 +17,11 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True, inferSchema=False).columns
 
 
+def available_stages(spark: SparkSession, path: str, prefix: str, single_only: bool = True) -> list[str]:
+    """Stages of a taxon that a station file has: single ones and aliases, or all its columns' but the total."""
+    return list(H.stage_pool(header_of(spark, path), prefix, single_only))
+
+
 def read_stations(spark: SparkSession, path: str, columns: dict[str, str], taxon: str | list[str]) -> DataFrame:
     """(station columns, abundance) of a wide station file.
 

@@ -105,3 +105,26 @@ def test_catalog():
     assert {"SST", "DEPTH", "NAO", "jday", "front_distance"} <= {c.name for c in K.info()} and "jday" not in {c.name for c in K.info(False)}
     ramp = K.ramp(-50.0, 50.0)
     assert ramp[3] == 0.5 and K.ramp(10.0, 50.0)[3] == 0.02 and K.ramp(None, None)[1] == 0.2 and len(ramp) == 6
+
+
+def test_doubtful_names(spark, tmp_path):
+    from habitat_spark.sources import readers
+
+    def doubts(*columns):
+        import warnings
+
+        with warnings.catch_warnings(record=True) as found:
+            warnings.simplefilter("always")
+            H.check_taxa(H.zoop_taxa(list(columns)), list(columns))
+        return " ".join(str(w.message) for w in found)
+
+    assert doubts("CALANUS_FINMARCHICUS_10M2", "METRIDIA_LUCENS_CIV_10M2") == ""
+    assert "inside" in doubts("CALANUS_CIV_ODD_10M2")
+    assert "several ways" in doubts("Calanus_finmarchicus_CV_10M2", "CALANUS_FINMARCHICUS_CIV_10M2")
+    assert "begin the names" in doubts("CALANUS_10M2", "CALANUS_SPP_10M2")
+    assert "units" in doubts("CALANUS_SPP_10M2", "METRIDIA_SPP_100M3")
+    with pytest.raises(ValueError):
+        doubts("CALANUS_FINMARCHICUS_10M2", "CALANUS_FINMARCHICUS_TOTAL_10M2")
+    spark.createDataFrame([(1, 2, 3, 4)], "cfin_CIV int, cfin_CV_VI int, cfin_CI_IV int, cfin_total int").coalesce(1).write.csv(str(tmp_path / "s"), header=True)
+    assert readers.available_stages(spark, str(tmp_path / "s"), "cfin") == ["CIV", "adult"]
+    assert readers.available_stages(spark, str(tmp_path / "s"), "cfin", False) == ["CIV", "CV_VI", "CI_IV"]
