@@ -115,10 +115,12 @@ def train(documents: DataFrame, labels: DataFrame, bits: int = BITS, rows: int =
 
 
 def scored(documents: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """The documents with a column score of 0 to 1: the logistic of the sparse dot product."""
+    """The documents with a last column score (with underscores ahead if that is taken) of 0 to 1: the logistic of the sparse dot product."""
     large_strings(documents)
     shared = documents.sparkSession.sparkContext.broadcast(weights)  # 2 ** bits + 1 numbers
-    name = "_score" if "score" in documents.columns else "score"
+    name = "score"
+    while name in documents.columns:
+        name = f"_{name}"
     schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):

@@ -231,9 +231,9 @@ def edges_of(prints: DataFrame, distance: int = DISTANCE, members: int = MEMBERS
                     cut = np.flatnonzero(np.diff(to[by], prepend=-1))
                     for t, part in zip(to[by][cut].tolist(), np.split(by, cut[1:])):
                         targets.setdefault(t, []).append(q[part])
-                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([None], pa.large_binary())], names=["group", "queries"])
-                for t, found in targets.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([fps[np.concatenate(found)].tobytes()], pa.large_binary())], names=["group", "queries"])
+                asked = {group: None} | {t: fps[np.concatenate(found)] for t, found in targets.items()}
+                sizes = [fps.size if x is None else x.size for x in asked.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int32()), pa.array(sizes, pa.int64()), pa.array([None if x is None else x.tobytes() for x in asked.values()], pa.large_binary())], names=["group", "n", "queries"])
 
     def link(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -241,8 +241,9 @@ def edges_of(prints: DataFrame, distance: int = DISTANCE, members: int = MEMBERS
                 a, b = links(np.frombuffer(packed.as_py(), np.uint64), None if queries.as_py() is None else np.frombuffer(queries.as_py(), np.uint64), distance)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    meetings = stored(groups.select("group", "members").mapInArrow(tidy(route), "group int, queries binary"), "simhash-meetings")
-    n = max(1, min(meetings.count(), GROUPS))
+    meetings = stored(groups.select("group", "members").mapInArrow(tidy(route), "group int, n long, queries binary"), "simhash-meetings")
+    count, total = meetings.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n = max(1, min(count, GROUPS, -(-total // members)))  # a task for each so many queries
     met = meetings.join(groups.select("group", "members"), "group").select("queries", "members").repartition(n)
     return met.mapInArrow(tidy(link), "a long, b long").distinct()
 
