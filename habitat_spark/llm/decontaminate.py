@@ -6,7 +6,8 @@ shared 13-word span has a shared fingerprint. Fingerprints are joined and each h
 words around it, compared as text. Items of 1 to 12 words are one window: their own whole hash is kept.
 
 Nulls and texts without words: no words, not contaminated; such items match nothing. Repeated rows are
-judged one by one (rows are told apart by an internal number, not by doc_id). Other columns are ignored.
+judged one by one (rows are told apart by an internal number, not by doc_id). Other columns are ignored. Texts of
+any length are looked at whole.
 """
 
 from __future__ import annotations
@@ -125,8 +126,7 @@ def contaminated_windows(documents: DataFrame, benchmark: DataFrame) -> tuple[Da
     docs = stored(_fingerprinted(documents, "doc_id", lengths, _filter_of(items)), "decontaminate-docs")
     theirs = items.select("item_id", F.least("n_words", F.lit(WINDOW)).alias("size"), F.explode("marks").alias("m")).select(
         F.col("m.fp").alias("fp"), "item_id", "size", F.col("m.lead").alias("i_lead"), F.split("m.span", " ").alias("i_words"))
-    # a document may repeat a passage, and a passage may be in many items: equal pairs of spans are compared once
-    theirs = theirs.dropDuplicates()
+    theirs = theirs.dropDuplicates()  # an item may repeat a passage
     ours = docs.filter(F.size("marks") > 0).select("uid", F.explode("marks").alias("m")).select(
         F.col("m.fp").alias("fp"), "uid", "m.pos", F.col("m.lead").alias("d_lead"), F.split("m.span", " ").alias("d_words"))
     pairs = ours.join(theirs, "fp")

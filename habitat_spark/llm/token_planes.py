@@ -7,7 +7,8 @@ blocks. Spark writes the segments (a binary column of a Parquet table in the sha
 a lost executor's files are written again by another, and reads them back.
 
 Null texts are empty: the end id alone. Null doc_ids come first. Rows with equal doc_id stand by text; other
-columns are ignored. No rows give an empty table.
+columns are ignored. No rows give an empty table. A text of any length is encoded whole; a segment ends with the
+document that fills it, so a very long text is a segment of its own.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BLOCK = 16_384
 #: Ids after which a segment ends with the current document.
 SEGMENT = 1 << 18
 END = 2
+#: zstandard level of a plane: the fastest; higher ones make files a little smaller.
+LEVEL = 1
 #: Pieces in each half of a process's memory, and texts in one call of the library.
 MEMORY = 600_000
 TOGETHER = 8192
@@ -45,9 +48,9 @@ _LETTERS_AND_SIGNS = re.compile(rf"({_LETTERS})({_SIGNS})(?:(\n{_LETTERS})({_SIG
 _MAGIC = b"TOKP"
 
 
-def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
+def pack(ids: np.ndarray, block: int = BLOCK, level: int = LEVEL) -> bytes:
     """Bytes of one segment of unsigned 32-bit ids."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=level)
     sizes, planes = [], []
     for first in range(0, ids.size, block):
         rows = np.ascontiguousarray(ids[first : first + block].astype("<u4").view(np.uint8).reshape(-1, 4).T)
