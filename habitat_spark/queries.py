@@ -586,10 +586,13 @@ def normalize(spark, d):
     return U.normalised(m, ["sst", "chl"], F.col("station_id") % 5 != 0).select("station_id", *r6("sst", "chl"))
 
 
-@query("""SELECT cell, """ + ", ".join(f"round(max(CASE WHEN year = 1997 AND month = {m} THEN {_P.format(-2.0)} END), 6) AS \"1997_{m:02d}\"" for m in (6, 7, 8)) + " FROM gappy WHERE chl IS NOT NULL AND year = 1997 AND month BETWEEN 6 AND 8 GROUP BY cell")
+_LAYERS = [f"{y}_{m:02d}" for y in range(1992, 1999) for m in range(1, 13)]  # all months that the tables have
+
+
+@query("SELECT cell, " + ", ".join(f"round(max(CASE WHEN year = {x[:4]} AND month = {int(x[5:])} THEN p END), 6) AS \"{x}\"" for x in _LAYERS) + f" FROM (SELECT *, {_P.format(-2.0)} AS p FROM gappy WHERE chl IS NOT NULL) GROUP BY cell")
 def suitability_stack(spark, d):
-    g = ST.complete(A.gappy(A.grid(spark, d)).filter("year = 1997 and month between 6 and 8"), COVARIATES).withColumn("p", F.round(U.logistic(-2.0, _WEIGHTS), 6))
-    return U.stack(g, "p", ["cell"], ["1997_06", "1997_07", "1997_08"])
+    g = ST.complete(A.gappy(A.grid(spark, d)), COVARIATES).withColumn("p", F.round(U.logistic(-2.0, _WEIGHTS), 6))
+    return U.stack(g, "p", ["cell"], _LAYERS)
 
 
 @query(""", sample AS (SELECT sst, chl, uo FROM grid), sweep AS (
