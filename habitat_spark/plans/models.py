@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import evaluate as E
 from ..operators import surfaces as U
+from ..sources import scratch
 
 #: Links and smoothing settings that a model may name.
 LINKS = ("logit", "probit", "cloglog", "cauchit", "log")
@@ -224,7 +225,7 @@ def check_transforms(df: DataFrame, transforms: dict[str, str]) -> None:
 
 def cross_validated(df: DataFrame, predictors: list[str], spec: Spec, folds: int = 5, transforms=None, key: str = "station_id") -> tuple[DataFrame, list[Fitted]]:
     """(held-out rows with fold and score, the folds' models)."""
-    rows = E.stratified_folds(df, folds, key=key).persist()
+    rows = scratch.stored(E.stratified_folds(df, folds, key=key), "folds")
     models, parts = [], []
     for k in range(folds):
         m = fit(rows.filter(F.col("fold") != k), predictors, spec, transforms)
