@@ -1,11 +1,11 @@
-"""Queries of the ten operators and the pipeline, and the SQL of those that SQL can express."""
+"""Queries of the operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_model, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_planes, url_filters
+from . import bpe, decontaminate, hard_negatives, language_model, quality_classifier, quality_rules, secrets, simhash, spelling, suffix_dedup, token_counts, token_planes, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,19 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_decontamination, op4_suffix_dedup, op5_url_filters, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_katz_scores, op10_token_planes)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_decontamination, op4_suffix_dedup, op5_url_filters, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_katz_scores, op10_token_planes, op11_spelling_variants, op12_hard_negatives, op13_token_counts)}
 
 _OP3 = r"""
 WITH d AS (
@@ -113,4 +125,22 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
-ORACLE = {"op3_decontamination": _OP3, "op4_suffix_dedup": _OP4, "op5_url_filters": _OP5}
+_OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, row_number() OVER () AS u
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.u AS a, a.vec_id AS anchor_id, b.u AS b, b.vec_id AS id, a.label = b.label AS mate,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q, true), z -> z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.u <> b.u
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS place FROM s WHERE mate QUALIFY place <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.a = s.a AND NOT s.mate AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+ORACLE = {"op12_hard_negatives": _OP12, "op3_decontamination": _OP3, "op4_suffix_dedup": _OP4, "op5_url_filters": _OP5}
