@@ -2,8 +2,8 @@
 
 Words are maximal runs of bytes outside ``\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F`` after A-Z are lower-cased.
 Of each 13 consecutive words, the smallest 8-word hash is kept, by documents and items alike, so every
-shared 13-word span has a shared fingerprint. Fingerprints are joined and each hit is extended over the
-words around it, compared as text. Items of 1 to 12 words are one window: their own whole hash is kept.
+shared 13-word span has a shared fingerprint. Fingerprints are joined and each hit is extended to the
+windows over it, compared as text: with each distinct window of the benchmark once, which knows its items. Items of 1 to 12 words are one window: their own whole hash is kept.
 
 Nulls and texts without words: no words, not contaminated; such items match nothing. Repeated rows are
 judged one by one (rows are told apart by an internal number, not by doc_id). Other columns are ignored. Texts of
@@ -118,27 +118,30 @@ def _filter_of(items: DataFrame):
     return items.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def contaminated_windows(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents as uid, doc_id, n_words; found windows as uid, item_id, start, size in words)."""
+def contaminated_windows(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents as uid, doc_id, n_words; found windows as uid, window_id, start, size in words; window_id, item_id of the benchmark's)."""
     large_strings(documents)
     items = stored(_fingerprinted(benchmark, "item_id", None, None), "decontaminate-items")
     lengths = [r[0] for r in items.filter(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()]
     docs = stored(_fingerprinted(documents, "doc_id", lengths, _filter_of(items)), "decontaminate-docs")
-    theirs = items.select("item_id", F.least("n_words", F.lit(WINDOW)).alias("size"), F.explode("marks").alias("m")).select(
-        F.col("m.fp").alias("fp"), "item_id", "size", F.col("m.lead").alias("i_lead"), F.split("m.span", " ").alias("i_words"))
-    theirs = theirs.dropDuplicates()  # an item may repeat a passage
-    ours = docs.filter(F.size("marks") > 0).select("uid", F.explode("marks").alias("m")).select(
-        F.col("m.fp").alias("fp"), "uid", "m.pos", F.col("m.lead").alias("d_lead"), F.split("m.span", " ").alias("d_words"))
-    pairs = ours.join(theirs, "fp")
-    # extension: words agree from `left` before the hash to `right` after its first word
-    left = F.expr("""aggregate(sequence(1, 5), struct(0 as n, true as go),
-        (s, i) -> struct(if(s.go and i <= least(d_lead, i_lead) and get(d_words, d_lead - i) = get(i_words, i_lead - i), s.n + 1, s.n) as n,
-                         s.go and i <= least(d_lead, i_lead) and get(d_words, d_lead - i) = get(i_words, i_lead - i) as go), s -> s.n)""")
-    right = F.expr("""aggregate(sequence(0, 12), struct(0 as n, true as go),
-        (s, i) -> struct(if(s.go and coalesce(get(d_words, d_lead + i) = get(i_words, i_lead + i), false), s.n + 1, s.n) as n,
-                         s.go and coalesce(get(d_words, d_lead + i) = get(i_words, i_lead + i), false) as go), s -> s.n)""")
-    hits = pairs.withColumn("left", left).withColumn("right", right).filter(F.col("left") + F.col("right") >= F.col("size"))
-    return docs.drop("marks"), hits.select("uid", "item_id", (F.col("pos") - F.col("left")).alias("start"), (F.col("left") + F.col("right")).alias("size"))
+    theirs = _spread(items, "item_id")
+    # each distinct window of the benchmark once, whatever number of items has it
+    distinct = stored(theirs.select("fp", "before", "window").distinct().withColumn("window_id", F.monotonically_increasing_id()), "decontaminate-windows")
+    members = theirs.join(distinct, ["fp", "before", "window"]).select("window_id", "item_id").distinct()
+    hits = _spread(docs.filter(F.size("marks") > 0), "uid").join(distinct, ["fp", "before", "window"]).select("uid", "window_id", "start", "size")
+    return docs.drop("marks"), hits, members
+
+
+def _spread(marked: DataFrame, key: str) -> DataFrame:
+    """(key, fp, before, window, start, size): each hash extended to the windows over it, as words.
+
+    A window of WINDOW words begins up to WINDOW - GRAM words before the hash; of a short item there is one.
+    """
+    words = F.split("m.span", " ")
+    rows = marked.select(key, F.explode("marks").alias("m")).select(key, F.col("m.fp").alias("fp"), "m.pos", "m.lead", words.alias("words"), F.least(F.size(words), F.lit(WINDOW)).alias("size"))
+    rows = rows.withColumn("before", F.explode(F.sequence(F.lit(0), F.least("lead", F.lit(WINDOW - GRAM))))).filter(F.col("lead") - F.col("before") + F.col("size") <= F.size("words"))
+    window = F.array_join(F.slice("words", F.col("lead") - F.col("before") + 1, F.col("size")), " ")
+    return rows.select(key, "fp", "before", window.alias("window"), (F.col("pos") - F.col("before")).alias("start"), "size")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -146,11 +149,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     contaminated: some words are hit, and they are at least a twentieth of the document's words.
     """
-    docs, hits = contaminated_windows(documents, benchmark)
+    docs, hits, members = contaminated_windows(documents, benchmark)
     hits = stored(hits, "decontaminate-hits")
     words = hits.select("uid", F.explode(F.expr("sequence(start, start + size - 1)")).alias("w")).distinct().groupBy("uid").agg(F.count("*").alias("n_hit"))
-    items = hits.select("uid", F.col("item_id").cast("string").alias("item")).distinct().groupBy("uid").agg(
-        F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
+    # documents that met the same windows share their items: each such set is made out once
+    sets = stored(hits.groupBy("uid").agg(F.array_sort(F.collect_set("window_id")).alias("windows")), "decontaminate-sets")
+    some = sets.select("windows").distinct()
+    named = some.select("windows", F.explode("windows").alias("window_id")).join(members, "window_id").select("windows", F.col("item_id").cast("string").alias("item")).distinct()
+    named = named.groupBy("windows").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
+    items = sets.join(named, "windows").select("uid", "n_items", "items_sha256")
     joined = docs.join(words, "uid", "left").join(items, "uid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),

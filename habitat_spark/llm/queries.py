@@ -128,11 +128,11 @@ FROM r
 _OP12 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, row_number() OVER () AS u
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, row_number() OVER () AS u
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.u AS a, a.vec_id AS anchor_id, b.u AS b, b.vec_id AS id, a.label = b.label AS mate,
-    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q, true), z -> z[1] * z[2])), 0) AS BIGINT) AS score
+    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q, true), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
   FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.u <> b.u
 ), p AS (
   SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS place FROM s WHERE mate QUALIFY place <= 5

@@ -183,6 +183,20 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_common_passages_make_no_pairs(spark):
+    """A passage that many documents and many items have is met once by each document, not once for each item."""
+    rng = __import__("random").Random(2)
+    prose = lambda n: " ".join(rng.choice("aeiou") + str(rng.randrange(10**6)) for _ in range(n))
+    passage = prose(20)
+    rows = [(i, f"{prose(5)} {passage} {prose(5)}") for i in range(300)]
+    items = [(i, f"{prose(3)} {passage} {prose(3)}") for i in range(200)]
+    bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, fp int")
+    _, hits, _ = decontaminate.contaminated_windows(cases.frame(spark, rows), bench)
+    assert 300 <= hits.count() < 300 * 20
+    out = decontaminate.decontaminate(cases.frame(spark, rows), bench)
+    assert {(r["n_hit"], r["n_items"]) for r in out.collect()} == {(20, 200)}
+
+
 def brute_spans(rows, span=50):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     first: dict[bytes, int] = {}
