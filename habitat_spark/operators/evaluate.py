@@ -10,22 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of scores for running totals.
+#: Ranges of scores for running totals, with about as many distinct scores each.
 RANGES = 64
 
 
-def tie_runs(df: DataFrame) -> DataFrame:
-    """(score, pos, neg), one row for each distinct score."""
-    return df.groupBy("score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+def tie_runs(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, score, pos, neg), one row for each distinct score."""
+    return df.groupBy(*keys, "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
 
 
-def running(df: DataFrame, columns: list[str], by: str = "score", low: float = 0.0, high: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+def running(df: DataFrame, columns: list[str], by: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """Totals down descending values of by, as run_<column>, and of all rows, as all_<column>; of each of keys' values.
 
-    by lies between low and high; its range is cut into RANGES equal parts.
+    Rows are cut into RANGES parts at approximate quantiles of by, so that no part has much more of them than another,
+    wherever the values lie. by is best distinct (for each of keys).
     """
-    part = F.least(F.greatest(F.floor((F.col(by) - low) / (high - low) * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int")
-    rows = df.withColumn("_part", part)
+    cuts = df.agg(F.coalesce(F.percentile_approx(by, [i / RANGES for i in range(1, RANGES)], 10_000), F.array().cast("array<double>")).alias("_cuts"))  # one row
+    rows = df.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(by)))).drop("_cuts")
     every = W.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     sums = rows.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])  # RANGES rows at most, for each of keys
@@ -51,8 +52,9 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def roc_curve(df: DataFrame) -> DataFrame:
-    return curve(df).select("score", ratio("tp", "p").alias("sensitivity"), (1 - ratio("fp", "n")).alias("specificity"))
+def roc_curve(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sensitivity and specificity at each distinct score, of all rows or of each of keys' values."""
+    return curve_of(tie_runs(df, keys), keys).select(*keys, "score", ratio("tp", "p").alias("sensitivity"), (1 - ratio("fp", "n")).alias("specificity"))
 
 
 def pr_curve(df: DataFrame) -> DataFrame:

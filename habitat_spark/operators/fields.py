@@ -5,6 +5,10 @@ A field has cell, ix, iy, lon_u, lat_u, year, month and value columns; steps are
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,15 +82,66 @@ def horizontal_gradient(df: DataFrame, column: str, spacing_u: int, name: str |
     return out.drop("_x", "_y", "west", "east", "south", "north")
 
 
+#: Grid lines that one task looks at together.
+LINES = 32
+
+
+def envelope(x: np.ndarray, height: np.ndarray, at: np.ndarray, squeeze: float) -> np.ndarray:
+    """The least of squeeze * (at - x) ** 2 + height over all x, for each at; x rising, squeeze positive.
+
+    The lower envelope of parabolas, built from left to right in linear time: one that is nowhere least is dropped as
+    soon as the next one covers it.
+    """
+    top: list[int] = []
+    starts: list[float] = []  # from where on each is least
+    xs, hs = x.tolist(), height.tolist()
+    for i in range(len(xs)):
+        start = -math.inf
+        while top:
+            j = top[-1]
+            start = (xs[i] + xs[j]) / 2 + (hs[i] - hs[j]) / (2 * squeeze * (xs[i] - xs[j]))
+            if start > starts[-1]:
+                break
+            top.pop()
+            starts.pop()
+            start = -math.inf
+        top.append(i)
+        starts.append(start)
+    kept = np.array(top)
+    place = np.searchsorted(np.array(starts), at, "right") - 1
+    best = np.full(at.size, np.inf)
+    for k in (-1, 0, 1):  # rounding may put a border a little off
+        j = kept[np.clip(place + k, 0, kept.size - 1)]
+        best = np.minimum(best, squeeze * (at - x[j]) ** 2 + height[j])
+    return best
+
+
+def _line_distances(lines: pa.Table) -> pa.Table:
+    """Squared distances of the cells of some grid lines of a step: cells have a number, masked columns a height."""
+    y, x, lat, d2 = (lines.column(c).to_numpy().astype(float) for c in ("iy", "lon_u", "lat_u", "_dy2"))
+    cell = lines.column("cell").is_valid().to_numpy()
+    out = np.full(x.size, np.nan)
+    order = np.lexsort((x, y))
+    for line in np.split(order, np.flatnonzero(np.diff(y[order])) + 1):
+        cells, columns = line[cell[line]], line[~cell[line]]
+        if cells.size and columns.size:
+            # the distance is taken in degrees of longitude and latitude, the former shrunk by the line's latitude
+            squeeze = max(math.cos(math.radians(lat[cells[0]] / 1e6)) ** 2, 1e-300)
+            out[cells] = envelope(x[columns] / 1e6, d2[columns], x[cells] / 1e6, squeeze)
+    names = ["cell", "year", "month"]
+    return lines.select(names).append_column("_d", pa.array(out, mask=np.isnan(out))).filter(lines.column("cell").is_valid())
+
+
 def distance_to(df: DataFrame, mask: Column, name: str) -> DataFrame:
     """Kilometres (planar, by latitude of the cell) to the nearest cell of the step where mask holds; null if none.
 
     The square of a distance is a sum over both axes, so it is found along grid lines: first, in each column of the
     lattice, the nearest masked cell above and below each row (a window over one grid line); then, in each row, the
-    least sum over the columns. No cell meets more than one grid line of others. Cells of a column share their lon_u,
-    those of a row their lat_u.
+    least sum over the columns, by the lower envelope of their parabolas, in time linear in the line. A task looks at
+    LINES rows of a step at a time. Cells of a column share their lon_u, those of a row their lat_u.
     """
     step = ["year", "month"]
+    kinds = {c: df.schema[c].dataType for c in ("cell", "iy", "lon_u", "lat_u")}
     masked = df.filter(mask).select(*step, "ix", "iy", F.col("lat_u").alias("_at"))
     columns = df.filter(mask).groupBy(*step, "ix").agg(F.first("lon_u").alias("_lon"))
     rows = df.groupBy(*step, "iy").agg(F.first("lat_u").alias("_lat"))
@@ -95,21 +150,40 @@ def distance_to(df: DataFrame, mask: Column, name: str) -> DataFrame:
     up = F.last("_at", True).over(line.rowsBetween(W.unboundedPreceding, 0))
     down = F.first("_at", True).over(line.rowsBetween(0, W.unboundedFollowing))
     off = lambda at: ((F.col("_lat") - at) / 1e6) * ((F.col("_lat") - at) / 1e6)
-    near = every.select(*step, "iy", "_lon", F.least(off(up), off(down)).alias("_dy2")).groupBy(*step, "iy").agg(F.collect_list(F.struct("_lon", "_dy2")).alias("_near"))  # one grid line
-    cells = df.groupBy(*step, "iy").agg(F.collect_list(F.struct("cell", "lon_u", "lat_u")).alias("_cells"))
+    near = every.select(F.lit(None).cast(kinds["cell"]).alias("cell"), *step, "iy", F.col("_lon").alias("lon_u"), F.col("_lat").alias("lat_u"), F.least(off(up), off(down)).alias("_dy2"))
+    cells = df.select("cell", *step, "iy", "lon_u", "lat_u", F.lit(None).cast("double").alias("_dy2"))
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("cell", *step)) + ", _d double"
+    found = cells.unionByName(near).groupBy(*step, F.floor(F.col("iy") / LINES)).applyInArrow(_line_distances, schema)
+    return df.join(found, ["cell", *step], "left").withColumn(name, F.sqrt("_d") * KM_PER_DEGREE).drop("_d")
 
-    def least(c: Column) -> Column:
-        dx = lambda x: (c["lon_u"] - x["_lon"]) / 1e6 * F.cos(F.radians(c["lat_u"] / 1e6))
-        return F.array_min(F.transform("_near", lambda x: dx(x) * dx(x) + x["_dy2"]))
 
-    found = cells.join(near, [*step, "iy"]).select(*step, F.explode(F.transform("_cells", lambda c: F.struct(c["cell"].alias("cell"), least(c).alias("_d")))).alias("_c")).select(*step, "_c.*")
-    return df.join(found, ["cell", *step], "left").withColumn(name, F.sqrt("_d") * KM_PER_DEGREE).drop("_d")
+def step_percentiles(df: DataFrame, column: str, share: float, keys: tuple[str, ...] = ("year", "month"), slots: int = 64) -> DataFrame:
+    """(keys, percentile): the interpolated percentile of each group's values, all groups at once and exactly.
+
+    Distinct values with their numbers are cut into slots at approximate quantiles of their group; running counts
+    inside slots, from the counts of the slots before, tell where the two wanted places are. No group is in one task.
+    """
+    v = F.col(column).cast("double")
+    runs = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = runs.groupBy(*keys).agg(F.percentile_approx("_v", [i / slots for i in range(1, slots)], 10_000).alias("_cuts"))
+    rows = runs.join(cuts, list(keys)).withColumn("_slot", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    before = W.partitionBy(*keys).orderBy("_slot")
+    sums = rows.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_s"))  # slots rows at most, for each group
+    sums = sums.select(*keys, "_slot", (F.sum("_s").over(before) - F.col("_s")).alias("_o"), F.sum("_s").over(W.partitionBy(*keys)).alias("_n"))
+    inside = W.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    run = rows.join(sums, [*keys, "_slot"]).withColumn("_end", F.sum("_c").over(inside) + F.col("_o"))
+    at = F.lit(float(share)) * (F.col("_n") - 1)
+    low = F.floor(at)
+    holds = lambda place: (F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place)
+    first, last = F.max(F.when(holds(low), F.col("_v"))), F.max(F.when(holds(F.least(low + 1, F.col("_n") - 1)), F.col("_v")))
+    part = F.max(at - low)
+    return run.groupBy(*keys).agg(F.when(first == last, first).otherwise((1 - part) * first + part * last).alias("percentile"))
 
 
 def front_distance(df: DataFrame, column: str, spacing_u: int, quantile: float = 0.5, name: str = "front_dist") -> DataFrame:
     """Distance to the nearest cell whose gradient is above the step's quantile."""
     graded = horizontal_gradient(df, column, spacing_u, "_grad")
-    cuts = graded.groupBy("year", "month").agg(F.percentile("_grad", quantile).alias("_cut"))
+    cuts = step_percentiles(graded, "_grad", quantile).withColumnRenamed("percentile", "_cut")
     return distance_to(graded.join(cuts, ["year", "month"]), F.col("_grad") > F.col("_cut"), name).drop("_grad", "_cut")
 
 
@@ -223,6 +297,13 @@ def climatology(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy("cell", "month").agg(*[S.exact_mean(c).alias(c) for c in columns])
 
 
+def missing_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(variable, n_cells, n_missing) of a step's cells: nulls and values that aren't finite. One aggregate."""
+    gone = lambda c: F.col(c).isNull() | ~(F.abs(F.col(c).cast("double")) < float("inf"))
+    counts = df.agg(F.count("*").alias("n_cells"), *[F.count_if(gone(c)).alias(c) for c in names])
+    return counts.unpivot(["n_cells"], names, "variable", "n_missing").select("variable", "n_cells", "n_missing")
+
+
 def month_slice(df: DataFrame, year: int, month: int) -> DataFrame:
     """The step's cells at mid-month, with day of year."""
     out = df.filter((F.col("year") == year) & (F.col("month") == month)).withColumn("day", F.lit(15))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -29,52 +30,56 @@ def stations(df: DataFrame, years, months, lon, lat, datasets: list[str] | None
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows without a null or NaN in those of the columns that exist."""
+    """Rows without a null, NaN or infinite value in those of the columns that exist."""
     there = [c for c in columns if c in df.columns]
-    return df.dropna(how="any", subset=there) if there else df
+    finite = [F.abs(c) < float("inf") for c, kind in df.dtypes if c in there and kind in ("float", "double")]  # NaN is above all
+    return functools.reduce(DataFrame.filter, finite, df.dropna(how="any", subset=there) if there else df)
 
 
 #: Distinct values that are brought together to look up an order statistic.
 FEW = 1000
+#: Of approximate quantiles: they are off by this share of the rows' number, inverted, at most.
+SHARP = 10_000
 
 
 def percentile_of(df: DataFrame, share: float, value: str = "abundance", span=None) -> float | None:
-    """The interpolated percentile of all values; null without values. span: their (n, low, high), if known.
+    """The interpolated percentile of all values; null without values. span: what spans gave for the share, if known.
 
-    No step holds more than a bounded number of values: each pass cuts the range by approximate quantiles, counts what
-    lies between them, and goes on with the part that has the wanted places, until that has few distinct values.
+    Approximate quantiles a little below and above hold the wanted places between them, as their error is bounded (one
+    in SHARP rows). One pass counts what lies below and gathers the few distinct values between; if these are over FEW, the same again
+    among them. No step holds more than a bounded number of values.
     """
     v = F.col(value).cast("double")
-    rows = df.filter(v.isNotNull()).select(v.alias("v")).persist()  # one column
-    try:
-        n, low, high = span or rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
-        if not n:
-            return None
-        at = share * (n - 1)
-        first, last = int(at), min(int(at) + 1, n - 1)
-        below = 0
-        while True:
-            part = rows.filter(F.col("v").between(low, high))
-            values = part.groupBy("v").agg(F.count("*").alias("c")).limit(FEW + 1).collect()
-            if len(values) <= FEW:
-                break
-            cuts = sorted({low, high, *part.agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 10_000)).first()[0]})
-            up_to = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v")))  # the cut up to which a value lies
-            sizes = sorted(part.groupBy(up_to.alias("s"), (F.col("v") == F.get(F.array(*[F.lit(c) for c in cuts]), up_to)).alias("on")).count().collect())  # two rows for each cut
-            seen, places = below, []
-            for s, on, count in sizes:
-                places += [(s, on, seen)] * sum(seen <= place < seen + count for place in {first, last})
-                seen += count
-            (s, on, below), (t, *_) = places[0], places[-1]
-            # values on a cut are a part of their own; those before it begin just above the cut before
-            low, high = cuts[s] if on else math.nextafter(cuts[s - 1], math.inf), cuts[t]
-        found = {}
-        for v_, c in sorted(values):
-            found |= {place: v_ for place in (first, last) if below <= place < below + c}
-            below += c
-        return found[first] + (found[last] - found[first]) * (at - first)
-    finally:
-        rows.unpersist()
+    rows = df.filter(v.isNotNull()).select(v.alias("v"))
+    n, low, high, near = span or rows.agg(*spans("v", share)).first()
+    if not n:
+        return None
+    if n >= 300:  # fewer rows are looked at as they are
+        low, high = (near[1], near[2]) if n >= SHARP else (near[0], near[3])
+    at = share * (n - 1)
+    first, last = int(at), min(int(at) + 1, n - 1)
+    while True:
+        part = rows.filter(F.col("v") <= high).groupBy(F.when(F.col("v") >= low, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+        values = [tuple(r) for r in part.orderBy("v").limit(FEW + 2).collect()]  # what lies below comes first, under null
+        below = values.pop(0)[1] if values[0][0] is None else 0
+        if len(values) <= FEW:
+            break
+        inner = rows.filter(F.col("v").between(low, high))
+        size = inner.count()
+        wide = 3 / SHARP if size >= SHARP else 0.01
+        low, high = inner.agg(F.percentile_approx("v", [max(0.0, (first - below) / size - wide), min(1.0, (last + 1 - below) / size + wide)], SHARP)).first()[0]
+    found = {}
+    for x, c in values:
+        found |= {place: x for place in (first, last) if below <= place < below + c}
+        below += c
+    return found[first] + (found[last] - found[first]) * (at - first)
+
+
+def spans(value: str, share: float) -> list[Column]:
+    """Columns of an aggregate: the number of values, their least and largest, and approximate quantiles around the share."""
+    v = F.col(value).cast("double")
+    near = [max(0.0, share - 0.01), max(0.0, share - 3 / SHARP), min(1.0, share + 3 / SHARP), min(1.0, share + 0.01)]
+    return [F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, near, SHARP).alias("near")]
 
 
 def rounded(cut: float) -> float:
@@ -86,14 +91,15 @@ def threshold(df: DataFrame, percentile: float | None = 0.9, absolute: float | N
     """The patch threshold: given, or an interpolated percentile (rounded from 1500 on)."""
     if absolute is not None:
         return float(absolute)
-    n, low, high = df.agg(F.count(value), F.min(value).cast("double"), F.max(value).cast("double")).first()
+    span = df.agg(*spans(value, percentile)).first()
+    _, low, high, *_ = span
     if high is None:
         raise ValueError("no station has an abundance")
     if high == 0:
         raise ValueError("every abundance is zero")
     if low == high:
         raise ValueError("all abundances are the same")
-    cut = percentile_of(df, percentile, value, (n, low, high))
+    cut = percentile_of(df, percentile, value, span)
     return float(rounded(cut) if round_ else cut)
 
 

@@ -72,42 +72,54 @@ def similarity(x: Column, below: Column, n: Column, lo: Column, hi: Column) -> C
     return F.when(x.isNull(), F.lit(None).cast("double")).when(span == 0, flat).otherwise(outside)
 
 
-#: Slots of a predictor's training values, about equally full.
+#: Slots of a predictor's distinct values, about equally full.
 SLOTS = 256
 
 
 def novelty(df: DataFrame, train: DataFrame, predictors: list[str], key: list[str]) -> DataFrame:
     """novelty (least similarity over predictors, null if one is missing) and novel_variable (missing ones skipped).
 
-    key: columns that name a row of df. A value's number of training values below it comes from one pass: training
-    values, collapsed, and all rows' values meet as (variable, value) pairs, dealt to slots between approximate
-    quantiles of the training values; a window over each slot counts inside it, and the slots before it are added. One
-    more aggregate brings each row's predictors together again.
+    key: columns that name a row of df. Values are collapsed first, to the distinct ones of each predictor; those that
+    lie in the training range get the number of training values below them from running counts inside slots, which are
+    cut at quantiles of the distinct values, and the others need no count. Similarities then meet the rows by value, in
+    a plain join, and one more aggregate brings each row's predictors together.
     """
-    from pyspark.sql import Window as W
-
-    share = [i / SLOTS for i in range(1, SLOTS)]
     long = train.select(*predictors).unpivot([], predictors, "variable", "v").filter("v is not null")
-    ends = long.groupBy("variable").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.array_distinct(F.percentile_approx("v", share, 10_000)).alias("cuts"))  # a row for each predictor
-    number = F.create_map(*[x for i, p in enumerate(predictors) for x in (F.lit(p), F.lit(i))])
-    marks = long.groupBy("variable", "v").agg(F.count("*").alias("c")).select("variable", "v", "c", F.lit(None).alias("_key"))
     asked = df.select(F.struct(*key).alias("_key"), *predictors).unpivot(["_key"], predictors, "variable", "v").filter("v is not null")
-    both = marks.select("variable", "v", "c", F.col("_key").cast(asked.schema["_key"].dataType)).unionByName(asked.select("variable", "v", F.lit(0).cast("long").alias("c"), "_key"))
-    both = both.join(F.broadcast(ends), "variable").withColumn("slot", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
-    starts = both.filter("c > 0").groupBy("variable", "slot").agg(F.sum("c").alias("s")).withColumn("s", F.sum("s").over(W.partitionBy("variable").orderBy("slot")) - F.col("s"))  # SLOTS rows at most, for each predictor
-    before = starts.groupBy("variable").agg(F.map_from_entries(F.collect_list(F.struct("slot", "s"))).alias("_at"), F.max(F.col("slot")).alias("_last"))
-    inside = W.partitionBy("variable", "slot").orderBy("v").rangeBetween(W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy("variable", "slot", "v")
-    counted = both.withColumn("_b", F.sum("c").over(inside) - F.sum("c").over(same)).filter("_key is not null").join(F.broadcast(before), "variable")
-    # a slot that has no training value starts where the next one does
-    start = F.coalesce(F.element_at("_at", F.col("slot")), F.array_min(F.map_values(F.map_filter("_at", lambda k, _: k > F.col("slot")))), F.col("n"))
-    sims = counted.select("_key", F.element_at(number, F.col("variable")).alias("i"), similarity(F.col("v"), F.col("_b") + start, F.col("n"), F.col("lo"), F.col("hi")).alias("sim"))
+    ends = long.groupBy("variable").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row for each predictor
+    marks = long.groupBy("variable", "v").agg(F.count("*").alias("c"))
+    values = asked.groupBy("variable", "v").agg(F.lit(0).cast("long").alias("c"))
+    # a value that both have stands twice; the sum puts the two together
+    both = marks.unionByName(values).groupBy("variable", "v").agg(F.sum("c").alias("c")).join(F.broadcast(ends), "variable")
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    below = counted_below(both.filter(inside)).unionByName(both.filter(~inside).withColumn("below", F.when(F.col("v") > F.col("hi"), F.col("n")).otherwise(0)))
+    number = F.create_map(*[x for i, p in enumerate(predictors) for x in (F.lit(p), F.lit(i))])
+    alike = below.select("variable", "v", similarity(F.col("v"), F.col("below"), F.col("n"), F.col("lo"), F.col("hi")).alias("sim"))
+    sims = asked.join(alike, ["variable", "v"]).select("_key", F.element_at(number, F.col("variable")).alias("i"), "sim")
     least = sims.groupBy("_key").agg(F.min(F.struct("sim", "i")).alias("m"), F.count("*").alias("k"))
     names = F.array(*[F.lit(p) for p in predictors])
     found = least.select("_key.*", F.when(F.col("k") == len(predictors), F.col("m.sim")).alias("novelty"), F.get(names, F.col("m.i")).alias("novel_variable"))
     return df.join(found, key, "left").select(*df.columns, "novelty", "novel_variable")
 
 
+def slotted(values: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Distinct (variable, v, ...) rows with a slot: of each variable about equally many rows in each, in order of v."""
+    share = [i / slots for i in range(1, slots)]
+    cuts = values.groupBy("variable").agg(F.percentile_approx("v", share, 10_000).alias("_cuts"))  # a row for each predictor
+    return values.join(F.broadcast(cuts), "variable").withColumn("slot", F.size(F.filter("_cuts", lambda x: x <= F.col("v")))).drop("_cuts")
+
+
+def counted_below(values: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Distinct (variable, v, c, ...) rows with below: the sum of c over lesser v of the variable."""
+    from pyspark.sql import Window as W
+
+    rows = slotted(values, slots)
+    starts = rows.groupBy("variable", "slot").agg(F.sum("c").alias("_s")).withColumn("_s", F.sum("_s").over(W.partitionBy("variable").orderBy("slot")) - F.col("_s"))  # slots rows at most, for each predictor
+    inner = W.partitionBy("variable", "slot").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = rows.join(F.broadcast(starts), ["variable", "slot"]).withColumn("below", F.sum("c").over(inner) - F.col("c") + F.col("_s"))
+    return counted.select(*values.columns, "below")
+
+
 def novelty_summary(df: DataFrame) -> DataFrame:
     """(novel_variable, n_outside, share): cells outside the training range by the variable that puts them there."""
     total = df.agg(F.count("*").alias("_t"))

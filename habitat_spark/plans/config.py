@@ -11,7 +11,10 @@ import yaml
 
 from ..functions import headers as H
 from .catalog import SPECIES
-from .models import GAM_BASES, GAM_METHODS, resolve_type
+from .additive import METHODS as GAM_METHODS
+from .bases import NAMES as GAM_BASES
+from .links import LINKS
+from .models import resolve_type
 from .products import METHODS
 
 #: The settings that a file may leave out.
@@ -23,8 +26,22 @@ DEFAULTS: dict[str, Any] = {
     "model": {"type": None, "engine": None, "trees": 100, "folds": 5, "seed": 1, "tune": False, "tune_grid": 10, "bootstrap": 2000, "importance": 3},
     "projection": {"uncertainty": False},
 }
+#: All settings that a section may have, but for species' own fields of a catalog.
+KNOWN: dict[str, set[str]] = {
+    "paths": {"output", "stations", "covariates", "static", "climate"},
+    "columns": {"lon", "lat", "year", "month", "day", "dataset", "dataset_filter"},
+    "species": {"name", "prefix", "stages", "active", "catalog", "threshold", "min_rows", "n", "label"},
+    "covariates": {"source", "grid", "variables", "products", "derived", "transforms", "log_transform", "exclude", "prejoin", "steps", "bathymetry", "climate"},
+    "model": {"type", "engine", "trees", "folds", "seed", "tune", "tune_grid", "bootstrap", "level", "importance", "link", "depth", "min_n", "rate", "mtry", "k", "bs", "method", "select_features", "adjust_deg_free", "offset", "offset_transform"},
+    "projection": {"uncertainty"},
+    "dates": {"training", "projection"},
+    "study_area": {"xmin", "xmax", "ymin", "ymax", "resolution"},
+}
+UNCERTAINTY = {"kind", "members", "level", "novelty"}
+#: Other names of settings, by section.
+OTHER_NAMES = {"model": {"family": "link", "cv_folds": "folds"}, "uncertainty": {"method": "kind", "replicates": "members"}}
 SOURCES = ("mock", "parquet")
-TRANSFORMS = ("log1p", "log", "log10", "sqrt", "fourth_root", "boxcox", "yeojohnson")
+TRANSFORMS = ("log1p", "log", "log10", "abs_log", "sqrt", "fourth_root", "boxcox", "yeojohnson")
 #: Derived steps with the fields they read and the columns they make.
 STEPS = {"gradient", "temporal_gradient", "lag", "integral", "speed", "eke", "vertical_gradient", "ftle", "fsle", "front_distance", "contour_distance", "isobath_distance", "shore_distance"}
 PREJOIN = {"upscale", "downscale", "fill_gaps"}
@@ -52,6 +69,28 @@ def _merged(base: Any, own: Any) -> Any:
     return copy.deepcopy(base if own is None else own)
 
 
+def _renamed(section: str, values: dict[str, Any]) -> dict[str, Any]:
+    """Settings under their usual names; one given under both is an error."""
+    other = OTHER_NAMES.get(section, {})
+    twice = [k for k in values if other.get(k) in values]
+    if twice:
+        raise ConfigError(f"{section}.{twice[0]} and {section}.{other[twice[0]]} are the same setting")
+    return {other.get(k, k): v for k, v in values.items()}
+
+
+def check_names(v: dict[str, Any]) -> None:
+    """No setting that nothing reads."""
+    for section, values in v.items():
+        if section not in KNOWN:
+            raise ConfigError(f"unknown section {section!r}; known: {', '.join(KNOWN)}")
+        extra = [k for k in values if k not in KNOWN[section]] if isinstance(values, dict) else [str(values)]
+        if extra:
+            raise ConfigError(f"unknown setting {section}.{extra[0]}; known: {', '.join(sorted(KNOWN[section]))}")
+    u = v["projection"].get("uncertainty")
+    if isinstance(u, dict) and set(u) - UNCERTAINTY:
+        raise ConfigError(f"unknown setting projection.uncertainty.{sorted(set(u) - UNCERTAINTY)[0]}; known: {', '.join(sorted(UNCERTAINTY))}")
+
+
 def _span(values: Any, what: str, low: int, high: int) -> tuple[int, int]:
     if not isinstance(values, (list, tuple)) or len(values) != 2 or not all(isinstance(v, int) for v in values) or values[0] > values[1]:
         raise ConfigError(f"{what} must be two whole numbers in order")
@@ -62,6 +101,7 @@ def _span(values: Any, what: str, low: int, high: int) -> tuple[int, int]:
 
 def validate(v: dict[str, Any]) -> None:
     """All checks before any data is read; raises ConfigError."""
+    check_names(v)
     species = v["species"]
     if not species.get("name"):
         raise ConfigError("species.name is missing")
@@ -78,6 +118,12 @@ def validate(v: dict[str, Any]) -> None:
         raise ConfigError("model.folds must be at least 2")
     if model.get("method") and model["method"] not in GAM_METHODS:
         raise ConfigError(f"model.method must be one of {', '.join(GAM_METHODS)}")
+    if model.get("link", "logit") not in LINKS:
+        raise ConfigError(f"model.link must be one of {', '.join(LINKS)}")
+    if model.get("k", 10) < 4:
+        raise ConfigError("model.k must be at least 4")
+    if not model.get("adjust_deg_free", 1) > 0:
+        raise ConfigError("model.adjust_deg_free must be positive")
     times = model.get("bootstrap")
     if times not in (None, True, False) and 1 <= times < 100:
         raise ConfigError("model.bootstrap must be 0 or at least 100")
@@ -130,9 +176,16 @@ def validate(v: dict[str, Any]) -> None:
     offset = model.get("offset")
     if offset and offset not in known:
         raise ConfigError(f"model.offset names {offset!r}, which is no covariate")
-    if model.get("bs") and model["bs"] not in GAM_BASES:
-        raise ConfigError(f"model.bs must be one of {', '.join(GAM_BASES)}")
-    if uncertainty(v) and uncertainty(v)["kind"] == "folds" and model["folds"] < 3:
+    bs = model.get("bs")
+    for b in bs.values() if isinstance(bs, dict) else [bs] if bs else []:
+        if b not in GAM_BASES:
+            raise ConfigError(f"model.bs must be one of {', '.join(GAM_BASES)}")
+    if isinstance(bs, dict) and set(bs) - known - {"jday", *c["climate"]}:
+        raise ConfigError(f"model.bs names {', '.join(sorted(set(bs) - known - {'jday', *c['climate']}))}, which is no covariate")
+    u = uncertainty(v)
+    if u and (u["kind"] not in ("folds", "bootstrap") or not 0 < u["level"] < 1 or u["members"] < 2):
+        raise ConfigError("projection.uncertainty is of kind folds or bootstrap, with at least two members and a level between 0 and 1")
+    if u and u["kind"] == "folds" and model["folds"] < 3:
         raise ConfigError("uncertainty from folds needs at least three")
 
 
@@ -210,7 +263,15 @@ def periods(v: dict[str, Any]) -> tuple[list[int], list[int]]:
 
 def resolve(raw: dict[str, Any], folder: str = ".") -> Config:
     """Defaults, paths against the file's folder, and all checks."""
-    v = _merged(DEFAULTS, raw or {})
+    raw = {k: _renamed(k, x) if isinstance(x, dict) else x for k, x in (raw or {}).items() if x is not None}
+    v = _merged(DEFAULTS, raw)
+    if isinstance(v["projection"].get("uncertainty"), dict):
+        v["projection"]["uncertainty"] = _renamed("uncertainty", v["projection"]["uncertainty"])
+    logs = v["covariates"].pop("log_transform", None) or []
+    twice = [x for x in logs if x in v["covariates"]["transforms"]]
+    if twice:
+        raise ConfigError(f"{twice[0]} has a transform and stands in log_transform, too")
+    v["covariates"]["transforms"] |= {x: "abs_log" for x in logs}
     active = v["species"].get("active")
     if active:
         known = v["species"].get("catalog") or SPECIES

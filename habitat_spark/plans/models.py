@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -19,12 +19,14 @@ from ..functions import scalars as S
 from ..operators import evaluate as E
 from ..operators import surfaces as U
 from ..sources import scratch
+from . import additive, bases
+from .links import LINKS, chi_squared_tail
 
-#: Links and smoothing settings that a model may name.
-LINKS = ("logit", "probit", "cloglog", "cauchit", "log")
+#: Links of Spark's own binomial regression; a glm with another one is fitted like an additive model without smooths.
 SPARK_LINKS = ("logit", "probit", "cloglog")
-GAM_METHODS = ("REML", "ML", "GCV.Cp")
-GAM_BASES = ("tp", "cr", "cs", "ps", "cc")
+#: Distinct values that a predictor has at most to stay a straight term.
+STRAIGHT = 10
+#: Engines that name a type.
 ENGINES = {"ranger": "rf", "xgboost": "brt", "glm": "glm", "mgcv": "gam"}
 
 
@@ -38,10 +40,13 @@ class Spec:
     min_n: int = 2
     rate: float = 0.05
     link: str = "logit"
-    basis: int = 6
+    basis: int = 10
     seed: int = 1
     mtry: int | None = None
-    penalty: float | None = None
+    bs: str | dict[str, str] | None = None
+    method: str = "GCV.Cp"
+    shrink: bool = False
+    gamma: float = 1.0
     offset: str | None = None
     offset_transform: str = "none"
 
@@ -61,22 +66,14 @@ def estimator(spec: Spec):
         return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=spec.trees, maxDepth=min(30, max(spec.depth, 5)), minInstancesPerNode=spec.min_n, featureSubsetStrategy=str(spec.mtry or "sqrt"), seed=spec.seed)
     if spec.type == "brt":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=spec.trees, maxDepth=spec.depth, stepSize=spec.rate, minInstancesPerNode=spec.min_n, seed=spec.seed)
-    if spec.type in ("glm", "gam"):
-        if spec.link not in SPARK_LINKS:
-            raise ValueError(f"link {spec.link!r} isn't available here; use one of {', '.join(SPARK_LINKS)}")
-        # the additive model is the same binomial regression over spline columns, with a ridge penalty
-        penalty = 0.0 if spec.type == "glm" else PENALTIES[1] if spec.penalty is None else spec.penalty
-        model = GeneralizedLinearRegression(featuresCol="features", labelCol="label", family="binomial", link=spec.link, regParam=penalty, maxIter=50)
+    if spec.type == "glm":
+        model = GeneralizedLinearRegression(featuresCol="features", labelCol="label", family="binomial", link=spec.link, regParam=0.0, maxIter=50)
         return model.setOffsetCol("_offset") if spec.offset else model
     raise ValueError(spec.type)
 
 
-#: Ridge penalties that an additive model is tried with, if none is set.
-PENALTIES = (0.001, 0.01, 0.1)
-
-
 def settings_of(spec: Spec, size: int, predictors: int) -> list[Spec]:
-    """size settings to try, the given one first: numbers of predictors and least rows for rf, depth and rate for brt, penalties for gam."""
+    """size settings to try, the given one first: numbers of predictors and least rows for rf, depth and rate for brt, the cost of a degree of freedom for gam."""
     out = [spec]
     for i in range(1, size):
         # a fixed sequence that fills the unit square evenly
@@ -86,7 +83,7 @@ def settings_of(spec: Spec, size: int, predictors: int) -> list[Spec]:
         elif spec.type == "brt":
             out.append(replace(spec, depth=2 + int(u * 6), rate=round(10 ** (-2 + 1.5 * v), 4)))
         elif spec.type == "gam":
-            out.append(replace(spec, penalty=round(10 ** (-4 + 4 * u), 5)))
+            out.append(replace(spec, gamma=round(0.5 + 3.5 * u, 3)))
     return list(dict.fromkeys(out))
 
 
@@ -101,18 +98,6 @@ class Columns(Transformer):
         return df.withColumns(self.columns)
 
 
-def spline(name: str, knots: list[float], cyclic: bool = False) -> dict[str, F.Column]:
-    """Columns of a smooth: truncated cubics (piecewise cubic, smooth at the knots), or harmonics of a year for a cyclic one."""
-    x = F.col(name).cast("double")
-    if cyclic:
-        turn = 2 * np.pi / 365.25
-        return {f"{name}_s{k}": F.sin(x * (k * turn)) for k in (1, 2)} | {f"{name}_c{k}": F.cos(x * (k * turn)) for k in (1, 2)}
-    low, high = knots[0], knots[-1]
-    u = (x - low) / ((high - low) or 1.0)
-    inner = [(k - low) / ((high - low) or 1.0) for k in knots[1:-1]]
-    return {f"{name}_x": u, f"{name}_x2": u * u, f"{name}_x3": u * u * u} | {f"{name}_k{i}": F.pow(F.greatest(u - k, F.lit(0.0)), F.lit(3.0)) for i, k in enumerate(inner)}
-
-
 @dataclass
 class Fitted:
     """A fitted model with what evaluation needs."""
@@ -123,6 +108,7 @@ class Fitted:
     stages: list[dict] = field(default_factory=list)
     terms: dict[str, list[str]] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
+    additive: additive.Additive | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         """df with the probability of a patch as score."""
@@ -150,65 +136,40 @@ def fit(df: DataFrame, predictors: list[str], spec: Spec, transforms: dict[str,
     for s in stages:
         train = train.withColumns(s)
     train = train.dropna(subset=[*predictors, *(["_offset"] if spec.offset else [])])
+    if spec.type == "gam" or spec.type == "glm" and spec.link not in SPARK_LINKS:
+        return _additive(train, predictors, spec, stages)
     features, terms = list(predictors), {p: [p] for p in predictors}
-    if spec.type == "gam":
-        row = train.agg(*[x for p in predictors for x in (F.count_distinct(p).alias(f"n_{p}"), F.percentile(p, [i / (spec.basis - 1) for i in range(spec.basis)]).alias(f"q_{p}"))]).first()
-        columns: dict = {}
-        for p in predictors:
-            if row[f"n_{p}"] > 10:
-                s = spline(p, sorted(set(row[f"q_{p}"])), cyclic=p == "jday")
-                columns |= s
-                terms[p] = list(s)
-        features = [f for p in predictors for f in terms[p]]
-        stages.append(columns)
-        train = train.withColumns(columns) if columns else train
     shape = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)])
     train = train.withColumn("label", F.col("label").cast("double"))
     ready = shape.fit(train)
     shaped = ready.transform(train)
-    if spec.type == "gam" and spec.penalty is None:
-        spec = _smoothed(shaped, spec)
     return Fitted(spec, predictors, PipelineModel([*ready.stages, estimator(spec).fit(shaped)]), stages, terms, features)
 
 
-def _gram(shaped: DataFrame, weight: F.Column, size: int) -> tuple[np.ndarray, float]:
-    """(weighted sums of products of the features and a constant, rows): size + 1 squared numbers, added up in the tasks."""
-    def run(batches):
-        total, n = np.zeros((size + 1, size + 1)), 0
-        for batch in batches:
-            x = np.column_stack([np.vstack(batch["x"].to_numpy()), np.ones(len(batch))]) if len(batch) else np.zeros((0, size + 1))
-            total += x.T @ (x * batch["w"].to_numpy()[:, None])
-            n += len(batch)
-        yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel(), "n": n})
-
-    rows = shaped.select(vector_to_array("features").alias("x"), weight.alias("w")).mapInPandas(run, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").toPandas()
-    return rows["s"].to_numpy().reshape(size + 1, size + 1), float(rows["n"].iloc[0])
-
-
-def _freedom(shaped: DataFrame, model, penalty: float, size: int) -> np.ndarray:
-    """Effective degrees of freedom of each feature under the ridge penalty: the diagonal of (X'WX + nP)^-1 X'WX."""
-    scored = model.transform(shaped)
-    gram, n = _gram(scored, F.col("prediction") * (1 - F.col("prediction")), size)
-    ridge = np.diag([penalty * n * 0.25] * size + [0.0])
-    return np.diag(np.linalg.solve(gram + ridge + 1e-9 * np.eye(size + 1), gram))[:size]
-
-
-def _smoothed(shaped: DataFrame, spec: Spec) -> Spec:
-    """The penalty with the least generalised cross-validation score."""
-    shaped = shaped.persist()
+def _additive(train: DataFrame, predictors: list[str], spec: Spec, stages: list[dict]) -> Fitted:
+    """A smooth of each predictor with over STRAIGHT values (of a gam), the others straight; the mean as a stage of SQL."""
+    if spec.link not in LINKS:
+        raise ValueError(f"unknown link {spec.link!r}; known: {', '.join(LINKS)}")
+    rows = scratch.stored(train.select(*[F.col(p).cast("double").alias(p) for p in predictors], F.col("label").cast("double").alias("label"), (F.col("_offset") if spec.offset else F.lit(0.0)).alias("_offset")), "additive")
     try:
-        best, least = spec, float("inf")
-        size = len(shaped.select("features").first()[0])
-        for penalty in PENALTIES:
-            tried = replace(spec, penalty=penalty)
-            model = estimator(tried).fit(shaped)
-            n, freedom = shaped.count(), 1 + float(_freedom(shaped, model, penalty, size).sum())
-            score = n * model.summary.deviance / max(n - freedom, 1e-9) ** 2
-            if score < least:
-                best, least = tried, score
-        return best
+        facts = rows.agg(*[x for p in predictors for x in (F.approx_count_distinct(p).alias(f"n_{p}"), F.avg(p).alias(f"m_{p}"), F.stddev_pop(p).alias(f"s_{p}"), F.min(p).alias(f"a_{p}"), F.max(p).alias(f"b_{p}"), F.percentile_approx(p, [i / 100 for i in range(101)], 10_000).alias(f"q_{p}"))]).first()
+        terms = []
+        for p in predictors:
+            # an approximate count tells small numbers exactly, and large ones from small ones
+            if spec.type == "gam" and facts[f"n_{p}"] > STRAIGHT:
+                kind = (spec.bs.get(p) if isinstance(spec.bs, dict) else spec.bs) or "tp"
+                places = np.unique([facts[f"a_{p}"], *facts[f"q_{p}"], facts[f"b_{p}"]])
+                if places.size <= STRAIGHT:  # nearly all rows have a few of the values
+                    places = np.linspace(facts[f"a_{p}"], facts[f"b_{p}"], spec.basis)
+                terms.append(bases.smooth(p, kind, spec.basis, places))
+            else:
+                terms.append(bases.linear(p, facts[f"m_{p}"] or 0.0, facts[f"s_{p}"] or 0.0))
+        made = additive.fitted(rows, terms, spec.link, spec.method, spec.shrink, spec.gamma)
     finally:
-        shaped.unpersist()
+        scratch.discard(rows)
+    columns = {b.name: [f"{b.name}_{i}" for i in range(b.size)] if b.penalties else [b.name] for b in made.terms}
+    stage = SQLTransformer(statement=made.prediction_sql("`_offset`" if spec.offset else None))
+    return Fitted(spec, predictors, PipelineModel([stage]), stages, columns, [c for p in predictors for c in columns[p]], made)
 
 
 def check_transforms(df: DataFrame, transforms: dict[str, str]) -> None:
@@ -280,30 +241,36 @@ def importance(fitted: Fitted, df: DataFrame, times: int = 3, key: str = "statio
 
 
 def coefficients(fitted: Fitted) -> DataFrame:
-    """(variable, estimate, std_error, statistic, p_value, lower, upper): log-odds of a patch a standard deviation, largest first."""
+    """(variable, estimate, std_error, statistic, p_value, lower, upper): on the link's scale (log-odds), a standard deviation, largest first."""
     if fitted.spec.type != "glm":
         raise ValueError("only a glm has coefficients")
     from pyspark.sql import SparkSession
 
-    s = fitted.pipeline.stages[-1].summary
-    n = len(fitted.features)
-    b, se, t, p = list(fitted.pipeline.stages[-1].coefficients), s.coefficientStandardErrors[:n], s.tValues[:n], s.pValues[:n]
+    if fitted.additive:
+        b, se = fitted.additive.beta[1:], np.sqrt(np.diag(fitted.additive.covariance))[1:]
+        t = b / np.maximum(se, 1e-300)
+        p = [chi_squared_tail(x * x, 1) for x in t]
+    else:
+        s = fitted.pipeline.stages[-1].summary
+        n = len(fitted.features)
+        b, se, t, p = list(fitted.pipeline.stages[-1].coefficients), s.coefficientStandardErrors[:n], s.tValues[:n], s.pValues[:n]
     rows = [(v, float(x), float(e), float(y), float(z), float(x - 1.96 * e), float(x + 1.96 * e)) for v, x, e, y, z in zip(fitted.features, b, se, t, p)]
     return SparkSession.active().createDataFrame(rows, "variable string, estimate double, std_error double, statistic double, p_value double, lower double, upper double").orderBy(F.desc(F.abs("estimate")))
 
 
-def smooth_terms(fitted: Fitted, df: DataFrame) -> DataFrame:
-    """(term, edf, columns) of the smooths of a gam: their effective degrees of freedom under the penalty, largest first."""
+def smooth_terms(fitted: Fitted, df: DataFrame | None = None) -> DataFrame:
+    """(term, edf, columns, ref_df, statistic, p_value) of the smooths of a gam, the most bent first. df isn't needed."""
     from pyspark.sql import SparkSession
 
-    rows = df
-    for stage in fitted.stages:
-        rows = rows.withColumns(stage)
-    *ready, model = fitted.pipeline.stages
-    shaped = PipelineModel(ready).transform(rows.dropna(subset=fitted.predictors))
-    freedom = dict(zip(fitted.features, _freedom(shaped, model, fitted.spec.penalty or 0.0, len(fitted.features)).tolist()))
-    terms = [(p, float(sum(freedom[c] for c in columns)), len(columns)) for p, columns in fitted.terms.items() if len(columns) > 1]
-    return SparkSession.active().createDataFrame(terms, "term string, edf double, columns int").orderBy(F.desc("edf"), "term")
+    a = fitted.additive
+    if fitted.spec.type != "gam" or a is None:
+        raise ValueError("only a gam has smooth terms")
+    rows = []
+    for b in a.terms:
+        if b.penalties:
+            statistic, reference, p = a.wald(b.name)
+            rows.append((b.name, a.freedom(b.name), b.size, reference, statistic, p))
+    return SparkSession.active().createDataFrame(rows, "term string, edf double, columns int, ref_df double, statistic double, p_value double").orderBy(F.desc("edf"), "term")
 
 
 def partial_effects(fitted: Fitted, df: DataFrame, grid_size: int = 20, max_rows: int = 500, key: str = "station_id") -> DataFrame:
@@ -373,12 +340,12 @@ def bootstrap(df: DataFrame, cutoff: float, times: int = 2000, level: float = 0.
     return long.groupBy("series").agg(F.percentile("value", tail).alias("lower"), F.percentile("value", 1 - tail).alias("upper"), F.count("*").alias("n"))
 
 
-def ensemble(df: DataFrame, predictors: list[str], spec: Spec, members: int = 10) -> list[Fitted]:
-    """Refits on rows drawn with replacement; a failing member is left out."""
+def ensemble(df: DataFrame, predictors: list[str], spec: Spec, members: int = 10, transforms: dict[str, str] | None = None) -> list[Fitted]:
+    """Refits on rows drawn with replacement, powers of transforms included; a failing member is left out."""
     out = []
     for i in range(members):
         try:
-            out.append(fit(df.sample(True, 1.0, seed=spec.seed + i), predictors, spec))
+            out.append(fit(df.sample(True, 1.0, seed=spec.seed + i), predictors, spec, transforms))
         except Exception as error:  # noqa: BLE001
             warnings.warn(f"ensemble member {i} failed: {error}", stacklevel=2)
     return out

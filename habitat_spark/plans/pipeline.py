@@ -68,10 +68,14 @@ class Run:
     projection: DataFrame | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
     kept: list[DataFrame] = field(default_factory=list)
+    stages: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
+        """Let go of what is kept, and remove the stored stages: no frame of the run can be read after this."""
         for df in self.kept:
             df.unpersist()
+        scratch.discard(*self.stages)
+        self.stages.clear()
 
 
 def _gradient(df, s, u, v):
@@ -224,11 +228,28 @@ def prepare(spark: SparkSession, config: Config, frames: Frames | None = None) -
 def _spec(m: dict[str, Any]) -> MD.Spec:
     return MD.Spec(
         type=MD.resolve_type(m.get("type"), m.get("engine")), trees=m["trees"], seed=m["seed"], link=m.get("link", "logit"), depth=m.get("depth", 5), min_n=m.get("min_n", 2), rate=m.get("rate", 0.05),
-        mtry=m.get("mtry"), basis=m.get("k", 6), penalty=m.get("penalty"), offset=m.get("offset"), offset_transform=m.get("offset_transform", "none"))
+        mtry=m.get("mtry"), basis=m.get("k", 10), bs=m.get("bs"), method=m.get("method") or "GCV.Cp", shrink=bool(m.get("select_features")), gamma=float(m.get("adjust_deg_free", 1)),
+        offset=m.get("offset"), offset_transform=m.get("offset_transform", "none"))
+
+
+def _tried(what: str, make: Callable[[], DataFrame]) -> DataFrame | None:
+    """A diagnostic's table, stored; one that fails is worth a warning, and the run goes on without it."""
+    try:
+        return scratch.stored(make(), what)
+    except Exception as error:  # noqa: BLE001
+        warnings.warn(f"no {what}: {error}", stacklevel=3)
+        return None
 
 
 def run(spark: SparkSession, config: Config, project: bool = True, frames: Frames | None = None) -> Run:
     """Every stage of a configured run."""
+    with scratch.collected() as stages:
+        out = _run(spark, config, project, frames)
+        out.stages = stages
+        return out
+
+
+def _run(spark: SparkSession, config: Config, project: bool, frames: Frames | None) -> Run:
     v = config.values
     c, m = v["covariates"], v["model"]
     ready = prepare(spark, config, frames)
@@ -245,20 +266,24 @@ def run(spark: SparkSession, config: Config, project: bool = True, frames: Frame
     evaluation = E.evaluation_table(held)
     out = Run(config, data, grid, ready.means, model, held, evaluation, cutoff, ready.threshold, ready.upsampled, kept=[held])
     times = m["bootstrap"]
+    diagnostics: dict[str, Callable[[], DataFrame]] = {"partial_effects": lambda: MD.partial_effects(model, data)}
     if times and cutoff is not None:
-        bounds = MD.bootstrap(held, cutoff, 2000 if times is True else int(times), m.get("level", 0.95), m["seed"])
-        out.tables["bootstrap"] = bounds
-        out.evaluation = E.with_bounds(evaluation, bounds)
+        diagnostics["bootstrap"] = lambda: MD.bootstrap(held, cutoff, 2000 if times is True else int(times), m.get("level", 0.95), m["seed"])
     if m["importance"]:
-        out.tables["importance"] = MD.importance(model, data, int(m["importance"]))
-    out.tables["partial_effects"] = MD.partial_effects(model, data)
+        diagnostics["importance"] = lambda: MD.importance(model, data, int(m["importance"]))
     if spec.type == "glm":
-        out.tables["coefficients"] = MD.coefficients(model)
+        diagnostics["coefficients"] = lambda: MD.coefficients(model)
     if spec.type == "gam":
-        out.tables["smooth_terms"] = MD.smooth_terms(model, data)
+        diagnostics["smooth_terms"] = lambda: MD.smooth_terms(model)
+    for name, make in diagnostics.items():
+        found = _tried(name, make)
+        if found is not None:
+            out.tables[name] = found
+    if "bootstrap" in out.tables:
+        out.evaluation = E.with_bounds(evaluation, out.tables["bootstrap"])
     u = uncertainty(v)
     if u:
-        out.members = members if u["kind"] == "folds" else MD.ensemble(data, predictors, spec, u["members"])
+        out.members = members if u["kind"] == "folds" else MD.ensemble(data, predictors, spec, u["members"], transforms)
     if project:
         w = v["dates"]["projection"]
         cells = ST.in_window(grid, tuple(w["years"]), tuple(w["months"]))
@@ -272,7 +297,7 @@ def write(result: Run, folder: str) -> None:
     result.model.pipeline.write().overwrite().save(os.path.join(folder, "model"))
     held = result.held_out
     tables = {
-        "evaluation": result.evaluation, "cv_metrics": E.fold_metrics(held), "cv_predictions": held, "monthly_means": result.means, "annual_means": G.annual_means(result.means), "roc_curve": E.roc_curve(held), "pr_curve": E.pr_curve(held),
+        "evaluation": result.evaluation, "cv_metrics": E.fold_metrics(held), "cv_predictions": held, "monthly_means": result.means, "annual_means": G.annual_means(result.means), "roc_curve": E.roc_curve(held), "roc_curve_by_fold": E.roc_curve(held, ("fold",)), "pr_curve": E.pr_curve(held),
         "calibration": E.calibration(held), "threshold_curve": E.threshold_curve(held), "class_counts": ST.class_counts(result.data), "histogram": ST.histogram(result.data), **result.tables}
     for name, df in tables.items():
         readers.write_csv(df, os.path.join(folder, name))
@@ -284,9 +309,7 @@ def write(result: Run, folder: str) -> None:
     values = {"threshold": result.threshold, "cutoff": result.cutoff, "upsampled": result.upsampled, "predictors": result.model.predictors}
     if bounds:
         values |= {"cutoff_lower": bounds["lower"], "cutoff_upper": bounds["upper"]}
-    if "://" not in folder:
-        with open(os.path.join(folder, "threshold.yaml"), "w", encoding="utf-8") as file:
-            yaml.safe_dump(values, file)
+    scratch.write_text(held.sparkSession, os.path.join(folder, "threshold.yaml"), yaml.safe_dump(values))
 
 
 def export(spark: SparkSession, folder: str, target: str) -> None:

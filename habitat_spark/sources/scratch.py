@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,43 @@ def folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written and read back; it outlives executors."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    for found in _collecting:
+        found.append(table)
+    return table
+
+
+_collecting: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """All tables stored inside, so that they can be discarded when nothing reads them any more."""
+    found: list[DataFrame] = []
+    _collecting.append(found)
+    try:
+        yield found
+    finally:
+        _collecting[:] = [x for x in _collecting if x is not found]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again; ones that are gone already don't matter."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on whatever file system the path is of, by Hadoop's own client."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()

@@ -1,6 +1,8 @@
 import copy
+import os
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from habitat_spark.plans import config as C
@@ -29,7 +31,8 @@ def test_config_round_trip(tmp_path):
 @pytest.mark.parametrize("sections", [
     {"species": {"name": None}}, {"species": {"threshold": {"method": "percentile", "value": 2}}}, {"model": {"type": "svm"}}, {"model": {"bootstrap": 50}}, {"study_area": {"xmin": 10.0}},
     {"covariates": {"prejoin": [{"type": "upscale", "covariate": "SST"}]}}, {"covariates": {"prejoin": [{"type": "upscale", "covariate": "SST", "to": 1.0, "method": "idw"}]}}, {"covariates": {"prejoin": [{"type": "fill_gaps", "covariate": "SST", "from": "CHL"}]}},
-    {"covariates": {"steps": [{"type": "contour_distance", "var": "SST"}]}}, {"covariates": {"source": "parquet"}}, {"species": {"active": "nobody"}}, {"model": {"offset": "CHL"}}, {"model": {"bs": "zz"}},
+    {"covariates": {"steps": [{"type": "contour_distance", "var": "SST"}]}}, {"covariates": {"source": "parquet"}}, {"species": {"active": "nobody"}}, {"model": {"offset": "CHL"}}, {"model": {"bs": "zz"}}, {"model": {"bs": {"CHL": "cr"}}}, {"model": {"link": "nonsense"}}, {"model": {"family": "nonsense"}}, {"model": {"bogus": 1}}, {"bogus": {}}, {"model": {"k": 3}}, {"model": {"family": "logit", "link": "logit"}},
+    {"projection": {"uncertainty": {"bogus": 1}}}, {"projection": {"uncertainty": {"kind": "none"}}}, {"covariates": {"log_transform": ["SST"], "transforms": {"SST": "sqrt"}}}, {"covariates": {"log_transform": ["CHL"]}},
     {"covariates": {"variables": ["SST", "SST"]}}, {"covariates": {"steps": [{"type": "lag", "var": "CHL"}]}}, {"covariates": {"transforms": {"NO": "log"}}}, {"covariates": {"grid": "other"}}, {"dates": {"training": {"years": [2019, 2018], "months": [1, 2]}}},
 ])
 def test_bad_settings(sections):
@@ -37,6 +40,11 @@ def test_bad_settings(sections):
         C.resolve(changed(**sections))
 
 
+def test_other_names_of_settings():
+    v = C.resolve(changed(model={"family": "cauchit", "bs": {"SST": "cr", "jday": "cc"}, "method": "P-REML"}, projection={"uncertainty": {"method": "bootstrap", "replicates": 50}}, covariates={"log_transform": ["SST"]})).values
+    assert v["model"]["link"] == "cauchit" and C.uncertainty(v) == {"kind": "bootstrap", "members": 50, "level": 0.9, "novelty": True} and v["covariates"]["transforms"] == {"SST": "abs_log"}
+
+
 def test_periods_are_sets():
     v = C.resolve(changed(dates={"projection": {"years": [2030, 2031], "months": [1, 1]}})).values
     assert C.periods(v) == ([2018, 2019, 2030, 2031], [1, 6, 7, 8])
@@ -110,9 +118,51 @@ def test_pipeline_finds_the_planted_signal(spark, tmp_path):
     assert spark.read.parquet(folder + "/suitability").count() == run.projection.count() == spark.read.csv(str(tmp_path / "export" / "suitability_csv"), header=True).count()
     assert spark.read.parquet(str(tmp_path / "export" / "stack")).columns[3:] == ["2019_06", "2019_07", "2019_08"]
     assert spark.read.csv(folder + "/importance", header=True).count() == len(run.model.predictors)
+    assert {r["fold"] for r in spark.read.csv(folder + "/roc_curve_by_fold", header=True).collect()} == {"0", "1", "2"}
+    P.write(run, "file://" + str(tmp_path / "uri"))
+    values = [yaml.safe_load((tmp_path / d / "threshold.yaml").read_text()) for d in ("out", "uri")]
+    assert values[0] == values[1] and values[0]["cutoff_lower"] <= values[0]["cutoff"] <= values[0]["cutoff_upper"]
+    stages = [t.scratch_path for t in run.stages]
+    assert len(stages) > 5 and any(os.path.exists(x) for x in stages)
+    run.release()
+    assert not any(os.path.exists(x) for x in stages)
+
+
+def test_members_are_of_the_same_model(spark):
+    from habitat_spark.plans import pipeline as P
+
+    run = P.run(spark, C.resolve(changed(covariates={"transforms": {"SST": "fourth_root", "SSS": "boxcox"}}, model={"type": "glm", "folds": 2, "bootstrap": 0, "importance": 0}, projection={"uncertainty": {"kind": "bootstrap", "members": 2}})), project=False)
+    assert len(run.members) == 2
+    for m in run.members:
+        assert [set(x) for x in m.stages] == [{"SST", "SSS"}] == [set(x) for x in run.model.stages]
+        assert str(m.stages[0]["SST"]) == str(run.model.stages[0]["SST"])
+    run.release()
+
+
+def test_a_failing_diagnostic_is_a_warning(spark, monkeypatch):
+    from habitat_spark.plans import pipeline as P
+
+    def fails(*_):
+        raise RuntimeError("not today")
+
+    monkeypatch.setattr(MD, "importance", fails)
+    monkeypatch.setattr(MD, "bootstrap", fails)
+    with pytest.warns(UserWarning, match="not today"):
+        run = P.run(spark, C.resolve(changed(model={"type": "glm", "folds": 2, "bootstrap": 100, "importance": 1})), project=False)
+    assert "importance" not in run.tables and "partial_effects" in run.tables and "lower" not in run.evaluation.columns
     run.release()
 
 
+def test_tuning_takes_the_best_setting(spark):
+    rows = spark.range(600).select(F.col("id").alias("station_id"), F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("label", ((F.col("a") > 0.5) != (F.col("b") > 0.5)).cast("int"))
+    weak, strong = MD.Spec(type="brt", trees=1, depth=1), MD.Spec(type="brt", trees=8, depth=4, rate=0.3)
+    assert MD.tuned(rows, ["a", "b"], [weak, strong, weak], 2) == strong
+    for kind, changes in (("rf", {"mtry", "min_n"}), ("brt", {"depth", "rate"}), ("gam", {"gamma"})):
+        specs = MD.settings_of(MD.Spec(type=kind), 6, 4)
+        assert specs[0] == MD.Spec(type=kind) and len(set(specs)) == len(specs) > 3
+        assert {k for x in specs[1:] for k in vars(x) if vars(x)[k] != vars(specs[0])[k]} == changes
+
+
 @pytest.mark.parametrize("settings", [{"type": "brt", "trees": 5}, {"type": "glm"}, {"type": "gam"}, {"type": "rf", "trees": 5, "tune": True, "tune_grid": 2}])
 def test_every_type_beats_chance(spark, settings):
     from habitat_spark.plans import pipeline as P
@@ -142,8 +192,6 @@ def test_generated_settings(tmp_path):
 
 
 def test_links_and_transforms(spark):
-    with pytest.raises(ValueError):
-        MD.estimator(MD.Spec(type="glm", link="cauchit"))
     df = spark.createDataFrame([(0.0, 1), (2.0, 0)], "x double, label int")
     with pytest.raises(ValueError):
         MD.check_transforms(df, {"x": "log"})
