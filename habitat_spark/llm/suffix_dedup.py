@@ -11,7 +11,8 @@ SPAN bytes pick the same GRAM-byte anchor in them (the least hash), so equal str
 3. Each document drops the bytes of its repeated strings.
 
 Equal contexts are one entry, so thousands of copies are no more than one; whole contexts are equal if 64 bits of
-their hash, 32 more of their anchor's and its bucket are. There is a bucket for each BUCKET_BYTES of text. An anchor of
+their hash, 32 more of their anchor's and its bucket are. There is a bucket for each BUCKET_BYTES of text (more in large inputs),
+and runs of texts grow with the number of buckets, so that a run's row for a bucket stays worth its cost. An anchor of
 more than HOT contexts, as at the ends of a passage that very many documents share, isn't brought together: Spark
 compares the strings over it as rows, the smallest doc_id of each by a partial aggregate.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _BYTE, _INVERSE, _power, discard, expand, hash_spans, large_strings, mix, run_number, slices, squeeze, stored, tidy
+from .common import _BASE, _BYTE, _INVERSE, SLICE_BYTES, _power, discard, expand, hash_spans, large_strings, mix, run_number, slices, squeeze, stored, tidy
 from .suffix_arrays import suffix_array, suffix_arrays
 
 SPAN = 50
@@ -39,8 +40,13 @@ SIDE = SPAN - GRAM
 HALF = SIDE // 2
 #: Contexts of a group up to which many groups' suffix arrays are built together.
 TOGETHER = 6
-#: Text for each bucket.
+#: Text for each bucket, as long as there are no more than MANY; then buckets grow, up to LARGE_BYTES.
 BUCKET_BYTES = 8 << 20
+MANY = 4096
+LARGE_BYTES = 32 << 20
+#: Text behind a row that a run of texts gives a bucket, at least, and text of a run at most.
+SHARE = 16 << 10
+RUN_BYTES = 64 << 20
 #: Contexts of an anchor beyond which its strings are compared as rows.
 HOT = 4096
 _LAST = 2**63 - 1
@@ -86,41 +92,64 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def bucket_count(size: int) -> int:
+    """Buckets for so much text: of BUCKET_BYTES each, and of more once there are MANY, up to LARGE_BYTES."""
+    return max(16, min(-(-size // BUCKET_BYTES), max(MANY, -(-size // LARGE_BYTES))))
+
+
+def run_bytes(buckets: int) -> int:
+    """Text of a run: it grows with the buckets, so that each of its rows has SHARE bytes of text or more behind it."""
+    return min(max(SLICE_BYTES, buckets * SHARE), RUN_BYTES)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Per run of texts: a row for each bucket with its anchors, and one with what is needed to read the answer."""
-    number = run_number()
     names = ["run", "bucket", "docs", "counts", "grams", "contexts", "hashes"]
-
-    def rows(found: list[tuple]):
-        binary = [pa.array([x[i] for x in found], pa.large_binary()) for i in range(1, 6)]
-        return pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int32()), *binary], names=names)
+    number = run_number()
+    held: list[tuple[np.ndarray, ...]] = []  # of each slice: documents, their hashes, and of each anchor its document, gram and context
+    size = 0
+
+    def rows():
+        nonlocal number
+        docs, hashes = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        first = np.cumsum([0, *(x[0].size for x in held)])
+        of = np.concatenate([x[2] + n for x, n in zip(held, first)])
+        grams, around = (np.concatenate([x[i] for x in held]) for i in (3, 4))
+        held.clear()
+        # within the run, only the smallest document's own copies of a context are sent
+        order = np.lexsort((docs[of], around, grams))
+        new = _heads(grams[order], around[order])
+        least = docs[of][order][np.maximum.accumulate(np.where(new, np.arange(order.size), 0))]
+        state = np.zeros(of.size, np.int64)
+        state[order] = docs[of][order] > least
+        bucket = (grams % np.uint64(buckets)).astype(np.int64)
+        found = [(buckets + number % buckets, squeeze(docs), squeeze(np.bincount(of, minlength=docs.size)), squeeze(bucket), squeeze(state), squeeze(hashes))]
+        send = np.flatnonzero(state == 0)
+        send = send[np.argsort(bucket[send], kind="stable")]
+        cut = np.searchsorted(bucket[send], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            mine = send[cut[b] : cut[b + 1]]
+            own, counts = np.unique(of[mine], return_counts=True)
+            found.append((b, squeeze(docs[own]), squeeze(counts), squeeze((grams[mine] >> np.uint64(32)).astype(np.int64)), squeeze(around[mine]), None))
+        for i in range(0, len(found), 1024):
+            part = found[i : i + 1024]
+            binary = [pa.array([x[k] for x in part], pa.large_binary()) for k in range(1, 6)]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array([x[0] for x in part], pa.int32()), *binary], names=names)
+        number += 1
 
     for batch in batches:
         for part, data, offsets in slices(batch, "text"):
             at, grams = anchors(data, offsets)
+            size += data.size
             if at.size:
-                docs, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
                 of, start, end = _contexts(at, offsets)
                 around = hash_spans(data, start, end) + (at - start).astype(np.uint64)
-                around = mix(around).view(np.int64)
-                # within the run, only the smallest document's own copies of a context are sent
-                order = np.lexsort((docs[of], around, grams))
-                new = _heads(grams[order], around[order])
-                least = docs[of][order][np.maximum.accumulate(np.where(new, np.arange(order.size), 0))]
-                state = np.zeros(at.size, np.int64)
-                state[order] = docs[of][order] > least
-                bucket = (grams % np.uint64(buckets)).astype(np.int64)
-                found = [(buckets + number % buckets, squeeze(docs), squeeze(np.bincount(of, minlength=docs.size)), squeeze(bucket), squeeze(state), squeeze(hashes))]
-                send = np.flatnonzero(state == 0)
-                send = send[np.argsort(bucket[send], kind="stable")]
-                cut = np.searchsorted(bucket[send], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    mine = send[cut[b] : cut[b + 1]]
-                    own, counts = np.unique(of[mine], return_counts=True)
-                    found.append((b, squeeze(docs[own]), squeeze(counts), squeeze((grams[mine] >> np.uint64(32)).astype(np.int64)), squeeze(around[mine]), None))
-                for i in range(0, len(found), 1024):
-                    yield rows(found[i : i + 1024])
-            number += 1
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), of, grams, mix(around).view(np.int64)))
+            if held and size >= run_bytes(buckets):
+                yield from rows()
+                size = 0
+    if held:
+        yield from rows()
 
 
 def _resolve(table: pa.Table, buckets: int) -> pa.Table:
@@ -329,7 +358,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, spans (removed byte ranges) and kept (the bytes left)."""
     large_strings(documents)
     size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET_BYTES))
+    buckets = bucket_count(size)
     kind = documents.schema["doc_id"].dataType
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     keyed = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h"), text.alias("text"))
