@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, expand, hash_spans, large_strings, lower_table, mix, row_counts, run_number, runs, slices, squeeze, stored, tidy
+from .common import SLICE_BYTES, SPACE, discard, expand, hash_spans, large_strings, lower_table, mix, row_counts, run_number, runs, slices, squeeze, stored, tidy
 from .quality_classifier import remainder
 
 VOCABULARY = 400_000
@@ -44,8 +44,14 @@ ADD = 0.1
 KATZ = 5
 #: Distinct keys that a counting task holds before it passes them on.
 HELD = 2_000_000
-#: Text for each bucket.
+#: Text for each bucket, as long as there are no more than MANY; then buckets grow, up to LARGE_BYTES.
 BUCKET_BYTES = 6 << 20
+MANY = 4096
+LARGE_BYTES = 24 << 20
+#: Both grow with the buckets, so that a row for a bucket stays worth its cost: text behind one at least and text of a
+#: run at most; pairs held for one, and pairs held at most.
+SHARE, RUN_BYTES = 8 << 10, 24 << 20
+HELD_SHARE, HELD_MOST = 1000, 6_000_000
 _LOWER = lower_table(SPACE)
 _END = 0  # ids of listed words are 1 and on; unlisted ones are -1 - hash
 _SHIFT = 32
@@ -209,7 +215,7 @@ def _pair_tables(source: DataFrame, shared, buckets: int) -> DataFrame:
             for i in range(0, len(rows), 256):
                 yield _rows(rows[i : i + 256])
 
-        size = 0
+        size, most = 0, min(max(HELD, buckets * HELD_SHARE), HELD_MOST)
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
                 history, word, _ = words.chain(data, offsets)
@@ -221,13 +227,13 @@ def _pair_tables(source: DataFrame, shared, buckets: int) -> DataFrame:
                 held["rare"].append(rare)
                 held["m"].append(np.ones(rare[0].size, np.int64))
                 size += keys.size + rare[0].size
-                if size > HELD:
+                if size > most:
                     keys, n = _summed(held["listed"], held["n"])
                     held["listed"], held["n"] = [(keys,)], [n]
                     *rare, m = _summed(held["rare"], held["m"])
                     held["rare"], held["m"] = [tuple(rare)], [m]
                     size = keys.size + m.size
-                    if size > HELD // 2:
+                    if size > most // 2:
                         yield from give()
                         size = 0
         yield from give()
@@ -353,7 +359,7 @@ def score(documents: DataFrame, held_out_of: int = 10, vocabulary: int = VOCABUL
     unigrams = stored(_unigrams(source), "lm-unigrams")
     n_words, n_types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends, size = source.filter("not held_out").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = max(16, -(-int(size) // BUCKET_BYTES))
+    buckets = max(16, min(-(-int(size) // BUCKET_BYTES), max(MANY, -(-int(size) // LARGE_BYTES))))
     top = unigrams.orderBy(F.desc("n"), "hash").limit(vocabulary).toArrow()  # vocabulary rows at most
     discard(unigrams)
     train_tokens, types = int(n_words) + ends, int(n_types) + (ends > 0)
@@ -373,37 +379,56 @@ def score(documents: DataFrame, held_out_of: int = 10, vocabulary: int = VOCABUL
         words, backoff = shared.value, model.value
         number = run_number()
         log_weight = np.log10(words.counts + ADD)
-        for batch in batches:
-            kind = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("katz", pa.float64())]))
-            for part, data, offsets in slices(batch, "text"):
-                history, word, doc = words.chain(data, offsets)
-                n = part.num_rows
-                listed = word >= 0
-                own = np.where(listed, word, 0)
-                base = np.bincount(doc, np.where(listed, log_weight[own], 0.0), n)
-                known = np.bincount(doc, listed & (words.counts[own] > 0), n).astype(np.int64)
-                both = np.flatnonzero(listed & (history >= 0))
-                keys = history[both] << _SHIFT | word[both]
-                at, hot = _find(backoff.hot_keys, keys)
-                katz = np.bincount(doc[both[hot]], backoff.log_probability(words, keys[hot], backoff.hot_counts[at[hot]]) if hot.any() else np.zeros(0), n)
-                rows = []
-                order = np.argsort(keys[~hot], kind="stable")
-                keys, of = keys[~hot][order], doc[both[~hot]][order]
-                for b, (k, docs) in _dealt(_history_bucket(keys >> _SHIFT, keys & _MASK, buckets), buckets, keys, of):
-                    rows.append((b, _LISTED, squeeze(k, True), None, squeeze(docs)))
-                after = np.flatnonzero(listed & (history < 0))
-                for b, (h, w, docs) in _dealt(_spread(history[after], buckets), buckets, history[after], word[after], doc[after]):
-                    rows.append((b, _AFTER_RARE, squeeze(h), squeeze(w), squeeze(docs)))
-                rare = np.flatnonzero(~listed)
-                for b, (h, w, docs) in _dealt(_spread(word[rare], buckets), buckets, history[rare], word[rare], doc[rare]):
-                    rows.append((b, _RARE, squeeze(w), squeeze(h), squeeze(docs)))
-                values = pa.StructArray.from_arrays([part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=n)), pa.array(known), pa.array(base.astype(float)), pa.array(katz.astype(float))], fields=list(kind.value_type))
-                rows.append((-1, -1, None, None, None))
-                lists = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [n], pa.int32()), values)
+        held: list[tuple] = []  # of each slice: its texts' ids, and history, word and text of each token
+        size = 0
+
+        def rows():
+            nonlocal number
+            first = np.cumsum([0, *(len(x[0]) for x in held)])
+            n = int(first[-1])
+            ids, out = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+            history, word = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+            doc = np.concatenate([x[4] + k for x, k in zip(held, first)])
+            held.clear()
+            listed = word >= 0
+            own = np.where(listed, word, 0)
+            base = np.bincount(doc, np.where(listed, log_weight[own], 0.0), n)
+            known = np.bincount(doc, listed & (words.counts[own] > 0), n).astype(np.int64)
+            both = np.flatnonzero(listed & (history >= 0))
+            keys = history[both] << _SHIFT | word[both]
+            at, hot = _find(backoff.hot_keys, keys)
+            katz = np.bincount(doc[both[hot]], backoff.log_probability(words, keys[hot], backoff.hot_counts[at[hot]]) if hot.any() else np.zeros(0), n)
+            found = []
+            order = np.argsort(keys[~hot], kind="stable")
+            keys, of = keys[~hot][order], doc[both[~hot]][order]
+            for b, (k, docs) in _dealt(_history_bucket(keys >> _SHIFT, keys & _MASK, buckets), buckets, keys, of):
+                found.append((b, _LISTED, squeeze(k, True), None, squeeze(docs)))
+            after = np.flatnonzero(listed & (history < 0))
+            for b, (h, w, docs) in _dealt(_spread(history[after], buckets), buckets, history[after], word[after], doc[after]):
+                found.append((b, _AFTER_RARE, squeeze(h), squeeze(w), squeeze(docs)))
+            rare = np.flatnonzero(~listed)
+            for b, (h, w, docs) in _dealt(_spread(word[rare], buckets), buckets, history[rare], word[rare], doc[rare]):
+                found.append((b, _RARE, squeeze(w), squeeze(h), squeeze(docs)))
+            values = pa.StructArray.from_arrays([ids, out, pa.array(np.bincount(doc, minlength=n)), pa.array(known), pa.array(base.astype(float)), pa.array(katz.astype(float))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "katz"])
+            found.append((-1, -1, None, None, None))
+            for i in range(0, len(found), 1024):
+                part = found[i : i + 1024]
+                last = i + 1024 >= len(found)
+                lists = pa.ListArray.from_arrays(pa.array([0] * len(part) + [n if last else 0], pa.int32()), values if last else values[:0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), number)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.large_binary()) for i in (2, 3, 4)), lists],
+                    [pa.array(np.full(len(part), number)), pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), *(pa.array([r[k] for r in part], pa.large_binary()) for k in (2, 3, 4)), lists],
                     names=["run", "bucket", "kind", "x1", "x2", "docs", "own"])
-                number += 1
+            number += 1
+
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text"):
+                held.append((part.column(0), part.column(1), *words.chain(data, offsets)))
+                size += data.size
+                if size >= min(max(SLICE_BYTES, buckets * SHARE), RUN_BYTES):
+                    yield from rows()
+                    size = 0
+        if held:
+            yield from rows()
 
     own = f"own array<struct<doc_id:{source.schema['doc_id'].dataType.simpleString()},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,katz:double>>"
     scanned = stored(source.mapInArrow(tidy(scan), f"{_ASKED}, {own}"), "lm-scan")
