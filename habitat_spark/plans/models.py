@@ -285,58 +285,80 @@ def partial_effects(fitted: Fitted, df: DataFrame, grid_size: int = 20, max_rows
     return fitted.score(swept).groupBy("variable", "value").agg(F.avg("score").alias("probability"))
 
 
-#: Distinct scores that a bootstrap's table may have; more of them need rounding, to places asked for.
-BOOTSTRAP_SCORES = 1_000_000
+#: Distinct scores of a range that one task draws, and replicates that it draws of it.
+BOOTSTRAP_SCORES = 100_000
+BOOTSTRAP_TIMES = 200
 
 
-def bootstrap(df: DataFrame, cutoff: float, times: int = 2000, level: float = 0.95, seed: int = 1, places: int | None = None) -> DataFrame:
-    """(series, lower, upper): percentile bounds over replicates of the held-out rows.
+def bootstrap(df: DataFrame, cutoff: float, times: int = 2000, level: float = 0.95, seed: int = 1, places: int | None = None, most: int = BOOTSTRAP_SCORES) -> DataFrame:
+    """(series, lower, upper, n): percentile bounds over replicates of the held-out rows.
 
-    Rows with equal score and label are alike, so a replicate draws their counts (a multinomial over the collapsed
-    table); the table has a row for each distinct score and goes to every task. Replicates are spread over the tasks;
-    draws without both classes are dropped. Each replicate has a seed of its own. places: round scores before.
+    Rows with equal score and label are alike, so a replicate draws their counts: a multinomial over the distinct
+    scores of either class. It is split as a tree: first the counts of each class in each range of at most about `most`
+    scores, from the ranges' totals, and then, in a task for each range, those of its scores. A range knows from the
+    first draw what lies above it, so its parts of a replicate's areas and its best cutoff can be added to the others'.
+    Each replicate, and each range of it, has a seed of its own. Draws without both classes are dropped. places: round
+    scores before.
     """
     if times < 100:
         raise ValueError("at least 100 replicates are needed")
-    spark = df.sparkSession
     score = F.col("score") if places is None else F.round("score", places)
-    table = df.groupBy(score.alias("score")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg")).orderBy("score").limit(BOOTSTRAP_SCORES + 1).toPandas()
-    if len(table) > BOOTSTRAP_SCORES:
-        raise ValueError(f"over {BOOTSTRAP_SCORES} distinct scores; give places to round them to")
-    shared = spark.sparkContext.broadcast((table["score"].to_numpy(), table["pos"].to_numpy(), table["neg"].to_numpy()))
-    names = ["roc_auc", "sens_half", "spec_half", "tss_half", "precision_half", "sens_best", "spec_best", "tss_best", "precision_best", "pr_auc", "cutoff"]
-
-    def replicate(batches):
-        score, pos, neg = shared.value
-        share = np.concatenate([pos, neg]).astype(float)
-        n = int(share.sum())
-        for batch in batches:
-            rows = []
-            for i in batch["id"]:
-                draw = np.random.default_rng([seed, int(i)]).multinomial(n, share / n)
-                p, q = draw[: score.size], draw[score.size :]
-                if not p.sum() or not q.sum():
-                    continue
-                tp, fp = np.cumsum(p[::-1])[::-1], np.cumsum(q[::-1])[::-1]
-                sens, spec = tp / p.sum(), 1 - fp / q.sum()
-                with np.errstate(all="ignore"):
-                    precision = tp / (tp + fp)
-                auc = (p * (q.sum() - fp + q / 2)).sum() / (p.sum() * q.sum())
-                seen = (p + q) > 0
-                down, prec = sens[seen][::-1], np.nan_to_num(precision[seen][::-1], nan=1.0)
-                pr = np.sum(np.diff(down, prepend=0) * (prec + np.concatenate([[1.0], prec[:-1]])) / 2)
-
-                def at(k):
-                    return (sens[k], spec[k], sens[k] + spec[k] - 1, precision[k]) if k < score.size else (0.0, 1.0, 0.0, np.nan)
-
-                tss = np.where(seen, sens + spec - 1, -2)
-                best = score.size - 1 - int(np.argmax(tss[::-1]))
-                rows.append((auc, *at(int(np.searchsorted(score, 0.5))), *at(int(np.searchsorted(score, cutoff))), pr, score[best]))
-            yield pd.DataFrame(rows, columns=names)
-
-    drawn = spark.range(times, numPartitions=max(1, min(times // 50, spark.sparkContext.defaultParallelism))).mapInPandas(replicate, ", ".join(f"{c} double" for c in names))
+    runs = scratch.stored(E.tie_runs(df.withColumn("score", score.cast("double"))), "bootstrap")
+    ranges = max(1, -(-runs.count() // most))
+    cuts = runs.agg(F.percentile_approx("score", [i / ranges for i in range(ranges + 1)], 10_000).alias("cuts"))  # one row
+    runs = runs.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter(F.slice("cuts", 2, ranges - 1), lambda c: c < F.col("score")))).drop("cuts") if ranges > 1 else runs.withColumn("part", F.lit(0))
+    sums = runs.groupBy("part").agg(F.sum("pos"), F.sum("neg"), F.max("score")).orderBy("part").collect()  # a row for each range
+    if not sums:
+        raise ValueError("no rows to draw from")
+    parts, totals, tops = [r[0] for r in sums], np.array([[r[1], r[2]] for r in sums], float), [r[3] for r in sums]
+    n = int(totals.sum())
+    blocks = -(-times // BOOTSTRAP_TIMES)
+    values = {"half": 0.5, "best": cutoff}
+    schema = "id int, p long, q long, auc double, pr double, tss double, score double, " + ", ".join(f"{x}_{name} long" for name in values for x in ("tp", "fp"))
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, part = int(pdf["block"].iloc[0]), parts.index(int(pdf["part"].iloc[0]))
+        pdf = pdf.sort_values("score")
+        score, pos, neg = (pdf[c].to_numpy(float) for c in ("score", "pos", "neg"))
+        # of each value that is asked for, the first score that isn't below, if it is in this range
+        at = {k: int(np.searchsorted(score, v)) for k, v in values.items() if v <= tops[part] and (part == 0 or v > tops[part - 1])}
+        rows = []
+        for i in range(block * BOOTSTRAP_TIMES, min(times, (block + 1) * BOOTSTRAP_TIMES)):
+            first = np.random.default_rng([seed, i]).multinomial(n, totals.ravel() / n).reshape(totals.shape)
+            all_p, all_q = (int(x) for x in first.sum(0))
+            if not all_p or not all_q:
+                continue
+            rng = np.random.default_rng([seed, i, part])
+            p, q = (rng.multinomial(m, x / x.sum()) if m else np.zeros(x.size, np.int64) for m, x in zip(first[part].tolist(), (pos, neg)))
+            above_p, above_q = (int(x) for x in first[part + 1 :].sum(0))
+            tp, fp = np.cumsum(p[::-1])[::-1] + above_p, np.cumsum(q[::-1])[::-1] + above_q
+            auc = float((p * (all_q - fp + q / 2)).sum() / (all_p * all_q))
+            seen = np.flatnonzero(p + q)[::-1]  # from the top
+            pr, best = 0.0, (None, None)
+            if seen.size:
+                sens, prec = tp[seen] / all_p, tp[seen] / (tp[seen] + fp[seen])
+                before = above_p / (above_p + above_q) if above_p + above_q else 1.0
+                pr = float((np.diff(sens, prepend=above_p / all_p) * (prec + np.concatenate([[before], prec[:-1]])) / 2).sum())
+                tss = sens - fp[seen] / all_q
+                k = int(np.argmax(tss))
+                best = float(tss[k]), float(score[seen[k]])
+            counts = [int(x[at[name]]) if name in at else None for name in values for x in (tp, fp)]
+            rows.append((i, all_p, all_q, auc, pr, *best, *counts))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({c: "Int64" for name in values for c in (f"tp_{name}", f"fp_{name}")})
+
+    spread = runs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    some = spread.groupBy("block", "part").applyInPandas(drawn, schema)
+    cells = [F.max(f"{x}_{name}").alias(f"{x}_{name}") for name in values for x in ("tp", "fp")]
+    # of equal bests the largest cutoff
+    whole = some.groupBy("id").agg(F.max("p").alias("p"), F.max("q").alias("q"), F.sum("auc").alias("roc_auc"), F.sum("pr").alias("pr_auc"), F.max(F.struct("tss", "score"))["score"].alias("cutoff"), *cells)
+    columns = {}
+    for name in values:
+        tp, fp = F.coalesce(f"tp_{name}", F.lit(0)), F.coalesce(f"fp_{name}", F.lit(0))  # no score reaches the value: no patch is called
+        sens, spec = tp / F.col("p"), 1 - fp / F.col("q")
+        columns |= {f"sens_{name}": sens, f"spec_{name}": spec, f"tss_{name}": sens + spec - 1, f"precision_{name}": F.try_divide(tp, tp + fp)}
+    series = ["roc_auc", *columns, "pr_auc", "cutoff"]
     tail = (1 - level) / 2
-    long = drawn.unpivot([], names, "series", "value").filter(~F.isnan("value"))
+    long = whole.withColumns(columns).unpivot([], series, "series", "value").filter(F.col("value").isNotNull())
     return long.groupBy("series").agg(F.percentile("value", tail).alias("lower"), F.percentile("value", 1 - tail).alias("upper"), F.count("*").alias("n"))
 
 
