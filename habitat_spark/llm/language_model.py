@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,10 @@ def _pairs_in(first: np.ndarray, second: np.ndarray, asked_first: np.ndarray, as
     return at, there & in_a & in_b
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _unigrams(source: DataFrame) -> DataFrame:
     """(hash, n) of all training words."""
     def run(batches: Iterator[pa.RecordBatch]):
@@ -440,31 +445,33 @@ def score(documents: DataFrame, held_out_of: int = 10, vocabulary: int = VOCABUL
         w, h, c = [expand(right.column(f"x{i}")[0].as_py(), i == 1) for i in (1, 2, 3)] if right.num_rows else [np.zeros(0, np.int64)] * 3
         heads = _heads(w)
         names, of = w[heads], np.add.reduceat(c, heads) if w.size else c
-        answers, questions = [], []
-        for run, x1, x2, docs in zip(*(left.column(k).to_pylist() for k in ("run", "x1", "x2", "docs"))):
-            word, history, docs = expand(x1), expand(x2), expand(docs)
-            at, there = _find(names, word)
-            n = np.where(there, of[at], 0) if names.size else np.zeros(word.size, np.int64)
-            at, there = _pairs_in(w, h, word, history)
-            counts = np.where(there, c[at], 0) if c.size else np.zeros(word.size, np.int64)
-            met, id_ = history >= 0, np.maximum(history, 0)
-            part = np.where(counts > 0, backoff.higher(counts), (n + ADD) / words.total)
-            part = part * np.where(met, np.where(counts > 0, 1 / backoff.seen[id_], backoff.weight[id_]), 1.0)
-            answers.append((run, docs, np.log10(part), np.log10(n + ADD), (n > 0).astype(float)))
-            open_ = np.flatnonzero(~met)
-            for b, (x, y, z) in _dealt(_spread(history[open_], buckets), buckets, history[open_], (counts[open_] > 0).astype(np.int64), docs[open_]):
-                questions.append((run, b, squeeze(x), squeeze(y), squeeze(z)))
-        made = _answers(answers)
-        m, k = len(answers), len(questions)
-        none = lambda n, kind=pa.binary(): pa.nulls(n, kind)  # noqa: B008, E731
-        first = {**made, "bucket": none(m, pa.int32()), "kind": none(m, pa.int32()), "x1": none(m), "x2": none(m)}
-        second = {"run": pa.array([q[0] for q in questions], pa.int64()), "docs": pa.array([q[4] for q in questions], pa.binary()), **{x: none(k) for x in ("katz", "base", "known")},
-                  "bucket": pa.array([q[1] for q in questions], pa.int32()), "kind": pa.array([_SUMS] * k, pa.int32()), "x1": pa.array([q[2] for q in questions], pa.binary()), "x2": pa.array([q[3] for q in questions], pa.binary())}
+        # all runs' pairs at once; each row of left is one run's
+        rows = list(zip(*(left.column(k).to_pylist() for k in ("run", "x1", "x2", "docs"))))
+        word, history, docs = (_joined([expand(r[i]) for r in rows]) for i in (1, 2, 3))
+        cut = np.cumsum([0, *(expand(r[3]).size for r in rows)])
+        at, there = _find(names, word)
+        n = np.where(there, of[at], 0) if names.size else np.zeros(word.size, np.int64)
+        at, there = _pairs_in(w, h, word, history)
+        counts = np.where(there, c[at], 0) if c.size else np.zeros(word.size, np.int64)
+        met, id_ = history >= 0, np.maximum(history, 0)
+        part = np.where(counts > 0, backoff.higher(counts), (n + ADD) / words.total)
+        part = np.log10(part * np.where(met, np.where(counts > 0, 1 / backoff.seen[id_], backoff.weight[id_]), 1.0))
+        base, known = np.log10(n + ADD), (n > 0).astype(float)
+        answers = [(r[0], docs[i:j], part[i:j], base[i:j], known[i:j]) for r, i, j in zip(rows, cut, cut[1:])]
+        # questions about histories that aren't listed are plain rows: their number is that of the pairs, however many buckets there are
+        open_ = np.flatnonzero(~met)
+        runs_ = np.repeat(np.array([r[0] for r in rows], np.int64), np.diff(cut))[open_]
+        texts, histories_, seen = docs[open_], history[open_], (counts[open_] > 0).astype(np.int64)
+        made, m, k = _answers(answers), len(answers), runs_.size
+        empty = {"bucket": pa.int32(), "kind": pa.int32(), "h": pa.int64(), "doc": pa.int64(), "seen": pa.int64()}
+        first = {**made, **{x: pa.nulls(m, kind) for x, kind in empty.items()}}
+        second = {"run": pa.array(runs_), **{x: pa.nulls(k, pa.binary()) for x in ("docs", "katz", "base", "known")},
+                  "bucket": pa.array(_spread(histories_, buckets).astype(np.int32)), "kind": pa.array(np.full(k, _SUMS, np.int32)), "h": pa.array(histories_), "doc": pa.array(texts), "seen": pa.array(seen)}
         return pa.concat_tables([pa.table(first), pa.table(second)])
 
     columns = ["bucket", "x1", "x2", "x3", "x4", "x5"]
     rare_tables = tables.filter(F.col("kind") == _RARE).select(*columns)
-    first = stored(asked.filter(F.col("kind") == _RARE).groupBy("bucket").cogroup(rare_tables.groupBy("bucket")).applyInArrow(rare_words, f"{_ANSWER}, bucket int, kind int, x1 binary, x2 binary"), "lm-rare")
+    first = stored(asked.filter(F.col("kind") == _RARE).groupBy("bucket").cogroup(rare_tables.groupBy("bucket")).applyInArrow(rare_words, f"{_ANSWER}, bucket int, kind int, h long, doc long, seen long"), "lm-rare")
 
     def listed_words(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Pairs of listed words, and what a history that isn't listed adds to those of unlisted ones."""
@@ -478,28 +485,34 @@ def score(documents: DataFrame, held_out_of: int = 10, vocabulary: int = VOCABUL
             else:
                 names, seen, weight = expand(r["x1"], True), expand(r["x2"]), np.frombuffer(r["x3"])
         answers = []
-        for run, kind, x1, x2, docs in zip(*(left.column(k).to_pylist() for k in ("run", "kind", "x1", "x2", "docs"))):
-            docs = expand(docs)
-            if kind == _LISTED:
-                asked = expand(x1, True)
-                at, there = _find(keys, asked)
-                answers.append((run, docs, backoff.log_probability(words, asked, np.where(there, counts[at], 0) if keys.size else np.zeros(asked.size, np.int64)), None, None))
-                continue
-            history, x2 = expand(x1), expand(x2)
-            at, there = _find(names, history)
-            times, share = (np.where(there, a[at], 1) if names.size else np.ones(history.size) for a in (seen, weight))
-            if kind == _SUMS:
-                part = np.where(x2 > 0, 1 / times, share)
-            else:
-                at, there = _pairs_in(h, w, history, x2)
-                n = np.where(there, c[at], 0) if c.size else np.zeros(history.size, np.int64)
-                part = np.where(n > 0, backoff.higher(n) / times, share * (words.counts[x2] + ADD) / words.total)
-            answers.append((run, docs, np.log10(part), None, None))
+        plain = left.filter(pc.equal(left.column("kind"), _SUMS))
+        if plain.num_rows:
+            run, doc, history, met = (plain.column(x).to_numpy() for x in ("run", "doc", "h", "seen"))
+            order = np.argsort(run, kind="stable")
+            at, there = _find(names, history[order])
+            times, share = (np.where(there, x[at], 1) if names.size else np.ones(history.size) for x in (seen, weight))
+            part = np.log10(np.where(met[order] > 0, 1 / times, share))
+            cut = np.append(_heads(run[order]), run.size)
+            answers += [(int(run[order[a]]), doc[order[a:b]], part[a:b], None, None) for a, b in zip(cut, cut[1:])]
+        rows = list(zip(*(left.filter(pc.equal(left.column("kind"), _LISTED)).column(k).to_pylist() for k in ("run", "x1", "docs"))))
+        for run, x1, docs in rows:
+            asked = expand(x1, True)
+            at, there = _find(keys, asked)
+            answers.append((run, expand(docs), backoff.log_probability(words, asked, np.where(there, counts[at], 0) if keys.size else np.zeros(asked.size, np.int64)), None, None))
+        rows = list(zip(*(left.filter(pc.equal(left.column("kind"), _AFTER_RARE)).column(k).to_pylist() for k in ("run", "x1", "x2", "docs"))))
+        history, word, docs = (_joined([expand(r[i]) for r in rows]) for i in (1, 2, 3))
+        at, there = _find(names, history)
+        times, share = (np.where(there, x[at], 1) if names.size else np.ones(history.size) for x in (seen, weight))
+        at, there = _pairs_in(h, w, history, word)
+        n = np.where(there, c[at], 0) if c.size else np.zeros(history.size, np.int64)
+        part = np.log10(np.where(n > 0, backoff.higher(n) / times, share * (words.counts[word] + ADD) / words.total))
+        cut = np.cumsum([0, *(expand(r[3]).size for r in rows)])
+        answers += [(r[0], docs[i:j], part[i:j], None, None) for r, i, j in zip(rows, cut, cut[1:])]
         return pa.table(_answers(answers))
 
     none = F.lit(None).cast("binary")
     by_history = tables.filter(F.col("kind") == _LISTED).select(*columns).unionByName(histories.select("bucket", F.col("y0").alias("x1"), F.col("y1").alias("x2"), F.col("y2").alias("x3"), none.alias("x4"), none.alias("x5")))
-    questions = asked.filter(F.col("kind").isin(_LISTED, _AFTER_RARE)).unionByName(first.filter("kind is not null").select("run", "bucket", "kind", "x1", "x2", "docs"))
+    questions = asked.filter(F.col("kind").isin(_LISTED, _AFTER_RARE)).unionByName(first.filter("kind is not null").select("run", "bucket", "kind", "h", "doc", "seen"), allowMissingColumns=True)
     second = questions.groupBy("bucket").cogroup(by_history.groupBy("bucket")).applyInArrow(listed_words, _ANSWER)
 
     def added(table: pa.Table) -> pa.Table:
