@@ -98,13 +98,15 @@ class Additive:
             x = f"CAST(`{b.name}` AS DOUBLE)"
             if b.period:
                 x = f"({number(b.period[0])} + pmod({x} - {number(b.period[0])}, {number(b.period[1])}))"
-            cubics = []
-            for origin, powers in zip(b.origins, p):
-                t = f"({x} - {number(origin)})"
-                degree = int(np.flatnonzero(powers).max(initial=0))
-                cubics.append(" + ".join(" * ".join([number(powers[d]), *[t] * d]) for d in range(degree + 1)))
-            cases = " ".join(f"WHEN {x} < {number(e)} THEN {cubic}" for e, cubic in zip(b.breaks, cubics))
-            parts.append(f"CASE {cases} WHEN {x} IS NOT NULL THEN {cubics[-1]} END")
+            if not b.breaks.size:
+                parts.append(f"{number(p[0, 0])} + {number(p[0, 1])} * ({x} - {number(b.origins[0])})")
+                continue
+            # constants, so that the plan's code doesn't grow with the number of pieces
+            array = lambda values: f"array({', '.join(values)})"
+            pieces = array(array(map(number, (o, *c))) for o, c in zip(b.origins, p))
+            place = f"size(filter({array(map(number, b.breaks))}, e -> e <= {x})) + 1"
+            t = f"({x} - q[0])"
+            parts.append(f"transform(array(element_at({pieces}, {place})), q -> q[1] + {t} * (q[2] + {t} * (q[3] + {t} * q[4])))[0]")
         return " + ".join(f"({x})" for x in parts)
 
     def prediction_sql(self, offset: str | None = None) -> str:
@@ -303,7 +305,7 @@ def fitted(rows: DataFrame, terms: list[bases.Basis], link: str = "logit", metho
     criterion = Criterion(method, penalties, gamma) if penalties and parameters is None else None
     total = lambda r: sum((math.exp(x) * s for x, s in zip(r, penalties)), np.zeros((p, p)))
     sums = _sums(rows, names, made, beta, link)
-    passes, worst = 2, 0
+    passes, worst = 2, False
     for _ in range(most):
         before = rho
         if criterion:
@@ -311,15 +313,17 @@ def fitted(rows: DataFrame, terms: list[bases.Basis], link: str = "logit", metho
         s = total(rho)
         new = np.linalg.pinv(sums.gram + s, hermitian=True) @ sums.right
         old = sums.deviance + beta @ s @ beta
-        for _ in range(30):
+        for halvings in range(30):
             found = _sums(rows, names, made, new, link)
             passes += 1
             now = found.deviance + new @ s @ new
             if not found.beyond and now <= old + 1e-7 * (0.1 + abs(old)):
+                # a shortened step that gains nothing ends at the border of what the link allows
+                worst = bool(halvings) and old - now < 1e-6 * (0.1 + abs(old))
                 break
             new = (new + beta) / 2
         else:
-            worst += 1
+            worst = True
             found, new = sums, beta
         change = float(np.sqrt(((new - beta) @ plain @ (new - beta)) / n))
         beta, sums = new, found

@@ -705,6 +705,22 @@ def yeojohnson(spark, d):
     return MD.power_profile(A.grid(spark, d), "uo", "yeojohnson").select("lam", *r6("log_likelihood", digits=3))
 
 
+@query("""SELECT variable, count(*) AS n_cells, count(*) FILTER (v IS NULL) AS n_missing FROM (SELECT unnest(['sst', 'chl', 'uo']) AS variable, unnest([sst, chl, uo]) AS v FROM gappy WHERE year = 1995 AND month = 6) GROUP BY variable""")
+def slice_missing(spark, d):
+    return G.missing_counts(G.month_slice(A.gappy(A.grid(spark, d)), 1995, 6), ["sst", "chl", "uo"]).select("variable", "n_cells", "n_missing")
+
+
+@query("SELECT cell, year, month, round(sst, 6) AS sst, round(ln(chl), 6) AS l FROM grid WHERE chl > 0 AND sst IS NOT NULL")
+def finite_cases(spark, d):
+    logs = A.grid(spark, d).withColumn("l", F.when(F.col("chl") > 0, F.ln("chl")).otherwise(float("-inf")))
+    return ST.complete(logs, ["sst", "l"]).select("cell", "year", "month", *r6("sst", "l"))
+
+
+@query("SELECT year, month, round(quantile_cont(sst, 0.3), 6) AS percentile FROM grid GROUP BY year, month")
+def step_percentiles(spark, d):
+    return G.step_percentiles(A.grid(spark, d), "sst", 0.3).select("year", "month", *r6("percentile"))
+
+
 # --- models and numerical kernels: rows only, no SQL form
 
 
@@ -727,9 +743,23 @@ def fit_glm(spark, d):
     return MD.coefficients(_fitted(spark, d, type="glm")[0])
 
 
+@query()
+def fit_cauchit(spark, d):
+    from .plans import models as MD
+
+    return MD.coefficients(_fitted(spark, d, type="glm", link="cauchit")[0])
+
+
+@query()
+def fit_log_link(spark, d):
+    from .plans import models as MD
+
+    return MD.coefficients(_fitted(spark, d, type="glm", link="log")[0])
+
+
 @query()
 def fit_rf(spark, d):
-    m, t = _fitted(spark, d, type="rf", trees=20)
+    m, t = _fitted(spark, d, type="rf")
     return E.roc_auc(m.score(t))
 
 
@@ -749,8 +779,8 @@ def fit_gam(spark, d):
 def importance(spark, d):
     from .plans import models as MD
 
-    m, t = _fitted(spark, d, type="rf", trees=10)
-    return MD.importance(m, t, 2)
+    m, t = _fitted(spark, d, type="rf")
+    return MD.importance(m, t)
 
 
 @query()
@@ -764,15 +794,21 @@ def bootstrap_evaluation(spark, d):
 def smooth_terms(spark, d):
     from .plans import models as MD
 
-    m, t = _fitted(spark, d, type="gam")
-    return MD.smooth_terms(m, t)
+    return MD.smooth_terms(_fitted(spark, d, type="gam")[0])
+
+
+@query()
+def smooth_terms_reml(spark, d):
+    from .plans import models as MD
+
+    return MD.smooth_terms(_fitted(spark, d, type="gam", method="REML", shrink=True, bs={"sst": "cr", "chl": "ps", "uo": "ts"})[0])
 
 
 @query()
 def partial_effects(spark, d):
     from .plans import models as MD
 
-    m, t = _fitted(spark, d, type="rf", trees=10)
+    m, t = _fitted(spark, d, type="rf")
     return MD.partial_effects(m, t)
 
 
@@ -780,8 +816,8 @@ def partial_effects(spark, d):
 def project_months(spark, d):
     from .plans import models as MD
 
-    m, t = _fitted(spark, d, type="rf", trees=10)
-    return MD.projected(m, ST.in_window(A.grid(spark, d), (1999, 2001), (3, 10)), None, t)
+    m, t = _fitted(spark, d, type="rf")
+    return MD.projected(m, A.grid(spark, d), None, t)
 
 
 @query()
@@ -799,13 +835,19 @@ def fsle(spark, d):
 
 
 @query()
-def mock_pipeline(spark, d):
+def pipeline_run(spark, d):
+    """A whole configured run over the given tables: several products, layers, a fitted power, an additive model, bounds."""
     from .plans import config as C
     from .plans import pipeline as P
 
-    return P.run(spark, C.resolve(MOCK)).evaluation
+    window = {"years": [1992, 1998], "months": [1, 12]}
+    settings = {
+        **RUN, "dates": {"training": window, "projection": window}, "columns": {"dataset_filter": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]}, "study_area": {"xmin": -76.0, "xmax": -73.7, "ymin": 35.0, "ymax": 37.3},
+        "covariates": {**RUN["covariates"], "transforms": {"sst": "yeojohnson"}}, "model": {"type": "gam", "folds": 3, "method": "REML", "bootstrap": 200, "importance": 1}}
+    return P.run(spark, C.resolve(settings), frames=frames(spark, d)).evaluation
 
 
+#: Settings of a run over made-up data.
 MOCK = {
     "species": {"name": "cfin_total"},
     "dates": {"training": {"years": [2018, 2019], "months": [6, 8]}, "projection": {"years": [2019, 2019], "months": [6, 8]}},

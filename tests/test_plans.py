@@ -112,16 +112,15 @@ def test_pipeline_finds_the_planted_signal(spark, tmp_path):
     assert {"suitability_sd", "novelty", "novel_variable"} <= set(run.projection.columns)
     first = run.tables["importance"].first()
     assert first["importance"] > 0 and {r["variable"] for r in run.tables["partial_effects"].collect()} <= set(run.model.predictors)
-    folder = str(tmp_path / "out")
+    folder = "file://" + str(tmp_path / "out")
     P.write(run, folder)
     P.export(spark, folder, str(tmp_path / "export"))
     assert spark.read.parquet(folder + "/suitability").count() == run.projection.count() == spark.read.csv(str(tmp_path / "export" / "suitability_csv"), header=True).count()
     assert spark.read.parquet(str(tmp_path / "export" / "stack")).columns[3:] == ["2019_06", "2019_07", "2019_08"]
     assert spark.read.csv(folder + "/importance", header=True).count() == len(run.model.predictors)
     assert {r["fold"] for r in spark.read.csv(folder + "/roc_curve_by_fold", header=True).collect()} == {"0", "1", "2"}
-    P.write(run, "file://" + str(tmp_path / "uri"))
-    values = [yaml.safe_load((tmp_path / d / "threshold.yaml").read_text()) for d in ("out", "uri")]
-    assert values[0] == values[1] and values[0]["cutoff_lower"] <= values[0]["cutoff"] <= values[0]["cutoff_upper"]
+    values = yaml.safe_load((tmp_path / "out" / "threshold.yaml").read_text())
+    assert values["cutoff_lower"] <= values["cutoff"] <= values["cutoff_upper"] and values["predictors"] == run.model.predictors
     stages = [t.scratch_path for t in run.stages]
     assert len(stages) > 5 and any(os.path.exists(x) for x in stages)
     run.release()

@@ -33,7 +33,7 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["fit_glm", "fit_rf", "fit_gam", "bootstrap_evaluation", "boxcox", "yeojohnson", "ftle", "fsle", "project_months"])
+@pytest.mark.parametrize("name", ["fit_glm", "fit_rf", "fit_gam", "bootstrap_evaluation", "boxcox", "yeojohnson", "ftle", "fsle", "project_months", "fit_cauchit", "fit_log_link", "smooth_terms", "smooth_terms_reml", "pipeline_run"])
 def test_rows(spark, name):
     assert own.QUERIES[name](spark, SMALL).count() > 0
 
