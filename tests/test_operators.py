@@ -158,3 +158,50 @@ def test_idw_beyond_its_reach(spark):
             w = [1 / max(d / 1e12, 1e-12) for d, *_ in near]
             assert got[c] == pytest.approx(sum(a * r[3] for a, r in zip(w, near)) / sum(w))
     assert set(got) == {0, 1, 2}
+
+
+def test_no_hot_slot(spark):
+    """Half of all cells hold one value and a tenth lie outside the training range: no window gets much more than its share."""
+    cells = spark.range(4000).select(F.col("id").alias("cell"), F.when(F.col("id") % 2 == 0, 0.0).when(F.col("id") % 10 == 1, 9.0 + F.col("id") / 1000).otherwise(F.rand(1)).alias("x"))
+    train = spark.range(1000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.rand(2)).alias("x"))
+    long = train.select(F.lit("x").alias("variable"), F.col("x").alias("v")).groupBy("variable", "v").agg(F.count("*").alias("c"))
+    sizes = [r["count"] for r in U.slotted(long, 16).groupBy("slot").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+    below = {r["v"]: r["below"] for r in U.counted_below(long, 16).collect()}
+    values = sorted(r["x"] for r in train.collect())
+    assert all(n == sum(x < v for x in values) for v, n in below.items())
+    got = U.novelty(cells, train, ["x"], ["cell"])
+    assert got.count() == 4000 and got.filter("novelty < 0").count() == cells.filter(F.col("x") > train.agg(F.max("x")).first()[0]).count() >= 400
+
+
+def test_running_totals_of_crowded_scores(spark):
+    """Nearly all scores lie near zero: the curve is right, and so are the curves of folds."""
+    df = spark.range(900).select((F.col("id") % 3).cast("int").alias("fold"), F.pow(F.lit(10.0), -F.lit(3.0) - F.col("id") / 300).alias("score"), (F.rand(4) < 0.3).cast("int").alias("label")).cache()
+    rows = df.collect()
+    for keys, of in (((), lambda r: ()), (("fold",), lambda r: (r["fold"],))):
+        for r in E.roc_curve(df, keys).collect():
+            mine = [x for x in rows if of(x) == of(r)]
+            p, q = (sum(x["label"] == k for x in mine) for k in (1, 0))
+            assert r["sensitivity"] == pytest.approx(sum(x["label"] == 1 and x["score"] >= r["score"] for x in mine) / p)
+            assert r["specificity"] == pytest.approx(1 - sum(x["label"] == 0 and x["score"] >= r["score"] for x in mine) / q)
+
+
+def test_step_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    data = [(2000 + int(g), 1, float(x)) for g in range(3) for x in np.round(rng.normal(size=(200, 1, 57)[g]), 1 if g else 3)]
+    df = spark.createDataFrame([*data, (2009, 1, None)], "year int, month int, v double")
+    for share in (0.0, 0.31, 0.5, 1.0):
+        got = {r["year"]: r["percentile"] for r in G.step_percentiles(df, "v", share, slots=8).collect()}
+        assert got == pytest.approx({y: np.quantile([x for a, _, x in data if a == y], share) for y in (2000, 2001, 2002)})
+
+
+def test_envelope():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 30):
+        x = np.sort(rng.choice(1000, n, replace=False)) / 100
+        h, at = rng.uniform(0, 5, n), rng.uniform(-2, 12, 60)
+        assert G.envelope(x, h, at, 0.7) == pytest.approx((0.7 * (at[:, None] - x) ** 2 + h).min(1), abs=1e-12)
