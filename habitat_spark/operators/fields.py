@@ -162,6 +162,7 @@ def step_percentiles(df: DataFrame, column: str, share: float, keys: tuple[str,
 
     Distinct values with their numbers are cut into slots at approximate quantiles of their group; running counts
     inside slots, from the counts of the slots before, tell where the two wanted places are. No group is in one task.
+    A group without values has no row.
     """
     v = F.col(column).cast("double")
     runs = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
@@ -184,7 +185,7 @@ def front_distance(df: DataFrame, column: str, spacing_u: int, quantile: float =
     """Distance to the nearest cell whose gradient is above the step's quantile."""
     graded = horizontal_gradient(df, column, spacing_u, "_grad")
     cuts = step_percentiles(graded, "_grad", quantile).withColumnRenamed("percentile", "_cut")
-    return distance_to(graded.join(cuts, ["year", "month"]), F.col("_grad") > F.col("_cut"), name).drop("_grad", "_cut")
+    return distance_to(graded.join(cuts, ["year", "month"], "left"), F.col("_grad") > F.col("_cut"), name).drop("_grad", "_cut")
 
 
 def contour_distance(df: DataFrame, column: str, level: float, name: str = "contour_dist") -> DataFrame:
