@@ -233,30 +233,80 @@ def downscaled_bilinear(fine: DataFrame, coarse: DataFrame, column: str, lattice
     return got.groupBy("cell", "year", "month").agg(F.when(F.sum(F.when(needless | F.col("_v").isNotNull(), 1).otherwise(0)) == 4, F.sum(F.when(needless, 0.0).otherwise(weight * F.col("_v")))).alias(column))
 
 
+#: Tiles of one level along each side of a tile of the next level.
+FAN = 4
+
+
+def _levels(points: DataFrame, step: list[str], levels: int, prefix: str) -> list[DataFrame]:
+    """Tiles of points (x, y, and the tile's tx, ty) at each level, up to one tile over all: its place, the number of its points and their bounding box."""
+    names = {c: prefix + c for c in ("tx", "ty", "n", "x0", "x1", "y0", "y1")}
+    out = [points.groupBy(*step, "tx", "ty").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))]
+    for _ in range(levels):
+        up = [F.floor(F.col(c) / FAN).alias(c) for c in ("tx", "ty")]
+        out.append(out[-1].groupBy(*step, *up).agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
+    return [level.withColumnsRenamed(names) for level in out]
+
+
+def nearest_tiles(askers: DataFrame, points: DataFrame, step: list[str], k: int, levels: int) -> DataFrame:
+    """(step, a_tx, a_ty, p_tx, p_ty): for each tile of askers, the tiles of points that may hold one of the k nearest of any of them.
+
+    Both sides are looked at as trees of tiles, from one over all down to the smallest. At each level, a tile of askers
+    keeps those tiles of points whose box is no further off than the bound within which k points lie for certain; only
+    the parts of these are looked at in the next one. All in whole numbers, so no tie is lost.
+    """
+    mine, theirs = _levels(askers, step, levels, "a_"), _levels(points, step, levels, "p_")
+    gap = lambda c: F.greatest(F.lit(0).cast("long"), F.col(f"p_{c}0") - F.col(f"a_{c}1"), F.col(f"a_{c}0") - F.col(f"p_{c}1"))
+    reach = lambda c: F.greatest(F.col(f"p_{c}1") - F.col(f"a_{c}0"), F.col(f"a_{c}1") - F.col(f"p_{c}0"))
+    square = lambda of: of("x") * of("x") + of("y") * of("y")
+    count = lambda s, t: F.struct((s["n"] + t["n"]).alias("n"), F.coalesce(s["far"], F.when(s["n"] + t["n"] >= k, t["far"])).alias("far"))
+    pairs = mine[-1].join(theirs[-1], step).withColumn("_bound", F.lit(None).cast("long"))
+    for level in range(levels, -1, -1):
+        if level < levels:
+            over = [[F.floor(F.col(f"{side}{c}") / FAN).alias(f"_{side}{c}") for c in ("tx", "ty")] for side in ("a_", "p_")]
+            pairs = pairs.withColumnsRenamed({c: f"_{c}" for c in ("a_tx", "a_ty", "p_tx", "p_ty")})
+            pairs = pairs.join(mine[level].select("*", *over[0]), [*step, "_a_tx", "_a_ty"]).join(theirs[level].select("*", *over[1]), [*step, "_p_tx", "_p_ty"])
+        near = pairs.withColumn("_near", square(gap)).filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
+        tile = F.struct(square(reach).alias("far"), F.col("p_n").alias("n"), F.col("_near").alias("near"), "p_tx", "p_ty")
+        held = near.groupBy(*step, "a_tx", "a_ty").agg(F.array_sort(F.collect_list(tile)).alias("_t"))
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("far"))
+        held = held.withColumn("_bound", F.aggregate("_t", start, count)["far"])
+        kept = F.filter("_t", lambda t: F.col("_bound").isNull() | (t["near"] <= F.col("_bound")))
+        pairs = held.select(*step, "a_tx", "a_ty", "_bound", F.explode(kept).alias("_t")).select(*step, "a_tx", "a_ty", "_bound", "_t.p_tx", "_t.p_ty")
+    return pairs.drop("_bound")
+
+
 def downscaled_idw(fine: DataFrame, coarse: DataFrame, column: str, k: int = 4, reach: int = 3) -> DataFrame:
     """Fine cells with the inverse-square-distance mean of their k nearest coarse cells of the step.
 
-    Candidates are the coarse cells in a square of 2 * reach + 1 around the fine one's own (by an equi-join on tiles of
-    that square's half), where all closer ones are. A fine cell that has fewer than k of them, or whose k-th is further
-    off than the square's edge can be, looks at every coarse cell of its step. Ties: the one further west, then south.
+    Candidates are the coarse cells in the 3 x 3 tiles around the fine one's own (by an equi-join on tiles of reach
+    coarse cells a side), where all cells within a tile's width are. A fine cell that has fewer than k of them, or whose
+    k-th is further off, gets its candidates by nearest_tiles. Ties: the one further west, then south. All coarse cells,
+    if the step has fewer than k; no row, if it has none.
     """
     step = ["year", "month"]
-    wide = spacing(coarse).select((F.col("spacing") * 1e6).cast("long").alias("_w"))  # one row
-    tile = lambda c: F.floor(F.col(c) / (F.col("_w") * reach)).cast("long")
-    values = coarse.filter(F.col(column).isNotNull()).select(*step, F.col("lon_u").alias("_x"), F.col("lat_u").alias("_y"), F.col(column).alias("_v"))
-    tiled = values.join(F.broadcast(wide)).withColumns({"_tx": tile("_x"), "_ty": tile("_y")}).drop("_w")
+    values = coarse.filter(F.col(column).isNotNull()).select(*step, F.col("lon_u").cast("long").alias("x"), F.col("lat_u").cast("long").alias("y"), F.col(column).alias("_v"))
+    asked = fine.select("cell", *step, F.col("lon_u").cast("long").alias("x"), F.col("lat_u").cast("long").alias("y"))
+    ends = asked.select("x", "y").unionByName(values.select("x", "y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"))
+    west, south, east, north, apart = ends.join(spacing(coarse).select("spacing")).first()  # one row
+    wide = max(1, round((apart or 1.0) * 1e6)) * reach
+    levels, tiles = 0, 0 if west is None else max(east - west, north - south) // wide + 1
+    while FAN**levels < tiles:
+        levels += 1
+    placed = {"tx": F.floor((F.col("x") - F.lit(west or 0)) / F.lit(wide)), "ty": F.floor((F.col("y") - F.lit(south or 0)) / F.lit(wide))}
+    values, asked = values.withColumns(placed), asked.withColumns(placed)
     around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i as i, j as j))))"))
-    asked = fine.select("cell", *step, "lon_u", "lat_u").join(F.broadcast(wide))
-    spots = asked.withColumn("_o", around).withColumns({"_tx": tile("lon_u") + F.col("_o.i"), "_ty": tile("lat_u") + F.col("_o.j")}).drop("_o")
-    d2 = (F.pow(F.col("lon_u") - F.col("_x"), 2) + F.pow(F.col("lat_u") - F.col("_y"), 2)) / 1e12
-    best = lambda pairs: pairs.withColumn("_d", d2).groupBy("cell", *step, "lon_u", "lat_u", "_w").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_x", "_y", "_v"))), 1, k).alias("_n"))
-    first = best(spots.join(tiled, [*step, "_tx", "_ty"]))
-    sure = (F.size("_n") == k) & (F.element_at("_n", -1)["_d"] <= F.pow(F.col("_w") * reach / 1e6, 2))
+    theirs = values.withColumnsRenamed({"x": "_x", "y": "_y", "tx": "p_tx", "ty": "p_ty"})
+    spots = asked.withColumn("_o", around).withColumns({"p_tx": F.col("tx") + F.col("_o.i"), "p_ty": F.col("ty") + F.col("_o.j")}).drop("_o")
+    d2 = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
+    best = lambda pairs: pairs.groupBy("cell", *step).agg(F.slice(F.array_sort(F.collect_list(F.struct(d2.alias("_d"), "_x", "_y", "_v"))), 1, k).alias("_n"))
+    first = best(spots.join(theirs, [*step, "p_tx", "p_ty"]))
+    sure = (F.size("_n") == k) & (F.element_at("_n", -1)["_d"] <= wide * wide)
     rest = asked.join(first.filter(sure).select("cell", *step), ["cell", *step], "left_anti")
-    every = best(rest.join(values, step))
-    near = lambda x: 1 / F.greatest(x["_d"], F.lit(1e-12))
+    found = nearest_tiles(rest, values, step, k, levels).withColumnsRenamed({"a_tx": "tx", "a_ty": "ty"})
+    far = best(rest.join(found, [*step, "tx", "ty"]).join(theirs, [*step, "p_tx", "p_ty"]))
+    near = lambda x: 1 / F.greatest(x["_d"] / 1e12, F.lit(1e-12))
     total = lambda f: F.aggregate("_n", F.lit(0.0), lambda s, x: s + f(x))
-    return first.filter(sure).unionByName(every).select("cell", *step, (total(lambda x: near(x) * x["_v"]) / total(near)).alias(column))
+    return first.filter(sure).unionByName(far).select("cell", *step, (total(lambda x: near(x) * x["_v"]) / total(near)).alias(column))
 
 
 def spacing(df: DataFrame, axes=("lon_u", "lat_u")) -> DataFrame:

@@ -160,6 +160,29 @@ def test_idw_beyond_its_reach(spark):
     assert set(got) == {0, 1, 2}
 
 
+def test_idw_around_a_gap(spark):
+    """Coarse cells that leave a wide gap, of two steps; one of them has fewer than k. Cells of the gap see few tiles of its rim."""
+    from collections import defaultdict
+
+    rim = [(m, x * 100, y * 100, float((7 * x + 13 * y) % 17)) for m in (1, 2) for x in range(-30, 30) for y in range(-30, 30) if max(abs(x), abs(y)) > 22 and (m == 1 or (x, y) in ((-30, -30), (29, 5)))]
+    coarse = spark.createDataFrame([(1, *r) for r in rim], "year int, month int, lon_u long, lat_u long, v double")
+    places = [(m, x * 130 + 7, y * 130) for m in (1, 2) for x in range(-24, 24) for y in range(-24, 24)] + [(1, 0, 0), (1, -50, -50), (1, 9000, 0)]  # ties in the middle, one far outside
+    fine = spark.createDataFrame([(i, 1, *p) for i, p in enumerate(places)], "cell int, year int, month int, lon_u long, lat_u long")
+    got = {r["cell"]: r["v"] for r in G.downscaled_idw(fine, coarse, "v").collect()}
+    for i, (m, x, y) in enumerate(places):
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, a, b, v) for n, a, b, v in rim if n == m)[:4]
+        w = [1 / max(d / 1e12, 1e-12) for d, *_ in near]
+        assert got[i] == pytest.approx(sum(a * r[3] for a, r in zip(w, near)) / sum(w)), places[i]
+    tile = lambda df, x, y: df.select("year", "month", F.col(x).alias("x"), F.col(y).alias("y"), F.floor((F.col(x) + 3000) / 300).alias("tx"), F.floor((F.col(y) + 3000) / 300).alias("ty"))
+    inside = fine.filter((F.abs("lon_u") < 1500) & (F.abs("lat_u") < 1500) & (F.col("month") == 1))
+    tiles = G.nearest_tiles(tile(inside, "lon_u", "lat_u"), tile(coarse, "lon_u", "lat_u"), ["year", "month"], 4, 3).collect()
+    seen = defaultdict(int)
+    for t in tiles:
+        seen[t["a_tx"], t["a_ty"]] += 1
+    every = len({(x // 300, y // 300) for m, x, y, _ in rim if m == 1})
+    assert sum(seen.values()) / len(seen) < every / 5  # those in the middle of all see the whole rim, most a part of it
+
+
 def test_no_hot_slot(spark):
     """Half of all cells hold one value and a tenth lie outside the training range: no window gets much more than its share."""
     cells = spark.range(4000).select(F.col("id").alias("cell"), F.when(F.col("id") % 2 == 0, 0.0).when(F.col("id") % 10 == 1, 9.0 + F.col("id") / 1000).otherwise(F.rand(1)).alias("x"))
