@@ -36,14 +36,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.filter(F.col(rows.columns[-1]) >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts linked at a 5-word Jaccard similarity of 0.8: that of the smallest doc_id, nulls last."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, fingerprints: bool = False) -> DataFrame:
+    """One row of each component of texts linked at a 5-word Jaccard similarity of 0.8, or by SimHash if asked for: that of the smallest doc_id, nulls last."""
     rows, row = _numbered(docs, "near")
-    found = near_texts.near_texts(rows.select(F.col(row).alias("row"), "text"), "row").join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
+    found = near_texts.near_texts(rows.select(F.col(row).alias("row"), "text"), "row", fingerprints).join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(row)).select(row)
     return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage: links of SimHash and of similarity together."""
+    return near_duplicates(spark, docs, sf_dir, fingerprints=True)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that aren't contaminated by benchmark passages."""
     rows, row = _numbered(docs, "benchmark")
@@ -68,7 +73,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
-STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("secret scans", secret_scans), ("byte-level BPE", byte_bpe)]
+STAGES = [("quality classifier", quality), ("near duplicates", near_copies), ("decontamination", decontamination), ("secret scans", secret_scans), ("byte-level BPE", byte_bpe)]
 
 #: A trained classifier, XXH64 majorities and ranked merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

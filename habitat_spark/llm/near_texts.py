@@ -2,9 +2,10 @@
 
 A text's set holds the hashes of its 5-word shingles, after A-Z are lower-cased; words are separated by white space
 (0x20, 0x09-0x0D); a text of fewer words is one shingle, one without words (nulls too) has an empty set. Texts with
-the same set are one node; nodes link at a Jaccard similarity of 0.8 or more. SimHash fingerprints of the sets give
-the first candidates, through operator 6's Gray-order index; as similarity 0.8 leaves most fingerprints more than 3
-bits apart, every other pair that links is found in an exact way:
+the same set are one node; nodes link if SimHash fingerprints of their sets differ by 3 bits or fewer, as operator 6's
+Gray-order index tells, or at a Jaccard similarity of 0.8 or more. Most fingerprints of texts that similar are more
+than 3 bits apart, and some of less similar ones aren't, so neither way gives all links of the other. The pairs at a
+similarity of 0.8 are found in an exact way:
 
 1. Two such sets share a hash among the first n - ceil(0.8 n) + 1 of each, in any order that all texts use. Here
    hashes met in many texts come last, so a common line is no key of texts that have enough of their own.
@@ -205,7 +206,7 @@ def _beside_pivots(members: DataFrame) -> DataFrame:
 
 
 def _alike(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes (a, b) that their SimHash fingerprints suggest."""
+    """Links of nodes (a, b) that connect all whose SimHash fingerprints link."""
     prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "near-prints")
     side = lambda c: prints.select(F.col("fp").alias(c), F.col("head").alias(f"node_{c}"))
     linked = edges_of(prints.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -263,8 +264,11 @@ def _several(members: DataFrame, roots: DataFrame) -> DataFrame:
     return several
 
 
-def near_texts(documents: DataFrame, id_column: str) -> DataFrame:
-    """(id_column, node, root) per row: rows with one root are one component of near copies. The ids are unique and not null."""
+def near_texts(documents: DataFrame, id_column: str, fingerprints: bool = True) -> DataFrame:
+    """(id_column, node, root) per row: rows with one root are one component of near copies. The ids are unique and not null.
+
+    fingerprints: whether SimHash links count, or those of a Jaccard similarity of 0.8 alone.
+    """
     large_strings(documents)
     source = documents.select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text"))
     rows = stored(_nodes(source, _common(source)), "near-rows")
@@ -272,9 +276,11 @@ def near_texts(documents: DataFrame, id_column: str) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("rare"))).first()[0] or 0
     members = stored(_rare(rows, max(16, -(-total // 8 // BUCKET_KEYS))).unionByName(_often(rows)), "near-members")
     headed = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    first = headed.unionByName(_beside_pivots(members)).unionByName(_alike(nodes)).distinct()
+    first = headed.unionByName(_beside_pivots(members)).distinct()
     pairs = stored(_possible_of(first, nodes), "near-pairs")
     edges = _confirmed(pairs, nodes, source)
+    if fingerprints:
+        edges = edges.unionByName(stored(_alike(nodes), "near-alike"))
     roots = components(edges)
     discard(pairs)
     several = _several(members, roots)

@@ -1,5 +1,6 @@
 """The near-duplicate stage against all pairs by brute force."""
 
+import random
 import re
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from habitat_spark.llm import near_texts
+from habitat_spark.llm.simhash import majority
 
 from . import cases
 
@@ -64,3 +66,23 @@ def test_stage_finds_every_link(spark, tmp_path, monkeypatch, often, common, cro
     want = {i for i, t in enumerate(top) if i == t} - set(empty[1:])
     assert kept == want
     assert len({top.count(t) for t in top}) > 3
+
+
+def test_stage_counts_links_of_fingerprints(spark, tmp_path):
+    """The pipeline's stage against all pairs: 3 bits of the fingerprints, or a similarity of 0.8."""
+    draw = random.Random(278)
+    base = [f"w{draw.randrange(5000)}" for _ in range(100)]
+    copy = ["x" if i in (10, 30, 50) else w for i, w in enumerate(base)]  # similarity 0.73, 3 bits
+    texts = [" ".join(base), " ".join(copy), " ".join(reversed(base)), *made(2)]
+    flat = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
+    prints = [majority(near_texts.sets(x, np.array([0, x.size]))[0]) for x in flat]
+    top = brute_roots(texts)
+    for i, x in enumerate(prints):
+        for j in range(i):
+            if (x ^ prints[j]).bit_count() <= 3 and top[i] != top[j]:
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()} == {i for i, t in enumerate(top) if i == t}
+    assert top[1] == 0 and len(set(top)) < len(set(brute_roots(texts)))
