@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -142,8 +143,70 @@ def fit(df: DataFrame, predictors: list[str], spec: Spec, transforms: dict[str,
     shape = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)])
     train = train.withColumn("label", F.col("label").cast("double"))
     ready = shape.fit(train)
-    shaped = ready.transform(train)
-    return Fitted(spec, predictors, PipelineModel([*ready.stages, estimator(spec).fit(shaped)]), stages, terms, features)
+    model = _fitted_alike(train, ready, spec, features) if spec.type in ("rf", "brt") else None
+    model = model or estimator(spec).fit(ready.transform(train))
+    return Fitted(spec, predictors, PipelineModel([*ready.stages, model]), stages, terms, features)
+
+
+#: Rows from which on trees are fitted on distinct rows with their counts, if these are ALIKE at most, of SEVERAL rows each on average.
+LARGE = 1_000_000
+ALIKE = 200_000
+SEVERAL = 4
+#: Trees of a forest that are fitted side by side.
+BESIDE = 8
+
+
+def _fitted_alike(train: DataFrame, shape: PipelineModel, spec: Spec, features: list[str]):
+    """The trees fitted on distinct rows (features and label) with their counts; None where few rows are alike.
+
+    Sums over equal rows are what trees are made of, so boosted ones are the same. In a forest each row is drawn with
+    replacement by each tree, a Poisson number of times with mean 1; the sum of n such numbers is one with mean n. So each
+    tree gets its own counts, drawn in the tasks, and is fitted on these without a further draw. A leaf's least number of
+    rows is a share of the counts' sum.
+    """
+    if train.count() < LARGE:
+        return None
+    alike = scratch.stored(train.groupBy(*features, "label").agg(F.count("*").cast("double").alias("_n")), "alike")
+    try:
+        groups, rows = alike.agg(F.count("*"), F.sum("_n")).first()
+        if rows < max(LARGE, 10 * spec.min_n) or groups > min(ALIKE, rows // SEVERAL):
+            return None
+        shaped = shape.transform(alike.repartition(-(-groups // 25_000), *features))
+        if spec.type == "brt":
+            return estimator(spec).setWeightCol("_n").setMinInstancesPerNode(1).setMinWeightFractionPerNode((spec.min_n - 0.5) / rows).fit(shaped)
+        return _forest(shaped, spec, features)
+    finally:
+        scratch.discard(alike)
+
+
+def _forest(shaped: DataFrame, spec: Spec, features: list[str]) -> RandomForestClassificationModel:
+    """A forest over rows that stand for _n each."""
+    seed, trees = spec.seed, spec.trees
+
+    @F.pandas_udf("array<double>")
+    def drawn(n: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, r & (2**63 - 1)]).poisson(x, trees).astype(float) for x, r in zip(n, row)])
+
+    bags = shaped.select("features", "label", drawn("_n", F.xxhash64(*features, "label")).alias("_drawn")).persist()
+    try:
+        totals = bags.agg(*[F.sum(F.col("_drawn")[i]) for i in range(trees)]).first()
+
+        def tree(i: int):
+            one = estimator(replace(spec, trees=1, seed=int(np.random.default_rng([seed, i]).integers(2**31)))).setBootstrap(False).setWeightCol("_w")
+            one = one.setMinInstancesPerNode(1).setMinWeightFractionPerNode((spec.min_n - 0.5) / totals[i])
+            return one.fit(bags.select("features", "label", F.col("_drawn")[i].alias("_w")).filter("_w > 0"))
+
+        with ThreadPoolExecutor(BESIDE) as pool:
+            made = list(pool.map(tree, range(trees)))
+    finally:
+        bags.unpersist()
+    # Spark has no Python way to bring trees together in one model
+    context = shaped.sparkSession.sparkContext
+    kinds = context._jvm.org.apache.spark.ml.classification
+    array = context._gateway.new_array(kinds.DecisionTreeClassificationModel, trees)
+    for i, m in enumerate(made):
+        array[i] = m._java_obj.trees()[0]
+    return RandomForestClassificationModel(kinds.RandomForestClassificationModel(made[0].uid, array, len(features), 2)).setFeaturesCol("features")
 
 
 def _additive(train: DataFrame, predictors: list[str], spec: Spec, stages: list[dict]) -> Fitted:

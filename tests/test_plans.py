@@ -221,3 +221,28 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").count() == 100
+
+
+def test_trees_on_distinct_rows(spark, monkeypatch):
+    """Where many rows are alike, trees get each distinct one once, with its count; the models stay what they were."""
+    rows = spark.range(6000).select((F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"), ((F.col("id") * 37 + F.col("id") % 20 * 211) % 4000 < F.col("id") % 20 * 200).cast("int").alias("label"))
+    fits = {}
+    for large in (10**9, 1000):
+        monkeypatch.setattr(MD, "LARGE", large, raising=False)
+        for kind in ("rf", "brt"):
+            fits[kind, large] = MD.fit(rows, ["x", "y"], MD.Spec(type=kind, trees=20, depth=3, rate=0.2, min_n=30))
+    scores = {k: {(r["x"], r["y"]): r["score"] for r in m.score(rows.select("x", "y").distinct()).collect()} for k, m in fits.items()}
+    assert fits["brt", 1000].pipeline.stages[-1].getOrDefault("weightCol") == "_n"
+    assert all(abs(v - scores["brt", 10**9][k]) < 1e-9 for k, v in scores["brt", 1000].items())
+    assert max(abs(v - scores["rf", 10**9][k]) for k, v in scores["rf", 1000].items()) < 0.1
+    forest = fits["rf", 1000].pipeline.stages[-1]
+    # distinct rows, not all, are counted in the trees, each tree with counts of its own
+    sums = {round(t._java_obj.rootNode().impurity(), 12) for t in forest.trees}
+    assert forest.getNumTrees == 20 and len(sums) > 10 and fits["rf", 1000].spec.trees == 20
+
+
+def test_few_alike_rows_are_fitted_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(MD, "LARGE", 100)
+    rows = spark.range(400).select((F.col("id") * 0.37 % 1).alias("x"), (F.col("id") * 0.37 % 1 > 0.5).cast("int").alias("label"))
+    model = MD.fit(rows, ["x"], MD.Spec(type="brt", trees=2)).pipeline.stages[-1]
+    assert not model.isSet("weightCol")
