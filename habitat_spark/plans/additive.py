@@ -9,7 +9,7 @@ passes the smoothing parameters take Newton steps on their criterion for the wor
 
 P-REML and P-ML are the same here, as REML and ML are taken from the working model, too. A step that makes the
 penalised deviance worse, or a mean reach 1 under the log link, is halved. Rows are read once for each pass; nothing
-but sums leaves the tasks.
+but sums leaves the tasks. A row may stand for several equal ones: it counts as often as its column _n says.
 
 The penalty of a term is its basis' (see bases), scaled to the size of its columns and times its parameter. Smooth
 columns sum to zero over the training rows; straight ones have mean 0 and deviation 1. `shrink` puts another penalty
@@ -104,7 +104,10 @@ class Additive:
             # constants, so that the plan's code doesn't grow with the number of pieces
             array = lambda values: f"array({', '.join(values)})"
             pieces = array(array(map(number, (o, *c))) for o, c in zip(b.origins, p))
-            place = f"size(filter({array(map(number, b.breaks))}, e -> e <= {x})) + 1"
+            # the piece is searched for by halves, among breaks filled up with infinities; one above all numbers is the last
+            halves = [2**k for k in range(int(b.breaks.size).bit_length() - 1, -1, -1)]
+            padded = array([*map(number, b.breaks), *["double('infinity')"] * (2 * halves[0] - 1 - b.breaks.size)])
+            place = f"least(aggregate({array(map(str, halves))}, 0, (i, s) -> IF(element_at({padded}, i + s) <= {x}, i + s, i)), {b.breaks.size}) + 1"
             t = f"({x} - q[0])"
             parts.append(f"transform(array(element_at({pieces}, {place})), q -> q[1] + {t} * (q[2] + {t} * (q[3] + {t} * q[4])))[0]")
         return " + ".join(f"({x})" for x in parts)
@@ -120,16 +123,16 @@ def design(terms: list[bases.Basis], columns: np.ndarray) -> np.ndarray:
 
 
 def _added(rows: DataFrame, names: list[str], size: int, run: Callable) -> np.ndarray:
-    """size numbers that run gives for each batch (predictors, label, offset), added up in the tasks and over them."""
+    """size numbers that run gives for each batch (predictors, label, offset, counts), added up in the tasks and over them."""
     def batches(frames):
         total = np.zeros(size)
         for x in frames:
             if len(x):
-                total += run(x[names].to_numpy(float), x["label"].to_numpy(float), x["_offset"].to_numpy(float))
+                total += run(x[names].to_numpy(float), *(x[c].to_numpy(float) for c in ("label", "_offset", "_n")))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"i": at.astype(np.int32), "s": total[at]})
 
-    found = rows.select(*names, "label", "_offset").mapInPandas(batches, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
+    found = rows.select(*names, "label", "_offset", "_n").mapInPandas(batches, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
     out = np.zeros(size)
     out[found["i"].to_numpy()] = found["s"].to_numpy()
     return out
@@ -139,34 +142,35 @@ def _plain(rows: DataFrame, names: list[str], terms: list[bases.Basis]) -> tuple
     """(X'X, mean of the labels)."""
     p = 1 + sum(b.size for b in terms)
 
-    def run(x, y, _):
+    def run(x, y, _, n):
         m = design(terms, x)
-        return np.concatenate([(m.T @ m).ravel(), [y.sum()]])
+        return np.concatenate([((m * n[:, None]).T @ m).ravel(), [n @ y]])
 
     out = _added(rows, names, p * p + 1, run)
     gram = out[:-1].reshape(p, p)
     return gram, out[-1] / max(gram[0, 0], 1)
 
 
-def working(x: np.ndarray, y: np.ndarray, offset: np.ndarray, beta: np.ndarray, link: Link) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(weights, working response without offset, deviance, rows beyond) of rows of the design."""
+def working(x: np.ndarray, y: np.ndarray, offset: np.ndarray, beta: np.ndarray, link: Link) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, working response without offset, deviances, whether beyond) of rows of the design."""
     eta = x @ beta + offset
-    beyond = int((eta >= 0).sum()) if link.bounded else 0
+    beyond = (eta >= 0) & bool(link.bounded)
     mean = np.clip(link.mean(eta), _ALMOST, 1 - _ALMOST)
     slope = np.maximum(link.slope(eta), 1e-300)
     weight = slope * slope / (mean * (1 - mean))
     weight = np.where(np.isfinite(weight), weight, 0.0)
     z = np.where(weight > 0, eta - offset + (y - mean) / slope, 0.0)
-    return weight, np.where(np.isfinite(z), z, 0.0), float(-2 * (y * np.log(mean) + (1 - y) * np.log1p(-mean)).sum()), beyond
+    return weight, np.where(np.isfinite(z), z, 0.0), -2 * (y * np.log(mean) + (1 - y) * np.log1p(-mean)), beyond
 
 
 def _sums(rows: DataFrame, names: list[str], terms: list[bases.Basis], beta: np.ndarray, link: str) -> Sums:
     p = beta.size
 
-    def run(x, y, offset):
+    def run(x, y, offset, n):
         m = design(terms, x)
         w, z, deviance, beyond = working(m, y, offset, beta, LINKS[link])
-        return np.concatenate([((m * w[:, None]).T @ m).ravel(), m.T @ (w * z), [(w * z * z).sum(), deviance, len(y), beyond]])
+        w = w * n
+        return np.concatenate([((m * w[:, None]).T @ m).ravel(), m.T @ (w * z), [(w * z * z).sum(), n @ deviance, n.sum(), n @ beyond]])
 
     out = _added(rows, names, p * p + p + 4, run)
     gram = out[: p * p].reshape(p, p)
@@ -257,12 +261,13 @@ class Criterion:
 
 
 def fitted(rows: DataFrame, terms: list[bases.Basis], link: str = "logit", method: str = "GCV.Cp", shrink: bool = False, gamma: float = 1.0, parameters: dict[str, list[float]] | None = None, most: int = 100, close: float = 1e-9) -> Additive:
-    """The model over stored rows: the predictors (all given), label (0 or 1) and _offset.
+    """The model over stored rows: the predictors (all given), label (0 or 1), _offset and, if rows stand for several, _n.
 
     terms: bases of the predictors as yet without constraint. parameters: smoothing parameters, held, by term.
     """
     names = [b.name for b in terms]
-    rows = rows.select(*[F.col(n).cast("double").alias(n) for n in names], F.col("label").cast("double").alias("label"), F.col("_offset").cast("double").alias("_offset"))
+    count = F.col("_n") if "_n" in rows.columns else F.lit(1)
+    rows = rows.select(*[F.col(n).cast("double").alias(n) for n in (*names, "label", "_offset")], count.cast("double").alias("_n"))
     raw, mean = _plain(rows, names, terms)
     n = raw[0, 0]
     if not 0 < mean < 1:

@@ -214,6 +214,7 @@ def _additive(train: DataFrame, predictors: list[str], spec: Spec, stages: list[
     if spec.link not in LINKS:
         raise ValueError(f"unknown link {spec.link!r}; known: {', '.join(LINKS)}")
     rows = scratch.stored(train.select(*[F.col(p).cast("double").alias(p) for p in predictors], F.col("label").cast("double").alias("label"), (F.col("_offset") if spec.offset else F.lit(0.0)).alias("_offset")), "additive")
+    kept = [rows]
     try:
         facts = rows.agg(*[x for p in predictors for x in (F.approx_count_distinct(p).alias(f"n_{p}"), F.avg(p).alias(f"m_{p}"), F.stddev_pop(p).alias(f"s_{p}"), F.min(p).alias(f"a_{p}"), F.max(p).alias(f"b_{p}"), F.percentile_approx(p, [i / 100 for i in range(101)], 10_000).alias(f"q_{p}"))]).first()
         terms = []
@@ -227,9 +228,12 @@ def _additive(train: DataFrame, predictors: list[str], spec: Spec, stages: list[
                 terms.append(bases.smooth(p, kind, spec.basis, places))
             else:
                 terms.append(bases.linear(p, facts[f"m_{p}"] or 0.0, facts[f"s_{p}"] or 0.0))
-        made = additive.fitted(rows, terms, spec.link, spec.method, spec.shrink, spec.gamma)
+        # equal rows are one with their count: each pass of the fit then reads what is distinct
+        alike = scratch.stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "alike")
+        kept.append(alike)
+        made = additive.fitted(alike, terms, spec.link, spec.method, spec.shrink, spec.gamma)
     finally:
-        scratch.discard(rows)
+        scratch.discard(*kept)
     columns = {b.name: [f"{b.name}_{i}" for i in range(b.size)] if b.penalties else [b.name] for b in made.terms}
     stage = SQLTransformer(statement=made.prediction_sql("`_offset`" if spec.offset else None))
     return Fitted(spec, predictors, PipelineModel([stage]), stages, columns, [c for p in predictors for c in columns[p]], made)
@@ -280,7 +284,7 @@ def importance(fitted: Fitted, df: DataFrame, times: int = 3, key: str = "statio
     """(variable, importance): mean loss of roc_auc when a predictor's values are dealt out anew, the largest first.
 
     Each repeat pairs every row with another of its random block, once for all predictors; a row then makes a copy for
-    each predictor with the pair's value of that one. All copies are scored in one pass.
+    each predictor with the pair's value of that one. All copies are scored in one pass, and kept as distinct scores.
     """
     from pyspark.sql import Window as W
 
@@ -296,8 +300,10 @@ def importance(fitted: Fitted, df: DataFrame, times: int = 3, key: str = "statio
         pairs = rows.withColumn("_r", place(3 * r + 2)).join(other, ["_b", "_r"])
         variants = F.explode(F.array(*[F.struct(F.lit(p).alias("variable"), *[F.col(f"_o_{q}" if q == p else q).cast(kinds[q]).alias(q) for q in names]) for p in names]))
         copies = copies.unionByName(pairs.select("label", variants.alias("v")).select("label", "v.*", F.lit(r).alias("rep")))
-    auc = E.fold_values(fitted.score(copies).withColumn("fold", F.struct("variable", "rep")))
-    long = auc.select("fold.variable", "roc_auc")
+    # stored: the curves read the scores several times, and their values are read twice
+    runs = scratch.stored(E.fold_runs(fitted.score(copies).withColumn("fold", F.struct("variable", "rep"))), "importance-runs")
+    long = scratch.stored(E.fold_values_of(runs).select("fold.variable", "roc_auc"), "importance")
+    scratch.discard(runs)
     whole = long.filter("variable = ''").select(F.col("roc_auc").alias("_all"))
     lost = long.filter("variable <> ''").groupBy("variable").agg(F.avg("roc_auc").alias("a"))
     return lost.join(F.broadcast(whole)).select("variable", (F.col("_all") - F.col("a")).alias("importance")).orderBy(F.desc("importance"), "variable")
@@ -441,26 +447,41 @@ POWERS = ("boxcox", "yeojohnson")
 LAMBDAS = tuple(round(-2 + 0.1 * i, 1) for i in range(41))
 
 
-def power_profile(df: DataFrame, column: str, kind: str, grid: list[float] | None = None) -> DataFrame:
-    """(lam, log_likelihood) of Box-Cox or Yeo-Johnson powers, all in one aggregate over the column; lazy, one row for each power."""
+def power_profile(df: DataFrame, column: str, kind: str, grid: list[float] | None = None, count: str | None = None) -> DataFrame:
+    """(lam, log_likelihood) of Box-Cox or Yeo-Johnson powers, all in one aggregate over the column; lazy, one row for each power.
+
+    count: a column that says for how many equal rows a row stands; the means then come from an aggregate before.
+    """
     lams = list(grid or LAMBDAS)
     x = F.col(column).cast("double")
     jac = F.ln(x) if kind == "boxcox" else F.signum(x) * F.log1p(F.abs(x))
-    sums = df.filter(x.isNotNull()).agg(F.count("*").alias("n"), F.sum(jac).alias("j"), *[F.var_pop(power(x, lam, kind)).alias(f"v{i}") for i, lam in enumerate(lams)])
+    rows = df.filter(x.isNotNull())
+    powers = [power(x, lam, kind) for lam in lams]
+    if count is None:
+        sums = rows.agg(F.count("*").alias("n"), F.sum(jac).alias("j"), *[F.var_pop(y).alias(f"v{i}") for i, y in enumerate(powers)])
+    else:
+        n = F.col(count)
+        means = rows.agg(*[(F.sum(n * y) / F.sum(n)).alias(f"_m{i}") for i, y in enumerate(powers)])  # one row
+        off = [y - F.col(f"_m{i}") for i, y in enumerate(powers)]
+        sums = rows.join(F.broadcast(means)).agg(F.sum(n).alias("n"), F.sum(n * jac).alias("j"), *[(F.sum(n * d * d) / F.sum(n)).alias(f"v{i}") for i, d in enumerate(off)])
     value = lambda i, lam: -F.col("n") / 2 * F.ln(F.col(f"v{i}")) + (lam - 1) * F.col("j")
     return sums.select(F.inline(F.array(*[F.struct(F.lit(float(lam)).alias("lam"), value(i, lam).alias("log_likelihood")) for i, lam in enumerate(lams)]))).filter("log_likelihood is not null")
 
 
 def fitted_power(df: DataFrame, column: str, kind: str) -> float:
-    """The power of the greatest likelihood, to a hundredth; 1 for a constant column."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if kind == "boxcox" and low is not None and low <= 0:
-        raise ValueError(f"{column} has values that aren't positive")
-    if low == high:
-        return 1.0
-    best = lambda grid: power_profile(df, column, kind, grid).agg(F.max_by("lam", F.struct("log_likelihood", "lam"))).first()[0]
-    near = best(None)
-    return best([round(near + i / 100, 2) for i in range(-10, 11)])
+    """The power of the greatest likelihood, to a hundredth; 1 for a constant column. Equal values are raised once."""
+    values = scratch.stored(df.groupBy(column).agg(F.count("*").alias("_n")), "values")
+    try:
+        low, high = values.agg(F.min(column), F.max(column)).first()
+        if kind == "boxcox" and low is not None and low <= 0:
+            raise ValueError(f"{column} has values that aren't positive")
+        if low == high:
+            return 1.0
+        best = lambda grid: power_profile(values, column, kind, grid, "_n").agg(F.max_by("lam", F.struct("log_likelihood", "lam"))).first()[0]
+        near = best(None)
+        return best([round(near + i / 100, 2) for i in range(-10, 11)])
+    finally:
+        scratch.discard(values)
 
 
 def power(x: F.Column, lam: float, kind: str) -> F.Column:

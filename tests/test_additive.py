@@ -217,3 +217,30 @@ def test_offsets_and_one_class(spark, sample):
     assert np.abs(dense(x, y, offset, model.additive)[4] - model.additive.beta).max() < 1e-5
     with pytest.raises(ValueError):
         MD.fit(sample.filter("label = 0"), ["a"], MD.Spec(type="gam"))
+
+
+def test_equal_rows_are_fitted_as_one_with_their_count(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id as station_id", "(id * 7919 % 13) / 13.0D as a", "(id * 31 % 11) / 11.0D as b").withColumn("label", (F.rand(3) < 0.2 + 0.5 * F.col("a")).cast("int"))
+    spec = MD.Spec(type="gam", method="REML")
+    read = []
+    fitted = A.fitted
+
+    def counted(df, terms, *settings):
+        read.append((df.count(), df.agg(F.sum("_n")).first()[0], terms))
+        return fitted(df, terms, *settings)
+
+    monkeypatch.setattr(A, "fitted", counted)
+    model = MD.fit(rows, ["a", "b"], spec)
+    assert read[0][0] <= 2 * 13 * 11 and read[0][1] == 3000
+    plain = fitted(rows.select("a", "b", "label", F.lit(0.0).alias("_offset")), read[0][2], "logit", "REML")
+    m = A.design(model.additive.terms, np.array([[0.1, 0.2], [0.9, 0.5]]))
+    assert model.additive.rows == plain.rows == 3000
+    assert m @ model.additive.beta == pytest.approx(A.design(plain.terms, np.array([[0.1, 0.2], [0.9, 0.5]])) @ plain.beta, abs=1e-6)
+
+
+def test_power_of_equal_values(spark):
+    rows = spark.range(2000).selectExpr("cast(1 + id * id % 17 as double) as v")
+    counts = rows.groupBy("v").agg(F.count("*").alias("_n"))
+    for kind in MD.POWERS:
+        a, b = (df.orderBy("lam").toPandas()["log_likelihood"].to_numpy() for df in (MD.power_profile(rows, "v", kind), MD.power_profile(counts, "v", kind, count="_n")))
+        assert a == pytest.approx(b, rel=1e-9)
