@@ -13,8 +13,8 @@ SPAN bytes pick the same GRAM-byte anchor in them (the least hash), so equal str
 Equal contexts are one entry, so thousands of copies are no more than one; whole contexts are equal if 64 bits of
 their hash, 32 more of their anchor's and its bucket are. There is a bucket for each BUCKET_BYTES of text (more in large inputs),
 and runs of texts grow with the number of buckets, so that a run's row for a bucket stays worth its cost. An anchor of
-more than HOT contexts, as at the ends of a passage that very many documents share, isn't brought together: Spark
-compares the strings over it as rows, the smallest doc_id of each by a partial aggregate.
+more than HOT contexts, as at the ends of a passage that very many documents share, isn't brought together: its
+contexts are dealt to parts, and each part's distinct strings, with the smallest doc_id of each, meet by their bytes.
 
 Null texts are empty. Rows with one doc_id are one document to each other (no repeats of their own); a null doc_id
 comes after all others. Repeated rows have the same result; other columns are ignored. doc_ids are numbers (those of
@@ -47,7 +47,7 @@ LARGE_BYTES = 32 << 20
 #: Text behind a row that a run of texts gives a bucket, at least, and text of a run at most.
 SHARE = 16 << 10
 RUN_BYTES = 64 << 20
-#: Contexts of an anchor beyond which its strings are compared as rows.
+#: Contexts of an anchor beyond which they are dealt to parts, of about as many.
 HOT = 4096
 _LAST = 2**63 - 1
 
@@ -331,15 +331,88 @@ def _compare(table: pa.Table) -> pa.Table:
 _FOUND = "k long, h long, start long, stop long"
 
 
-def _compared_as_rows(asked: DataFrame) -> DataFrame:
-    """What _compare gives, for contexts of anchors that very many documents have: a row for each string over each anchor."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(SIDE))).alias("at")  # bytes of the tail in the string
-    strings = asked.select("k", "h", "gram", "pos", "lead", "tail", at).filter((F.octet_length("lead") >= SIDE - F.col("at")) & (F.octet_length("tail") >= F.col("at")))
-    sides = F.concat(F.expr(f"substring(lead, octet_length(lead) - {SIDE} + at + 1, {SIDE} - at)"), F.expr("substring(tail, 1, at)"))
-    strings = strings.select("k", "h", "gram", "at", "pos", sides.alias("sides"))
-    first = strings.groupBy("gram", "at", "sides").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("gram", "at", "sides", "low")
-    start = F.col("pos") - SIDE + F.col("at")
-    return strings.join(first, ["gram", "at", "sides"]).filter("k > low").select("k", "h", start.alias("start"), (start + SPAN).alias("stop"))
+_STRINGS = "bucket long, string binary, k long, h long, start long, stop long, hs array<long>, starts array<long>"
+
+
+def _spans(k, h, start, stop) -> pa.Table:
+    return pa.table({"k": pa.array(k, pa.int64()), "h": pa.array(h, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+
+
+def _part(table: pa.Table, buckets: int) -> pa.Table:
+    """Of a part of one anchor's contexts: spans of strings that a smaller document has in this part, and each distinct
+    string once, with its smallest document and where that has it."""
+    docs, hashes, pos = (table.column(c).to_numpy() for c in ("k", "h", "pos"))
+    gram = table.column("gram")[0].as_py()
+    lead, tail = table.column("lead").to_pylist(), table.column("tail").to_pylist()
+    text = np.frombuffer(b"".join(a.rjust(SIDE, b"\0") + b.ljust(SIDE, b"\0") for a, b in zip(lead, tail)), np.uint8).reshape(-1, 2 * SIDE)
+    before, after = (np.array([len(x) for x in side]) for side in (lead, tail))
+    hits = np.zeros((docs.size, SIDE + 1), bool)
+    found = []
+    for at in range(SIDE + 1):
+        some = np.flatnonzero((before >= SIDE - at) & (after >= at))
+        if not some.size:
+            continue
+        symbols = np.zeros((some.size, 32), np.uint8)
+        symbols[:, :SIDE] = text[some, at : at + SIDE]
+        symbols[:, SIDE] = at
+        words = symbols.view(np.uint64)
+        order = np.lexsort((hashes[some], docs[some], *words.T))
+        some, words = some[order], words[order]
+        new = _heads(*words.T)
+        least = docs[some][new][np.cumsum(new) - 1]
+        hits[some, at] = docs[some] > least
+        first = docs[some] == least
+        key = np.full(int(new.sum()), gram, np.int64).view(np.uint64)
+        for c in words[new].T:
+            key = mix(key ^ c)
+        cut = np.append(0, np.cumsum(np.add.reduceat(first.astype(np.int64), np.flatnonzero(new))))
+        found.append(((key % np.uint64(buckets)).astype(np.int64), symbols[order][new][:, : SIDE + 1], docs[some][new], cut, hashes[some][first], pos[some][first] - SIDE + at))
+    entry, at = np.nonzero(hits)
+    new = np.ones(entry.size, bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (at[1:] != at[:-1] + 1)
+    heads = np.flatnonzero(new)
+    last = np.append(heads[1:], entry.size)[: heads.size] - 1
+    start = pos[entry] - SIDE + at
+    names = [c.split()[0] for c in _STRINGS.split(", ")]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
+    n = heads.size
+    parts = [pa.table([pa.array(docs[entry[heads]] % buckets), pa.nulls(n, kinds[1]), pa.array(docs[entry[heads]]), pa.array(hashes[entry[heads]]), pa.array(start[heads]), pa.array(start[last] + SPAN), pa.nulls(n, kinds[6]), pa.nulls(n, kinds[7])], names=names)]
+    core = int(gram).to_bytes(8, "little", signed=True)
+    for bucket, strings, k, cut, hs, starts in found:
+        flat = strings.tobytes()
+        own = pa.array([core + flat[i : i + SIDE + 1] for i in range(0, len(flat), SIDE + 1)], pa.binary())
+        lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64())) for x in (hs, starts)]
+        parts.append(pa.table([pa.array(bucket), own, pa.array(k), *[pa.nulls(k.size, pa.int64())] * 3, *lists], names=names))
+    return pa.concat_tables(parts)
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Spans known already, and those of the parts' strings that another part has in a smaller document."""
+    is_string = table.column("string").is_valid()
+    known, rows = table.filter(table.column("string").is_null()), table.filter(is_string)
+    done = known.select(["k", "h", "start", "stop"])
+    if not rows.num_rows:
+        return done
+    width = 8 + SIDE + 1
+    symbols = np.zeros((rows.num_rows, -(-width // 8) * 8), np.uint8)
+    symbols[:, :width] = np.frombuffer(b"".join(rows.column("string").to_pylist()), np.uint8).reshape(-1, width)
+    words, docs = symbols.view(np.uint64), rows.column("k").to_numpy()
+    order = np.lexsort((docs, *words.T))
+    new = _heads(*words[order].T)
+    least = docs[order][new][np.cumsum(new) - 1]
+    later = rows.take(pa.array(order[docs[order] > least]))
+    hs, starts = later.column("hs").to_pylist(), later.column("starts").to_pylist()
+    k = np.repeat(later.column("k").to_numpy(), [len(x) for x in hs])
+    start = np.array([x for some in starts for x in some], np.int64)
+    return pa.concat_tables([done, _spans(k, [x for some in hs for x in some], start, start + SPAN)])
+
+
+def _compared_in_parts(asked: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
+    """What _compare gives, for contexts of anchors that very many documents have: dealt to parts of about HOT, whose
+    distinct strings meet. A string goes on once from each part, so no step grows with the square of its documents."""
+    parts = asked.join(hot, "gram").withColumn("part", F.pmod(F.xxhash64("k", "h", "pos"), F.ceil(F.col("n") / HOT)))
+    strings = parts.select("gram", "part", "k", "h", "pos", "lead", "tail").groupBy("gram", "part").applyInArrow(lambda t: _part(t, buckets), _STRINGS)
+    return strings.groupBy("bucket").applyInArrow(_meet, _FOUND)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,9 +443,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     found = keyed.join(states.dropDuplicates(["k", "h"]), ["k", "h"], "left").select("doc_id", "k", "h", "text", "states")
     known = stored(found.mapInArrow(tidy(_extract), _DONE.format(kind.simpleString())), "spans-known")
     asked = known.select("k", "h", F.explode("contexts").alias("c")).select("k", "h", "c.*").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    hot = stored(asked.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"), "spans-hot")
+    hot = stored(asked.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-hot")
     if hot.limit(1).count():  # a gram for each HOT contexts at most
-        more = asked.join(hot, "gram", "left_anti").select(asked.columns).groupBy("bucket").applyInArrow(_compare, _FOUND).unionByName(_compared_as_rows(asked.join(hot, "gram", "left_semi")))
+        more = asked.join(hot, "gram", "left_anti").select(asked.columns).groupBy("bucket").applyInArrow(_compare, _FOUND).unionByName(_compared_in_parts(asked, hot, buckets))
     else:
         more = asked.groupBy("bucket").applyInArrow(_compare, _FOUND)
     more = stored(more.distinct(), "spans-more")

@@ -587,3 +587,25 @@ def test_pipeline(spark, tmp_path):
     for name in list(stages)[:-1]:
         assert stages[name](spark, docs, str(tmp_path)).columns == docs.columns
     assert "AKIA" not in stages["secret scans"](spark, docs, str(tmp_path)).filter("doc_id = 8").first()["text"]
+
+
+def test_strings_of_a_very_common_anchor_go_on_once_from_each_part():
+    import pyarrow as pa
+
+    from habitat_spark.llm import suffix_dedup as S
+
+    n = 600
+    leads = [b"%026d" % i for i in range(n)]
+    rows = {"k": list(range(n)), "h": [7] * n, "gram": [-5] * n, "pos": [100] * n, "lead": leads, "tail": [b"x" * S.SIDE] * n}
+    parts = [S._part(pa.table({c: v[i::3] for c, v in rows.items()}), 1) for i in range(3)]
+    for p in parts:
+        common = [s for s in p.column("string").to_pylist() if s is not None and s.endswith(b"x" * S.SIDE + bytes([S.SIDE]))]
+        assert len(common) == 1
+    met = S._meet(pa.concat_tables(parts)).to_pydict()
+    whole = {(k, start) for k, a, b in zip(met["k"], met["start"], met["stop"]) for start in range(a, b - S.SPAN + 1)}
+    seen, brute = {}, set()
+    for k, lead, tail in zip(rows["k"], leads, rows["tail"]):
+        for at in range(S.SIDE + 1):
+            if seen.setdefault((at, lead[at:] + tail[:at]), k) < k:
+                brute.add((k, 100 - S.SIDE + at))
+    assert whole == brute
