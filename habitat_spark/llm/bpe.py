@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import large_strings, stored, tidy
 #: Distinct words whose ids go to every task: the most frequent ones, up to WORD_BYTES long. Others are folded on sight.
 VOCABULARY = 60_000
 WORD_BYTES = 40
-#: Entries of a task's own memory of pieces; it is emptied when full.
+#: Entries of a task's own memories of pieces and of rare words; one is emptied when full.
 MEMORY = 150_000
 BUCKETS = 8192
 _NONE = 2**31 - 1
@@ -62,17 +63,17 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(word) > 256:
         return _fold_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    scores = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    rank = ranks.get
+    cut = list(range(len(word) + 1))  # the parts' edges
+    scores = [rank(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
     while scores and (least := min(scores)) != _NONE:
         i = scores.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
+        del cut[i + 1], scores[i]
         if i < len(scores):
-            scores[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+            scores[i] = rank(word[cut[i] : cut[i + 2]], _NONE)
         if i:
-            scores[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
-    return [ranks[p] for p in parts]
+            scores[i - 1] = rank(word[cut[i - 1] : cut[i + 1]], _NONE)
+    return [ranks[word[a:b]] for a, b in zip(cut, cut[1:])]
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -195,9 +196,21 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, most: in
         words, table = shared.value
         find = regex.compile(pattern).findall
         memory: dict[str, bytes] = {}
+        rare: dict[str, bytes] = {}
+
+        def folded(word: str) -> bytes:
+            found = rare.get(word)
+            if found is None:
+                if len(rare) > MEMORY:
+                    rare.clear()
+                found = fold(word.encode(), table)
+                found = pack(f"<{len(found)}i", *found)
+                if len(word) <= WORD_BYTES:
+                    rare[word] = found
+            return found
 
         def ids(piece: str) -> bytes:
-            return b"".join([words.get(w) or np.array(fold(w.encode(), table), "<i4").tobytes() for w in find(piece)])
+            return b"".join([words.get(w) or folded(w) for w in find(piece)])
 
         for batch in batches:
             for first in range(0, batch.num_rows, 512):

@@ -609,3 +609,23 @@ def test_strings_of_a_very_common_anchor_go_on_once_from_each_part():
             if seen.setdefault((at, lead[at:] + tail[:at]), k) < k:
                 brute.add((k, 100 - S.SIDE + at))
     assert whole == brute
+
+
+def test_rare_words_are_folded_once_in_a_task(spark, monkeypatch, tmp_path):
+    from habitat_spark.llm import bpe
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257}
+    log = str(tmp_path / "folded")
+    plain = bpe.fold
+
+    def noted(word, table):
+        with open(log, "a") as file:
+            file.write(word.decode() + "\n")
+        return plain(word, table)
+
+    monkeypatch.setattr(bpe, "fold", noted)
+    monkeypatch.setattr(bpe, "vocabulary", lambda *_: {})
+    rows = spark.createDataFrame([(1, "x abcx,y abcx;y abcx.")], "doc_id long, text string").coalesce(1)
+    found = bpe.encode(rows, ranks, r" ?[a-z]+|.").first()["ids"]
+    assert found == [120, 32, 257, 120, 44, 121, 32, 257, 120, 59, 121, 32, 257, 120, 46]
+    assert open(log).read().splitlines().count(" abcx") <= 1
