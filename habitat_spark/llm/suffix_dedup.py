@@ -13,8 +13,10 @@ SPAN bytes pick the same GRAM-byte anchor in them (the least hash), so equal str
 Equal contexts are one entry, so thousands of copies are no more than one; whole contexts are equal if 64 bits of
 their hash, 32 more of their anchor's and its bucket are. There is a bucket for each BUCKET_BYTES of text (more in large inputs),
 and runs of texts grow with the number of buckets, so that a run's row for a bucket stays worth its cost. An anchor of
-more than HOT contexts, as at the ends of a passage that very many documents share, isn't brought together: its
-contexts are dealt to parts, and each part's distinct strings, with the smallest doc_id of each, meet by their bytes.
+more than HOT contexts, as at the ends of a passage that very many documents share, isn't brought together: the strings
+over it are halved into ranges, and in each range contexts are grouped by the bytes that all its strings hold, until
+groups are small. Contexts of groups that stay large are dealt to parts, and each part's distinct strings, with the
+smallest doc_id of each, meet by their bytes.
 
 Null texts are empty. Rows with one doc_id are one document to each other (no repeats of their own); a null doc_id
 comes after all others. Repeated rows have the same result; other columns are ignored. doc_ids are numbers (those of
@@ -23,6 +25,7 @@ other types that can't be read as such are an error). Texts of any length are co
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +50,10 @@ LARGE_BYTES = 32 << 20
 #: Text behind a row that a run of texts gives a bucket, at least, and text of a run at most.
 SHARE = 16 << 10
 RUN_BYTES = 64 << 20
-#: Contexts of an anchor beyond which they are dealt to parts, of about as many.
+#: Contexts of an anchor beyond which they are taken apart by what their strings hold, and of a part of what is left.
 HOT = 4096
+#: Halvings of the strings over an anchor, up to ranges of 3 or 4 strings.
+NARROW = 3
 _LAST = 2**63 - 1
 
 
@@ -407,14 +412,66 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables([done, _spans(k, [x for some in hs for x in some], start, start + SPAN)])
 
 
-def _compared_in_parts(asked: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
-    """What _compare gives, for contexts of anchors that very many documents have: dealt to parts of about HOT, whose
-    distinct strings meet. A string goes on once from each part, so no step grows with the square of its documents."""
-    parts = asked.join(hot, "gram").withColumn("part", F.pmod(F.xxhash64("k", "h", "pos"), F.ceil(F.col("n") / HOT)))
-    strings = parts.select("gram", "part", "k", "h", "pos", "lead", "tail").groupBy("gram", "part").applyInArrow(lambda t: _part(t, buckets), _STRINGS)
+_LEVEL = ["gram", "low", "core"]
+
+
+def _halved(contexts: DataFrame) -> DataFrame:
+    """Each context once for either half of its range low to high of strings, cut to what that half's strings hold, with
+    the core that all strings of the half hold. Strings are numbered by their bytes after the anchor."""
+    half = F.explode(F.expr("array(struct(low, (low + high) div 2 AS high), struct((low + high) div 2 + 1 AS low, high))"))
+    cut = contexts.withColumn("half", half).select("gram", "k", "h", "pos", "lead", "tail", "half.low", "half.high")
+    some = cut.filter(f"octet_length(lead) >= {SIDE} - high AND octet_length(tail) >= low")
+    last = "substring(lead, greatest(octet_length(lead) - ({side} - {at}), 0) + 1, {side} - {at})"
+    core = F.expr(f"concat({last.format(side=SIDE, at='high')}, substring(tail, 1, low))")
+    return some.select("gram", "k", "h", "pos", F.expr(last.format(side=SIDE, at="low")).alias("lead"), F.expr("substring(tail, 1, high)").alias("tail"), "low", "high", core.alias("core"))
+
+
+def _narrowed(contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Contexts of hot anchors, taken apart by the strings that they can share: spans found on the way, contexts whose
+    core has HOT contexts at most, those of hot cores of NARROW halvings (n: how many of the core), and stored tables.
+
+    Contexts cut to the same bytes have the same strings: where these are more than HOT, only the smallest document's go
+    on, and the others' spans are found. So an edge of a passage leaves each context in one half of each range.
+    """
+    tables, found, few = [], [], []
+    for _ in range(NARROW):
+        halves = _halved(contexts)
+        alike = stored(halves.groupBy("gram", "low", "lead", "tail").agg(F.count("*").alias("n"), F.min("k").alias("least")).filter(F.col("n") > HOT).drop("n"), "spans-alike")
+        cut = stored(halves.join(alike, ["gram", "low", "lead", "tail"], "left"), "spans-cut")
+        first = F.expr(f"pos - {SIDE} + greatest(low, {SIDE} - octet_length(lead))")
+        last = F.expr(f"pos - {SIDE} + least(high, octet_length(tail))")
+        found.append(cut.filter("k > least").select("k", "h", first.cast("long").alias("start"), (last + SPAN).cast("long").alias("stop")))
+        left = cut.filter("least IS NULL OR k = least").drop("least")
+        cores = stored(left.groupBy(_LEVEL).agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-cores")
+        few.append(left.join(cores, _LEVEL, "left_anti").select(*_LEVEL, "k", "h", "pos", "lead", "tail"))
+        contexts = left.join(cores, _LEVEL)
+        tables += [alike, cut, cores]
+    return functools.reduce(DataFrame.unionByName, found), functools.reduce(DataFrame.unionByName, few), contexts, tables
+
+
+def _compared_in_parts(many: DataFrame, buckets: int) -> DataFrame:
+    """What _compare gives, for contexts of hot cores: dealt to parts of about HOT, whose distinct strings meet. A string
+    goes on once from each part, so no step grows with the square of its documents."""
+    parts = many.withColumn("part", F.pmod(F.xxhash64("k", "h", "pos"), F.ceil(F.col("n") / HOT)))
+    strings = parts.select(*_LEVEL, "part", "k", "h", "pos", "lead", "tail").groupBy(*_LEVEL, "part").applyInArrow(lambda t: _part(t, buckets), _STRINGS)
     return strings.groupBy("bucket").applyInArrow(_meet, _FOUND)
 
 
+def _compared(asked: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Repeated spans of all contexts asked for, and stored tables that they are read from."""
+    hot = stored(asked.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-hot")
+    near = ["bucket", "k", "h", "gram", "pos", "lead", "tail"]
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets))
+    if not hot.limit(1).count():  # a gram for each HOT contexts at most
+        return asked.withColumn("bucket", bucket).select(near).groupBy("bucket").applyInArrow(_compare, _FOUND), [hot]
+    contexts = asked.join(hot.select("gram"), "gram").withColumns({"low": F.lit(0), "high": F.lit(SIDE)})
+    found, few, many, tables = _narrowed(contexts)
+    # a core's contexts are a group as an anchor's are
+    single = asked.join(hot, "gram", "left_anti").select(near[1:]).unionByName(few.withColumn("gram", F.xxhash64(*_LEVEL)).select(near[1:]))
+    compared = single.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare, _FOUND)
+    return compared.unionByName(found).unionByName(_compared_in_parts(many, buckets)), [hot, *tables]
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -442,14 +499,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     states = stored(states, "spans-states")
     found = keyed.join(states.dropDuplicates(["k", "h"]), ["k", "h"], "left").select("doc_id", "k", "h", "text", "states")
     known = stored(found.mapInArrow(tidy(_extract), _DONE.format(kind.simpleString())), "spans-known")
-    asked = known.select("k", "h", F.explode("contexts").alias("c")).select("k", "h", "c.*").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    hot = stored(asked.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-hot")
-    if hot.limit(1).count():  # a gram for each HOT contexts at most
-        more = asked.join(hot, "gram", "left_anti").select(asked.columns).groupBy("bucket").applyInArrow(_compare, _FOUND).unionByName(_compared_in_parts(asked, hot, buckets))
-    else:
-        more = asked.groupBy("bucket").applyInArrow(_compare, _FOUND)
+    more, tables = _compared(known.select("k", "h", F.explode("contexts").alias("c")).select("k", "h", "c.*"), buckets)
     more = stored(more.distinct(), "spans-more")
-    discard(states, hot)
+    discard(states, *tables)
     more = more.groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("more"))  # bounded by its document
     schema = T.StructType([T.StructField("doc_id", kind), known.schema["spans"], T.StructField("kept", T.BinaryType())])
     open_ = known.filter(F.col("kept").isNull()).join(more, ["k", "h"], "left").select("doc_id", "text", "spans", "more").mapInArrow(tidy(_finish), schema)

@@ -258,6 +258,30 @@ def test_suffix_dedup_of_look_alikes(spark, monkeypatch, hot):
     same(suffix_dedup.deduplicated(cases.frame(spark, rows)), brute_spans(rows))
 
 
+@pytest.mark.parametrize("side", ["end", "start", "short"])
+def test_strings_that_nothing_shares_are_no_rows(spark, monkeypatch, tmp_path, side):
+    """Around a passage's edge each context has strings of its own: they aren't made into rows, and what is shared is a few rows."""
+    log = tmp_path / "made"
+    plain = suffix_dedup._part
+
+    def noted(table, buckets):
+        out = plain(table, buckets)
+        with open(log, "a") as file:
+            file.write(f"{out.num_rows}\n")
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 30)
+    monkeypatch.setattr(suffix_dedup, "_part", noted)
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = letters(56 if side == "short" else 120)
+    rows = [(i, "" if i % 40 == 0 else (passage if side == "start" else letters(40) + passage) + (passage[:60] if i % 9 == 0 else "") + ("" if side == "end" and i % 7 == 0 else letters(40 + i % 3))) for i in range(400)]
+    rows += [(None, rows[5][1]), (None, letters(9) + passage), (7, letters(9) + passage)]
+    same(suffix_dedup.deduplicated(cases.frame(spark, rows)), brute_spans(rows))
+    made = sum(map(int, log.read_text().split())) if log.exists() else 0
+    assert made < 10 * len(rows)  # 36 to 49 a document if all strings were rows
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 40, 150])
 def test_suffix_arrays(n):
     from habitat_spark.llm.suffix_arrays import suffix_array, suffix_arrays
