@@ -412,6 +412,20 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables([done, _spans(k, [x for some in hs for x in some], start, start + SPAN)])
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """stored, with the files of its shuffles removed when it is written, not at some collection of the driver's garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 _LEVEL = ["gram", "low", "core"]
 
 
@@ -436,13 +450,13 @@ def _narrowed(contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, lis
     tables, found, few = [], [], []
     for _ in range(NARROW):
         halves = _halved(contexts)
-        alike = stored(halves.groupBy("gram", "low", "lead", "tail").agg(F.count("*").alias("n"), F.min("k").alias("least")).filter(F.col("n") > HOT).drop("n"), "spans-alike")
-        cut = stored(halves.join(alike, ["gram", "low", "lead", "tail"], "left"), "spans-cut")
+        alike = _stored(halves.groupBy("gram", "low", "lead", "tail").agg(F.count("*").alias("n"), F.min("k").alias("least")).filter(F.col("n") > HOT).drop("n"), "spans-alike")
+        cut = _stored(halves.join(alike, ["gram", "low", "lead", "tail"], "left"), "spans-cut")
         first = F.expr(f"pos - {SIDE} + greatest(low, {SIDE} - octet_length(lead))")
         last = F.expr(f"pos - {SIDE} + least(high, octet_length(tail))")
         found.append(cut.filter("k > least").select("k", "h", first.cast("long").alias("start"), (last + SPAN).cast("long").alias("stop")))
         left = cut.filter("least IS NULL OR k = least").drop("least")
-        cores = stored(left.groupBy(_LEVEL).agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-cores")
+        cores = _stored(left.groupBy(_LEVEL).agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-cores")
         few.append(left.join(cores, _LEVEL, "left_anti").select(*_LEVEL, "k", "h", "pos", "lead", "tail"))
         contexts = left.join(cores, _LEVEL)
         tables += [alike, cut, cores]
@@ -459,7 +473,7 @@ def _compared_in_parts(many: DataFrame, buckets: int) -> DataFrame:
 
 def _compared(asked: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame]]:
     """Repeated spans of all contexts asked for, and stored tables that they are read from."""
-    hot = stored(asked.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-hot")
+    hot = _stored(asked.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "spans-hot")
     near = ["bucket", "k", "h", "gram", "pos", "lead", "tail"]
     bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets))
     if not hot.limit(1).count():  # a gram for each HOT contexts at most
@@ -496,12 +510,13 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     answers = source.mapInArrow(tidy(lambda b: _scan(b, buckets)), packed).groupBy("bucket").applyInArrow(lambda t: _resolve(t, buckets), packed)
     states = answers.groupBy("run").applyInArrow(lambda t: _assemble(t, buckets), "k long, h long, states binary")
-    states = stored(states, "spans-states")
+    states = _stored(states, "spans-states")
     found = keyed.join(states.dropDuplicates(["k", "h"]), ["k", "h"], "left").select("doc_id", "k", "h", "text", "states")
-    known = stored(found.mapInArrow(tidy(_extract), _DONE.format(kind.simpleString())), "spans-known")
+    known = _stored(found.mapInArrow(tidy(_extract), _DONE.format(kind.simpleString())), "spans-known")
+    discard(states)
     more, tables = _compared(known.select("k", "h", F.explode("contexts").alias("c")).select("k", "h", "c.*"), buckets)
-    more = stored(more.distinct(), "spans-more")
-    discard(states, *tables)
+    more = _stored(more.distinct(), "spans-more")
+    discard(*tables)
     more = more.groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("more"))  # bounded by its document
     schema = T.StructType([T.StructField("doc_id", kind), known.schema["spans"], T.StructField("kept", T.BinaryType())])
     open_ = known.filter(F.col("kept").isNull()).join(more, ["k", "h"], "left").select("doc_id", "text", "spans", "more").mapInArrow(tidy(_finish), schema)
